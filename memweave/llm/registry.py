@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from memweave.llm import bpe, exact_dedup, gif_media
+from memweave.llm import bpe, exact_dedup, gif_media, language_id, minhash
 from memweave.runtime import table
 
 
@@ -13,6 +13,14 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -24,6 +32,8 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op3_minhash": op3_minhash,
+        "op7_language_id": op7_language_id,
         "op8_bpe": op8_bpe,
         "op10_gif_media": op10_gif_media,
     }
