@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from memweave.llm import bpe, exact_dedup, gif_media, language_id, minhash
+from memweave.llm import bpe, exact_dedup, gif_media, language_id, minhash, suffix_dedup, toxicity
 from memweave.runtime import table
 
 
@@ -17,6 +17,10 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -25,6 +29,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_media.media_features(table(spark, sf_dir, "documents"))
 
@@ -33,8 +41,10 @@ def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op3_minhash": op3_minhash,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op7_language_id": op7_language_id,
         "op8_bpe": op8_bpe,
+        "op9_toxicity": op9_toxicity,
         "op10_gif_media": op10_gif_media,
     }
 
