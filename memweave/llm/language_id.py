@@ -41,6 +41,8 @@ UNKNOWN = 1e-7
 #: Words in training are cut to runs of so many characters; words to score are not.
 RUN = 32
 CACHE = 300_000
+#: Cut off around words, so that a word is scored once for all its surroundings.
+PUNCTUATION = ".,;:!?|()[]\"'«»¿¡#$&%*-"
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -48,6 +50,14 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+SLOTS = 20
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
 class Pieces:
     """The vocabulary's ordinary pieces, numbered from 1; 0 is none and the last is the unknown character."""
 
@@ -59,20 +69,39 @@ class Pieces:
         self.size = len(ordinary) + 2
         self.longest = max(map(len, ordinary))
 
+    def _index(self) -> None:
+        """The pieces' hashes, sorted by their slot of a table that is mostly empty."""
+        hashes = np.zeros(len(self.number), np.uint64)
+        for k, p in enumerate(self.number):
+            h = 0
+            for c in p:
+                h = (h * int(_BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+            hashes[k] = h
+        order = np.argsort(_slot(hashes), kind="stable")
+        self.hashes = np.append(hashes[order], np.uint64(0))
+        self.ids = np.append(np.array(list(self.number.values()), np.int32)[order], np.int32(0))
+        counts = np.bincount(_slot(hashes), minlength=1 << SLOTS)
+        self.first = (np.cumsum(counts) - counts).astype(np.int32)
+        self.deep = int(counts.max())
+
     def grid(self, words: list[str]) -> np.ndarray:
         """Piece number of every substring that ends at i and has L characters: [word, i, L], for words of one length."""
+        if not hasattr(self, "hashes"):
+            self._index()
         n = len(words[0])
-        get, most = self.number.get, min(n, self.longest)
+        most = min(n, self.longest)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64) + np.uint64(1)
         out = np.zeros((len(words), n + 1, most + 1), np.int32)
-        for k, w in enumerate(words):
-            row = out[k]
-            for i in range(1, n + 1):
-                for size in range(1, min(i, most) + 1):
-                    if (p := get(w[i - size : i])) is not None:
-                        row[i, size] = p
-        if n:
-            one = out[:, 1:, 1]
-            one[one == 0] = self.unknown
+        h = np.zeros((len(words), n), np.uint64)
+        for size in range(1, most + 1):
+            h = h[:, : n - size + 1] * _BASE + codes[:, size - 1 :]
+            at = self.first[_slot(h)]
+            for k in range(self.deep):
+                spot = np.minimum(at + k, len(self.hashes) - 1)
+                hit = self.hashes[spot] == h
+                out[:, size:, size][hit] = self.ids[spot[hit]]
+        one = out[:, 1:, 1]
+        one[one == 0] = self.unknown
         return out
 
 
@@ -136,8 +165,13 @@ class Model:
     prob: np.ndarray  # [piece, language]; row 0 is zero
 
 
-def words_of(text: str) -> list[str]:
-    return ["▁" + w for w in text.split()]
+def units(token: str) -> list[str]:
+    """A run of text without spaces: the word, with the vocabulary's mark of a start, and the punctuation around it."""
+    core = token.strip(PUNCTUATION)
+    if not core:
+        return ["▁" + token]
+    a = token.index(core)
+    return [x for x in (token[:a], "▁" + core, token[a + len(core) :]) if x]
 
 
 def _word_counts(train: DataFrame) -> DataFrame:
@@ -147,9 +181,10 @@ def _word_counts(train: DataFrame) -> DataFrame:
         for b in batches:
             counts: dict[tuple[str, str], int] = defaultdict(int)
             for lang, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                for w in words_of(text.as_py()):
-                    for k in range(0, len(w), RUN):
-                        counts[lang, w[k : k + RUN]] += 1
+                for token in text.as_py().split():
+                    for w in units(token):
+                        for k in range(0, len(w), RUN):
+                            counts[lang, w[k : k + RUN]] += 1
             yield pa.record_batch([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "word", "n"])
 
     return train.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -220,23 +255,30 @@ class Scorer:
         self.row: dict[str, int] = {}
         self.log = np.zeros((0, len(model.languages)), np.float64)
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, tokens: list[str]) -> None:
+        split = [units(t) for t in tokens]
         by: dict[int, list[str]] = defaultdict(list)
-        for w in new:
-            by[len(w)].append(w)
-        parts = [self.log]
-        for size, words in by.items():
+        for u in set().union(*split):
+            by[len(u)].append(u)
+        at: dict[str, int] = {}
+        parts = []
+        for size, same in by.items():
             step = max(1, 200_000 // (size * min(size, self.pieces.longest)))
-            for k in range(0, len(words), step):
-                parts.append(forward(self.pieces.grid(words[k : k + step]), self.model.prob))
-                for w in words[k : k + step]:
-                    self.row[w] = len(self.row)
-        self.log = np.concatenate(parts)
+            for k in range(0, len(same), step):
+                parts.append(forward(self.pieces.grid(same[k : k + step]), self.model.prob))
+            for u in same:
+                at[u] = len(at)
+        logs = np.concatenate(parts)
+        ends = np.cumsum([len(s) for s in split])
+        summed = np.add.reduceat(logs[[at[u] for s in split for u in s]], np.concatenate([[0], ends[:-1]]), axis=0)
+        for t in tokens:
+            self.row[t] = len(self.row)
+        self.log = np.concatenate([self.log, summed])
 
     def score(self, texts: list[str]) -> list[tuple[str, float]]:
         if len(self.row) > CACHE:
             self.row, self.log = {}, self.log[:0]
-        split = [words_of(t) if self.model.languages and LETTER.search(t) else [] for t in texts]
+        split = [t.split() if self.model.languages and LETTER.search(t) else [] for t in texts]
         if new := list(set().union(*split).difference(self.row)):
             self.learn(new)
         out = []
