@@ -40,8 +40,9 @@ def test_label_model_finds_rates_and_doubled_voters():
 
 
 def test_edges(spark):
-    rows = [(i, "you awful fool" if i % 4 == 0 else "a fine day for all", "x") for i in range(80)]
-    rows += [(200, None, "x"), (201, "", "x"), (None, "awful", "x"), (202, "awful " * 50_000, None), (0, "you awful fool", "x")]
+    filler = lambda i: " ".join(f"w{i * 7 + k}x" for k in range(20))
+    rows = [(i, ("you awful fool " if i % 4 == 0 else "a fine day for all ") + filler(i), "x") for i in range(80)]
+    rows += [(200, None, "x"), (201, "", "x"), (None, "you awful fool", "x"), (202, "you awful fool " * 50_000, None), (0, "you awful fool", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0), 1) for i in range(80)] + [(None, 1, 0), (3, None, 0), (4, 0, 0)], "doc_id long, toxic int, text int")
     got = tox.toxicity(docs, labels).collect()
