@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from memweave.llm import bpe, exact_dedup, gif_media, language_id, minhash, suffix_dedup, toxicity
+from memweave.llm import bpe, exact_dedup, gif_media, language_id, line_dedup, minhash, packing, suffix_dedup, toxicity
 from memweave.runtime import table
 
 
@@ -17,10 +18,18 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -41,11 +50,14 @@ def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op3_minhash": op3_minhash,
+        "op4_packing": op4_packing,
         "op5_suffix_dedup": op5_suffix_dedup,
+        "op6_line_dedup": op6_line_dedup,
         "op7_language_id": op7_language_id,
         "op8_bpe": op8_bpe,
         "op9_toxicity": op9_toxicity,
         "op10_gif_media": op10_gif_media,
+        "pipeline": corpus_pipeline.run,
     }
 
 
