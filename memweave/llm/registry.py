@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from memweave.llm import bpe, exact_dedup, gif_media, language_id, line_dedup, minhash, packing, suffix_dedup, toxicity
+from memweave.llm import bpe, exact_dedup, gif_media, html_text, language_id, line_dedup, minhash, packing, suffix_dedup, toxicity
 from memweave.runtime import table
 
 
@@ -14,6 +14,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -49,6 +53,7 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_html_text": op2_html_text,
         "op3_minhash": op3_minhash,
         "op4_packing": op4_packing,
         "op5_suffix_dedup": op5_suffix_dedup,
