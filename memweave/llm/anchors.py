@@ -72,19 +72,56 @@ def _block(raw: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndar
     return grams, starts, (_PLACE - (least[starts] & _PLACE)).astype(np.int64)
 
 
-def anchors(raw: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows, gram hash and context hash of every anchor of one text."""
-    n = len(raw)
-    if n < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+def _valid(sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For texts laid end to end: each window's text, and whether the window ends in it."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    n = len(text) - window + 1
+    return text[:n], text[:n] == text[window - 1 :]
+
+
+def anchors_of(texts: list[np.ndarray], window: int = WINDOW, gram: int = GRAM, context: bool = True) -> tuple[np.ndarray, ...]:
+    """Text number, first window, number of windows, gram hash and context hash of every anchor."""
+    empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    out, k = [], 0
+    while k < len(texts):
+        if len(texts[k]) > BLOCK:
+            out += _long(texts[k], k, window, gram)
+            k += 1
+            continue
+        end, size = k, 0
+        while end < len(texts) and len(texts[end]) <= BLOCK and size <= BLOCK:
+            size += len(texts[end])
+            end += 1
+        sizes = np.array([len(t) for t in texts[k:end]])
+        raw = np.concatenate(texts[k:end])
+        if len(raw) >= window:
+            grams, starts, place = _block(raw, window, gram)
+            text, good = _valid(sizes, window)
+            # runs end where their text does
+            breaks = np.zeros(len(text), bool)
+            breaks[starts] = True
+            breaks[1:] |= (text[1:] != text[:-1]) | (good[1:] != good[:-1])
+            first = np.flatnonzero(breaks)
+            place = np.repeat(place, np.diff(np.append(starts, len(text))))[first]
+            count = np.diff(np.append(first, len(text)))
+            keep = good[first]
+            first, count, place = first[keep], count[keep], place[keep]
+            own = text[first]
+            hashes = span_hashes(prefix_sums(raw, 1), first, first + count + window - 1, 1) if context else np.zeros(len(first), np.uint64)
+            out.append((own + k, first - (np.cumsum(sizes) - sizes)[own], count, grams[place], hashes))
+        k = end
+    return tuple(np.concatenate(x) for x in zip(*(out or [empty]), strict=True))
+
+
+def _long(raw: np.ndarray, number: int, window: int, gram: int) -> list[tuple[np.ndarray, ...]]:
     out = []
-    for at in range(0, n - window + 1, BLOCK):
+    for at in range(0, len(raw) - window + 1, BLOCK):
         part = raw[at : at + BLOCK + window - 1]
         grams, starts, place = _block(part, window, gram)
-        count = np.diff(np.concatenate([starts, [len(part) - window + 1]]))
+        count = np.diff(np.append(starts, len(part) - window + 1))
         context = span_hashes(prefix_sums(part, 1), starts, starts + count + window - 1, 1)
-        out.append((starts + at, count, grams[place], context))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        out.append((np.full(len(starts), number), starts + at, count, grams[place], context))
+    return out
 
 
 def places(raw: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:

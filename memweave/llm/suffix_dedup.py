@@ -12,7 +12,7 @@ equal is found in three steps, each exact:
    edits) is cut into units of ``UNIT`` neighbouring windows, aligned by the anchor.
    Units without an equal core drop out, units with equal contexts are settled.
 3. The windows that are still open are suffix-sorted by difference cover modulo 3 over
-   8-byte characters: triples at the sampled places are sorted and named, the names'
+   16-byte characters: triples at the sampled places are sorted and named, the names'
    string is sorted in turn, and the remaining suffixes are merged by first character
    and sampled rank (``suffix_ranks``). Windows with equal neighbours in that order
    are equal; the first of them stays.
@@ -34,12 +34,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from memweave.llm.anchors import GRAM, WINDOW, anchors, places, prefix_sums, span_hashes
+from memweave.llm.anchors import GRAM, WINDOW, anchors_of, places, prefix_sums, span_hashes
 from memweave.runtime import materialize, release
 
 UNIT = 4
-CHAR = 8
+CHAR = 16
+#: A position is one number: the document's above, the byte's in so many low bits. So texts
+#: may have 2^28 bytes and documents may be 2^35.
+BYTE_BITS = 28
 
 
 def _raw(t: pa.Scalar) -> np.ndarray:
@@ -55,49 +59,59 @@ I64, I32 = pa.int64(), pa.int32()
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
     """``(tid, doc_id, copies, text)`` with tids in the order of documents; whether tid is the doc_id itself."""
-    rows, ids = docs.agg(F.count(F.lit(1)), F.countDistinct("doc_id")).first()
-    if rows == ids:
+    rows, ids, low, high = docs.agg(F.count(F.lit(1)), F.countDistinct("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+    if rows == ids and (not rows or 0 <= low <= high < 1 << (63 - BYTE_BITS)):
         return docs.select(F.col("doc_id").alias("tid"), "doc_id", F.lit(1).alias("copies"), "text"), True
     distinct = docs.groupBy("doc_id", "text").agg(F.count(F.lit(1)).cast("int").alias("copies"))
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256), F.col("text").isNull()]
-    placed = distinct.repartitionByRange(*order).sortWithinPartitions(*order)
-    return materialize(placed.select(F.monotonically_increasing_id().alias("tid"), "doc_id", "copies", "text"), "keyed"), False
+    placed = distinct.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    placed = materialize(placed.select("at", "doc_id", "copies", "text"), "keyed")
+    # partition number and place to one number without gaps; a row for each partition on the driver
+    part = F.shiftright("at", 33)
+    sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, entries = 0, []
+    for p in sorted(sizes):
+        entries += [F.lit(p).cast("long"), F.lit(before).cast("long")]
+        before += sizes[p]
+    start = F.create_map(*entries)[part] if entries else F.lit(0).cast("long")
+    return placed.select((start + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("tid"), "doc_id", "copies", "text"), False
 
 
 def _anchor_rows(docs: DataFrame, window: int, gram: int, full: bool) -> DataFrame:
-    """``(gram)``, or ``(tid, lo, n, gram, context)``, of every anchor."""
-    names, types = (["tid", "lo", "n", "gram", "context"], [I64, I64, I32, I64, I64]) if full else (["gram"], [I64])
+    """``(gram)``, or ``(pos, n, gram, context)``, of every anchor."""
+    names, types = (["pos", "n", "gram", "context"], [I64, I32, I64, I64]) if full else (["gram"], [I64])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts, size = [], 0
-            for tid, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                lo, n, g, c = anchors(_raw(t), window, gram)
-                parts.append((np.full(len(lo), tid), lo, n.astype(np.int32), g.view(np.int64), c.view(np.int64)) if full else (g.view(np.int64),))
-                size += len(lo)
-                if size > 200_000:
-                    yield _rows(names, types, [np.concatenate(x) for x in zip(*parts, strict=True)])
-                    parts, size = [], 0
-            if parts:
-                yield _rows(names, types, [np.concatenate(x) for x in zip(*parts, strict=True)])
+            tids = b.column(0).to_numpy()
+            for k in range(0, len(b), 1000):
+                raw = [_raw(t) for t in b.column(1).slice(k, 1000)]
+                own, lo, n, g, c = anchors_of(raw, window, gram, full)
+                yield _rows(names, types, [(tids[k + own] << BYTE_BITS) + lo, n.astype(np.int32), g.view(np.int64), c.view(np.int64)] if full else [g.view(np.int64)])
 
     return docs.select("tid", "text").mapInArrow(run, ", ".join(f"{n} {'int' if t == I32 else 'long'}" for n, t in zip(names, types, strict=True)))
 
 
 def _split_classes(rows: DataFrame, core: str, label: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows ``(tid, lo, n, core, context, ...)`` to: repeats of an equal context; first
-    rows of contexts whose core has several contexts; the table of contexts to release."""
-    more = [c for c in rows.columns if c not in ("tid", "lo", "n", core, "context")]
-    first = F.struct("tid", "lo", "n", *more)
-    classes = rows.groupBy(core, "context").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("size"))
+    """Rows ``(pos, n, core, context, ...)`` to: repeats of an equal context; first rows of
+    contexts whose core has several contexts; the table of contexts to release.
+
+    Equal contexts have equal lengths and so equal ``n``.
+    """
+    more = [c for c in rows.columns if c not in ("pos", "n", core, "context")]
+    classes = rows.groupBy(core, "context").agg(F.min("pos").alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("size"), *[F.min_by(c, "pos").alias(c) for c in more])
     classes = materialize(classes, f"{label}-classes")
-    several = classes.where("size > 1").select(core, "context", F.col("first.tid").alias("t0"), F.col("first.lo").alias("l0"))
-    repeats = rows.join(several, [core, "context"]).where("tid <> t0 OR lo <> l0").select("tid", "lo", "n")
+    several = classes.where("size > 1").select(core, "context", "first")
+    repeats = rows.join(several, [core, "context"]).where("pos <> first").select("pos", "n")
     many = classes.groupBy(core).agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select(core)
-    open_ = classes.join(many, core).select("first.*")
+    open_ = classes.join(many, core).select(F.col("first").alias("pos"), "n", *more)
     return materialize(repeats, f"{label}-repeats"), materialize(open_, f"{label}-open"), classes
 
 
+def _text_and_byte() -> list:
+    return [F.shiftright("pos", BYTE_BITS).alias("tid"), F.col("pos").bitwiseAND(F.lit((1 << BYTE_BITS) - 1)).alias("lo")]
+
+
 def _segments(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """``(tid, at, bytes, lo, n)``: the bytes around neighbouring open anchors, and those anchors."""
     names, types = ["tid", "at", "bytes", "lo", "n"], [I64, I64, pa.binary(), pa.list_(I64), pa.list_(I32)]
@@ -120,60 +134,65 @@ def _segments(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                     out[4].append(n[a:z])
             yield _rows(names, types, out)
 
-    by = wanted.groupBy("tid").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))
+    by = wanted.select(*_text_and_byte(), "n").groupBy("tid").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))
     return docs.select("tid", "text").join(by, "tid").select("tid", "text", "lo", "n").mapInArrow(run, "tid long, at long, bytes binary, lo array<long>, n array<int>")
 
 
 def _units(segments: DataFrame, window: int, gram: int) -> DataFrame:
-    """``(tid, lo, n, core, context, at)`` of every unit of the open anchors' windows."""
-    names, types = ["tid", "lo", "n", "core", "context", "at"], [I64, I64, I32, I64, I64, I64]
-
-    def units(tid: int, at: int, raw: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple:
-        w = np.repeat(lo - at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    """``(pos, n, core, context, at)`` of every unit of the open anchors' windows."""
+    names, types = ["pos", "n", "core", "context", "at"], [I64, I32, I64, I64, I64]
+
+    def units(tids: np.ndarray, ats: np.ndarray, parts: list[np.ndarray], los: list, ns: list) -> list[np.ndarray]:
+        """Of segments laid end to end; every window lies in its segment."""
+        sizes = np.array([len(x) for x in parts])
+        shift = np.cumsum(sizes) - sizes
+        raw = np.concatenate(parts)
+        count = np.array([len(x) for x in los])
+        own = np.repeat(np.arange(len(parts)), count)
+        lo, n = np.concatenate(los) - ats[own] + shift[own], np.concatenate(ns)
+        w = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        own = np.repeat(own, n)
         place = places(raw, window, gram)[w]
         slot = (place - w) // UNIT
         new = np.ones(len(w), bool)
         new[1:] = (slot[1:] != slot[:-1]) | (place[1:] != place[:-1]) | (w[1:] != w[:-1] + 1)
         first = np.flatnonzero(new)
         size = np.diff(np.append(first, len(w)))
-        u, left = w[first], place[first] - slot[first] * UNIT
+        u, left, own = w[first], place[first] - slot[first] * UNIT, own[first]
         core = span_hashes(prefix_sums(raw, 0), left, left - (UNIT - 1) + window, 0)
         context = span_hashes(prefix_sums(raw, 1), u, u + size - 1 + window, 1)
-        return np.full(len(u), tid), u + at, size.astype(np.int32), core.view(np.int64), context.view(np.int64), np.full(len(u), at)
+        return [(tids[own] << BYTE_BITS) + u - shift[own] + ats[own], size.astype(np.int32), core.view(np.int64), context.view(np.int64), ats[own]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, len(b), 2000):
-                part = b.slice(k, 2000)
-                got = [units(t, a, np.frombuffer(s.as_py(), np.uint8), np.array(lo.as_py()), np.array(n.as_py())) for t, a, s, lo, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), *(part.column(c) for c in (2, 3, 4)), strict=True)]
-                yield _rows(names, types, [np.concatenate(x) for x in zip(*got, strict=True)])
+            tids, ats = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for k in range(0, len(b), 1000):
+                c = [b.column(i).slice(k, 1000) for i in (2, 3, 4)]
+                got = units(tids[k : k + 1000], ats[k : k + 1000], [np.frombuffer(x.as_py(), np.uint8) for x in c[0]], *[[np.asarray(x.values) for x in y] for y in c[1:]])
+                yield _rows(names, types, got)
 
-    return segments.mapInArrow(run, "tid long, lo long, n int, core long, context long, at long")
+    return segments.mapInArrow(run, "pos long, n int, core long, context long, at long")
 
 
 def _windows(segments: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """``(tid, pos, chars)``: each open window as characters of 8 bytes, in an order-keeping form."""
+    """``(id, chars)``: each open window, by its position, as characters of ``CHAR`` bytes."""
     chars = -(-window // CHAR)
-    names, types = ["tid", "pos", "chars"], [I64, I64, pa.list_(I64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            tids, spots, strings = [], [], []
+            spots, strings = [], []
             for tid, at, data, lo, n in zip(*(b.column(c).to_pylist() for c in (0, 1)), b.column(2), *(b.column(c).to_pylist() for c in (3, 4)), strict=True):
                 data = data.as_py()
                 for a, m in zip(lo, n, strict=True):
                     for p in range(a, a + m):
-                        tids.append(tid)
-                        spots.append(p)
+                        spots.append((tid << BYTE_BITS) + p)
                         strings.append(data[p - at : p - at + window].ljust(chars * CHAR, b"\0"))
-            # big-endian with the top bit turned, so that signed numbers sort as the bytes do
-            words = (np.frombuffer(b"".join(strings), ">u8").astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, chars), pa.int32()), pa.array(words))
-            yield pa.record_batch([pa.array(tids, I64), pa.array(spots, I64), lists], names=names)
+            cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CHAR), len(strings) * chars, [None, pa.py_buffer(b"".join(strings))]).cast(pa.binary())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(strings) * chars + 1, chars), pa.int32()), cells)
+            yield pa.record_batch([pa.array(spots, I64), lists], names=["id", "chars"])
 
-    del types
-    by = wanted.groupBy("tid", "at").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))
-    return segments.select("tid", "at", "bytes").join(by, ["tid", "at"]).select("tid", "at", "bytes", "lo", "n").mapInArrow(run, "tid long, pos long, chars array<long>")
+    by = wanted.select(*_text_and_byte(), "n", "at").groupBy("tid", "at").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))
+    return segments.select("tid", "at", "bytes").join(by, ["tid", "at"]).select("tid", "at", "bytes", "lo", "n").mapInArrow(run, "id long, chars array<binary>")
 
 
 def _named(rows: DataFrame, key: list[str], name: str) -> DataFrame:
@@ -188,7 +207,7 @@ def _named(rows: DataFrame, key: list[str], name: str) -> DataFrame:
 
 
 def suffix_ranks(strings: DataFrame, length: int) -> DataFrame:
-    """``(id, rank)`` from ``(id, chars)`` with ``length`` numbers each: equal strings get equal
+    """``(id, rank)`` from ``(id, chars)`` with ``length`` numbers or byte strings each: equal strings get equal
     ranks, and ranks sort as the strings do.
 
     Difference cover modulo 3: the triples at 1, 4, 7, ... are sorted and named, the string
@@ -200,7 +219,8 @@ def suffix_ranks(strings: DataFrame, length: int) -> DataFrame:
         last = strings.select("id", *[F.col("chars")[k].alias(f"c{k}") for k in range(length)])
         return _named(last, [f"c{k}" for k in range(length)], "rank").select("id", "rank")
     places_ = list(range(1, length, 3))
-    low = F.lit(-(1 << 63)).cast("long")  # the end of a string, before all characters
+    binary = isinstance(strings.schema["chars"].dataType.elementType, T.BinaryType)
+    low = F.lit(bytearray()) if binary else F.lit(-(1 << 63)).cast("long")  # the end of a string, before all characters
     at = lambda k: F.col("chars")[k] if k < length else low
     triples = F.array(*[F.struct(F.lit(i).alias("i"), at(k).alias("a"), at(k + 1).alias("b"), at(k + 2).alias("c")) for i, k in enumerate(places_)])
     rows = strings.select("id", F.inline(triples))
@@ -215,20 +235,20 @@ def suffix_ranks(strings: DataFrame, length: int) -> DataFrame:
 
 
 def _open_repeats(segments: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """``(tid, lo, n)`` of the open windows that equal an earlier one, by the suffix order."""
-    strings = materialize(_windows(segments, wanted, window).select(F.struct("tid", "pos").alias("id"), "chars"), "strings")
+    """``(pos, n)`` of the open windows that equal an earlier one, by the suffix order."""
+    strings = materialize(_windows(segments, wanted, window), "strings")
     ranks = suffix_ranks(strings, -(-window // CHAR))
     first = ranks.groupBy("rank").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    repeats = ranks.join(first, "rank").where("id <> first").select("id.tid", F.col("id.pos").alias("lo"), F.lit(1).alias("n"))
+    repeats = ranks.join(first, "rank").where("id <> first").select(F.col("id").alias("pos"), F.lit(1).alias("n"))
     out = materialize(repeats, "open-repeats")
     release(strings)
     return out
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``(tid, lo, n)``: runs of ``n`` windows from byte ``lo`` on that all have an earlier equal."""
+    """``(pos, n)``: runs of ``n`` windows from ``pos`` on that all have an earlier equal."""
     common = _anchor_rows(docs, window, gram, False).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    found = materialize(_anchor_rows(docs, window, gram, True).join(common, "gram", "left_semi").select("tid", "lo", "n", "gram", "context"), "anchors")
+    found = materialize(_anchor_rows(docs, window, gram, True).join(common, "gram", "left_semi").select("pos", "n", "gram", "context"), "anchors")
     release_after = [found]
     repeats, open_, classes = _split_classes(found, "gram", "anchor")
     release(classes)
@@ -258,8 +278,8 @@ def _kept(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
 
 def _with_runs(docs: DataFrame, window: int) -> DataFrame:
     """``docs`` with the lists ``lo`` and ``n`` of each text's repeated windows, null without any."""
-    runs = repeated_windows(docs, window).groupBy("tid").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))
-    return docs.join(runs, "tid", "left")
+    runs = repeated_windows(docs, window).select(*_text_and_byte(), "n").groupBy("tid").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))
+    return docs.join(runs.hint("merge"), "tid", "left")
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -310,4 +330,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     match = F.col(doc_id).cast("long").eqNullSafe(F.col("__doc_id"))
     if not simple:
         match &= F.sha2(F.col(text).cast("string"), 256) == F.col("__hash")
-    return docs.join(cut, match, "left").withColumn(text, F.coalesce("__cut", F.col(text))).drop("__doc_id", "__hash", "__cut")
+    return docs.join(cut.hint("merge"), match, "left").withColumn(text, F.coalesce("__cut", F.col(text))).drop("__doc_id", "__hash", "__cut")

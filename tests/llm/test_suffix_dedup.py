@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from memweave.llm import suffix_dedup as sd
 
 
@@ -53,15 +55,23 @@ def test_repeated_and_missing_ids_and_a_long_text(spark):
     assert run(spark, rows) == brute(rows, 100)
 
 
-def test_blocks_of_a_long_text(spark, monkeypatch):
-    monkeypatch.setattr("memweave.llm.anchors.BLOCK", 150)  # also in forked workers
-    from memweave.llm.anchors import anchors, places
-    import numpy as np
-
-    raw = np.frombuffer("".join(corpus(3)).encode(), np.uint8)
-    lo, n, _, _ = anchors(raw)
-    assert np.concatenate([np.arange(a, a + m) for a, m in zip(lo, n)]).tolist() == list(range(len(raw) - 99))
-    assert len(places(raw)) == len(raw) - 99
+def test_blocks_of_a_long_text(monkeypatch):
+    from memweave.llm import anchors
+
+    texts = [np.frombuffer(t.encode(), np.uint8) for t in ["".join(corpus(3)), *corpus(1)]]
+    want = [(k, p) for k, t in enumerate(texts) for p in range(len(t) - 99)]
+    sets = []
+    for block in (1 << 20, 150):
+        monkeypatch.setattr(anchors, "BLOCK", block)
+        own, lo, n, gram, _ = anchors.anchors_of(texts)
+        assert [(k, p) for k, a, m in zip(own.tolist(), lo.tolist(), n.tolist()) for p in range(a, a + m)] == want
+        sets.append([g for g, m in zip(gram.tolist(), n.tolist()) for _ in range(m)])
+        assert len(anchors.places(texts[0])) == len(texts[0]) - 99
+    assert sets[0] == sets[1]  # a window's gram does not depend on the block
+    # equal windows have equal grams
+    seen = {}
+    for (k, p), g in zip(want, sets[0]):
+        assert seen.setdefault(texts[k][p : p + 100].tobytes(), g) == g
 
 
 def test_empty(spark):
