@@ -4,17 +4,20 @@
    universal hash minima. Equal sets are one class from here on, so thousands of
    copies cost one signature.
 2. Classes meet in the buckets of their bands. Rather than all pairs of a bucket, each
-   class is paired with one pivot; pairs that the signatures leave possible are
+   class is paired with one pivot; a pair that the signatures leave possible is
    confirmed on the full sets, and the confirmed links are closed by large-star and
-   small-star. Two classes that are in one component need no comparison.
-3. Buckets that still hold several components get a further pivot, while that pays;
-   at last every pair of one bucket in different components, of fitting sizes, is
-   compared. So no pair of one bucket remains that could join two components, and
-   the components are those of all links between classes that share a bucket.
+   small-star. Two classes of one component need no comparison.
+3. Classes of buckets that still hold several components go on to an exact search: a
+   similar pair must share one of the rarest shingles of each set, early enough for the
+   rest to suffice (prefix and position filter). Pairs of different components that do
+   are confirmed like the others, and join their components. So the number of pairs
+   follows what can still be linked, not the square of a bucket.
 
 A pair at the threshold of 0.8 shares none of the 40 bands of 5 rows with a chance of
 1.3e-7, and more similar pairs with less. Signatures reject only pairs whose estimate
-is 0.6 or less: seven standard deviations below 0.8.
+is 0.6 or less: seven standard deviations below 0.8. "Rarest" is by a table of
+2 ** ``SKETCH_BITS`` counters, of one size for any corpus; a coarser table makes more pairs, but
+loses none, as any order that all sets share is valid for the filter.
 
 Defined results: null, empty and blank texts have no shingles and are linked with
 nothing. Rows with one doc_id and several texts are several documents; a component's
@@ -37,9 +40,8 @@ from memweave.runtime import materialize, release
 
 BANDS, ROWS = 40, 5
 LEAST_ESTIMATE = 0.6
-#: Further pivots are tried while more pairs than this, for each class, remain.
-PAIRS_PER_CLASS = 2
-PIVOT_ROUNDS = 8
+#: Bits of a shingle that choose its counter.
+SKETCH_BITS = 20
 
 
 def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -117,70 +119,101 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return found.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
+def _slots(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def _sketch(sets: DataFrame, k: int) -> np.ndarray:
+    """How many shingles of ``sets (packed)`` fall on each counter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                np.add.at(counts, _slots(shingle_set(zlib.decompress(t.as_py()).decode(), k)), 1)
+        at = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
+
+    got = sets.select("packed").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def _prefixes(sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """``(token, key, component, n, pos)``: the rarest shingles of each set, of which a similar set has one."""
+    shared = sets.sparkSession.sparkContext.broadcast(_sketch(sets, k))
+    names = ["token", "key", "component", "n", "pos"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for b in batches:
+            for key, component, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                s = shingle_set(zlib.decompress(t.as_py()).decode(), k)
+                n = len(s)
+                size = n - -(-percent * n // 100) + 1
+                order = np.lexsort((s, counts[_slots(s)]))[:size]
+                yield pa.record_batch([pa.array(s[order].view(np.int64)), pa.array([key] * size, pa.binary()), pa.array([component] * size, pa.binary()), pa.array(np.full(size, n)), pa.array(np.arange(size))], names=names)
+
+    return sets.select("key", "component", "packed").mapInArrow(run, "token long, key binary, component binary, n long, pos long")
+
+
+def _open_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that may be similar by their rarest shingles."""
+    mixed = prefixes.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    rows = materialize(prefixes.join(mixed, "token"), "mixed")
+    x, y = rows.alias("x"), rows.alias("y")
+    both = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent))  # what similar sets of these sizes share
+    fits = (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= both)
+    found = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & fits)
+    out = materialize(found.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), "open")
+    release(rows)
+    return out
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)``, one row for each row of ``docs``."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     signed = materialize(signatures(docs, k, bands, rows), "signed")
-    # one row for each class that shares a bucket with another
     classes = materialize(
         signed.where("key IS NOT NULL")
         .groupBy("key")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("bands").alias("bands")),
+        .agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("bands").alias("bands")),
         "classes",
     )
-    spread = classes.select("key", "n", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
+    spread = classes.select("key", F.explode("bands").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("pivot")).where("size > 1").select("bucket", "pivot")
     members = materialize(spread.join(shared, "bucket"), "members")
-    met = members.select("key").distinct()
-    wanted = classes.join(met, "key").select("key", "doc_id", "signature")
-    wanted = materialize(wanted, "wanted")
+    wanted = materialize(classes.select("key", "doc_id", "signature").join(members.select("key").distinct(), "key"), "wanted")
     texts = materialize(_texts(docs, wanted.select("key", "doc_id"), k), "texts")
-    links: list[DataFrame] = []
-    labels: DataFrame | None = None
-    n_classes = wanted.count()
-
-    def confirm(pairs: DataFrame) -> None:
-        nonlocal labels
-        likely = _likely(pairs.distinct(), wanted, bands, rows)
-        links.append(materialize(_confirmed(likely, texts, k, percent), "confirmed"))
-        found = links[0]
-        for more in links[1:]:
-            found = found.unionByName(more)
-        labels = materialize(connected_components(found), "labels")
-
-    if n_classes:
-        # first, one pair for each class: the smallest key that shares any bucket with it
-        pivots = members.groupBy("bucket").agg(F.min("key").alias("b"))
-        confirm(members.join(pivots, "bucket").groupBy("key").agg(F.min("b").alias("b")).where("key <> b").select(F.col("key").alias("a"), "b"))
-        for turn in range(PIVOT_ROUNDS + 1):
-            placed = members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", "n", F.coalesce("component", "key").alias("component"))
-            parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("c"))
-            mixed = parts.groupBy("bucket").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-            left = materialize(placed.join(mixed.select("bucket"), "bucket"), "left")
-            pairs_left = mixed.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
-            if not pairs_left:
-                break
-            if turn == PIVOT_ROUNDS or pairs_left <= PAIRS_PER_CLASS * n_classes:
-                x, y = left.alias("x"), left.alias("y")
-                fits = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-                confirm(x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & fits).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")))
-                break
-            # a pivot of its own for each turn; it meets what is not yet in its component
-            order = F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), F.col("key").alias("b"), F.col("component").alias("of"), F.col("n").alias("m"))
-            chosen = left.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", "p.b", "p.of", "p.m")
-            fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-            confirm(left.join(chosen, "bucket").where((F.col("component") != F.col("of")) & fits).select(F.col("key").alias("a"), "b"))
-    if labels is None:
-        labels = wanted.select(F.col("key").alias("node"), F.col("key").alias("component"))
-    for done in (members, texts):
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        return materialize(_confirmed(_likely(pairs, wanted, bands, rows), texts, k, percent), "confirmed")
+
+    # one pair for each class: the smallest key that shares any bucket with it
+    first = members.groupBy("key").agg(F.min("pivot").alias("b")).where("key <> b").select(F.col("key").alias("a"), "b")
+    links = confirm(first)
+    labels = materialize(connected_components(links), "labels")
+    placed = members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    open_ = materialize(placed.join(mixed, "bucket").select("key", "component").distinct(), "open-classes")
+    sets = materialize(open_.join(texts, "key"), "open-sets")
+    prefixes = materialize(_prefixes(sets, k, percent), "prefixes")
+    more = confirm(_open_pairs(prefixes, percent))
+    for done in (members, sets, prefixes, texts, wanted):
         release(done)
-    return _verdicts(signed, classes, labels)
+    # the new links join whole components
+    of = lambda side: open_.select(F.col("key").alias(side), F.col("component").alias(f"of_{side}"))
+    joined = more.join(of("u"), "u").join(of("v"), "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v"))
+    higher = connected_components(joined).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    placed = classes.select("key", "doc_id").join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
+    placed = placed.join(higher, "component", "left").select("key", "doc_id", F.coalesce("top", "component").alias("component"))
+    return _verdicts(signed, placed)
 
 
-def _verdicts(signed: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    placed = classes.select("key", "doc_id").join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
+def _verdicts(signed: DataFrame, placed: DataFrame) -> DataFrame:
     ids = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     known = materialize(placed.select("key", "component").join(ids, "component").select("key", "component_id"), "verdicts")
     out = signed.select("doc_id", "key", "n_shingles").join(known, "key", "left")
