@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,3 +112,38 @@ def tombstone_chunks(nodes: DataFrame, document_ids: DataFrame, user_id: str = "
     out = nodes.join(hit, "document_id", "left")
     dead = F.col("hit") & (F.col("node_type") == "chunk") & (F.col("user_id") == user_id)
     return out.withColumn("weight", F.when(dead, F.lit(0.0)).otherwise(F.col("weight"))).select(*nodes.columns)
+
+
+@dataclass
+class CorpusIngest:
+    status: DataFrame  # uuid, corpus_id, filename, content_hash, status
+    nodes: DataFrame  # hubs, documents and chunks to write
+    edges: DataFrame  # bridge and structural edges to write
+    dead: DataFrame  # uuids of chunks that a change has replaced
+
+
+def document_nodes(found: DataFrame, incoming: DataFrame) -> DataFrame:
+    """New and changed documents; metadata holds the hash that the next run compares."""
+    meta = F.to_json(F.struct("filename", "corpus_id", "content_hash"))
+    texts = incoming.select(ids.document_id(F.col("corpus_id"), F.col("filename")).alias("uuid"), F.substring("content", 1, 10_000).alias("content"))
+    return found.where("status <> 'unchanged'").join(texts, "uuid").select("uuid", F.lit("document").alias("node_type"), "content", F.lit(WEIGHTS["document"]).alias("weight"), meta.alias("metadata"), F.col("corpus_id").alias("source"))
+
+
+def ingest_corpus(incoming: DataFrame, stored: DataFrame, nodes: DataFrame, user_id: str = "global", words: int = text.CHUNK_WORDS) -> CorpusIngest:
+    """``incoming (corpus_id, filename, content)`` against ``stored (uuid, content_hash)`` and ``nodes``.
+
+    Unchanged documents cost a hash and a join; all others go through the stages at once,
+    as tasks and not as one call each.
+    """
+    found = classify(incoming, stored)
+    todo = found.where("status <> 'unchanged'").join(incoming.select("corpus_id", "filename", "content"), ["corpus_id", "filename"])
+    cut = chunk_nodes(chunks(todo.select("uuid", "filename", "content"), words), todo.select("uuid", "corpus_id", "filename"), user_id)
+    columns = ["uuid", "node_type", "content", "weight", "metadata", "source"]
+    written = corpus_nodes(incoming).select(*columns).unionByName(document_nodes(found, incoming)).unionByName(cut.select(*columns))
+    code_facts = structural_edges(todo)
+    s, o = (ids.entity_id(F.col(f"{x}_type"), F.col(x)) for x in ("subject", "object"))
+    facts = code_facts.select(ids.edge_id(s, F.col("predicate"), o).alias("uuid"), s.alias("subject_uuid"), "predicate", o.alias("object_uuid")).distinct()
+    links = has_chunk(cut).unionByName(next_chunk(cut)).unionByName(contains(found)).unionByName(facts)
+    changed = found.where("status = 'changed'").select("uuid")
+    dead = active_chunks(changed, nodes, user_id).join(cut.select("uuid"), "uuid", "left_anti").select("uuid")
+    return CorpusIngest(found, written, links, dead)

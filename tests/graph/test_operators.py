@@ -198,3 +198,37 @@ def test_stream_of_entries(spark, tmp_path):
     assert got == {"Ada works_at Lab": 1, "Bob knows Ada": 2}
     assert sorted(r.content for r in nodes_.state().where("node_type = 'generic'").collect()) == ["Ada", "Bob", "Lab"]
     assert nodes_.state().where("node_type = 'log'").count() == 2
+
+
+def test_corpus_ingest(spark):
+    from memweave.functions.ids import content_hash, document_id
+
+    docs = spark.createDataFrame([("c", "a.md", "one two\n\nthree"), ("c", "b.py", "import os\n\ndef f():\n    pass\n"), ("c", "same.md", "still")], "corpus_id string, filename string, content string")
+    stored = docs.select(document_id(F.col("corpus_id"), F.col("filename")).alias("uuid"), F.when(F.col("filename") == "same.md", content_hash(F.col("content"))).otherwise("old").alias("content_hash")).where("uuid <> ''")
+    stored = stored.join(docs.where("filename <> 'b.py'").select(document_id(F.col("corpus_id"), F.col("filename")).alias("uuid")), "uuid", "left_semi")
+    a = stored.where("content_hash = 'old'").first().uuid
+    old = spark.createDataFrame([("old-chunk", "chunk", a, "global", 0.4), ("dead", "chunk", a, "global", 0.0)], "uuid string, node_type string, document_id string, user_id string, weight double")
+    got = corpus.ingest_corpus(docs, stored, old, words=2)
+    assert {r.filename: r.status for r in got.status.collect()} == {"a.md": "changed", "b.py": "new", "same.md": "unchanged"}
+    assert sorted(r.node_type for r in got.nodes.collect()) == ["chunk"] * 4 + ["corpus", "document", "document"]
+    kinds = sorted(r.predicate for r in got.edges.collect())
+    assert kinds == ["contains", "defines", *["has_chunk"] * 4, "imports", "next_chunk", "next_chunk"]
+    assert ids_of(got.dead) == ["old-chunk"]
+
+
+def test_summary(spark):
+    from memweave.operators import summarize
+
+    embed = providers.hashed_words(16)
+    rows = [("ada", "Ada builds engines"), ("lab", "Lab of engines"), ("bob", "Bob likes rare tea")]
+    n = nodes(spark, *[(u, {"content": t, "embedding": embed([t])[0]}) for u, t in rows])
+    e = edges(spark, ("ada", "lab", 0.8))
+    calls = []
+
+    def ask(prompts):
+        calls.append(prompts[0])
+        return ["- rare tea"] if len(calls) == 1 else ["short"] if len(calls) == 2 else ["A long answer. " * 10]
+
+    got = summarize.summarize(n, e, seeds(spark, "ada"), "who builds engines here", "2024-01-01", ask, embed)
+    assert got.queries == ["rare tea"] and len(calls) == 3 and got.answer.startswith("A long answer")
+    assert "Bob likes rare tea" in got.markdown and "[SEED]: Ada builds engines" in got.markdown
