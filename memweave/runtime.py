@@ -31,18 +31,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
 def release(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialize`` wrote and nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(conf).delete(place, True)
-    jvm.System.gc()  # lets the context cleaner drop the shuffle files of finished jobs
+    """Delete the files of a table that ``materialize`` returned and nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(df.written_at)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+    context._jvm.System.gc()  # lets the context cleaner drop the shuffle files of finished jobs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
