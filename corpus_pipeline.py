@@ -14,8 +14,6 @@ from memweave.llm import language_id, line_dedup, minhash, packing, suffix_dedup
 from memweave.runtime import materialize, ship, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document is rejected if no language gets this posterior, which needs a text with letters.
-LEAST_SCORE = 0.5
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -24,12 +22,14 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; ``lang`` becomes the predicted one."""
+    """Documents in a known language; ``lang`` becomes the predicted one.
+
+    Rejected is what no language can be told of: texts without a letter.
+    """
     ship(spark)
     model = language_id.train(docs, public_tokenizers.path("piece_bpe_32k.model"))
     marked = language_id.annotate(docs.select(*COLUMNS), model)
-    kept = marked.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    return marked.where(F.col("lang_pred") != "und").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +39,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest doc_id."""
+    """One document of each group stays: the one with the smallest doc_id.
+
+    Rows without a doc_id cannot be told apart by it, and all stay.
+    """
     ship(spark)
     kept = minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").select(*COLUMNS)
+    named = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left_semi").select(*COLUMNS)
+    return named.unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

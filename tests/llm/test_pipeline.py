@@ -5,6 +5,7 @@ from memweave.llm import language_id, line_dedup, packing
 from tests.llm.test_minhash import brute as near_brute
 
 WORDS = {"en": "the house is very old and the dog sleeps there all day long".split(), "de": "das Haus ist sehr alt und der Hund schläft dort den ganzen Tag".split()}
+ORDER = lambda i: (i is None, i or 0)
 
 
 def documents():
@@ -24,27 +25,28 @@ def documents():
     line = [WORDS["en"][k % 13] + str(k) for k in range(200)]
     rows += [(300 + k, " ".join(line[:50] + [f"edit{k}"] + line[51:]), "en") for k in range(3)]
     rows += [(100 + k, rows[7][1].replace("day", "night", k), "en") for k in range(4)] + [(200, None, "en"), (201, "12 34 !!", "en"), (202, "", None), (203, "the dog", "en")]
+    rows += [(None, "no id for this one", "en")]
     return rows
 
 
 def without_lines(rows):
     lines = {i: t.split("\n") for i, t in rows}
     holders = {}
-    for i in sorted(lines):
+    for i in sorted(lines, key=ORDER):
         for x in {x for x in lines[i] if x.strip()}:
             holders.setdefault(x, []).append(i)
     gone = {i: set() for i in lines}
     for h in holders.values():
         for a in h:
             for b in h:
-                if a < b and (len(h) <= line_dedup.RARE or a == h[0]):
+                if ORDER(a) < ORDER(b) and (len(h) <= line_dedup.RARE or a == h[0]):
                     gone[b] |= set(line_dedup.common_blocks(lines[a], lines[b], [len(x.strip()) for x in lines[b]], line_dedup.MIN_CHARS))
-    return [(i, "\n".join(x for k, x in enumerate(lines[i]) if k not in gone[i])) for i in sorted(lines)]
+    return [(i, "\n".join(x for k, x in enumerate(lines[i]) if k not in gone[i])) for i in sorted(lines, key=ORDER)]
 
 
 def without_repeats(rows, window=100):
     seen, out = set(), []
-    for i, t in sorted(rows):
+    for i, t in sorted(rows, key=lambda r: ORDER(r[0])):
         raw = t.encode()
         cut = bytearray(len(raw))
         for p in range(len(raw) - window + 1):
@@ -63,7 +65,7 @@ def test_against_brute_force(spark, tmp_path):
     kept = [(i, t) for i, t, _ in rows if t and language_id.LETTER.search(t)]
     assert {i for i, _, _ in rows} - {i for i, _ in kept} == {200, 201, 202}
     kept = without_lines(kept)
-    stay = {d for d, _, _, keep in near_brute(kept, 5) if keep}
+    stay = {None} | {d for d, _, _, keep in near_brute(kept, 5) if keep}
     assert len(stay) < len(kept)
     kept = without_repeats([r for r in kept if r[0] in stay])
     want = Counter()
