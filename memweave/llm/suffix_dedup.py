@@ -103,9 +103,12 @@ def _split_classes(rows: DataFrame, core: str, label: str) -> tuple[DataFrame, D
     classes = materialize(classes, f"{label}-classes")
     several = classes.where("size > 1").select(core, "context", "first")
     repeats = rows.join(several, [core, "context"]).where("pos <> first").select("pos", "n")
-    many = classes.groupBy(core).agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select(core)
+    # written before they are joined: both sides are then plain shuffles, and Spark can split a hot one
+    many = materialize(classes.groupBy(core).agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select(core), f"{label}-cores")
     open_ = classes.join(many, core).select(F.col("first").alias("pos"), "n", *more)
-    return materialize(repeats, f"{label}-repeats"), materialize(open_, f"{label}-open"), classes
+    out = materialize(repeats, f"{label}-repeats"), materialize(open_, f"{label}-open"), classes
+    release(many)
+    return out
 
 
 def _text_and_byte() -> list:
@@ -247,16 +250,16 @@ def _open_repeats(segments: DataFrame, wanted: DataFrame, window: int) -> DataFr
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``(pos, n)``: runs of ``n`` windows from ``pos`` on that all have an earlier equal."""
-    common = _anchor_rows(docs, window, gram, False).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    common = materialize(_anchor_rows(docs, window, gram, False).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "common-grams")
     found = materialize(_anchor_rows(docs, window, gram, True).join(common, "gram", "left_semi").select("pos", "n", "gram", "context"), "anchors")
-    release_after = [found]
+    release(common)
     repeats, open_, classes = _split_classes(found, "gram", "anchor")
     release(classes)
     segments = materialize(_segments(docs, open_, window), "segments")
     units = materialize(_units(segments, window, gram), "units")
     more, left, classes = _split_classes(units, "core", "unit")
     rest = _open_repeats(segments, left, window)
-    for done in (*release_after, open_, classes, segments, units, left):
+    for done in (found, open_, classes, segments, units, left):
         release(done)
     return repeats.unionByName(more).unionByName(rest)
 
