@@ -11,6 +11,7 @@ from memweave.functions import code, ids, scoring, text
 from memweave.operators import corpus, enrich, ingest, listing, render, resolve, search, traverse
 from memweave.plans.expand_sql import expand_sql
 from memweave.plans.fixtures import LOGS_NOW, NODES_NOW, Graph, with_views
+from memweave.runtime import materialize
 from memweave.schema import NODE_TYPES, PREDICATES
 from memweave.sources import changelog
 
@@ -280,7 +281,9 @@ def _expanded(graph: traverse.Subgraph) -> DataFrame:
 
 def _expand(g, seeds, with_query=False, **how):
     nodes = _vector_nodes(g) if with_query else g.nodes.withColumn("embedding", F.lit(None).cast("array<float>"))
-    return traverse.expand(nodes, g.edges, seeds, _q(g) if with_query else None, **how)
+    # the loop reads the graph several times: as stored tables, not as the views over the star schema
+    nodes, edges = materialize(nodes, "graph-nodes"), materialize(g.edges, "graph-edges")
+    return traverse.expand(nodes, edges, seeds, _q(g) if with_query else None, **how)
 
 
 @register(expand_sql([NATION_0], hops=1, k=20), "nodes", "edges")
@@ -665,7 +668,8 @@ def dot_export(g):
 
 @register(None)
 def search_then_expand(g):
-    return _expanded(traverse.search_then_expand(_vector_nodes(g), _vector_edges(g), _q(g), NODES_NOW, limit=5, hops=1))
+    nodes, edges = materialize(_vector_nodes(g), "graph-nodes"), materialize(_vector_edges(g), "graph-edges")
+    return _expanded(traverse.search_then_expand(nodes, edges, _q(g), NODES_NOW, limit=5, hops=1))
 
 
 SNIPPETS = [("a/mod.py", "import os.path\nfrom json import loads\n\nclass A:\n    def m(self):\n        pass\n\ndef f():\n    return 1\n"), ("b/app.js", "import x from 'lib/y';\nconst z = require('zed');\n"), ("c.py", "def broken(:\nimport re\n"), ("d.txt", "import os")]
