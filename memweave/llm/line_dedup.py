@@ -189,7 +189,8 @@ def line_dedup(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS, do
                 sha.append(hashlib.sha256(_without(t or "", gone or []).encode()).hexdigest())
             yield pa.record_batch([b.column(0), b.column(1), pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "copies", "n_lines", "n_removed", "kept_sha256"])
 
-    joined = texts.join(removed_lines(texts, rare, min_chars), "tid", "left").select("doc_id", "copies", "text", "gone")
+    # by sort-merge at any size: the texts move once, and the plan does not turn with the data
+    joined = texts.join(removed_lines(texts, rare, min_chars).hint("merge"), "tid", "left").select("doc_id", "copies", "text", "gone")
     out = joined.mapInArrow(run, "doc_id long, copies int, n_lines long, n_removed long, kept_sha256 string")
     if not simple:
         out = out.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
@@ -206,8 +207,8 @@ def remove_lines(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS,
             cut = [_without(t.as_py(), gone) for t, gone in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(cut, pa.string())], names=["__doc_id", "__hash", "__cut"])
 
-    cut = texts.join(removed_lines(texts, rare, min_chars), "tid").select("doc_id", F.sha2("text", 256).alias("hash"), "text", "gone").mapInArrow(run, "__doc_id long, __hash string, __cut string")
+    cut = texts.join(removed_lines(texts, rare, min_chars).hint("merge"), "tid").select("doc_id", F.sha2("text", 256).alias("hash"), "text", "gone").mapInArrow(run, "__doc_id long, __hash string, __cut string")
     match = F.col(doc_id).cast("long").eqNullSafe(F.col("__doc_id"))
     if not simple:
         match &= F.sha2(F.col(text).cast("string"), 256) == F.col("__hash")
-    return docs.join(cut, match, "left").withColumn(text, F.coalesce("__cut", F.col(text))).drop("__doc_id", "__hash", "__cut")
+    return docs.join(cut.hint("merge"), match, "left").withColumn(text, F.coalesce("__cut", F.col(text))).drop("__doc_id", "__hash", "__cut")
