@@ -18,6 +18,7 @@ lang is null teach nothing, and a null doc_id is not held out.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -293,12 +294,23 @@ class Scorer:
         return out
 
 
+_SCORERS: dict[str, Scorer] = {}
+
+
+def _scorer(token: str, model: Model) -> Scorer:
+    """One scorer for each worker process and job, so that its tasks share the remembered words."""
+    if token not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[token] = Scorer(model)
+    return _SCORERS[token]
+
+
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, held_out, lang_pred, score)`` for every row. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = _scorer(token, shared.value)
         for keys, texts in groups(batches):
             got = scorer.score(texts)
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
@@ -309,13 +321,13 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
 
 def annotate(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score``, in one pass; columns of these names are replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, token = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
     docs = docs.drop("lang_pred", "lang_score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = _scorer(token, shared.value)
         for b in batches:
             texts = b.column(at)
             got: list[tuple[str, float]] = []
