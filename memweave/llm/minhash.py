@@ -4,7 +4,7 @@
    universal hash minima. Equal sets are one class from here on, so thousands of
    copies cost one signature.
 2. Classes meet in the buckets of their bands. Rather than all pairs of a bucket, each
-   class is paired with one pivot; a pair that the signatures leave possible is
+   class is paired with the bucket's pivot, the one that meets the most others; a pair that the signatures leave possible is
    confirmed on the full sets, and the confirmed links are closed by large-star and
    small-star. Two classes of one component need no comparison.
 3. Classes of buckets that still hold several components go on to an exact search: a
@@ -183,17 +183,25 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("bands").alias("bands")),
         "classes",
     )
+    # signatures are most of the disk: from here on, rows and classes go by their keys
+    rows_of = materialize(signed.select("doc_id", "key", "n_shingles"), "rows")
+    release(signed)
+    named = materialize(classes.select("key", "doc_id"), "named")
     spread = classes.select("key", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("pivot")).where("size > 1").select("bucket", "pivot")
+    shared = spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = materialize(spread.join(shared, "bucket"), "members")
     wanted = materialize(classes.select("key", "doc_id", "signature").join(members.select("key").distinct(), "key"), "wanted")
+    release(classes)
     texts = materialize(_texts(docs, wanted.select("key", "doc_id"), k), "texts")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         return materialize(_confirmed(_likely(pairs, wanted, bands, rows), texts, k, percent), "confirmed")
 
-    # one pair for each class: the smallest key that shares any bucket with it
-    first = members.groupBy("key").agg(F.min("pivot").alias("b")).where("key <> b").select(F.col("key").alias("a"), "b")
+    # a bucket's pivot is its class that meets the most others: near copies then share one pivot in all their buckets
+    weights = members.groupBy("key").agg(F.sum("size").alias("weight"))
+    pivots = members.join(weights, "key").groupBy("bucket").agg(F.max(F.struct("weight", "key")).alias("p")).select("bucket", F.col("p.key").alias("pivot"))
+    pivots = materialize(pivots, "pivots")
+    first = members.join(pivots, "bucket").where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
     links = confirm(first)
     labels = materialize(connected_components(links), "labels")
     placed = members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
@@ -202,20 +210,34 @@ def near_duplicates(
     sets = materialize(open_.join(texts, "key"), "open-sets")
     prefixes = materialize(_prefixes(sets, k, percent), "prefixes")
     more = confirm(_open_pairs(prefixes, percent))
-    for done in (members, sets, prefixes, texts, wanted):
+    for done in (members, pivots, sets, prefixes, texts, wanted):
         release(done)
     # the new links join whole components
     of = lambda side: open_.select(F.col("key").alias(side), F.col("component").alias(f"of_{side}"))
     joined = more.join(of("u"), "u").join(of("v"), "v").select(F.col("of_u").alias("u"), F.col("of_v").alias("v"))
     higher = connected_components(joined).select(F.col("node").alias("component"), F.col("component").alias("top"))
-    placed = classes.select("key", "doc_id").join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
+    placed = named.join(labels.withColumnRenamed("node", "key"), "key", "left").select("key", "doc_id", F.coalesce("component", "key").alias("component"))
     placed = placed.join(higher, "component", "left").select("key", "doc_id", F.coalesce("top", "component").alias("component"))
-    return _verdicts(signed, placed)
+    return _verdicts(rows_of, placed)
 
 
-def _verdicts(signed: DataFrame, placed: DataFrame) -> DataFrame:
+def _verdicts(rows: DataFrame, placed: DataFrame) -> DataFrame:
     ids = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     known = materialize(placed.select("key", "component").join(ids, "component").select("key", "component_id"), "verdicts")
-    out = signed.select("doc_id", "key", "n_shingles").join(known, "key", "left")
+    out = rows.join(known, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+#: The rows of ``near_duplicates`` with ``k=4`` and ``percent=80``, by brute force over shared shingles.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS sh FROM (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 3, 1))) AS i FROM w WHERE len(ws) > 0) t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS d, doc_id AS c FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.d WHERE r.c < e.y)
+SELECT d AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(c) AS component_id, d = min(c) AS kept FROM r LEFT JOIN n ON n.doc_id = d GROUP BY d
+"""

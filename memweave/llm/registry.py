@@ -67,4 +67,7 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE}
+    out = {"op1_exact_dedup": exact_dedup.ORACLE, "op3_minhash": minhash.ORACLE}
+    if corpus_pipeline.ORACLE_SQL:
+        out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return out
