@@ -47,7 +47,10 @@ BYTE_BITS = 28
 
 
 def _raw(t: pa.Scalar) -> np.ndarray:
-    return np.frombuffer((t.as_py() or "").encode(), np.uint8)
+    raw = np.frombuffer((t.as_py() or "").encode(), np.uint8)
+    if len(raw) >= 1 << BYTE_BITS:
+        raise ValueError(f"a text of {len(raw)} bytes; positions hold 2^{BYTE_BITS}")
+    return raw
 
 
 def _rows(names: list[str], types: list[pa.DataType], columns: list) -> pa.RecordBatch:
