@@ -1,14 +1,21 @@
 """Line dedup by pairwise alignment.
 
-1. Lines are named by 128-bit hashes. A line that several documents share makes
-   candidate pairs: all pairs of its documents where it is rare (at most ``RARE``
-   documents), and each document with the first one that has it where it is not. So a
-   line in a third of all documents costs one pair a document, and no line is skipped.
+1. Lines are named by 128-bit hashes. A block that two documents share holds runs: the
+   shortest neighbouring lines with ``MIN_CHARS`` characters that start, or end, at one of
+   its lines, which together cover it. Each document is paired with the first one that has
+   a run, so a run in a third of all documents costs one pair a document.
 2. Each pair is aligned by patience diff: lines that stand once in both are matched by
    their longest increasing run, the gaps between them in turn, and equal lines at the
    ends of a gap directly.
 3. Runs of aligned lines that hold at least ``MIN_CHARS`` characters go from the later
    document. All alignments are made on the input.
+4. A run with a line that stayed is open: the first document has it in another order or
+   gap. Open runs are paired with their next holder, and then with all others but copies,
+   so the result is that of all pairs. Only these last pairs can grow with the square of a
+   run's open documents.
+
+Callers that name ``rare`` get fewer pairs instead, and so may lose blocks: all pairs of a
+line's documents up to that number, and with the line's first document beyond.
 
 Defined results: documents come in the order of doc_id, nulls last; rows that share a
 doc_id in the order of their texts; rows that repeat both are one document with one
@@ -23,11 +30,13 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memweave.llm.anchors import _powers, span_hashes
 from memweave.llm.suffix_dedup import keyed
 from memweave.runtime import materialize, release
 
@@ -96,6 +105,17 @@ def common_blocks(a: list, b: list, sizes: list[int], min_chars: int) -> list[in
     return [k for s, e in blocks(patience(a, b)) if sum(sizes[s:e]) >= min_chars for k in range(s, e)]
 
 
+def shared_part(a: list, own: set) -> tuple:
+    """``a`` with each stretch of lines that are not in ``own`` as one None: aligns with ``own``'s text as ``a`` does."""
+    out: list = []
+    for x in a:
+        if x in own:
+            out.append(x)
+        elif not out or out[-1] is not None:
+            out.append(None)
+    return tuple(out)
+
+
 def _line_table(texts: DataFrame) -> DataFrame:
     """``(tid, keys, sizes)``: each text's line hashes, in one string, and lengths without outer white space."""
 
@@ -130,6 +150,59 @@ def _spread(table: DataFrame) -> DataFrame:
     return table.mapInArrow(run, "tid long, line binary")
 
 
+def runs(ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray, min_chars: int, gone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Document number and hash of each run, and of each whole document, that has a line not gone.
+
+    ``ids`` and ``sizes`` of the lines of all documents, end to end; ``counts`` of lines.
+    Equal runs have equal hashes; the others' collisions cost a pair.
+    """
+    least, n = max(min_chars, 1), len(ids)
+    ends = np.cumsum(counts)
+    begins = ends - counts
+    own = np.repeat(np.arange(len(counts)), counts)
+    sums = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    one, two = np.arange(n), np.arange(1, n + 1)
+    to = np.searchsorted(sums, sums[:-1] + least, "left")
+    since = np.searchsorted(sums, sums[1:] - least, "right") - 1
+    ahead, behind = to <= ends[own], since >= begins[own]
+    long = sums[ends] - sums[begins] >= least
+    start = np.concatenate([one[ahead], since[behind], begins[long]])
+    end = np.concatenate([to[ahead], two[behind], ends[long]])
+    doc = np.concatenate([own[ahead], own[behind], np.flatnonzero(long)])
+    if gone is not None:
+        left = np.concatenate([[0], np.cumsum(~gone)])
+        keep = left[end] > left[start]
+        start, end, doc = start[keep], end[keep], doc[keep]
+    up, _ = _powers(n, 0)
+    hashes = np.zeros(n + 1, np.uint64)
+    np.cumsum(ids * up, out=hashes[1:])
+    found = span_hashes(hashes, start, end, 0)
+    order = np.lexsort((found, doc))
+    doc, found = doc[order], found[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (found[1:] != found[:-1])
+    return doc[new], found[new]
+
+
+def _runs_of(table: DataFrame, min_chars: int) -> DataFrame:
+    """``(tid, run)`` of ``table (tid, keys, sizes)``; with a fourth column ``gone``, of the runs that have a line left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64)[::2]
+            sizes = b.column(2).flatten().to_numpy()
+            counts = b.column(2).value_lengths().to_numpy().astype(np.int64)
+            gone = None
+            if b.num_columns == 4:
+                gone = np.zeros(len(ids), bool)
+                lost = b.column(3).value_lengths().fill_null(0).to_numpy()
+                gone[np.repeat(np.cumsum(counts) - counts, lost) + b.column(3).flatten().to_numpy()] = True
+            doc, found = runs(ids, sizes, counts, min_chars, gone)
+            yield pa.record_batch([b.column(0).take(pa.array(doc)), pa.array(found.view(np.int64))], names=["tid", "run"])
+
+    return table.mapInArrow(run, "tid long, run long")
+
+
 def candidate_pairs(table: DataFrame, rare: int = RARE) -> DataFrame:
     """``(earlier, later)`` of all documents to align."""
     lines = _spread(table)
@@ -143,16 +216,22 @@ def candidate_pairs(table: DataFrame, rare: int = RARE) -> DataFrame:
     return out
 
 
-def removed_lines(texts: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """``(tid, gone, partners)``: places of the lines that go from each later document."""
-    table = materialize(_line_table(texts), "lines")
-    pairs = candidate_pairs(table, rare)
+def _aligned(pairs: DataFrame, table: DataFrame, min_chars: int) -> DataFrame:
+    """``(tid, k)``: the lines that go from the later document of a pair, distinct."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
         for b in batches:
             tids, gone = [], []
-            for tid, one, two, sizes in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if found := common_blocks(_cut(one), _cut(two), sizes, min_chars):
+            for i, (tid, one) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if tid != at:
+                    at, two, sizes, known = tid, _cut(b.column(2)[i].as_py()), b.column(3)[i].as_py(), set()
+                    own = set(two)
+                part = shared_part(_cut(one), own)
+                if part in known:
+                    continue
+                known.add(part)
+                if found := common_blocks(part, two, sizes, min_chars):
                     tids.append(tid)
                     gone.append(found)
             yield pa.record_batch([pa.array(tids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["tid", "gone"])
@@ -161,11 +240,65 @@ def removed_lines(texts: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS
     later = table.select(F.col("tid").alias("later"), F.col("keys").alias("two"), "sizes")
     found = pairs.join(earlier, "earlier").join(later, "later").select("later", "one", "two", "sizes").mapInArrow(run, "tid long, gone array<int>")
     # distinct lines first: a document's many partners name the same ones
-    per_line = found.select("tid", F.explode("gone").alias("k")).distinct()
-    out = per_line.groupBy("tid").agg(F.collect_list("k").alias("gone"))
-    out = materialize(out, "gone")
-    release(table)
+    return found.select("tid", F.explode("gone").alias("k")).distinct()
+
+
+def _gathered(lines: DataFrame) -> DataFrame:
+    return materialize(lines.groupBy("tid").agg(F.collect_list("k").alias("gone")), "gone")
+
+
+def _open_runs(table: DataFrame, holders: DataFrame, pairs: DataFrame, gone: DataFrame, min_chars: int) -> DataFrame:
+    """``(tid, run, seen)`` of the runs that kept a line after ``pairs``, and have been paired up to the holder ``seen``."""
+    tried = pairs.select(F.col("later").alias("tid")).distinct()
+    left = _runs_of(table.join(tried, "tid", "left_semi").join(gone, "tid", "left").select("tid", "keys", "sizes", "gone"), min_chars)
+    return materialize(left.join(holders, ["tid", "run"]).where("tid > seen").select("tid", "run", "seen"), "open-runs")
+
+
+def _all_removed(table: DataFrame, min_chars: int) -> DataFrame:
+    """``(tid, gone)`` of all pairs."""
+    held = materialize(_runs_of(table, min_chars), "runs")
+    shared = held.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("seen")).where("n > 1").select("run", "seen")
+    holders = materialize(held.join(shared, "run").select("tid", "run", "seen"), "shared-runs")
+    release(held)
+    pairs = materialize(holders.where("tid <> seen").select(F.col("seen").alias("earlier"), F.col("tid").alias("later")).distinct(), "pairs")
+    gone = _gathered(_aligned(pairs, table, min_chars))
+    todo = _open_runs(table, holders, pairs, gone, min_chars)
     release(pairs)
+    # a copy aligns as its first text does
+    alike = table.groupBy(F.xxhash64("keys").alias("h"), F.md5("keys").alias("m")).agg(F.min("tid").alias("tid")).select("tid")
+    for last in (False, True):
+        if todo.isEmpty():
+            break
+        names = todo.select("run", "seen").distinct()
+        others = holders.select(F.col("tid").alias("earlier"), "run").join(names, "run").where("earlier > seen")
+        if last:
+            pairs = others.join(alike.withColumnRenamed("tid", "earlier"), "earlier", "left_semi").select("earlier", "run")
+            pairs = materialize(pairs, "other-holders").join(todo, "run")
+        else:
+            following = materialize(others.groupBy("run").agg(F.min("earlier").alias("earlier")), "next-holders")
+            pairs = todo.join(following, "run")
+        pairs = materialize(pairs.where("earlier < tid").select("earlier", F.col("tid").alias("later")).distinct(), "more-pairs")
+        more = _gathered(_aligned(pairs, table, min_chars).unionByName(gone.select("tid", F.explode("gone").alias("k"))).distinct())
+        release(gone)
+        release(todo)
+        gone = more
+        if not last:
+            todo = _open_runs(table, holders.drop("seen").join(following.withColumnRenamed("earlier", "seen"), "run"), pairs, gone, min_chars)
+        release(pairs)
+    release(holders)
+    return gone
+
+
+def removed_lines(texts: DataFrame, rare: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
+    """``(tid, gone)``: places of the lines that go from each later document."""
+    table = materialize(_line_table(texts), "lines")
+    if rare is None:
+        out = _all_removed(table, min_chars)
+    else:
+        pairs = candidate_pairs(table, rare)
+        out = _gathered(_aligned(pairs, table, min_chars))
+        release(pairs)
+    release(table)
     return out
 
 
@@ -174,7 +307,7 @@ def _without(text: str, gone: list[int]) -> str:
     return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)
 
 
-def line_dedup(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, rare: int | None = None, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_lines, n_removed, kept_sha256)``, one row for each row of ``docs``."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     texts, simple = keyed(narrow)
@@ -197,7 +330,7 @@ def line_dedup(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS, do
     return out.drop("copies")
 
 
-def remove_lines(docs: DataFrame, rare: int = RARE, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_lines(docs: DataFrame, rare: int | None = None, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the shared blocks cut out of ``text``; all columns and rows stay."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     texts, simple = keyed(narrow)

@@ -73,3 +73,24 @@ def test_rows_and_columns_stay(spark):
     sha = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in got.collect()}
     assert sha == {r.doc_id: r.kept_sha256 for r in ld.line_dedup(df).collect()}
     assert ld.line_dedup(df.limit(0)).count() == 0 and ld.remove_lines(df.limit(0)).count() == 0
+
+
+def test_all_pairs_without_a_cap(spark):
+    a, b, c = ("a line of thirty characters: " + x for x in "abc")
+    # each first holder of a and b has one line of the block; c before b hides b in the second
+    texts = [f"{a}\nx", f"{b}\ny", f"{c}\n{b}\n{a}", *(f"own {i}\n{a}\n{b}\n{c}\nend {i}" for i in range(12))]
+    repeated = "a line of more than fifty characters that one text holds many times over"
+    moved = "another line of more than fifty characters, before it in one and after it in others"
+    texts += [f"{repeated}\n{moved}", *(f"{moved}\nz {i}\n{repeated}\n{repeated}" for i in range(12)), *(f"{moved}\nz {i}\n{repeated}" for i in range(12))]
+    for n, many in enumerate((texts, corpus(2), corpus(8), corpus(5, 120))):
+        rows = [*enumerate(many), (None, many[0]), (2000, None), (2001, ""), (2002, "\n" * 500)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        want = brute(rows, len(rows), ld.MIN_CHARS)
+        assert sorted(map(tuple, ld.line_dedup(df).collect()), key=str) == want
+        assert n == 3 or want != brute(rows, ld.RARE if n != 1 else 2, ld.MIN_CHARS)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("abcdefxyz"), max_size=14), st.lists(st.sampled_from("abcdefg"), max_size=14))
+def test_lines_of_others_do_not_matter(a, b):
+    assert ld.common_blocks(ld.shared_part(a, set(b)), b, [1] * len(b), 2) == ld.common_blocks(a, b, [1] * len(b), 2)
