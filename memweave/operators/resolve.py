@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memweave.functions import ids, scoring
+from memweave.runtime import materialize, release
 
 NEAR = 0.15
 FACTS = 10
+#: Vectors of a block, of which each two meet in a task.
+BLOCK = 1000
 
 
 def exact_matches(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -38,36 +43,75 @@ def resolve(mentions: DataFrame, nodes: DataFrame, threshold: float = NEAR) -> D
     return out.select("mention_id", F.coalesce("near_uuid", "by_name", "stable").alias("uuid"), how.alias("how"))
 
 
+def _links(items: DataFrame, threshold: float) -> DataFrame:
+    """``(e, l, distance)`` of all pairs of ``items (node_type, at, embedding)`` of one type within the threshold, in order.
+
+    Blocks meet as matrix products, each two in a task of their own.
+    """
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.lit(1)).cast("int").alias("size")
+    held = items.where("embedding IS NOT NULL").join(items.groupBy("node_type").agg(size), "node_type")
+    held = held.withColumn("block", F.pmod(F.xxhash64("at.stable"), F.col("size")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("other")
+    dealt = held.select("node_type", "at", "embedding", "block", other).select("node_type", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "at.pos", "at.stable", "embedding")
+
+    def near(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = np.array(pdf["embedding"].tolist(), float)
+        norm = np.linalg.norm(v, axis=1, keepdims=True)
+        v /= np.where(norm == 0, 1, norm)
+        one, two = (np.flatnonzero(pdf["block"] == pdf[k].iloc[0]) for k in ("one", "two"))
+        d = np.round(1 - v[one] @ v[two].T, scoring.DIGITS)
+        i, k = np.nonzero(d <= threshold)
+        keep = one[i] < two[k] if pdf["one"].iloc[0] == pdf["two"].iloc[0] else slice(None)
+        x, y = pdf.iloc[one[i][keep]], pdf.iloc[two[k][keep]]
+        return pd.DataFrame({"ap": x["pos"].to_numpy(), "a": x["stable"].to_numpy(), "bp": y["pos"].to_numpy(), "b": y["stable"].to_numpy(), "distance": d[i, k][keep]})
+
+    found = dealt.groupBy("node_type", "one", "two").applyInPandas(near, "ap long, a string, bp long, b string, distance double")
+    x, y = F.struct(F.col("ap").alias("pos"), F.col("a").alias("stable")), F.struct(F.col("bp").alias("pos"), F.col("b").alias("stable"))
+    return found.select(F.least(x, y).alias("e"), F.greatest(x, y).alias("l"), "distance")
+
+
+def _leaders(items: DataFrame, links: DataFrame) -> DataFrame:
+    """``(at)`` of the items that no earlier leader is linked to. A round decides all whose earlier neighbours are decided."""
+    nodes, live = items.select("at"), links.select("e", "l")
+    parts = []
+    while not nodes.isEmpty():
+        free = materialize(nodes.join(live, F.col("at") == F.col("l"), "left_anti"), "leaders")
+        parts.append(free)
+        dead = materialize(live.join(free, F.col("e") == F.col("at"), "left_semi").select(F.col("l").alias("at")).distinct(), "followers")
+        last = nodes, live
+        nodes = materialize(nodes.join(free.unionByName(dead), "at", "left_anti"), "undecided")
+        of = lambda k: F.col(k) == F.col("at")
+        live = materialize(live.join(nodes, of("e"), "left_semi").join(nodes, of("l"), "left_semi"), "live-links")
+        for df in (dead, *last):
+            if hasattr(df, "written_at"):
+                release(df)
+    return reduce(DataFrame.unionByName, parts) if parts else items.select("at")
+
+
 def greedy_resolution(mentions: DataFrame, threshold: float = NEAR) -> DataFrame:
     """``(mention_id, uuid)`` where an earlier mention may be the match of a later one.
 
     ``mentions (mention_id, pos, name, node_type, embedding)``. Types never match each
-    other, and mentions with equal stable id are reduced first, so a task holds the distinct
-    names of one type. Order decides, hence one pass in order for each type.
+    other, and mentions with equal stable id are reduced first. In order of ``pos``, a
+    mention without an earlier leader within the threshold is a leader; any other goes to
+    the nearest earlier leader, the first of equals. Only the first mention of a vector can
+    lead, so vectors are compared once. Without a vector a mention is its own leader.
     """
     keyed = mentions.withColumn("stable", ids.entity_id(F.col("node_type"), F.col("name")))
-    first = keyed.groupBy("node_type", "stable").agg(F.min(F.struct("pos", "embedding")).alias("m")).select("node_type", "stable", "m.*")
-
-    def one_type(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pos", "stable"])
-        known = np.zeros((len(pdf), len(pdf["embedding"].iloc[0])))
-        names: list[str] = []
-        out = []
-        for stable, v in zip(pdf["stable"], pdf["embedding"], strict=True):
-            v = np.asarray(v, float)
-            v = v / (np.linalg.norm(v) or 1)
-            d = np.round(1 - known[: len(names)] @ v, scoring.DIGITS)
-            close = int(d.argmin()) if len(names) else -1
-            if close >= 0 and d[close] <= threshold:
-                out.append(names[close])
-            else:
-                known[len(names)] = v
-                names.append(stable)
-                out.append(stable)
-        return pd.DataFrame({"stable": pdf["stable"].to_numpy(), "uuid": out})
-
-    chosen = first.groupBy("node_type").applyInPandas(one_type, "stable string, uuid string")
-    return keyed.join(chosen, "stable").select("mention_id", "uuid")
+    first = keyed.groupBy("node_type", "stable").agg(F.min(F.struct(F.col("pos").cast("long").alias("pos"), "embedding")).alias("m"))
+    vector = F.col("m.embedding").cast("array<double>")
+    same = F.exists(vector, lambda x: x != 0) & ~F.exists(vector, F.isnan) & F.lit(threshold >= 0)
+    kind = F.when(same, F.sha2(F.concat_ws(":", "node_type", vector.cast("string")), 256)).otherwise(F.col("stable"))
+    first = materialize(first.select("node_type", F.struct("m.pos", "stable").alias("at"), kind.alias("kind"), vector.alias("embedding")), "mentions")
+    items = materialize(first.groupBy("kind").agg(F.min(F.struct("at", "node_type", "embedding")).alias("i")).select("kind", "i.*"), "vectors")
+    links = materialize(_links(items, threshold), "near-links")
+    leaders = materialize(_leaders(items, links), "all-leaders")
+    both = links.select(F.col("e").alias("at"), F.col("l").alias("to"), "distance").unionByName(links.select(F.col("l").alias("at"), F.col("e").alias("to"), "distance"))
+    own = leaders.select("at", F.col("at").alias("to"), F.lit(0.0).alias("distance"))
+    met = both.join(leaders.select(F.col("at").alias("to")), "to", "left_semi").select("at", "to", "distance").unionByName(own)
+    met = met.join(items.select("at", "kind"), "at").select("kind", "to", "distance")
+    best = first.select("kind", "at").join(met, "kind").where("to <= at").groupBy("at").agg(F.min(F.struct("distance", "to")).alias("b"))
+    return keyed.join(best.select("at.stable", F.col("b.to.stable").alias("uuid")), "stable").select("mention_id", "uuid")
 
 
 def resolve_terms(terms: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
+import hashlib
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,3 +234,28 @@ def test_summary(spark):
     got = summarize.summarize(n, e, seeds(spark, "ada"), "who builds engines here", "2024-01-01", ask, embed)
     assert got.queries == ["rare tea"] and len(calls) == 3 and got.answer.startswith("A long answer")
     assert "Bob likes rare tea" in got.markdown and "[SEED]: Ada builds engines" in got.markdown
+
+
+def test_greedy_resolution_by_blocks_equals_one_pass(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(25, 4))
+    rows = [(k, int(k * 37 % 101), f"name {k % 90}", "asset" if k % 4 else "place", [float(x) for x in base[k % 25] + (k % 3) * 0.3 * rng.normal(size=4)]) for k in range(101)]
+    rows += [(200 + k, 200 + k, f"zero {k}", "asset", [0.0] * 4) for k in range(3)]
+    monkeypatch.setattr(resolve, "BLOCK", 7)
+    # the old code held a type in one task, whatever its size
+    df = spark.createDataFrame(rows, "mention_id long, pos long, name string, node_type string, embedding array<double>")
+    for threshold in (0.15, 0.5):
+        got = {r.mention_id: r.uuid for r in resolve.greedy_resolution(df, threshold).collect()}
+        leaders, want, by_name = {}, {}, {}
+        for m, _, name, kind, v in sorted(rows, key=lambda r: r[1]):
+            if (kind, name) not in by_name:
+                v = np.array(v) / (np.linalg.norm(v) or 1)
+                known = leaders.setdefault(kind, [])
+                near = min(((round(1 - float(u @ v), 6), n) for n, (u, _) in enumerate(known)), default=(9, 0))
+                own = hashlib.sha1(f"{kind}:{name}".encode()).hexdigest()
+                if near[0] > threshold:
+                    known.append((v, "entity_" + own))
+                    near = (0, len(known) - 1)
+                by_name[kind, name] = known[near[1]][1]
+            want[m] = by_name[kind, name]
+        assert got == want and 4 < len(set(want.values())) < len(rows) - 20
