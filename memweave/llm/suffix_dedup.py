@@ -22,7 +22,8 @@ sort keeps of each level just the sampled suffixes that those depend on.
 
 Defined results: a null text is empty; texts shorter than ``window`` lose nothing. Rows
 with a null doc_id come after all others. Rows that share a doc_id come in the order of
-their texts; rows that repeat doc_id and text are one document with one result.
+their texts; rows that repeat doc_id and text are one document with one result. A text of
+2^28 bytes (256 MiB) or more is refused: the job fails with a ValueError.
 """
 
 from __future__ import annotations
