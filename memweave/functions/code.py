@@ -1,89 +1,114 @@
-"""Source code: chunks at top-level definitions, and structural triples. Small per-row helpers."""
+"""Source code as column expressions: chunks at top-level definitions, and structural triples.
+
+Only the outline of Python files, which needs their syntax tree, goes through a Python function.
+"""
 
 from __future__ import annotations
 
 import ast
-import re
-from itertools import groupby
-from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from memweave.functions.text import CHUNK_WORDS, CODE_EXTENSIONS
-
-DEFINITION = re.compile(r"def |class |async def ")
-IMPORT = re.compile(r"""(?:import|require|from)\s*\(?['"]?([a-zA-Z0-9_/@.-]+)['"]?""")
-
+from memweave.functions.ids import strip
+from memweave.functions.text import CHUNK_WORDS, chunk_prose, chunk_strategy, word_count
 
-def prose_chunks(text: str, words: int) -> list[str]:
-    out, open_, size = [], [], 0
-    for p in filter(None, map(str.strip, re.split(r"\n\n+", text))):
-        n = len(p.split())
-        if open_ and size + n > words:
-            out.append("\n\n".join(open_))
-            open_ = open_[-1:]
-            size = len(open_[0].split())
-        open_.append(p)
-        size += n
-    return out + ["\n\n".join(open_)] * bool(open_)
+# What starts a top-level definition, what names an import in any language, and where lines end.
+DEFINITION = r"(?:def |class |async def )"
+IMPORT = r"""(?:import|require|from)\s*\(?['"]?([a-zA-Z0-9_/@.-]+)['"]?"""
+LINE_ENDS = r"[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
+PREDICATE_OF = {"import": "imports", "definition": "defines", "method": "has_method"}
+OUTLINE = "array<struct<owner:string,kind:string,name:string>>"
 
 
-def code_chunks(text: str, words: int = CHUNK_WORDS) -> list[str]:
+def chunk_code(c: Column, words: int = CHUNK_WORDS) -> Column:
     """One chunk for each top-level definition; what stands before the first opens its chunk.
     Chunks of over twice the budget are cut as prose, and so is code without definitions."""
-    number = 0
-    numbered = []
-    for line in text.splitlines(keepends=True):
-        number += bool(DEFINITION.match(line))
-        numbered.append((number, line))
-    blocks = {k: "".join(x for _, x in g).strip() for k, g in groupby(numbered, key=lambda x: x[0])}
-    head = blocks.pop(0, "")
-    if not blocks:
-        return prose_chunks(text, words)
-    if head:
-        blocks[1] = f"{head}\n\n{blocks[1]}"
-    return [c for b in blocks.values() for c in (prose_chunks(b, words) if len(b.split()) > 2 * words else [b])]
-
-
-def structure(text: str, filename: str) -> list[tuple[str, str, str]]:
-    """``(subject, predicate, object)`` with imports, definitions and methods; nothing for other files."""
-    path = PurePosixPath(filename)
-    if path.suffix.lower() not in CODE_EXTENSIONS:
-        return []
-    if path.suffix.lower() == ".py":
-        try:
-            return [t for n in ast.parse(text).body for t in _of_statement(n, path.stem)]
-        except (SyntaxError, ValueError):
-            pass
-    roots = (m[1].split("/")[0].split(".")[0] for m in IMPORT.finditer(text))
-    return [(path.stem, "imports", r) for r in dict.fromkeys(roots) if r]
-
-
-def _of_statement(n: ast.stmt, module: str):
-    function = (ast.FunctionDef, ast.AsyncFunctionDef)
-    if isinstance(n, ast.Import):
-        yield from ((module, "imports", a.name.split(".")[0]) for a in n.names)
-    elif isinstance(n, ast.ImportFrom) and n.module:
-        yield module, "imports", n.module.split(".")[0]
-    elif isinstance(n, (*function, ast.ClassDef)):
-        yield module, "defines", n.name
-        if isinstance(n, ast.ClassDef):
-            yield from ((n.name, "has_method", m.name) for m in n.body if isinstance(m, function))
-
-
-def chunk_code(text: Column, words: int = CHUNK_WORDS) -> Column:
-    @F.pandas_udf("array<string>")
+    parts = F.split(c, rf"(?:\A|(?<={LINE_ENDS}))(?={DEFINITION})")
+    blocks = F.filter(parts, lambda x: x.rlike(rf"\A{DEFINITION}"))
+    head = F.when(~parts[0].rlike(rf"\A{DEFINITION}"), strip(parts[0])).otherwise("")
+    whole = F.transform(blocks, lambda x, k: F.when((k == 0) & (head != ""), F.concat(head, F.lit("\n\n"), strip(x))).otherwise(strip(x)))
+    cut = F.flatten(F.transform(whole, lambda x: F.when(word_count(x) > 2 * words, chunk_prose(x, words)).otherwise(F.array(x))))
+    return F.when(F.size(blocks) > 0, cut).otherwise(chunk_prose(c, words))
+
+
+class _Outline(ast.NodeVisitor):
+    """What a module imports and defines at its top level, and the methods of its classes."""
+
+    def __init__(self) -> None:
+        self.rows: list[dict] = []
+        self.owner: str | None = None
+
+    def _tell(self, kind: str, name: str) -> None:
+        self.rows.append({"owner": self.owner, "kind": kind, "name": name})
+
+    def generic_visit(self, node: ast.AST) -> None:
+        """Nothing inside other statements counts."""
+
+    def visit_Module(self, node: ast.Module) -> None:
+        for inner in node.body:
+            self.visit(inner)
+
+    def visit_Import(self, node: ast.Import) -> None:
+        if self.owner is None:
+            for alias in node.names:
+                self._tell("import", alias.name)
+
+    def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
+        if self.owner is None and node.module:
+            self._tell("import", node.module)
+
+    def visit_FunctionDef(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
+        self._tell("definition" if self.owner is None else "method", node.name)
+
+    visit_AsyncFunctionDef = visit_FunctionDef
+
+    def visit_ClassDef(self, node: ast.ClassDef) -> None:
+        if self.owner is None:
+            self._tell("definition", node.name)
+            self.owner = node.name
+            self.visit_Module(node)
+            self.owner = None
+
+
+def _outline(source: str | None) -> list[dict] | None:
+    """None where the source is no valid Python."""
+    try:
+        tree = ast.parse(source or "")
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return None
+    outline = _Outline()
+    outline.visit(tree)
+    return outline.rows
+
+
+def python_outline(c: Column) -> Column:
+    @F.pandas_udf(OUTLINE)
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: code_chunks(t, words) if t is not None else None)
+        return s.map(_outline)
+
+    return run(c)
+
+
+def module_name(filename: Column) -> Column:
+    base = F.regexp_extract(filename, r"([^/]*)/*$", 1)
+    return F.regexp_replace(base, r"(?<=.)\.[^.]*$", "")
 
-    return run(text)
 
+def imports_of(c: Column) -> Column:
+    """Root names of whatever looks like an import, in any language."""
+    roots = F.transform(F.regexp_extract_all(c, F.lit(IMPORT), 1), lambda x: F.regexp_extract(x, r"^[^/.]*", 0))
+    return F.array_distinct(F.filter(roots, lambda x: x != ""))
 
-def structural_triples(text: Column, filename: Column) -> Column:
-    @F.pandas_udf("array<struct<subject:string,predicate:string,object:string>>")
-    def run(texts: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("subject", "predicate", "object"), t)) for t in structure(a or "", b or "")] for a, b in zip(texts, names)])
 
-    return run(text, filename)
+def structural_triples(c: Column, filename: Column) -> Column:
+    """``array<struct<subject, predicate, object>>``: imports, definitions and methods; nothing for files that are no code."""
+    c, name = F.coalesce(c, F.lit("")), module_name(filename)
+    triple = lambda s, p, o: F.struct(s.alias("subject"), p.alias("predicate"), o.alias("object"))
+    kinds = F.create_map(*[F.lit(x) for pair in PREDICATE_OF.items() for x in pair])
+    outline = python_outline(F.when(F.lower(filename).endswith(".py"), c))
+    told = F.transform(outline, lambda r: triple(F.coalesce(r["owner"], name), kinds[r["kind"]], F.when(r["kind"] == "import", F.regexp_extract(r["name"], r"^[^.]*", 0)).otherwise(r["name"])))
+    plain = F.transform(imports_of(c), lambda x: triple(name, F.lit("imports"), x))
+    found = F.when(F.lower(filename).endswith(".py"), F.coalesce(told, plain)).otherwise(plain)
+    return F.when(F.coalesce(chunk_strategy(filename), F.lit("prose")) == "code", found).otherwise(F.array().cast("array<struct<subject:string,predicate:string,object:string>>"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 # Words that stand for nothing.
 PLACEHOLDERS = ["generic", "unknown", "none", "null", "n/a", "na", "unspecified"]
+# Fixed value: the form of a generated id.
 GENERATED = r"(?i)^(?:(?:entity|rel)_[0-9a-f]{40}|[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12})$"
 
 

@@ -61,3 +61,13 @@ def pool_size(limit: int) -> int:
 def frontier_score(similarity: Column, observed: Column, most_observed: Column) -> Column:
     share = F.when(most_observed > 0, observed / most_observed).otherwise(F.lit(0.0))
     return F.round(COSINE_SHARE * F.coalesce(similarity, F.lit(0.0)) + OBSERVED_SHARE * share, DIGITS)
+
+
+def iso(at: Column) -> Column:
+    """A time as an ISO string in UTC, for a session in UTC; fractions only where there are any."""
+    fraction = F.when(F.pmod(F.unix_micros(at), F.lit(1_000_000)) != 0, F.date_format(at, ".SSSSSS")).otherwise("")
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00"))
+
+
+def now_iso() -> Column:
+    return iso(F.current_timestamp())

@@ -80,10 +80,15 @@ def statements(c: Column, most: int = 3) -> Column:
     return F.slice(F.filter(bare, lambda x: x != ""), 1, most)
 
 
+def gate_name(answer: Column) -> Column:
+    """The name that an answer gives on its first line after ``EXISTING:``, else empty."""
+    line = strip(F.element_at(F.split(strip(F.coalesce(answer, F.lit(""))), r"\r\n|[\n\r]"), 1))
+    return F.lower(strip(F.regexp_extract(line, r"(?i)^EXISTING:(.*)$", 1)))
+
+
 def gate_answer(answer: Column, known: Column, proposed: Column) -> Column:
     """The known predicate that an answer names on its first line, else the proposed one."""
-    line = strip(F.element_at(F.split(strip(answer), r"\r\n|[\n\r]"), 1))
-    name = F.lower(strip(F.regexp_extract(line, r"(?i)^EXISTING:(.*)$", 1)))
+    name = gate_name(answer)
     return F.when((name != "") & F.array_contains(known, name), name).otherwise(proposed)
 
 

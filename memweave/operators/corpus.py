@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memweave.functions import code, ids, text
-from memweave.schema import WEIGHTS
+from memweave.operators import ingest, prompts, providers
+from memweave.runtime import materialize
+from memweave.schema import DEFAULT_DOMAIN, PREDICATES, WEIGHTS
+from memweave.sources.changelog import marks
 
 
 def classify(incoming: DataFrame, stored: DataFrame) -> DataFrame:
@@ -117,33 +121,77 @@ def tombstone_chunks(nodes: DataFrame, document_ids: DataFrame, user_id: str = "
 @dataclass
 class CorpusIngest:
     status: DataFrame  # uuid, corpus_id, filename, content_hash, status
-    nodes: DataFrame  # hubs, documents and chunks to write
-    edges: DataFrame  # bridge and structural edges to write
+    nodes: DataFrame  # hubs, documents, summaries, chunks and entities to write
+    edges: DataFrame  # bridge, structural and summary edges to write
     dead: DataFrame  # uuids of chunks that a change has replaced
+    failed: DataFrame  # (uuid, error): documents whose pipeline failed; the others are not touched by it
+    marks: DataFrame  # (uuid, pipeline_done_at, pipeline_error) of all documents that went through
+    ingested: ingest.Ingested  # what the summaries' own ingest did
+    acks: DataFrame  # (id): nodes created and updated
 
 
-def document_nodes(found: DataFrame, incoming: DataFrame) -> DataFrame:
+def document_nodes(found: DataFrame, incoming: DataFrame, user_id: str = "global") -> DataFrame:
     """New and changed documents; metadata holds the hash that the next run compares."""
     meta = F.to_json(F.struct("filename", "corpus_id", "content_hash"))
     texts = incoming.select(ids.document_id(F.col("corpus_id"), F.col("filename")).alias("uuid"), F.substring("content", 1, 10_000).alias("content"))
-    return found.where("status <> 'unchanged'").join(texts, "uuid").select("uuid", F.lit("document").alias("node_type"), "content", F.lit(WEIGHTS["document"]).alias("weight"), meta.alias("metadata"), F.col("corpus_id").alias("source"))
-
-
-def ingest_corpus(incoming: DataFrame, stored: DataFrame, nodes: DataFrame, user_id: str = "global", words: int = text.CHUNK_WORDS) -> CorpusIngest:
+    return found.where("status <> 'unchanged'").join(texts, "uuid").select(
+        "uuid", F.lit("document").alias("node_type"), "content", F.lit(WEIGHTS["document"]).alias("weight"), meta.alias("metadata"), F.col("corpus_id").alias("source"), F.lit(user_id).alias("user_id")
+    )
+
+
+def structural_nodes(facts: DataFrame, user_id: str = "global") -> DataFrame:
+    """The modules and functions that structural facts name."""
+    ends = [facts.select(ids.entity_id(F.col(f"{s}_type"), F.col(s)).alias("uuid"), F.col(f"{s}_type").alias("node_type"), F.col(s).alias("content")) for s in ("subject", "object")]
+    one = ends[0].unionByName(ends[1]).groupBy("uuid").agg(F.min(F.struct("node_type", "content")).alias("n"))
+    return one.select("uuid", "n.*", ids.name_key(F.col("n.content")).alias("name_key"), F.lit(WEIGHTS["entity"]).alias("weight"), F.lit(user_id).alias("user_id"))
+
+
+def ingest_corpus(
+    incoming: DataFrame,
+    stored: DataFrame,
+    nodes: DataFrame,
+    user_id: str = "global",
+    words: int = text.CHUNK_WORDS,
+    at: str = "1970-01-01T00:00:00+00:00",
+    known_predicates: DataFrame | list[str] = tuple(PREDICATES),
+    make: Callable = providers.rules,
+    answers: Mapping[str, Column | str] | None = None,
+    domain: str = DEFAULT_DOMAIN,
+    **how,
+) -> CorpusIngest:
     """``incoming (corpus_id, filename, content)`` against ``stored (uuid, content_hash)`` and ``nodes``.
 
-    Unchanged documents cost a hash and a join; all others go through the stages at once,
-    as tasks and not as one call each.
+    Unchanged documents cost a hash and a join. All others go through the stages at once, as
+    tasks and not as one call each: summary, ingest of the summary, chunks, and the edges
+    ``contains``, ``has_summary``, ``has_chunk``, ``next_chunk``, ``mentioned_in`` and those of
+    code. A document whose summary or extraction fails is marked as failed, and keeps only its
+    own node and its place in the corpus.
     """
-    found = classify(incoming, stored)
-    todo = found.where("status <> 'unchanged'").join(incoming.select("corpus_id", "filename", "content"), ["corpus_id", "filename"])
-    cut = chunk_nodes(chunks(todo.select("uuid", "filename", "content"), words), todo.select("uuid", "corpus_id", "filename"), user_id)
-    columns = ["uuid", "node_type", "content", "weight", "metadata", "source"]
-    written = corpus_nodes(incoming).select(*columns).unionByName(document_nodes(found, incoming)).unionByName(cut.select(*columns))
-    code_facts = structural_edges(todo)
+    found = materialize(classify(incoming, stored), "documents-found")
+    todo = materialize(found.where("status <> 'unchanged'").join(incoming.select("corpus_id", "filename", "content"), ["corpus_id", "filename"]), "documents-to-do")
+    ask = ingest.Asker(make, answers)
+    told = materialize(ask(todo, "summary", prompts.document_summary(F.col("content"), F.col("filename"))).select("uuid", "corpus_id", "filename", ids.strip(F.coalesce("said", F.lit(""))).alias("summary"), "said_error"), "summaries")
+    entry = F.concat(F.lit("summary_"), F.col("uuid"))
+    meta = F.to_json(F.struct(F.col("uuid").alias("document_id"), "filename", F.lit(True).alias("is_summary")))
+    entries = told.where("summary <> ''").select(entry.alias("entry_id"), F.col("summary").alias("text"), F.lit(user_id).alias("user_id"), F.lit(domain).alias("domain"), F.col("corpus_id").alias("source"), F.lit(at).cast("timestamp").alias("at"), meta.alias("metadata"))
+    done = ingest.ingest(entries, nodes, known_predicates if isinstance(known_predicates, DataFrame) else list(known_predicates), make, answers=answers, **how)
+    of_entry = told.select(entry.alias("entry_id"), F.col("uuid").alias("document_id"))
+    failed = told.where("said_error IS NOT NULL").select("uuid", F.col("said_error").alias("error")).unionByName(done.failed.join(of_entry, "entry_id").select(F.col("document_id").alias("uuid"), "error"))
+    failed = materialize(failed, "failed-documents")
+    good = todo.join(failed.select("uuid"), "uuid", "left_anti")
+    cut = materialize(chunk_nodes(chunks(good.select("uuid", "filename", "content"), words), good.select("uuid", "corpus_id", "filename"), user_id), "chunks")
+    summaries = done.logs.join(of_entry, "entry_id").join(failed.select(F.col("uuid").alias("document_id")), "document_id", "left_anti")
+    names = done.named.join(of_entry, "entry_id").select("document_id", F.col("uuid").alias("entity_uuid"), F.col("content").alias("name"))
+    code_facts = structural_edges(good)
     s, o = (ids.entity_id(F.col(f"{x}_type"), F.col(x)) for x in ("subject", "object"))
     facts = code_facts.select(ids.edge_id(s, F.col("predicate"), o).alias("uuid"), s.alias("subject_uuid"), "predicate", o.alias("object_uuid")).distinct()
-    links = has_chunk(cut).unionByName(next_chunk(cut)).unionByName(contains(found)).unionByName(facts)
+    links = [has_chunk(cut), next_chunk(cut), contains(found), has_summary(summaries.select("document_id", "uuid")), mentioned_in(names, cut), facts]
+    edges = ingest.union([*links, done.edges.drop("embedding")]).dropDuplicates(["uuid"])
+    written = ingest.union([corpus_nodes(incoming), document_nodes(found, incoming, user_id), cut, done.logs.drop("embedding"), done.nodes.drop("embedding"), structural_nodes(code_facts, user_id)])
+    # an entity that code and a summary both name is one node
+    written = written.dropDuplicates(["uuid"])
     changed = found.where("status = 'changed'").select("uuid")
     dead = active_chunks(changed, nodes, user_id).join(cut.select("uuid"), "uuid", "left_anti").select("uuid")
-    return CorpusIngest(found, written, links, dead)
+    marked = marks(0, todo, failed, at).select("uuid", "pipeline_done_at", "pipeline_error")
+    own = found.where("status <> 'unchanged'").select(F.col("uuid").alias("id"), F.when(F.col("status") == "new", "created").otherwise("updated").alias("kind"))
+    return CorpusIngest(found, written, edges, dead, failed, marked, done, ingest.touched_ids(own.unionByName(done.acks.select("id", "kind"))))

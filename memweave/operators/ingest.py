@@ -1,93 +1,258 @@
-"""Text ingest as staged tables: log, extraction, predicate gate, resolution, changes."""
+"""Text ingest as staged tables: log, extraction, predicate gate, resolution, collisions, facts, supersession.
+
+A batch of texts goes through all stages at once, in the order of time and id where order
+decides. What a stage reads of the store is the state before the batch; stable ids make
+repeated names one node and repeated facts one edge.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memweave.functions import ids, text
-from memweave.operators import enrich, providers
-from memweave.operators.resolve import resolve_terms
-from memweave.schema import CORE_DOMAIN, DEFAULT_DOMAIN, WEIGHTS
+from memweave.operators import enrich, prompts, providers, resolve
+from memweave.runtime import materialize
+from memweave.schema import CORE_DOMAIN, DEFAULT_DOMAIN, DEFAULT_USER, NODE_TYPES, WEIGHTS
 
-SUMMARY_CHARS = 50_000
+UNRESOLVED = "unresolved id or placeholder"
 
 
 @dataclass
 class Ingested:
     logs: DataFrame
-    nodes: DataFrame  # one row for each entity named, with whether it is new
-    edges: DataFrame
+    nodes: DataFrame  # one row for each entity named, with whether it was there before (then only its journal grows)
+    edges: DataFrame  # one row for each fact, likewise
     rejected: DataFrame  # triples that were not taken, and why
-    predicates: DataFrame  # new ones
+    predicates: DataFrame  # (name): new ones
+    renamed: DataFrame  # (uuid, content, name_key): nodes that a colliding name updates
+    tombstones: DataFrame  # (uuid): facts that a new one replaces
+    acks: DataFrame  # (entry_id, id, kind): nodes created and updated, facts named, by entry
+    named: DataFrame  # (entry_id, uuid, content): the entities of each entry
+    failed: DataFrame  # (entry_id, error): entries whose extraction failed
+
+
+class Asker:
+    """Answers from a model, or from columns by task. A task without a column then has no answer."""
+
+    def __init__(self, make: Callable = providers.rules, answers: Mapping[str, Column | str] | None = None):
+        self.make, self.answers = make, answers
 
+    def __call__(self, df: DataFrame, task: str, prompt: Column) -> DataFrame:
+        if self.answers is None:
+            return providers.ask(df, prompt, "said", self.make, prompts.SYSTEM[task], prompts.MAX_TOKENS[task])
+        own = self.answers.get(task, F.lit(None).cast("string"))
+        return df.select("*", (F.col(own) if isinstance(own, str) else own).alias("said"), F.lit(None).cast("string").alias("said_error"))
 
-def prompt(c: Column, known: list[str]) -> Column:
-    return F.concat(F.lit("Facts of the text as 'subject | predicate | object' lines. Known predicates: " + ", ".join(known) + ".\n\n"), F.substring(c, 1, SUMMARY_CHARS))
+
+def log_id(user: Column, entry: Column) -> Column:
+    return F.concat(F.lit("log_"), F.sha1(F.concat_ws(":", user, entry)))
 
 
 def log_nodes(entries: DataFrame) -> DataFrame:
     """``entries (entry_id, text, user_id, domain, source, at)`` as log nodes."""
+    meta = F.coalesce("metadata", F.lit("{}")) if "metadata" in entries.columns else F.lit("{}")
     return entries.select(
-        F.concat(F.lit("log_"), F.sha1(F.concat_ws(":", "user_id", "entry_id"))).alias("uuid"), F.lit("log").alias("node_type"), F.col("text").alias("content"), F.coalesce("domain", F.lit(DEFAULT_DOMAIN)).alias("domain"),
-        F.lit(WEIGHTS["log"]).alias("weight"), "user_id", "source", F.col("at").alias("created_at"), F.col("at").alias("updated_at"), "entry_id",
+        log_id(F.col("user_id"), F.col("entry_id")).alias("uuid"), F.lit("log").alias("node_type"), F.col("text").alias("content"), F.coalesce("domain", F.lit(DEFAULT_DOMAIN)).alias("domain"),
+        F.lit(WEIGHTS["log"]).alias("weight"), "user_id", "source", meta.alias("metadata"), F.col("at").alias("created_at"), F.col("at").alias("updated_at"), "entry_id",
     )
 
 
-def ingest(entries: DataFrame, nodes: DataFrame, known_predicates: list[str], make=providers.rules, answer: str | None = None) -> Ingested:
-    """All stages for a batch of texts.
+def extracted(entries: DataFrame, known: DataFrame, ask: Asker) -> tuple[DataFrame, DataFrame]:
+    """``(entry_id, user_id, at, pos, subject, predicate, object, types, is_new, triple_id)``, and the entries that failed."""
+    names = known.agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("known_names"))  # one row, a vocabulary
+    asked = ask(entries.crossJoin(names), "extract", prompts.extraction(F.col("text"), F.lit(", ".join(NODE_TYPES)), F.col("known_names")))
+    asked = materialize(asked.select("entry_id", "user_id", "at", "said", "said_error"), "extraction")
+    some = asked.where(text.refinery_status(F.col("said")) != "none")
+    told = some.select("entry_id", "user_id", "at", F.posexplode(text.refinery_triples(F.col("said"))).alias("pos", "t")).select("entry_id", "user_id", "at", "pos", "t.*")
+    told = told.withColumn("is_new", ids.is_new_predicate(F.col("predicate"))).withColumn("predicate", ids.normalized_predicate(F.col("predicate")))
+    return told.withColumn("triple_id", F.concat_ws(":", "user_id", "entry_id", "pos")), asked.where("said_error IS NOT NULL").select("entry_id", F.col("said_error").alias("error"))
+
+
+def gated(told: DataFrame, known: DataFrame, ask: Asker) -> DataFrame:
+    """Proposed predicates become the known ones that an answer names; without such an answer they stay (``appended``)."""
+    names = known.agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("known_names"))
+    new = told.where("is_new").crossJoin(names)
+    asked = ask(new, "gate", prompts.gate(F.col("predicate"), F.col("subject"), F.col("object"), F.col("known_names")))
+    found = asked.withColumn("named", text.gate_name(F.col("said"))).join(known.select(F.col("name").alias("redirect")), F.col("named") == F.col("redirect"), "left")
+    final = F.coalesce("redirect", "predicate")
+    gate = found.select(*[c for c in told.columns if c != "predicate"], final.alias("predicate"), (final == F.col("predicate")).alias("appended"))
+    return told.where("NOT is_new").withColumn("appended", F.lit(False)).unionByName(gate)
+
+
+def _resolved(told: DataFrame, nodes: DataFrame, ask: Asker, embed: Callable[[Column], Column] | None, threshold: float, collisions: bool) -> tuple[DataFrame, DataFrame]:
+    """``(term_id, text, type, uuid, existed, known_by_id, rejected)`` of every distinct term, and renamed nodes."""
+    side = lambda s: told.select(_term(s).alias("term_id"), F.col(s).alias("term"), F.col(f"{s}_type").alias("node_type"), "user_id", "at", "entry_id", "pos", F.lit(s).alias("side"))
+    first = F.min(F.struct("at", "entry_id", "pos", F.when(F.col("side") == "subject", 0).otherwise(1).alias("side"))).alias("first")
+    terms = materialize(side("subject").unionByName(side("object")).groupBy("term_id", "term", "node_type", "user_id").agg(first), "terms")
+    found = resolve.resolve_terms(terms, nodes).join(terms.select("term_id", F.col("node_type").alias("told_type"), "first"), "term_id")
+    found = materialize(found.withColumn("type", F.coalesce("resolved_type", "told_type")).drop("resolved_type"), "found-terms")
+    open_ = found.where("uuid IS NULL AND NOT rejected")
+    stable = ids.entity_id(F.col("type"), F.col("text"))
+    have = nodes.columns
+    if embed is None and "name_key" not in have:
+        placed = open_.select("term_id", stable.alias("uuid"))
+        renamed = None
+    else:
+        # one mention for each wording and type, whoever uses it
+        mention = F.sha1(F.concat_ws("\x1f", "type", "text"))
+        m = open_.groupBy("type", "text").agg(F.min("first").alias("first")).select(mention.alias("mention_id"), F.col("text").alias("name"), F.col("type").alias("node_type"), "first")
+        vector = embed(F.col("name")) if embed is not None else F.lit(None).cast("array<float>")
+        m = materialize(m.withColumn("embedding", vector), "entity-mentions")
+        store = nodes if "embedding" in have else nodes.withColumn("embedding", F.lit(None).cast("array<float>"))
+        store = store if "name_key" in have else store.withColumn("name_key", F.lit(None).cast("string"))
+        got = materialize(resolve.resolve(m, store, threshold), "resolved")
+        if embed is not None:
+            # a new mention may be the match of a later one
+            rank = F.concat_ws("\x1f", F.lpad((F.coalesce(F.unix_micros("first.at"), F.lit(0)) + (1 << 62)).cast("string"), 20, "0"), "first.entry_id", F.lpad(F.col("first.pos").cast("string"), 10, "0"), "first.side", "mention_id")
+            new = m.join(got.where("how = 'new'").select("mention_id"), "mention_id", "left_semi").withColumn("pos", rank)
+            new = resolve.greedy_resolution(new, threshold).select("mention_id", F.col("uuid").alias("led"))
+            got = got.join(new, "mention_id", "left").select("mention_id", F.coalesce("led", "uuid").alias("uuid"), "how")
+        placed = open_.select("term_id", mention.alias("mention_id")).join(got, "mention_id").select("term_id", "uuid")
+        renamed = None
+        if collisions:
+            met = got.where("how = 'vector'").join(m, "mention_id").join(nodes.select("uuid", F.col("content").alias("stored")), "uuid")
+            said = ask(met, "collide", prompts.collision(F.col("name"), F.col("stored"))).where(F.lower("said").contains("update"))
+            renamed = said.groupBy("uuid").agg(F.max_by("name", F.struct("first", "name")).alias("content")).withColumn("name_key", ids.name_key(F.col("content")))
+    out = found.join(placed.withColumnRenamed("uuid", "placed"), "term_id", "left").withColumn("uuid", F.coalesce("uuid", "placed")).withColumn("stable", F.when(F.col("placed").isNotNull(), stable).otherwise(F.col("uuid")))
+    stored = nodes.select(F.col("uuid").alias("stored_id"), F.col("content").alias("stored"), F.col("node_type").alias("stored_type"))
+    by_id = nodes.select(F.col("uuid").alias("by_id"))
+    out = out.join(stored, F.col("uuid") == F.col("stored_id"), "left").join(by_id, F.col("stable") == F.col("by_id"), "left")
+    out = out.select(
+        "term_id", F.coalesce(F.when(F.col("stored") != "", F.col("stored")), "text").alias("text"), F.coalesce("stored_type", "type").alias("type"), "uuid", F.col("stored_id").isNotNull().alias("existed"), F.col("by_id").isNotNull().alias("known_by_id"), "rejected"
+    )
+    if renamed is None:
+        renamed = out.limit(0).select("uuid", F.col("text").alias("content"), F.col("text").alias("name_key"))
+    return materialize(out, "placed-terms"), renamed
+
+
+def _term(side: str) -> Column:
+    return F.sha1(F.concat_ws("\x1f", F.coalesce(f"{side}_type", F.lit("")), F.col(side), F.col("user_id")))
+
+
+def replaced(facts: DataFrame, edges: DataFrame, ask: Asker) -> DataFrame:
+    """``(uuid)`` of stored facts that the model says one of ``facts (uuid, user_id, subject_uuid, content)`` replaces.
+
+    An answer counts only if it is the id of one of the subject's newest facts.
+    """
+    met = resolve.supersede_candidates(facts, edges).join(edges.select(F.col("uuid").alias("candidate_uuid"), F.col("content").alias("stored")), "candidate_uuid")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("candidate_uuid").alias("uuid"), F.trim("stored").alias("content")))), lambda x: F.struct(x["uuid"].alias("uuid"), x["content"].alias("content")))
+    by = met.groupBy("fact_uuid").agg(listed.alias("facts")).join(facts.select(F.col("uuid").alias("fact_uuid"), "content"), "fact_uuid")
+    said = ask(by, "supersede", prompts.supersede(F.col("content"), F.col("facts")))
+    hit = text.superseded(F.col("said"), F.transform("facts", lambda x: x["uuid"]))
+    return said.select(hit.alias("uuid")).where("uuid IS NOT NULL").distinct()
+
 
-    Answers come from a provider, or from the column ``answer``. Stable ids make repeated
-    names one node and repeated facts one edge, whichever order they come in.
+def ingest(
+    entries: DataFrame,
+    nodes: DataFrame,
+    known_predicates: DataFrame | list[str],
+    make: Callable = providers.rules,
+    answer: str | None = None,
+    answers: Mapping[str, Column | str] | None = None,
+    edges: DataFrame | None = None,
+    embed: Callable[[Column], Column] | None = None,
+    threshold: float = resolve.NEAR,
+    collisions: bool = False,
+) -> Ingested:
+    """All stages for a batch of ``entries (entry_id, text, user_id, domain, source, at)``.
+
+    Answers come from the model that ``make`` makes, or from columns: ``answers`` by task,
+    ``answer`` for the extraction alone. Names match stored nodes by vector with ``embed``, by name where ``nodes``
+    has ``name_key``, and by stable id. ``edges`` lets new facts replace stored ones;
+    ``collisions`` lets a name that matched by vector update its node.
     """
+    spark = entries.sparkSession
+    ask = Asker(make, answers if answers is not None else {"extract": answer} if answer else None)
+    known = known_predicates if isinstance(known_predicates, DataFrame) else spark.createDataFrame([(p,) for p in known_predicates], "name string")
+    known = known.select("name").distinct()
+    entries = entries.withColumn("user_id", F.coalesce("user_id", F.lit(DEFAULT_USER)))
     logs = log_nodes(entries)
-    asked = entries.withColumn("answer", F.col(answer)) if answer else providers.ask(entries, F.col("text"), "answer", make)
-    told = asked.select("entry_id", "user_id", "at", F.posexplode(text.refinery_triples(F.col("answer"))).alias("pos", "t")).select("entry_id", "user_id", "at", "pos", "t.*")
-    told = told.withColumn("predicate", ids.normalized_predicate(F.col("predicate"))).withColumn("triple_id", F.concat_ws(":", "user_id", "entry_id", "pos"))
-    side = lambda s: told.select(F.concat_ws(":", "triple_id", F.lit(s)).alias("term_id"), F.col(s).alias("term"), F.col(f"{s}_type").alias("node_type"), "user_id")
-    found = resolve_terms(side("subject").unionByName(side("object")), nodes)
-    of = lambda s: found.select(F.col("term_id").alias(f"{s}_key"), F.col("text").alias(f"{s}_text"), F.col("uuid").alias(f"{s}_ref"), F.col("resolved_type").alias(f"{s}_known"), F.col("rejected").alias(f"{s}_bad"))
+    told, failed = extracted(entries, known, ask)
+    told = materialize(gated(told, known, ask), "triples")
+    new_predicates = told.where("appended").select(F.col("predicate").alias("name")).distinct().join(known, "name", "left_anti")
+    terms, renamed = _resolved(told, nodes, ask, embed, threshold, collisions)
     full = told
     for s in ("subject", "object"):
-        full = full.withColumn(f"{s}_key", F.concat_ws(":", "triple_id", F.lit(s))).join(of(s), f"{s}_key")
-        kind = F.coalesce(f"{s}_known", f"{s}_type")
-        full = full.withColumn(f"{s}_type", kind).withColumn(f"{s}_uuid", F.coalesce(f"{s}_ref", ids.entity_id(kind, F.col(f"{s}_text"))))
+        of = terms.select(F.col("term_id").alias(f"{s}_key"), F.col("text").alias(f"{s}_text"), F.col("uuid").alias(f"{s}_uuid"), F.col("type").alias(f"{s}_kind"), F.col("existed").alias(f"{s}_existed"), F.col("known_by_id").alias(f"{s}_known"), F.col("rejected").alias(f"{s}_bad"))
+        full = full.withColumn(f"{s}_key", _term(s)).join(of, f"{s}_key")
     bad = F.col("subject_bad") | F.col("object_bad")
-    rejected = full.where(bad).select("triple_id", "subject", "predicate", "object", F.lit("unresolved id or placeholder").alias("reason"))
+    rejected = full.where(bad).select("triple_id", "subject", "predicate", "object", F.lit(UNRESOLVED).alias("reason"))
+    log_uuid = log_id(F.col("user_id"), F.col("entry_id")).alias("log_uuid")
     good = full.where(~bad)
-    log_id = F.concat(F.lit("log_"), F.sha1(F.concat_ws(":", "user_id", "entry_id")))
-    named = None
-    for s in ("subject", "object"):
-        one = good.select(F.col(f"{s}_uuid").alias("uuid"), F.col(f"{s}_type").alias("node_type"), F.col(f"{s}_text").alias("content"), "user_id", "at", "pos", "entry_id", log_id.alias("log_uuid"))
-        named = one if named is None else named.unionByName(one)
-    journal = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("at", "entry_id", "log_uuid"))), lambda x: x["log_uuid"]))
-    first = F.min(F.struct("at", "entry_id", "pos", "node_type", "content", "user_id")).alias("f")
-    ents = named.groupBy("uuid").agg(first, journal.alias("journal_entry_ids")).select("uuid", "f.node_type", "f.content", "f.user_id", F.col("f.at").alias("created_at"), "journal_entry_ids")
-    ents = ents.withColumn("name_key", ids.name_key(F.col("content"))).withColumn("weight", F.lit(WEIGHTS["entity"]))
-    ents = ents.join(nodes.select("uuid").distinct().withColumn("existed", F.lit(True)), "uuid", "left").withColumn("existed", F.coalesce("existed", F.lit(False)))
+    ends = [
+        F.struct(F.col(f"{s}_uuid").alias("uuid"), F.col(f"{s}_kind").alias("node_type"), F.col(f"{s}_text").alias("content"), F.col(f"{s}_existed").alias("existed"), F.col(f"{s}_known").alias("known_by_id"), F.lit(k).alias("side"))
+        for k, s in enumerate(("subject", "object"))
+    ]
+    named = good.select("user_id", "at", "entry_id", "pos", log_uuid, F.inline(F.array(*ends)))
+    journal = F.array_distinct(F.transform(F.array_sort(F.collect_set(F.struct("at", "entry_id", "log_uuid"))), lambda x: x["log_uuid"]))
+    head = F.min(F.struct("at", "entry_id", "pos", "side", "node_type", "content", "user_id", "existed", "known_by_id")).alias("f")
+    ents = named.groupBy("uuid").agg(head, journal.alias("journal_entry_ids"))
+    ents = materialize(ents.select("uuid", "f.node_type", "f.content", "f.user_id", F.col("f.at").alias("created_at"), "journal_entry_ids", "f.existed", "f.known_by_id", F.col("f.entry_id").alias("first_entry")), "entities")
+    by_entry = named.select("entry_id", "uuid", "content").distinct()
     facts = good.select(
         ids.edge_id(F.col("subject_uuid"), F.col("predicate"), F.col("object_uuid")).alias("uuid"), "subject_uuid", "predicate", "object_uuid",
-        ids.edge_text(F.col("subject_text"), F.col("predicate"), F.col("object_text")).alias("content"), "user_id", "at", "entry_id", log_id.alias("log_uuid"),
+        ids.edge_text(F.col("subject_text"), F.col("predicate"), F.col("object_text")).alias("content"), "user_id", "at", "entry_id", log_uuid,
     )
-    edges = facts.groupBy("uuid").agg(*[F.min_by(c, F.struct("at", "entry_id")).alias(c) for c in ("subject_uuid", "predicate", "object_uuid", "content", "user_id")], journal.alias("journal_entry_ids")).withColumn("weight", F.lit(WEIGHTS["edge"]))
-    new = good.select("predicate").distinct().where(~F.col("predicate").isin(known_predicates))
-    return Ingested(logs, ents, edges, rejected, new)
+    made = facts.groupBy("uuid").agg(*[F.min_by(c, F.struct("at", "entry_id")).alias(c) for c in ("subject_uuid", "predicate", "object_uuid", "content", "user_id")], F.min("at").alias("created_at"), journal.alias("journal_entry_ids")).withColumn("weight", F.lit(WEIGHTS["edge"]))
+    made = materialize(made, "facts")
+    acks = by_entry.join(ents.select("uuid", "known_by_id", "first_entry"), "uuid").select("entry_id", F.col("uuid").alias("id"), F.when(~F.col("known_by_id") & (F.col("entry_id") == F.col("first_entry")), "created").otherwise("updated").alias("kind")).distinct()
+    acks = acks.unionByName(facts.select("entry_id", F.col("uuid").alias("id"), F.lit("fact").alias("kind")).distinct())
+    if edges is None:
+        made = made.withColumn("existed", F.lit(False))
+        dead = made.limit(0).select("uuid")
+    else:
+        stored = edges.select("uuid").distinct().withColumn("existed", F.lit(True))
+        made = made.join(stored, "uuid", "left").withColumn("existed", F.coalesce("existed", F.lit(False)))
+        dead = replaced(made, edges, ask)
+    ents = ents.drop("known_by_id", "first_entry").withColumn("name_key", ids.name_key(F.col("content"))).withColumn("weight", F.lit(WEIGHTS["entity"]))
+    if embed is not None:
+        logs, ents, made = (df.withColumn("embedding", embed(F.col("content"))) for df in (logs, ents, made))
+    return Ingested(logs, ents, made, rejected, new_predicates, renamed, dead, acks, by_entry, failed)
+
+
+#: What a row that was there before does not change.
+KEPT = ["content", "weight", "name_key", "embedding", "node_type", "created_at"]
+
+
+def changes(seq: int, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ``Ingested.nodes`` or ``.edges`` for a change log: new ones are created, others only touched."""
+    old = F.col("existed") if "existed" in rows.columns else F.lit(False)
+    own = [F.when(~old, F.col(c)).alias(c) if c in KEPT else F.col(c) for c in columns if c in rows.columns]
+    return rows.select(F.lit(seq).cast("long").alias("seq"), F.when(old, "touch").otherwise("create").alias("op"), *own)
 
 
 def consolidation_entries(logs: DataFrame, at: Column, make: Callable = providers.rules, answer: Column | None = None) -> DataFrame:
     """Up to three statements on each user's newest logs, as entries of the core domain."""
-    batches = enrich.newest_logs(logs)
-    told = batches.withColumn("answer", answer) if answer is not None else providers.ask(batches, F.col("batch"), "answer", make)
-    rows = told.select("user_id", F.posexplode(text.statements(F.col("answer"))).alias("pos", "text"))
+    ask = Asker(make, None if answer is None else {"consolidate": answer})
+    told = ask(enrich.newest_logs(logs), "consolidate", prompts.consolidation(F.col("batch")))
+    rows = told.select("user_id", F.posexplode(text.statements(F.col("said"))).alias("pos", "text"))
     return rows.select(F.concat(F.lit("core_"), F.sha1(F.concat_ws(":", "user_id", "text"))).alias("entry_id"), "text", "user_id", F.lit(CORE_DOMAIN).alias("domain"), F.lit("consolidation").alias("source"), at.alias("at"))
 
 
+def consolidate(logs: DataFrame, nodes: DataFrame, known_predicates: DataFrame | list[str], at: Column, make: Callable = providers.rules, answers: Mapping[str, Column] | None = None, **how) -> Ingested:
+    """The statements on each user's newest logs go through ingest themselves."""
+    own = None if answers is None else answers["consolidate"]
+    entries = consolidation_entries(logs, at, make, own).dropDuplicates(["entry_id"])
+    return ingest(materialize(entries, "statements"), nodes, known_predicates, make, answers=None if answers is None else {k: v for k, v in answers.items() if k != "consolidate"}, **how)
+
+
 def merged_outcomes(outcomes: DataFrame) -> DataFrame:
     """``(id, kind)`` over documents ``(pos, id, kind)``: the first place of each id and kind counts; an update
     after a creation is dropped, one before it stays."""
     first = outcomes.groupBy("id", "kind").agg(F.min("pos").alias("pos"))
     created = F.min(F.when(F.col("kind") == "created", F.col("pos"))).over(Window.partitionBy("id"))
     return first.withColumn("created_pos", created).where("kind = 'created' OR created_pos IS NULL OR pos < created_pos").select("pos", "id", "kind")
+
+
+def touched_ids(outcomes: DataFrame) -> DataFrame:
+    """``(id)``: created and updated ids as one set."""
+    return outcomes.where("kind IN ('created', 'updated')").select("id").distinct()
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

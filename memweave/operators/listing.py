@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memweave.schema import LOG, NODE_TYPES, PREDICATES
+from memweave.operators import providers
+from memweave.schema import LOG
+from memweave.sources.vocabulary import Vocabulary
 
 MOST = 500
 
@@ -67,10 +71,9 @@ def report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return one(nodes, "node_type", "node_type").unionByName(one(edges, "predicate", "predicate")).orderBy("kind", F.desc("n"), "name")
 
 
-def vocabulary(spark, extra_predicates: list[str] = ()) -> DataFrame:
+def vocabulary(stored: Vocabulary) -> DataFrame:
     """``(kind, name)`` of known node types and predicates, in alphabetical order."""
-    rows = [("node_type", x) for x in NODE_TYPES] + [("predicate", x) for x in dict.fromkeys([*PREDICATES, *extra_predicates])]
-    return spark.createDataFrame(rows, "kind string, name string").orderBy("kind", "name")
+    return stored.read().orderBy("kind", "name")
 
 
 def to_embed(nodes: DataFrame, limit: int) -> DataFrame:
@@ -80,5 +83,12 @@ def to_embed(nodes: DataFrame, limit: int) -> DataFrame:
     return some.where("embedding IS NULL AND content <> ''").orderBy("uuid").limit(limit)
 
 
+def backfill(nodes: DataFrame, limit: int, embed: Callable[[Column], Column] = providers.embed) -> DataFrame:
+    """``nodes`` with vectors for those of ``to_embed``, and with ``filled`` for these."""
+    made = to_embed(nodes, limit).select("uuid", embed(F.col("content")).alias("made"))
+    out = nodes.join(made, "uuid", "left")
+    return out.withColumn("embedding", F.coalesce("embedding", "made")).withColumn("filled", F.col("made").isNotNull()).drop("made")
+
+
 def health(spark) -> DataFrame:
     return spark.createDataFrame([("ok",)], "status string")

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from memweave.functions import ids, scoring
 from memweave.runtime import materialize, release
+from memweave.schema import DEFAULT_USER
 
 NEAR = 0.15
 FACTS = 10
 #: Vectors of a block, of which each two meet in a task.
 BLOCK = 1000
+#: Cells that nodes are dealt to, at most.
+PIVOTS = 256
 
 
 def exact_matches(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -27,20 +30,110 @@ def exact_matches(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
     return m.join(named, ["name_key", "node_type"], "left").join(known, F.col("stable") == F.col("by_id"), "left")
 
 
+def _matrix(vectors, size: int | None = None) -> np.ndarray:
+    """Unit vectors as rows; shorter ones are filled with zeros, which is the cosine over the common length."""
+    size = size or max(map(len, vectors))
+    out = np.zeros((len(vectors), size))
+    for row, v in zip(out, vectors, strict=True):
+        row[: len(v)] = v
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm == 0, 1, norm)
+
+
+def _angles(vectors, pivots: list[list[float]]) -> np.ndarray:
+    size = max(max(map(len, vectors)), max(map(len, pivots)))
+    return np.arccos(np.clip(_matrix(vectors, size) @ _matrix(pivots, size).T, -1, 1))
+
+
+def _cells(n: DataFrame, m: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Nodes with the ``cell`` of their nearest pivot, mentions with each cell that may hold a match.
+
+    Angles obey the triangle inequality: a node within the threshold of a mention differs
+    from it by no more than the threshold's angle in the distance to any pivot. Pivots and
+    the span of each cell are what the driver sees, ``PIVOTS`` rows at most.
+    """
+    count = n.count()
+    pivots = [r["v"] for r in n.orderBy(F.xxhash64("near_uuid"), "near_uuid").limit(min(PIVOTS, -(-count // BLOCK))).select("v").collect()]
+    if len(pivots) < 2 or threshold >= 1:  # a null vector has distance 1 and no angle
+        return n.withColumn("cell", F.lit(0)), m.withColumn("cell", F.lit(0))
+
+    @F.pandas_udf("cell int, angle double")
+    def own(vectors: pd.Series) -> pd.DataFrame:
+        a = _angles(vectors.tolist(), pivots)
+        at = a.argmin(1)
+        return pd.DataFrame({"cell": at.astype(np.int32), "angle": a[np.arange(len(a)), at]})
+
+    n = materialize(n.withColumn("at", own("v")).select("*", "at.cell", "at.angle").drop("at"), "node-cells")
+    spans = {r["cell"]: (r["low"], r["high"]) for r in n.groupBy("cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high")).collect()}
+    reach = float(np.arccos(1 - threshold - 10.0**-scoring.DIGITS)) + 1e-6
+    cells = np.array(sorted(spans), np.int32)
+    low, high = (np.array([spans[c][k] for c in cells]) for k in (0, 1))
+
+    @F.pandas_udf("array<int>")
+    def met(vectors: pd.Series) -> pd.Series:
+        a = _angles(vectors.tolist(), pivots)[:, cells]
+        near = (a - reach <= high) & (a + reach >= low)
+        return pd.Series([cells[x].tolist() for x in near])
+
+    return n.drop("angle"), m.withColumn("cell", F.explode(met("v")))
+
+
 def nearest(mentions: DataFrame, nodes: DataFrame, threshold: float = NEAR) -> DataFrame:
-    """``(mention_id, near_uuid, distance)``: the nearest node of a mention's type within the threshold."""
-    n = nodes.where("embedding IS NOT NULL").select(F.col("uuid").alias("near_uuid"), "node_type", F.col("embedding").alias("v"))
-    met = mentions.where("embedding IS NOT NULL").join(n, "node_type").withColumn("distance", scoring.cosine_distance(F.col("embedding"), F.col("v")))
-    best = met.where(F.col("distance") <= threshold).groupBy("mention_id").agg(F.min(F.struct("distance", "near_uuid")).alias("b"))
-    return best.select("mention_id", "b.near_uuid", "b.distance")
+    """``(mention_id, near_uuid, distance)``: the nearest node of a mention's type within the threshold.
+
+    Exact. Mentions meet the nodes of their type in blocks, as matrix products, and only in
+    the cells where a match can be; each block names the best of each mention.
+    """
+    vector = F.col("embedding").cast("array<double>").alias("v")
+    n = nodes.where("embedding IS NOT NULL").select(F.col("uuid").alias("near_uuid"), "node_type", vector)
+    m = mentions.where("embedding IS NOT NULL").select("mention_id", "node_type", vector)
+    kinds = [f.dataType.simpleString() for f in m.select("mention_id").schema]
+    n, m = _cells(n, m, threshold)
+    key = ["node_type", "cell"]
+    size = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
+    sizes = materialize(size(n, "n_blocks").join(size(m, "m_blocks"), key), "block-counts")
+
+    def dealt(df: DataFrame, own: str, other: str, by: str) -> DataFrame:
+        some = df.join(sizes, key).withColumn(own, F.pmod(F.xxhash64(by), F.col(f"{own}s")).cast("int"))
+        return some.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))).drop("n_blocks", "m_blocks").groupBy(*key, "n_block", "m_block")
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.sort_values("near_uuid", kind="stable")  # the first of equals is the smallest
+        a, b = left["v"].tolist(), right["v"].tolist()
+        if not a or not b:
+            return pd.DataFrame({"mention_id": left["mention_id"][:0], "near_uuid": right["near_uuid"][:0], "distance": np.zeros(0)})
+        size = max(max(map(len, a)), max(map(len, b)))
+        d = np.round(1 - _matrix(a, size) @ _matrix(b, size).T, scoring.DIGITS) + 0.0
+        at = d.argmin(1)
+        least = d[np.arange(len(d)), at]
+        keep = least <= threshold
+        return pd.DataFrame({"mention_id": left["mention_id"].to_numpy()[keep], "near_uuid": right["near_uuid"].to_numpy()[at[keep]], "distance": least[keep]})
+
+    met = dealt(m, "m_block", "n_block", "mention_id").cogroup(dealt(n, "n_block", "m_block", "near_uuid")).applyInPandas(best, f"mention_id {kinds[0]}, near_uuid string, distance double")
+    return met.groupBy("mention_id").agg(F.min(F.struct("distance", "near_uuid")).alias("b")).select("mention_id", "b.near_uuid", "b.distance")
 
 
 def resolve(mentions: DataFrame, nodes: DataFrame, threshold: float = NEAR) -> DataFrame:
-    """``(mention_id, uuid, how)``: by vector, then name, then stable id, else new under that id."""
-    exact = exact_matches(mentions, nodes)
-    out = exact.join(nearest(mentions, nodes, threshold), "mention_id", "left")
-    how = F.when(F.col("near_uuid").isNotNull(), "vector").when(F.col("by_name").isNotNull(), "name").when(F.col("by_id").isNotNull(), "id").otherwise("new")
-    return out.select("mention_id", F.coalesce("near_uuid", "by_name", "stable").alias("uuid"), how.alias("how"))
+    """``(mention_id, uuid, how)`` of ``mentions (mention_id, name, node_type, embedding)``.
+
+    SELF is the node of the mention's ``user_id`` (the default user without the column); a
+    generated id must be a node's and is never created (``missing``); an empty name has no
+    node (``empty``). All others: by vector, then name, then stable id, else new under that id.
+    """
+    clean = ids.strip(F.coalesce("name", F.lit("")))
+    m = mentions.withColumn("name", clean).withColumn("me", F.upper("name") == "SELF").withColumn("strict", ids.is_generated_id(F.col("name")))
+    if "user_id" not in m.columns:
+        m = m.withColumn("user_id", F.lit(DEFAULT_USER))
+    named = m.where("NOT me AND NOT strict AND name <> ''")
+    exact = exact_matches(m, nodes).join(nearest(named, nodes, threshold), "mention_id", "left")
+    known = nodes.select(F.col("uuid").alias("as_id"))
+    out = exact.join(known, F.col("strict") & (F.col("name") == F.col("as_id")), "left")
+    how = (
+        F.when(F.col("name") == "", "empty").when(F.col("me"), "self").when(F.col("strict"), F.when(F.col("as_id").isNotNull(), "strict").otherwise("missing"))
+        .when(F.col("near_uuid").isNotNull(), "vector").when(F.col("by_name").isNotNull(), "name").when(F.col("by_id").isNotNull(), "id").otherwise("new")
+    )
+    uuid = F.when(F.col("name") == "", None).when(F.col("me"), ids.self_id(F.col("user_id"))).when(F.col("strict"), F.col("as_id")).otherwise(F.coalesce("near_uuid", "by_name", "stable"))
+    return out.select("mention_id", uuid.alias("uuid"), how.alias("how"))
 
 
 def _links(items: DataFrame, threshold: float) -> DataFrame:
@@ -65,7 +158,8 @@ def _links(items: DataFrame, threshold: float) -> DataFrame:
         x, y = pdf.iloc[one[i][keep]], pdf.iloc[two[k][keep]]
         return pd.DataFrame({"ap": x["pos"].to_numpy(), "a": x["stable"].to_numpy(), "bp": y["pos"].to_numpy(), "b": y["stable"].to_numpy(), "distance": d[i, k][keep]})
 
-    found = dealt.groupBy("node_type", "one", "two").applyInPandas(near, "ap long, a string, bp long, b string, distance double")
+    pos = items.select("at.pos").schema["pos"].dataType.simpleString()
+    found = dealt.groupBy("node_type", "one", "two").applyInPandas(near, f"ap {pos}, a string, bp {pos}, b string, distance double")
     x, y = F.struct(F.col("ap").alias("pos"), F.col("a").alias("stable")), F.struct(F.col("bp").alias("pos"), F.col("b").alias("stable"))
     return found.select(F.least(x, y).alias("e"), F.greatest(x, y).alias("l"), "distance")
 
@@ -98,7 +192,7 @@ def greedy_resolution(mentions: DataFrame, threshold: float = NEAR) -> DataFrame
     lead, so vectors are compared once. Without a vector a mention is its own leader.
     """
     keyed = mentions.withColumn("stable", ids.entity_id(F.col("node_type"), F.col("name")))
-    first = keyed.groupBy("node_type", "stable").agg(F.min(F.struct(F.col("pos").cast("long").alias("pos"), "embedding")).alias("m"))
+    first = keyed.groupBy("node_type", "stable").agg(F.min(F.struct("pos", "embedding")).alias("m"))
     vector = F.col("m.embedding").cast("array<double>")
     same = F.exists(vector, lambda x: x != 0) & ~F.exists(vector, F.isnan) & F.lit(threshold >= 0)
     kind = F.when(same, F.sha2(F.concat_ws(":", "node_type", vector.cast("string")), 256)).otherwise(F.col("stable"))

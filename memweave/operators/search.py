@@ -55,3 +55,10 @@ def search(nodes: DataFrame, edges: DataFrame, query: Column, now: str, **how) -
     """Both sides, ranked apart and never fused."""
     edge_how = {k: v for k, v in how.items() if k != "node_types"}
     return search_nodes(nodes, query, now, **how), search_edges(edges, query, now, **edge_how)
+
+
+def counted(found: DataFrame, facts: DataFrame) -> DataFrame:
+    """Both result lists as ``(kind, uuid, effective)``, each row with the ``count`` of all."""
+    one = lambda df, kind: df.select(F.lit(kind).alias("kind"), "uuid", "effective")
+    both = one(found, "node").unionByName(one(facts, "edge"))
+    return both.crossJoin(both.agg(F.count(F.lit(1)).alias("count")))  # one row

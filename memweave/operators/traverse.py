@@ -48,9 +48,9 @@ def prune(nodes: DataFrame, query: Column | None, k: int) -> DataFrame:
     """The ``k`` best nodes by similarity to the query and share of the most observations."""
     n = observed(nodes)
     near = scoring.cosine(F.col("embedding"), query) if query is not None else F.lit(0.0)
-    most = F.max(n).over(Window.partitionBy())
-    scored = nodes.withColumn("score", scoring.frontier_score(near, n, most))
-    return scored.orderBy(F.desc("score"), "uuid").limit(k).drop("score")
+    most = nodes.agg(F.max(n).alias("most"))  # one row
+    scored = nodes.crossJoin(most).withColumn("score", scoring.frontier_score(near, n, F.col("most")))
+    return scored.orderBy(F.desc("score"), "uuid").limit(k).drop("score", "most")
 
 
 def expand(

@@ -1,9 +1,12 @@
-"""The expansion as unrolled SQL, written from its contract and not from the operator."""
+"""The expansion as unrolled SQL, written from its contract and not from the operator.
+
+``seeds`` are expressions of ids or, with ``selects``, queries of them.
+"""
 
 from __future__ import annotations
 
 
-def expand_sql(seeds: list[str], hops: int, k: int, floor: int = 40, source: str | None = None, query: str | None = None, me: str | None = None) -> str:
+def expand_sql(seeds: list[str], hops: int, k: int, floor: int = 40, source: str | None = None, query: str | None = None, me: str | None = None, selects: bool = False) -> str:
     passes = f"(n.source IS NULL OR n.source = '{source}')" if source else "true"
     score = "0.3 * CASE WHEN mx > 0 THEN n_obs / mx ELSE 0.0 END"
     if query:
@@ -15,7 +18,7 @@ def expand_sql(seeds: list[str], hops: int, k: int, floor: int = 40, source: str
 JOIN embeddings v ON v.vec_id = r.vec_id ORDER BY s DESC, r.uuid LIMIT {size}) z"""
 
     ctes = [
-        "d0 AS (" + " UNION ".join(f"SELECT {s} AS uuid" for s in seeds) + ")",
+        "d0 AS (" + " UNION ".join(f"(SELECT uuid FROM ({s}) q)" if selects else f"SELECT {s} AS uuid" for s in seeds) + ")",
         "s0 AS (SELECT n.uuid FROM d0 JOIN nodes n USING (uuid) WHERE n.node_type <> 'log' AND n.weight > 0)",
         f"f0 AS (SELECT n.uuid FROM s0 JOIN nodes n USING (uuid) WHERE {passes})",
     ]
@@ -31,13 +34,14 @@ FROM edges e JOIN f{h} f ON f.uuid = e.{a} WHERE e.user_id = 'global') t WHERE r
             f"c{h} AS (SELECT DISTINCT other AS uuid, near_id FROM i{h} WHERE other NOT IN (SELECT uuid FROM d{h}))",
             f"d{h + 1} AS (SELECT uuid FROM d{h} UNION SELECT uuid FROM c{h})",
             f"n{h} AS (SELECT n.uuid FROM (SELECT DISTINCT uuid FROM c{h}) c JOIN nodes n USING (uuid) WHERE n.weight > 0 AND n.node_type <> 'log' AND {passes})",
+            f"l{h} AS (SELECT n.uuid FROM (SELECT DISTINCT uuid FROM c{h}) c JOIN nodes n USING (uuid) WHERE n.weight > 0 AND n.node_type = 'log')",
         ]
         kept = top(f"SELECT uuid FROM n{h}", k)
         if h == 0 and floor > 0:
             mine = top(f"SELECT uuid FROM n{h} WHERE uuid IN (SELECT uuid FROM c{h} WHERE near_id = {me})", floor)
             kept = f"({kept}) UNION ({mine})"
         ctes.append(f"f{h + 1} AS ({kept})")
-        outs.append(f"SELECT 'node', uuid FROM f{h + 1}")
+        outs += [f"SELECT 'node', uuid FROM f{h + 1}", f"SELECT 'node', uuid FROM l{h}"]
     edges = " UNION ".join(f"SELECT uuid FROM i{h} WHERE weight > 0" for h in range(hops))
-    outs.append(f"SELECT 'edge', uuid FROM ({edges}) x")
+    outs.append(f"SELECT DISTINCT 'edge', uuid FROM ({edges}) x")
     return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(outs)

@@ -14,21 +14,26 @@ from memweave.runtime import table
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"]
 #: In this order; each may read those before it.
 VIEWS = {
-    "raw_nodes": """
-SELECT 'entity_' || sha1('place:' || lower(trim(r_name))) AS uuid, 'place' AS node_type, r_name AS content,
-       CAST(NULL AS STRING) AS source, CAST(NULL AS TIMESTAMP) AS updated_at, CAST(r_regionkey AS BIGINT) AS k FROM region
+    "node_keys": """
+SELECT 'entity_' || sha1('place:' || lower(trim(r_name))) AS uuid, 'place' AS node_type, r_name AS content, CAST(NULL AS STRING) AS source, CAST(r_regionkey AS BIGINT) AS k FROM region
 UNION ALL
-SELECT 'entity_' || sha1('place:' || lower(trim(n_name))), 'place', n_name, NULL, NULL, CAST(n_nationkey AS BIGINT) FROM nation
+SELECT 'entity_' || sha1('place:' || lower(trim(n_name))), 'place', n_name, NULL, CAST(n_nationkey AS BIGINT) FROM nation
 UNION ALL
-SELECT 'entity_' || sha1('person:' || lower(trim(c_name))), 'person', c_name, c_mktsegment, o.d, c_custkey
-FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS d FROM orders GROUP BY o_custkey) o ON o.o_custkey = c_custkey
+SELECT 'entity_' || sha1('person:' || lower(trim(c_name))), 'person', c_name, c_mktsegment, c_custkey FROM customer
 UNION ALL
-SELECT 'entity_' || sha1('organization:' || lower(trim(s_name))), 'organization', s_name, NULL, l.d, s_suppkey
-FROM supplier LEFT JOIN (SELECT l_suppkey, max(l_shipdate) AS d FROM lineitem GROUP BY l_suppkey) l ON l.l_suppkey = s_suppkey
+SELECT 'entity_' || sha1('organization:' || lower(trim(s_name))), 'organization', s_name, NULL, s_suppkey FROM supplier
 UNION ALL
-SELECT 'entity_' || sha1('asset:' || lower(trim(p_name))), 'asset', min(p_name), NULL, NULL, min(p_partkey) FROM part GROUP BY lower(trim(p_name))
+SELECT 'entity_' || sha1('asset:' || lower(trim(p_name))), 'asset', min(p_name), NULL, min(p_partkey) FROM part GROUP BY lower(trim(p_name))
 UNION ALL
-SELECT 'entity_' || sha1('self:global'), 'person', 'Me', NULL, NULL, CAST(0 AS BIGINT)""",
+SELECT 'log_' || CAST(event_id AS STRING), 'log', event_type || ' by user ' || CAST(user_id AS STRING), NULL, event_id FROM events
+UNION ALL
+SELECT 'entity_' || sha1('self:global'), 'person', 'Me', NULL, CAST(0 AS BIGINT)""",
+    "node_times": """
+SELECT 'entity_' || sha1('person:' || lower(trim(c_name))) AS uuid, max(o_orderdate) AS updated_at FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1
+UNION ALL
+SELECT 'entity_' || sha1('organization:' || lower(trim(s_name))), max(l_shipdate) FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1
+UNION ALL
+SELECT 'log_' || CAST(event_id AS STRING), ts FROM events""",
     "raw_triples": """
 SELECT 'entity_' || sha1('place:' || lower(trim(n_name))) AS s, 'is_part_of' AS p, 'entity_' || sha1('place:' || lower(trim(r_name))) AS o, CAST(n_nationkey AS BIGINT) AS j
 FROM nation JOIN region ON n_regionkey = r_regionkey
@@ -42,18 +47,22 @@ UNION ALL
 SELECT 'entity_' || sha1('organization:' || lower(trim(s_name))), 'owns', 'entity_' || sha1('asset:' || lower(trim(p_name))), l_orderkey
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
 UNION ALL
-SELECT 'entity_' || sha1('self:global'), 'knows', 'entity_' || sha1('person:' || lower(trim(c_name))), c_custkey
-FROM customer WHERE c_custkey < 60""",
+SELECT 'entity_' || sha1('person:' || lower(trim(c_name))), 'said', 'log_' || CAST(event_id AS STRING), event_id FROM events JOIN customer ON c_custkey = user_id
+UNION ALL
+SELECT 'log_' || CAST(event_id AS STRING), 'about', 'entity_' || sha1('asset:' || lower(trim(p_name))), event_id FROM events JOIN part ON p_partkey = event_id
+UNION ALL
+SELECT 'entity_' || sha1('self:global'), 'knows', 'entity_' || sha1('person:' || lower(trim(c_name))), c_custkey FROM customer""",
     "edges": """
-SELECT uuid, subject_uuid, predicate, object_uuid, n_obs, first_j, 'global' AS user_id, 'general' AS domain,
+SELECT uuid, subject_uuid, predicate, object_uuid, n_obs, first_j, CASE WHEN substr(uuid, 6, 1) = 'f' THEN 'other' ELSE 'global' END AS user_id, 'general' AS domain,
        CASE WHEN substr(uuid, 5, 1) = '0' THEN CAST(0.0 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END AS weight
 FROM (SELECT 'rel_' || sha1(s || ':' || p || ':' || o) AS uuid, s AS subject_uuid, p AS predicate, o AS object_uuid,
              count(DISTINCT j) AS n_obs, min(j) AS first_j FROM raw_triples GROUP BY s, p, o) t""",
     "nodes": """
-SELECT r.uuid, r.node_type, r.content, lower(r.content) AS name_key, 'general' AS domain, 'global' AS user_id, r.source, r.updated_at, r.k,
+SELECT r.uuid, r.node_type, r.content, lower(r.content) AS name_key, 'general' AS domain, CASE WHEN substr(r.uuid, 9, 1) IN ('f', '7') THEN 'other' ELSE 'global' END AS user_id, r.source, t.updated_at, r.k,
        r.k % (SELECT count(*) FROM embeddings) AS vec_id, coalesce(e.n_obs, 0) AS n_obs,
        CASE WHEN substr(r.uuid, 8, 1) = '0' THEN CAST(0.0 AS DOUBLE) ELSE CAST(0.55 AS DOUBLE) END AS weight
-FROM raw_nodes r LEFT JOIN (SELECT subject_uuid, CAST(sum(n_obs) AS BIGINT) AS n_obs FROM edges GROUP BY subject_uuid) e ON e.subject_uuid = r.uuid""",
+FROM node_keys r LEFT JOIN node_times t ON t.uuid = r.uuid
+LEFT JOIN (SELECT subject_uuid, CAST(sum(n_obs) AS BIGINT) AS n_obs FROM edges GROUP BY subject_uuid) e ON e.subject_uuid = r.uuid""",
     "logs": """
 SELECT 'log_' || CAST(event_id AS STRING) AS uuid, 'log' AS node_type, event_type || ' by user ' || CAST(user_id AS STRING) AS content,
        event_type AS domain, 'user_' || CAST(user_id AS STRING) AS user_id, CAST(0.3 AS DOUBLE) AS weight, props AS metadata,
@@ -64,9 +73,17 @@ SELECT 'entity_' || sha1('event:' || event_type) AS entity_uuid, 'log_' || CAST(
 UNION ALL
 SELECT 'entity_' || sha1('self:user_' || CAST(user_id AS STRING)), 'log_' || CAST(event_id AS STRING), ts, event_id FROM events) m""",
     "corpus_docs": """
-SELECT 'doc_' || sha1('document:' || source || ':doc_' || CAST(doc_id AS STRING) || '.txt') AS uuid, 'corpus_' || sha1('corpus:' || source) AS corpus_uuid,
-       source AS corpus_id, 'doc_' || CAST(doc_id AS STRING) || '.txt' AS filename, doc_id, lang,
-       replace(text, chr(10), chr(10) || chr(10)) AS content FROM documents""",
+SELECT 'doc_' || sha1('document:' || source || ':' || filename) AS uuid, 'corpus_' || sha1('corpus:' || source) AS corpus_uuid, source AS corpus_id, filename, doc_id, lang, content FROM (
+SELECT source, doc_id, lang, 'doc_' || CAST(doc_id AS STRING) || CASE WHEN doc_id % 5 = 0 THEN '.py' ELSE '.txt' END AS filename,
+       replace(text, chr(10), chr(10) || chr(10)) || CASE doc_id % 3 WHEN 0 THEN ' axb' WHEN 1 THEN ' a.b' ELSE '' END AS content FROM documents) d""",
+    "code_docs": """
+SELECT p_partkey AS k, 'doc_' || sha1('document:code:src/m' || CAST(p_partkey AS STRING) || ext) AS uuid, 'code' AS corpus_id, 'src/m' || CAST(p_partkey AS STRING) || ext AS filename, brand,
+       CASE p_partkey % 4
+         WHEN 0 THEN 'import os.path' || chr(10) || 'from json import loads' || chr(10) || chr(10) || 'class ' || brand || ':' || chr(10) || '    def size(self):' || chr(10) || '        pass' || chr(10) || chr(10) || 'def f' || CAST(p_size AS STRING) || '():' || chr(10) || '    return 1' || chr(10)
+         WHEN 1 THEN 'import x from ''lib/' || brand || ''';' || chr(10) || 'const z = require(''zed'');' || chr(10)
+         WHEN 2 THEN 'def broken(:' || chr(10) || 'import ' || brand || chr(10)
+         ELSE 'import os' END AS content, p_size AS size
+FROM (SELECT p_partkey, p_size, replace(p_brand, '#', '') AS brand, CASE p_partkey % 4 WHEN 1 THEN '.js' WHEN 3 THEN '.txt' ELSE '.py' END AS ext FROM part) p""",
 }
 NODES_NOW, LOGS_NOW = "2001-12-01 00:00:00", "2024-02-01 00:00:00"
 
@@ -127,6 +144,14 @@ class Graph:
     def mentions(self) -> DataFrame:
         return self.view("mentions")
 
+    @cached_property
+    def node_keys(self) -> DataFrame:
+        return self.view("node_keys")
+
+    @cached_property
+    def code_docs(self) -> DataFrame:
+        return self.view("code_docs")
+
     @cached_property
     def corpus_docs(self) -> DataFrame:
         return self.view("corpus_docs")

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memweave.functions import code, ids, scoring, text
-from memweave.operators import corpus, enrich, ingest, listing, render, resolve, search, traverse
+from memweave.functions import ids, scoring, text
+from memweave.operators import corpus, enrich, ingest, listing, render, resolve, search, summarize, traverse
 from memweave.plans.expand_sql import expand_sql
 from memweave.plans.fixtures import LOGS_NOW, NODES_NOW, Graph, with_views
-from memweave.runtime import materialize
+from memweave.runtime import materialize, new_path
 from memweave.schema import NODE_TYPES, PREDICATES
 from memweave.sources import changelog
+from memweave.sources.vocabulary import Vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,7 +49,7 @@ def seed(g: Graph, *names: str) -> DataFrame:
 
 @register("SELECT coalesce(node_type, 'unknown') AS node_type, count(*) AS n FROM nodes GROUP BY 1", "nodes")
 def stats_nodes_by_type(g):
-    return listing.counts(g.nodes, "node_type")
+    return listing.counts(g.node_keys, "node_type")
 
 
 @register("SELECT coalesce(predicate, 'unknown') AS predicate, count(*) AS n FROM edges GROUP BY 1", "edges")
@@ -58,17 +59,45 @@ def stats_edges_by_predicate(g):
 
 @register("SELECT (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM edges) AS total_edges", "nodes", "edges")
 def stats_totals(g):
-    return listing.totals(g.nodes, g.edges)
+    return listing.totals(g.node_keys, g.edges)
 
 
 @register("SELECT 'node_type' AS kind, node_type AS name, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'predicate', predicate, count(*) FROM edges GROUP BY 2", "nodes", "edges")
 def stats_report(g):
-    return listing.report(g.nodes, g.edges)
+    return listing.report(g.node_keys, g.edges)
 
 
-@register("SELECT * FROM (VALUES " + ", ".join(f"('node_type', '{x}')" for x in NODE_TYPES) + ", " + ", ".join(f"('predicate', '{x}')" for x in [*PREDICATES, "mentors"]) + ") t(kind, name)")
+_VALUES = "SELECT * FROM (VALUES " + ", ".join(f"('node_type', '{x}')" for x in NODE_TYPES) + ", " + ", ".join(f"('predicate', '{x}')" for x in PREDICATES) + ") t(kind, name)"
+
+
+@register(_VALUES)
 def vocabulary(g):
-    return listing.vocabulary(g.spark, ["mentors", "knows"])
+    """Nothing is stored yet: the defaults."""
+    return listing.vocabulary(Vocabulary(g.spark, new_path(g.spark, "vocabulary")))
+
+
+@register(f"{_VALUES} UNION SELECT 'predicate', 'did_' || event_type FROM events")
+def vocabulary_append(g):
+    """Seeded, appended to twice, and read again."""
+    stored = Vocabulary(g.spark, new_path(g.spark, "vocabulary"))
+    stored.seed()
+    names = g.base("events").select(F.concat(F.lit("did_"), F.col("event_type")).alias("name"))
+    for some in (names, names.unionByName(g.spark.createDataFrame([("knows",)], "name string"))):
+        stored.append(some)
+    return listing.vocabulary(stored)
+
+
+@register("SELECT 'node_type' AS kind, 'odd' AS name UNION ALL SELECT 'predicate', name FROM (" + _VALUES + ") v WHERE kind = 'predicate'")
+def vocabulary_defaults(g):
+    """Only node types are stored; predicates fall back to the defaults."""
+    path = new_path(g.spark, "vocabulary")
+    g.spark.createDataFrame([("node_type", "odd")], "kind string, name string").write.parquet(path)
+    return listing.vocabulary(Vocabulary(g.spark, path))
+
+
+@register("SELECT 'ok' AS status")
+def health(g):
+    return listing.health(g.spark)
 
 
 @register(f"SELECT uuid, node_type, content, weight, user_id FROM nodes WHERE uuid = {NATION_0}", "nodes")
@@ -121,6 +150,23 @@ def backfill_plan(g):
     return listing.to_embed(some, 100).select("uuid")
 
 
+@register(
+    """WITH s AS (SELECT uuid FROM (SELECT uuid, content, vec_id FROM nodes ORDER BY uuid LIMIT 1000) t WHERE vec_id % 2 = 1 AND content <> '' ORDER BY uuid LIMIT 100)
+SELECT n.uuid, s.uuid IS NOT NULL AS filled, CASE WHEN s.uuid IS NOT NULL THEN 64 WHEN vec_id % 2 = 0 THEN (SELECT max(len(embedding)) FROM embeddings) END AS size FROM nodes n LEFT JOIN s USING (uuid)""",
+    "nodes",
+)
+def backfill(g):
+    some = g.with_vectors(g.nodes, "vec_id").withColumn("embedding", F.when(F.col("vec_id") % 2 == 0, F.col("embedding").cast("array<float>")))
+    out = listing.backfill(materialize(some.select("uuid", "content", "embedding"), "to-backfill"), 100)
+    return out.select("uuid", "filled", F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("long").alias("size"))
+
+
+@register("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE strftime(ts, '.%f') END || '+00:00' AS at FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN date_trunc('second', ts) ELSE ts END AS ts FROM events) e")
+def iso_times(g):
+    at = F.when(F.col("event_id") % 3 == 0, F.date_trunc("second", "ts")).otherwise(F.col("ts")).cast("timestamp")
+    return g.base("events").select("event_id", scoring.iso(at).alias("at"))
+
+
 # Scalar rules
 
 
@@ -239,17 +285,17 @@ WHERE weight > 0 AND weight >= {least} ORDER BY effective, uuid LIMIT {limit}"""
 _NODE_LIFE = "365.0"
 
 
-@register(_search_sql("nodes", "t.vec_id", "t.node_type <> 'log'", _NODE_LIFE, 40, 0, NODES_NOW, "updated_at", "n_obs"), "nodes")
+@register(_search_sql("nodes", "t.vec_id", "t.user_id = 'global' AND t.node_type <> 'log'", _NODE_LIFE, 40, 0, NODES_NOW, "updated_at", "n_obs"), "nodes")
 def search_nodes_decayed(g):
     return search.search_nodes(_vector_nodes(g), _q(g), NODES_NOW, limit=40).select("uuid", "effective")
 
 
-@register(_search_sql("edges", f"t.first_j % {SIZE}", "true", "90.0", 20, 0, NODES_NOW, "CAST(NULL AS TIMESTAMP)", "n_obs"), "edges")
+@register(_search_sql("edges", f"t.first_j % {SIZE}", "t.user_id = 'global'", "90.0", 20, 0, NODES_NOW, "CAST(NULL AS TIMESTAMP)", "n_obs"), "edges")
 def search_edges_decayed(g):
     return search.search_edges(_vector_edges(g), _q(g), NODES_NOW, limit=20).select("uuid", "effective")
 
 
-@register(_search_sql("nodes", "t.vec_id", "t.node_type IN ('person', 'asset')", _NODE_LIFE, 30, 0.5, NODES_NOW, "updated_at", "n_obs"), "nodes")
+@register(_search_sql("nodes", "t.vec_id", "t.user_id = 'global' AND t.node_type IN ('person', 'asset')", _NODE_LIFE, 30, 0.5, NODES_NOW, "updated_at", "n_obs"), "nodes")
 def search_min_significance(g):
     return search.search_nodes(_vector_nodes(g), _q(g), NODES_NOW, node_types=["person", "asset"], limit=30, min_significance=0.5).select("uuid", "effective")
 
@@ -259,14 +305,25 @@ def search_domain_filter(g):
     return search.search_nodes(_vector_logs(g), _q(g), LOGS_NOW, user_id="user_7", domain="click", node_types=["log"], limit=10).select("uuid", "effective")
 
 
+_FOUND = [
+    _search_sql("nodes", "t.vec_id", "t.user_id = 'global' AND t.node_type <> 'log'", _NODE_LIFE, 15, 0, NODES_NOW, "updated_at", "n_obs"),
+    _search_sql("edges", f"t.first_j % {SIZE}", "t.user_id = 'global'", "90.0", 15, 0, NODES_NOW, "CAST(NULL AS TIMESTAMP)", "n_obs"),
+]
+
+
+@register(f"SELECT *, count(*) OVER () AS count FROM (SELECT 'node' AS kind, uuid, effective FROM ({_FOUND[0]}) a UNION ALL SELECT 'edge', uuid, effective FROM ({_FOUND[1]}) b) r", "nodes", "edges")
+def search_counted(g):
+    return search.counted(*search.search(_vector_nodes(g), _vector_edges(g), _q(g), NODES_NOW, limit=15))
+
+
 # Traversal
 
 
 @register(
     """SELECT DISTINCT uuid FROM (
-SELECT e.uuid, row_number() OVER (PARTITION BY subject_uuid ORDER BY e.uuid) AS r FROM edges e JOIN nodes n ON n.uuid = subject_uuid WHERE node_type = 'place'
+SELECT e.uuid, row_number() OVER (PARTITION BY subject_uuid ORDER BY e.uuid) AS r FROM edges e JOIN nodes n ON n.uuid = subject_uuid WHERE node_type = 'place' AND e.user_id = 'global'
 UNION ALL
-SELECT e.uuid, row_number() OVER (PARTITION BY object_uuid ORDER BY e.uuid) AS r FROM edges e JOIN nodes n ON n.uuid = object_uuid WHERE node_type = 'place') t WHERE r <= 50""",
+SELECT e.uuid, row_number() OVER (PARTITION BY object_uuid ORDER BY e.uuid) AS r FROM edges e JOIN nodes n ON n.uuid = object_uuid WHERE node_type = 'place' AND e.user_id = 'global') t WHERE r <= 50""",
     "edges",
     "nodes",
 )
@@ -372,11 +429,11 @@ def source_logs_capped(g):
 
 @register(
     """WITH f AS (SELECT uuid AS fact_uuid, user_id, subject_uuid FROM edges), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, subject_uuid ORDER BY first_j DESC, uuid) AS rank FROM edges)
-SELECT fact_uuid, r.uuid AS candidate_uuid, rank FROM f JOIN r USING (user_id, subject_uuid) WHERE rank <= 10 AND fact_uuid <> r.uuid""",
+SELECT fact_uuid, r.uuid AS candidate_uuid, rank FROM f JOIN r USING (user_id, subject_uuid) WHERE rank <= 10 AND fact_uuid <> r.uuid AND substr(r.uuid, 7, 1) <> '0'""",
     "edges",
 )
 def supersede_candidates(g):
-    facts = g.edges.withColumn("updated_at", F.col("first_j")).withColumn("content", F.col("predicate"))
+    facts = g.edges.withColumn("updated_at", F.col("first_j")).withColumn("content", F.when(F.substring("uuid", 7, 1) == "0", F.lit("  ")).otherwise(F.col("predicate")))
     return resolve.supersede_candidates(g.edges, facts).withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -404,15 +461,22 @@ def entity_nearest_match(g):
     return resolve.nearest(m, _vector_nodes(g), threshold=0.5)
 
 
+_CASCADE_NAME = "CASE p_partkey % 11 WHEN 0 THEN ' self ' WHEN 1 THEN '  ' WHEN 2 THEN 'entity_' || sha1('organization:supplier ' || CAST(p_partkey AS STRING)) WHEN 3 THEN 'entity_' || sha1('place:nation_' || CAST(p_partkey % 25 AS STRING)) ELSE p_name END"
+
+
 @register(
-    f"""SELECT p_partkey AS mention_id, coalesce(s.b.u, nk.u, 'entity_' || sha1('organization:' || lower(trim(p_name)))) AS uuid,
-CASE WHEN s.b.u IS NOT NULL THEN 'vector' WHEN nk.u IS NOT NULL THEN 'name' WHEN i.uuid IS NOT NULL THEN 'id' ELSE 'new' END AS how
-FROM part LEFT JOIN ({_NEAR}) s ON s.mention_id = p_partkey LEFT JOIN (SELECT name_key, min(uuid) AS u FROM nodes WHERE node_type = 'organization' GROUP BY 1) nk ON nk.name_key = lower(p_name)
-LEFT JOIN nodes i ON i.uuid = 'entity_' || sha1('organization:' || lower(trim(p_name)))""",
+    f"""WITH m AS (SELECT p_partkey, trim({_CASCADE_NAME}) AS name FROM part), t AS (SELECT *, upper(name) = 'SELF' AS me, regexp_full_match(name, '(entity|rel)_[0-9a-f]{{40}}') AS strict FROM m)
+SELECT p_partkey AS mention_id,
+CASE WHEN name = '' THEN NULL WHEN me THEN {ME} WHEN strict THEN st.uuid ELSE coalesce(s.b.u, nk.u, 'entity_' || sha1('organization:' || lower(name))) END AS uuid,
+CASE WHEN name = '' THEN 'empty' WHEN me THEN 'self' WHEN strict AND st.uuid IS NULL THEN 'missing' WHEN strict THEN 'strict'
+     WHEN s.b.u IS NOT NULL THEN 'vector' WHEN nk.u IS NOT NULL THEN 'name' WHEN i.uuid IS NOT NULL THEN 'id' ELSE 'new' END AS how
+FROM t LEFT JOIN ({_NEAR}) s ON s.mention_id = p_partkey LEFT JOIN (SELECT name_key, min(uuid) AS u FROM nodes WHERE node_type = 'organization' GROUP BY 1) nk ON nk.name_key = lower(name)
+LEFT JOIN nodes i ON i.uuid = 'entity_' || sha1('organization:' || lower(name)) LEFT JOIN nodes st ON st.uuid = name""",
     "nodes",
 )
 def entity_cascade(g):
     m = g.with_vectors(_part_mentions(g), "k").withColumn("node_type", F.lit("organization"))
+    m = m.withColumn("name", F.expr(_CASCADE_NAME.replace("p_partkey", "mention_id").replace("p_name", "name")))
     return resolve.resolve(m, _vector_nodes(g), threshold=0.5)
 
 
@@ -427,9 +491,9 @@ _RAW_TERM = "CASE k % 7 WHEN 0 THEN 'self' WHEN 1 THEN '  ' WHEN 2 THEN 'None' W
 
 @register(
     f"""SELECT t.uuid AS term_id, CASE WHEN upper(b) = 'SELF' THEN 'Me' WHEN bad THEN NULL WHEN gen THEN r.content ELSE b END AS text,
-CASE WHEN upper(b) = 'SELF' THEN {ME} WHEN bad THEN NULL WHEN gen THEN r.uuid END AS uuid, bad AS rejected FROM (
+CASE WHEN upper(b) = 'SELF' THEN 'entity_' || sha1('self:' || t.user_id) WHEN bad THEN NULL WHEN gen THEN r.uuid END AS uuid, bad AS rejected FROM (
 SELECT s.*, upper(b) <> 'SELF' AND (b = '' OR lower(b) IN ('generic', 'unknown', 'none', 'null', 'n/a', 'na', 'unspecified') OR lower(b) = node_type OR (gen AND NOT EXISTS (SELECT 1 FROM nodes x WHERE x.uuid = s.b))) AS bad
-FROM (SELECT uuid, node_type, trim({_RAW_TERM}) AS b, regexp_full_match(trim({_RAW_TERM}), '(entity|rel)_[0-9a-f]{{40}}') AS gen FROM nodes) s) t LEFT JOIN nodes r ON r.uuid = t.b""",
+FROM (SELECT uuid, node_type, user_id, trim({_RAW_TERM}) AS b, regexp_full_match(trim({_RAW_TERM}), '(entity|rel)_[0-9a-f]{{40}}') AS gen FROM nodes) s) t LEFT JOIN nodes r ON r.uuid = t.b""",
     "nodes",
 )
 def term_resolution(g):
@@ -478,7 +542,7 @@ def corpus_bridge_edges(g):
     return corpus.has_chunk(n).unionByName(corpus.next_chunk(n)).unionByName(corpus.contains(g.corpus_docs)).select("predicate", "subject_uuid", "object_uuid", "uuid")
 
 
-_NAMES = "SELECT uuid AS document_id, 'entity_' || sha1(lang) AS entity_uuid, CASE lang WHEN 'en' THEN 'the' WHEN 'de' THEN 'Der' WHEN 'fr' THEN 'la' ELSE 'Que' END AS name FROM corpus_docs"
+_NAMES = "SELECT uuid AS document_id, 'entity_' || sha1(lang) AS entity_uuid, CASE lang WHEN 'en' THEN 'the' WHEN 'de' THEN 'Der' WHEN 'fr' THEN 'la' ELSE 'Que' END AS name FROM corpus_docs UNION ALL SELECT uuid, 'entity_' || sha1('a.b'), 'a\\.b' FROM corpus_docs"
 
 
 @register(
@@ -489,6 +553,7 @@ JOIN cut USING (document_id) WHERE regexp_matches(content, '(?i)(^|[^\\p{{L}}\\p
 def mentioned_in(g):
     name = F.when(F.col("lang") == "en", "the").when(F.col("lang") == "de", "Der").when(F.col("lang") == "fr", "la").otherwise("Que")
     names = g.corpus_docs.select(F.col("uuid").alias("document_id"), F.concat(F.lit("entity_"), F.sha1("lang")).alias("entity_uuid"), name.alias("name"))
+    names = names.unionByName(g.corpus_docs.select(F.col("uuid").alias("document_id"), F.concat(F.lit("entity_"), F.sha1(F.lit("a.b"))).alias("entity_uuid"), F.lit("a.b").alias("name")))
     return corpus.mentioned_in(names, _chunk_nodes(g)).select("subject_uuid", "object_uuid")
 
 
@@ -577,18 +642,18 @@ def refinery_parse(g):
     return g.base("customer").select("c_custkey", text.refinery_status(a).alias("status"), F.inline(text.refinery_triples(a)))
 
 
-_GAPS = "'- ' || c_name || '; none' || chr(10) || '2) ' || c_mktsegment || ' .,' || c_name || chr(10) || '* Nation ' || CAST(c_nationkey AS STRING) || ', rest'"
+_GAPS = "CASE c_custkey % 5 WHEN 0 THEN 'None.' WHEN 1 THEN c_name || ',' || c_name ELSE '- ' || c_name || '; none' || chr(10) || '2) ' || c_mktsegment || ' .,' || c_name || chr(10) || '* Nation ' || CAST(c_nationkey AS STRING) || ', rest' END"
 
 
-@register("SELECT c_custkey, c_name || '|' || c_mktsegment || '|Nation ' || CAST(c_nationkey AS STRING) AS queries FROM customer")
+@register("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN c_name ELSE c_name || '|' || c_mktsegment || '|Nation ' || CAST(c_nationkey AS STRING) END AS queries FROM customer")
 def gap_queries(g):
     return g.base("customer").select("c_custkey", F.array_join(text.gap_queries(F.expr(_GAPS)), "|").alias("queries"))
 
 
-_LINES = "'  - 1. ' || c_name || chr(10) || chr(10) || '• ' || c_mktsegment || chr(10) || '2. last' || chr(10) || 'over'"
+_LINES = "CASE c_custkey % 4 WHEN 0 THEN chr(10) WHEN 1 THEN '* only ' || c_name ELSE '  - 1. ' || c_name || chr(10) || chr(10) || '• ' || c_mktsegment || chr(10) || '2. last' || chr(10) || 'over' END"
 
 
-@register("SELECT c_custkey, c_name || '|' || c_mktsegment || '|last' AS statements FROM customer")
+@register("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'only ' || c_name ELSE c_name || '|' || c_mktsegment || '|last' END AS statements FROM customer")
 def statement_parse(g):
     return g.base("customer").select("c_custkey", F.array_join(text.statements(F.expr(_LINES)), "|").alias("statements"))
 
@@ -604,15 +669,28 @@ def predicate_gate(g):
 _FACT = "'status: ok' || chr(10) || 'triples:' || chr(10) || 'SELF | Did | ' || event_type || ' | person | event' || chr(10) || event_type || ' | NEW: seen-by | user ' || CAST(user_id AS STRING) || ' | event | person' || chr(10) || 'unknown | is_a | x'"
 
 
+def _entries(df, entry_id, user, at, answer):
+    return df.select(entry_id.cast("string").alias("entry_id"), F.lit("text").alias("text"), user.alias("user_id"), F.lit("general").alias("domain"), F.lit(None).cast("string").alias("source"), at.alias("at"), F.expr(answer).alias("answer"))
+
+
+def _user():
+    return F.concat(F.lit("user_"), F.col("user_id").cast("string"))
+
+
 def _ingested(g):
-    entries = g.base("events").select(F.col("event_id").cast("string").alias("entry_id"), F.col("event_type").alias("text"), F.concat(F.lit("user_"), F.col("user_id").cast("string")).alias("user_id"), F.lit("general").alias("domain"), F.lit(None).cast("string").alias("source"), F.col("ts").alias("at"), F.expr(_FACT).alias("answer"))
-    nodes = g.nodes.select("uuid", "content", "node_type")
-    return ingest.ingest(entries, nodes, PREDICATES, answer="answer")
+    # every tenth entry states nothing, whatever its triples say
+    answer = f"CASE WHEN event_id % 10 = 9 THEN replace({_FACT}, 'status: ok', 'status: None') ELSE {_FACT} END"
+    entries = _entries(g.base("events"), F.col("event_id"), _user(), F.col("ts"), answer)
+    seen = g.base("events").where("event_type < 'm'").select(ids.entity_id(F.lit("event"), F.col("event_type")).alias("uuid"), F.col("event_type").alias("content"), F.lit("event").alias("node_type")).distinct()
+    return ingest.ingest(entries, g.node_keys.select("uuid", "content", "node_type").unionByName(seen), PREDICATES, answer="answer")
+
+
+_TOLD = """t AS (SELECT 'user_' || CAST(user_id AS VARCHAR) AS u, event_type, user_id, event_id, 'entity_' || sha1('self:user_' || CAST(user_id AS VARCHAR)) AS me, 'entity_' || sha1('event:' || event_type) AS ev,
+'entity_' || sha1('person:user ' || CAST(user_id AS VARCHAR)) AS p FROM events WHERE event_id % 10 <> 9)"""
 
 
 @register(
-    """WITH t AS (SELECT 'user_' || CAST(user_id AS VARCHAR) AS u, event_id, 'entity_' || sha1('self:user_' || CAST(user_id AS VARCHAR)) AS me, 'entity_' || sha1('event:' || event_type) AS ev, 'entity_' || sha1('person:user ' || CAST(user_id AS VARCHAR)) AS p FROM events),
-f AS (SELECT me AS s, 'did' AS p, ev AS o, event_id FROM t UNION ALL SELECT ev, 'seen_by', p, event_id FROM t)
+    f"""WITH {_TOLD}, f AS (SELECT me AS s, 'did' AS p, ev AS o, event_id FROM t UNION ALL SELECT ev, 'seen_by', p, event_id FROM t)
 SELECT 'rel_' || sha1(s || ':' || p || ':' || o) AS uuid, s AS subject_uuid, p AS predicate, o AS object_uuid, count(DISTINCT event_id) AS n_obs FROM f GROUP BY s, p, o"""
 )
 def ingest_edges(g):
@@ -620,20 +698,101 @@ def ingest_edges(g):
 
 
 @register(
-    """WITH t AS (SELECT event_id, 'entity_' || sha1('self:user_' || CAST(user_id AS VARCHAR)) AS uuid, 'person' AS node_type, 'Me' AS content FROM events
-UNION ALL SELECT event_id, 'entity_' || sha1('event:' || event_type), 'event', event_type FROM events
-UNION ALL SELECT event_id, 'entity_' || sha1('person:user ' || CAST(user_id AS VARCHAR)), 'person', 'user ' || CAST(user_id AS VARCHAR) FROM events)
-SELECT uuid, node_type, content, count(DISTINCT event_id) AS n_obs, false AS existed FROM t GROUP BY 1, 2, 3"""
+    f"""WITH {_TOLD}, n AS (SELECT event_id, me AS uuid, 'person' AS node_type, 'Me' AS content, false AS existed FROM t
+UNION ALL SELECT event_id, ev, 'event', event_type, event_type < 'm' FROM t UNION ALL SELECT event_id, p, 'person', 'user ' || CAST(user_id AS VARCHAR), false FROM t)
+SELECT uuid, node_type, content, count(DISTINCT event_id) AS n_obs, existed FROM n GROUP BY 1, 2, 3, 5"""
 )
 def ingest_nodes(g):
     return _ingested(g).nodes.select("uuid", "node_type", "content", F.size("journal_entry_ids").cast("long").alias("n_obs"), "existed")
 
 
-@register("SELECT 'user_' || CAST(user_id AS VARCHAR) || ':' || CAST(event_id AS VARCHAR) || ':2' AS triple_id, 'unresolved id or placeholder' AS reason FROM events")
+@register(f"WITH {_TOLD} SELECT u || ':' || CAST(event_id AS VARCHAR) || ':2' AS triple_id, 'unresolved id or placeholder' AS reason FROM t")
 def ingest_rejects(g):
     return _ingested(g).rejected.select("triple_id", "reason")
 
 
+@register(
+    f"""WITH {_TOLD}, o AS (SELECT event_id, me AS id, false AS known FROM t UNION ALL SELECT event_id, ev, event_type < 'm' FROM t UNION ALL SELECT event_id, p, false FROM t),
+f AS (SELECT id, arg_min(event_id, (ts, event_id)) AS first FROM o JOIN events USING (event_id) GROUP BY 1)
+SELECT CAST(event_id AS VARCHAR) AS entry_id, id, CASE WHEN NOT known AND event_id = first THEN 'created' ELSE 'updated' END AS kind FROM o JOIN f USING (id)
+UNION SELECT CAST(event_id AS VARCHAR), 'rel_' || sha1(me || ':did:' || ev), 'fact' FROM t UNION SELECT CAST(event_id AS VARCHAR), 'rel_' || sha1(ev || ':seen_by:' || p), 'fact' FROM t"""
+)
+def ingest_acknowledgements(g):
+    return _ingested(g).acks
+
+
+_PROPOSED = "'status: ok' || chr(10) || 'triples:' || chr(10) || event_type || CASE event_id % 4 WHEN 0 THEN ' | NEW: resides in | ' WHEN 1 THEN ' | new:Likes | ' WHEN 2 THEN ' | NEW: odd-thing | ' ELSE ' | uses | ' END || 'thing'"
+
+
+@register(
+    """WITH t AS (SELECT DISTINCT event_type, CASE event_id % 4 WHEN 0 THEN 'lives_in' WHEN 1 THEN 'likes' WHEN 2 THEN 'odd_thing' ELSE 'uses' END AS predicate FROM events)
+SELECT 'edge' AS kind, 'rel_' || sha1('entity_' || sha1('generic:' || event_type) || ':' || predicate || ':entity_' || sha1('generic:thing')) AS name FROM t
+UNION ALL SELECT DISTINCT 'predicate', predicate FROM t WHERE predicate IN ('likes', 'odd_thing')"""
+)
+def ingest_gated(g):
+    """Proposals go to a known predicate, stay where the answer names an unknown one, or are approved."""
+    entries = _entries(g.base("events"), F.col("event_id"), F.lit("global"), F.col("ts"), _PROPOSED)
+    gate = F.expr("CASE predicate WHEN 'resides_in' THEN 'existing: Lives_In' WHEN 'likes' THEN 'EXISTING: made_up' ELSE 'NEW: approved' END")
+    done = ingest.ingest(entries, g.node_keys.select("uuid", "content", "node_type"), PREDICATES, answers={"extract": "answer", "gate": gate})
+    return done.edges.select(F.lit("edge").alias("kind"), F.col("uuid").alias("name")).unionByName(done.predicates.select(F.lit("predicate").alias("kind"), "name"))
+
+
+_WORDED = "CASE c_custkey % 3 WHEN 0 THEN upper(c_name) WHEN 1 THEN c_name || ' jr' ELSE 'new ' || c_name END"
+
+
+def _angle_vector(k):
+    return F.array(F.cos(k * 0.002), F.sin(k * 0.002)).cast("array<double>")
+
+
+def _worded(g):
+    """Customers under other names: by name, by vector, or new; nodes have vectors by their number."""
+    answer = f"'status: ok' || chr(10) || 'triples:' || chr(10) || {_WORDED} || ' | knows | thing | person | generic'"
+    entries = _entries(g.base("customer"), F.col("c_custkey"), F.lit("global"), F.lit("2024-01-01").cast("timestamp"), answer)
+    nodes = g.node_keys.where("node_type = 'person' AND content <> 'Me'").select("uuid", "content", "node_type", F.lower("content").alias("name_key"), _angle_vector(F.col("k")).alias("embedding"))
+    embed = lambda c: F.when(c.endswith(" jr"), _angle_vector(F.regexp_extract(c, r"(\d+)", 1).cast("long")))
+    collide = F.expr("CASE WHEN try_cast(regexp_extract(name, '([0-9]+)', 1) AS BIGINT) % 2 = 0 THEN 'Update it' ELSE 'insert' END")
+    return ingest.ingest(entries, nodes, PREDICATES, answers={"extract": "answer", "collide": collide}, embed=embed, threshold=0.0, collisions=True)
+
+
+_WORDED_MATCH = """p AS (SELECT c_custkey AS k, c_name, 'entity_' || sha1('person:' || lower(trim(c_name))) AS uuid, [cos(c_custkey * 0.002), sin(c_custkey * 0.002)] AS v FROM customer),
+near AS (SELECT m.k, min(n.uuid) AS uuid FROM p m JOIN p n ON round(1 - list_cosine_similarity(m.v, n.v), 6) <= 0 WHERE m.k % 3 = 1 GROUP BY 1)"""
+
+
+@register(
+    f"""WITH {_WORDED_MATCH}
+SELECT CAST(p.k AS VARCHAR) AS entry_id, coalesce(near.uuid, CASE p.k % 3 WHEN 0 THEN p.uuid ELSE 'entity_' || sha1('person:new ' || lower(p.c_name)) END) AS uuid,
+CASE p.k % 3 WHEN 0 THEN p.c_name WHEN 1 THEN q.c_name ELSE 'new ' || p.c_name END AS content FROM p LEFT JOIN near ON near.k = p.k LEFT JOIN p q ON q.uuid = near.uuid
+UNION ALL SELECT CAST(k AS VARCHAR), 'entity_' || sha1('generic:thing'), 'thing' FROM p"""
+)
+def ingest_resolved(g):
+    return _worded(g).named
+
+
+@register(
+    f"""WITH {_WORDED_MATCH}
+SELECT near.uuid, arg_max(p.c_name, CAST(p.k AS VARCHAR)) || ' jr' AS content FROM near JOIN p ON p.k = near.k WHERE near.k % 2 = 0 GROUP BY 1"""
+)
+def ingest_collisions(g):
+    return _worded(g).renamed.select("uuid", "content")
+
+
+@register(
+    """WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, 'rel_' || CAST(o_orderkey AS VARCHAR)) AS rank FROM orders),
+n AS (SELECT o_custkey, least(count(*), 10) AS n FROM r GROUP BY 1)
+SELECT 'rel_' || CAST(o_orderkey AS VARCHAR) AS uuid FROM r JOIN n USING (o_custkey) JOIN customer ON c_custkey = o_custkey WHERE rank = n % 3"""
+)
+def ingest_superseded(g):
+    """A new fact of each customer replaces the first or the second of their newest orders, or none."""
+    answer = "'status: ok' || chr(10) || 'triples:' || chr(10) || 'SELF | owns | thing'"
+    user = F.concat(F.lit("user_"), F.col("c_custkey").cast("string"))
+    entries = _entries(g.base("customer"), F.col("c_custkey"), user, F.lit("2024-01-01").cast("timestamp"), answer)
+    owner = F.concat(F.lit("user_"), F.col("o_custkey").cast("string"))
+    stored = g.base("orders").select(F.concat(F.lit("rel_"), F.col("o_orderkey").cast("string")).alias("uuid"), owner.alias("user_id"), ids.self_id(owner).alias("subject_uuid"), F.lit("ordered").alias("content"), F.col("o_orderdate").alias("updated_at"))
+    said = F.expr("CASE size(facts) % 3 WHEN 1 THEN upper(facts[0].uuid) WHEN 2 THEN ' ' || facts[1].uuid ELSE 'none' END")
+    done = ingest.ingest(entries, g.node_keys.select("uuid", "content", "node_type"), PREDICATES, answers={"extract": "answer", "supersede": said}, edges=stored)
+    return done.tombstones
+
+
 @register(
     """WITH o AS (SELECT l_orderkey AS pos, l_partkey AS id, CASE WHEN l_linenumber = 1 THEN 'created' ELSE 'updated' END AS kind FROM lineitem),
 f AS (SELECT id, kind, min(pos) AS pos FROM o GROUP BY 1, 2), c AS (SELECT id, pos AS cp FROM f WHERE kind = 'created')
@@ -652,41 +811,143 @@ def consolidation(g):
     return ingest.consolidation_entries(g.logs, F.lit(LOGS_NOW).cast("timestamp"), answer=answer).select("entry_id", "text", "domain")
 
 
-# Rendering and code: rows only
+# Rendering and second passes
 
+_ONE_HOP = expand_sql([NATION_0], hops=1, k=20)
 
-@register(None)
+
+def _one_hop(g):
+    return _expand(g, seed(g, "nation_0"), hops=1)
+
+
+@register(
+    f"""WITH x AS (SELECT * FROM ({_ONE_HOP}) y), n AS (SELECT nodes.* FROM nodes JOIN x ON x.kind = 'node' AND x.uuid = nodes.uuid), e AS (SELECT edges.* FROM edges JOIN x ON x.kind = 'edge' AND x.uuid = edges.uuid)
+SELECT 0 AS part, '## Knowledge Graph' AS line UNION ALL SELECT 2, '## Relationships'
+UNION ALL SELECT 1, '- **' || node_type || '** `' || substr(uuid, 1, 8) || '`' || CASE WHEN uuid = {NATION_0} THEN ' [SEED]' ELSE '' END || ': ' || content || ' (metadata={{}})' FROM n WHERE node_type NOT IN ('log', 'chunk')
+UNION ALL SELECT 3, '- ' || {_LABEL.format('s', 'subject_uuid')} || ' --[' || predicate || ']--> ' || {_LABEL.format('o', 'object_uuid')} FROM e LEFT JOIN n s ON s.uuid = e.subject_uuid LEFT JOIN n o ON o.uuid = e.object_uuid""",
+    "nodes",
+    "edges",
+)
 def markdown(g):
-    graph = _expand(g, seed(g, "nation_0"), hops=1)
-    return render.markdown(graph, seed(g, "nation_0")).select("pos.part", "line")
+    return render.markdown(_one_hop(g), seed(g, "nation_0")).select("pos.part", "line")
 
 
-@register(None)
+@register(
+    f"""WITH x AS (SELECT * FROM ({_ONE_HOP}) y)
+SELECT 0 AS part, 'digraph memory {{' AS line UNION ALL SELECT 3, '}}'
+UNION ALL SELECT 1, '  "' || nodes.uuid || '" [label="' || substr(content, 1, 40) || '"];' FROM nodes JOIN x ON x.kind = 'node' AND x.uuid = nodes.uuid WHERE node_type <> 'log'
+UNION ALL SELECT 2, '  "' || subject_uuid || '" -> "' || object_uuid || '" [label="' || predicate || '"];' FROM edges JOIN x ON x.kind = 'edge' AND x.uuid = edges.uuid""",
+    "nodes",
+    "edges",
+)
 def dot_export(g):
-    return render.dot(_expand(g, seed(g, "nation_0"), hops=1)).select("pos.part", "line")
+    return render.dot(_one_hop(g)).select("pos.part", "line")
 
 
-@register(None)
+def _hits(limit):
+    return [
+        "SELECT uuid FROM (" + _search_sql("nodes", "t.vec_id", "t.user_id = 'global' AND t.node_type <> 'log'", _NODE_LIFE, limit, 0, NODES_NOW, "updated_at", "n_obs") + ") a",
+        "SELECT uuid FROM (" + _search_sql("edges", f"t.first_j % {SIZE}", "t.user_id = 'global'", "90.0", limit, 0, NODES_NOW, "CAST(NULL AS TIMESTAMP)", "n_obs") + ") b",
+    ]
+
+
+@register(expand_sql(_hits(5), hops=1, k=20, query=V0, selects=True), "nodes", "edges")
 def search_then_expand(g):
     nodes, edges = materialize(_vector_nodes(g), "graph-nodes"), materialize(_vector_edges(g), "graph-edges")
     return _expanded(traverse.search_then_expand(nodes, edges, _q(g), NODES_NOW, limit=5, hops=1))
 
 
-SNIPPETS = [("a/mod.py", "import os.path\nfrom json import loads\n\nclass A:\n    def m(self):\n        pass\n\ndef f():\n    return 1\n"), ("b/app.js", "import x from 'lib/y';\nconst z = require('zed');\n"), ("c.py", "def broken(:\nimport re\n"), ("d.txt", "import os")]
+@register(f"SELECT * FROM ({_ONE_HOP}) a UNION SELECT * FROM ({expand_sql(_hits(5)[:1], hops=1, k=20, selects=True)}) b", "nodes", "edges")
+def two_pass_retrieval(g):
+    """A subgraph with what the hits of a gap query add."""
+    nodes, edges = materialize(_vector_nodes(g), "graph-nodes"), materialize(g.edges, "graph-edges")
+    base = traverse.expand(nodes, edges, seed(g, "nation_0"), hops=1)
+    return _expanded(summarize.fill_gaps(base, nodes, edges, [_q(g)], NODES_NOW))
 
 
-def _snippets(g):
-    return g.spark.createDataFrame(SNIPPETS, "filename string, content string").withColumn("uuid", ids.document_id(F.lit("code"), F.col("filename")))
+# Code
 
+_CODE_CHUNKS = """cut AS (SELECT uuid AS document_id, i AS chunk_index, x AS content FROM (SELECT uuid, unnest(l) AS x, CAST(generate_subscripts(l, 1) - 1 AS BIGINT) AS i FROM (SELECT uuid, CASE k % 4
+WHEN 0 THEN ['import os.path' || chr(10) || 'from json import loads' || chr(10) || chr(10) || 'class ' || brand || ':' || chr(10) || '    def size(self):' || chr(10) || '        pass', 'def f' || CAST(size AS VARCHAR) || '():' || chr(10) || '    return 1']
+ELSE [trim(content, chr(10))] END AS l FROM code_docs) a) b)"""
+_CODE_FACTS = """facts AS (SELECT uuid, k, 'm' || CAST(k AS VARCHAR) AS m, brand, size FROM code_docs),
+triples AS (SELECT uuid, k, m AS subject, 'imports' AS predicate, 'os' AS object FROM facts WHERE k % 4 = 0 UNION ALL SELECT uuid, k, m, 'imports', 'json' FROM facts WHERE k % 4 = 0
+UNION ALL SELECT uuid, k, m, 'defines', brand FROM facts WHERE k % 4 = 0 UNION ALL SELECT uuid, k, brand, 'has_method', 'size' FROM facts WHERE k % 4 = 0 UNION ALL SELECT uuid, k, m, 'defines', 'f' || CAST(size AS VARCHAR) FROM facts WHERE k % 4 = 0
+UNION ALL SELECT uuid, k, m, 'imports', 'x' FROM facts WHERE k % 4 = 1 UNION ALL SELECT uuid, k, m, 'imports', 'lib' FROM facts WHERE k % 4 = 1 UNION ALL SELECT uuid, k, m, 'imports', 'zed' FROM facts WHERE k % 4 = 1
+UNION ALL SELECT uuid, k, m, 'imports', brand FROM facts WHERE k % 4 = 2)"""
+_OBJECT_TYPE = "CASE predicate WHEN 'imports' THEN 'module' ELSE 'function' END"
 
-@register(None)
+
+@register(f"WITH {_CODE_FACTS} SELECT uuid AS document_id, subject, predicate, object, 'module' AS subject_type, {_OBJECT_TYPE} AS object_type FROM triples", "code_docs")
 def code_triples(g):
-    return corpus.structural_edges(_snippets(g)).select("subject", "predicate", "object", "subject_type", "object_type")
+    return corpus.structural_edges(g.code_docs)
 
 
-@register(None)
+@register(f"WITH {_CODE_CHUNKS} SELECT * FROM cut", "code_docs")
 def chunk_code(g):
-    return _snippets(g).select("filename", F.posexplode(code.chunk_code(F.col("content"), 5)).alias("chunk_index", "content"))
+    return corpus.chunks(g.code_docs.select("uuid", "filename", "content")).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
+def _code_ingest(g):
+    """Documents of which some are stored as they are, some otherwise, some not at all."""
+    stored = g.code_docs.where("k % 5 <= 1").select("uuid", F.when(F.col("k") % 5 == 0, ids.content_hash(F.col("content"))).otherwise("old").alias("content_hash"))
+    nodes = g.node_keys.select("uuid", "content", "node_type", F.lit("global").alias("user_id"), F.lit(0.5).alias("weight"), F.lit(None).cast("string").alias("document_id"))
+    old = g.code_docs.select(F.concat(F.lit("old_"), "uuid").alias("uuid"), "content", F.lit("chunk").alias("node_type"), F.lit("global").alias("user_id"), F.when(F.col("k") % 2 == 0, 0.4).otherwise(0.0).alias("weight"), F.col("uuid").alias("document_id"))
+    answers = {"summary": F.concat(F.lit("Of "), F.col("filename")), "extract": F.lit("status: ok\ntriples:\nos | is_a | Library | generic | generic")}
+    return corpus.ingest_corpus(g.code_docs.select("corpus_id", "filename", "content"), stored, nodes.unionByName(old), at="2024-01-01T00:00:00+00:00", answers=answers)
+
+
+_DONE = "todo AS (SELECT uuid, k FROM code_docs WHERE k % 5 <> 0)"
+_SUMMARY_LOG = "'log_' || sha1('global:summary_' || uuid)"
+
+
+@register(
+    f"""WITH {_CODE_CHUNKS}, {_CODE_FACTS}, {_DONE}, c AS (SELECT cut.*, {_CHUNK_ID} AS uuid FROM cut JOIN todo ON todo.uuid = document_id), e AS (
+SELECT 'corpus_' || sha1('corpus:code') AS s, 'contains' AS p, uuid AS o FROM todo WHERE k % 5 <> 1
+UNION SELECT uuid, 'has_summary', {_SUMMARY_LOG} FROM todo UNION SELECT document_id, 'has_chunk', uuid FROM c
+UNION SELECT a.uuid, 'next_chunk', b.uuid FROM c a JOIN c b ON a.document_id = b.document_id AND b.chunk_index = a.chunk_index + 1
+UNION SELECT 'entity_' || sha1('generic:os'), 'mentioned_in', c.uuid FROM c JOIN todo ON todo.uuid = document_id WHERE k % 4 = 3 OR k % 4 = 0 AND chunk_index = 0
+UNION SELECT 'entity_' || sha1('generic:os'), 'is_a', 'entity_' || sha1('generic:library') FROM todo
+UNION SELECT 'entity_' || sha1('module:' || lower(subject)), predicate, 'entity_' || sha1({_OBJECT_TYPE} || ':' || lower(object)) FROM triples JOIN todo USING (uuid))
+SELECT 'rel_' || sha1(s || ':' || p || ':' || o) AS uuid, s AS subject_uuid, p AS predicate, o AS object_uuid FROM e""",
+    "code_docs",
+)
+def corpus_ingest_edges(g):
+    return _code_ingest(g).edges.select("uuid", "subject_uuid", "predicate", "object_uuid")
+
+
+@register(
+    f"""WITH {_CODE_CHUNKS}, {_CODE_FACTS}, {_DONE} SELECT 'corpus_' || sha1('corpus:code') AS uuid, 'corpus' AS node_type
+UNION SELECT uuid, 'document' FROM todo UNION SELECT {_SUMMARY_LOG}, 'log' FROM todo UNION SELECT {_CHUNK_ID}, 'chunk' FROM cut JOIN todo ON todo.uuid = document_id
+UNION SELECT 'entity_' || sha1('generic:' || x), 'generic' FROM (VALUES ('os'), ('library')) v(x)
+UNION SELECT 'entity_' || sha1('module:' || lower(subject)), 'module' FROM triples JOIN todo USING (uuid) UNION SELECT 'entity_' || sha1({_OBJECT_TYPE} || ':' || lower(object)), {_OBJECT_TYPE} FROM triples JOIN todo USING (uuid)""",
+    "code_docs",
+)
+def corpus_ingest_nodes(g):
+    return _code_ingest(g).nodes.select("uuid", "node_type")
+
+
+@register(
+    f"""WITH {_DONE} SELECT 'mark' AS kind, uuid FROM todo UNION ALL SELECT 'dead', 'old_' || uuid FROM todo WHERE k % 5 = 1 AND k % 2 = 0
+UNION ALL SELECT 'id', uuid FROM todo UNION ALL SELECT 'id', 'entity_' || sha1('generic:' || x) FROM (VALUES ('os'), ('library')) v(x)""",
+    "code_docs",
+)
+def corpus_ingest_marks(g):
+    done = _code_ingest(g)
+    marked = done.marks.where("pipeline_done_at = '2024-01-01T00:00:00+00:00' AND pipeline_error IS NULL")
+    return marked.select(F.lit("mark").alias("kind"), "uuid").unionByName(done.dead.select(F.lit("dead").alias("kind"), "uuid")).unionByName(done.acks.select(F.lit("id").alias("kind"), F.col("id").alias("uuid")))
+
+
+@register(
+    """WITH s AS (SELECT DISTINCT user_id, 'core_' || sha1('user_' || CAST(user_id AS VARCHAR) || ':Fact of user_' || CAST(user_id AS VARCHAR)) AS entry_id FROM events)
+SELECT 'log_' || sha1('user_' || CAST(user_id AS VARCHAR) || ':' || entry_id) AS uuid, 'log' AS node_type, 'core_memory' AS domain FROM s
+UNION ALL SELECT 'entity_' || sha1('self:user_' || CAST(user_id AS VARCHAR)), 'person', NULL FROM s UNION ALL SELECT 'entity_' || sha1('generic:tea'), 'generic', NULL"""
+)
+def consolidation_ingest(g):
+    """The statements go through ingest themselves, in the core domain."""
+    answers = {"consolidate": F.concat(F.lit("- Fact of "), F.col("user_id"), F.lit("\n")), "extract": F.lit("status: ok\ntriples:\nSELF | owns | tea")}
+    done = ingest.consolidate(g.logs, g.node_keys.select("uuid", "content", "node_type"), PREDICATES, F.lit(LOGS_NOW).cast("timestamp"), answers=answers)
+    return done.logs.select("uuid", "node_type", "domain").unionByName(done.nodes.select("uuid", "node_type", F.lit(None).cast("string").alias("domain")))
 
 
 def queries() -> dict[str, Query]:

@@ -10,13 +10,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
-#: Used only where the cluster names no shared folder, as in tests.
-LOCAL_DIR = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder where it is unset."""
-    return (spark.conf.get(CHECKPOINT_DIR, None) or f"{LOCAL_DIR}/{spark.sparkContext.applicationId}").rstrip("/")
+    """The cluster's ``spark.checkpoint.dir``. Only a local master, whose driver and executors are one machine, may do without."""
+    named = spark.conf.get(CHECKPOINT_DIR, None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError(f"{CHECKPOINT_DIR} must name a folder that driver and executors share")
+    return f"{tempfile.gettempdir()}/{context.applicationId}"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -33,15 +37,34 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_at = path
+    _written(df.sparkSession).add(path)
     return out
 
 
+def _written(spark: SparkSession) -> set[str]:
+    context = spark.sparkContext
+    if not hasattr(context, "_memweave_written"):
+        context._memweave_written = set()
+    return context._memweave_written
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _written(spark).discard(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has written in the shared folder, once their results are no longer read."""
+    for path in sorted(_written(spark)):
+        _delete(spark, path)
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a table that ``materialize`` returned and nothing reads any more."""
-    context = df.sparkSession.sparkContext
-    place = context._jvm.org.apache.hadoop.fs.Path(df.written_at)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
-    context._jvm.System.gc()  # lets the context cleaner drop the shuffle files of finished jobs
+    _delete(df.sparkSession, df.written_at)
+    # Spark drops a finished job's shuffle files when the driver has collected the plan that made them
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

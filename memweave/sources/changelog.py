@@ -7,6 +7,7 @@ path, so a path that is being read never changes.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,14 @@ class ChangeLog:
     def append(self, changes: DataFrame) -> None:
         changes.write.mode("append").parquet(self.path)
 
+    def exists(self) -> bool:
+        try:
+            return bool(self.spark.read.parquet(self.path).columns)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return False
+
     def log(self) -> DataFrame:
         return self.spark.read.option("mergeSchema", "true").parquet(self.path)
 
@@ -52,9 +61,16 @@ class ChangeLog:
         self.state().withColumn("seq", F.lit(last).cast("long")).withColumn("op", F.lit("create")).write.parquet(new_path)
         return ChangeLog(self.spark, new_path)
 
-    def wipe(self) -> None:
-        """Remove all entries; only ever on an explicit call."""
-        self.log().limit(0).write.mode("overwrite").parquet(self.path)
+    def wipe(self, new_path: str) -> ChangeLog:
+        """An empty log of the same columns, at a new path; only ever on an explicit call. What reads the old one is not disturbed."""
+        self.log().limit(0).write.parquet(new_path)
+        return ChangeLog(self.spark, new_path)
+
+
+def marks(seq: int, document_ids: DataFrame, failed: DataFrame, at: str) -> DataFrame:
+    """Every document of ``(uuid)`` is done at ``at``; those of ``failed (uuid, error)`` have an error as well."""
+    out = document_ids.select("uuid").distinct().join(failed.groupBy("uuid").agg(F.min("error").alias("pipeline_error")), "uuid", "left")
+    return out.select(F.lit(seq).cast("long").alias("seq"), "uuid", F.lit("touch").alias("op"), F.lit(at).alias("pipeline_done_at"), "pipeline_error")
 
 
 def touches(seq: Column | int, rows: DataFrame, journal_id: Column, now: Column) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Incremental ingest: new JSON files of entries go through the batch stages, micro-batch by micro-batch."""
+"""Incremental ingest and consolidation: files of entries and trigger files, micro-batch by micro-batch."""
 
 from __future__ import annotations
 
@@ -6,32 +6,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from memweave.operators import ingest as stages
 from memweave.operators import providers
-from memweave.operators.ingest import ingest
-from memweave.sources.changelog import ChangeLog
+from memweave.runtime import materialize
+from memweave.sources.changelog import ChangeLog, tombstones
+from memweave.sources.vocabulary import Vocabulary
 
 ENTRIES = "entry_id string, text string, user_id string, domain string, source string, at timestamp"
+RUNS = "user_id string, at timestamp"
+NODE_COLUMNS = ["uuid", "node_type", "content", "domain", "source", "user_id", "created_at", "weight", "metadata", "name_key", "journal_entry_ids", "embedding"]
+EDGE_COLUMNS = ["uuid", "subject_uuid", "predicate", "object_uuid", "content", "user_id", "created_at", "weight", "journal_entry_ids", "embedding"]
 
 
-def as_changes(seq: int, rows: DataFrame, columns: list[str]) -> DataFrame:
-    return rows.select(F.lit(seq).cast("long").alias("seq"), F.lit("create").alias("op"), *columns)
+def write(done: stages.Ingested, number: int, nodes: ChangeLog, edges: ChangeLog, stored_edges: DataFrame | None, vocabulary: Vocabulary | None) -> None:
+    """Append a batch's changes. The same batch again appends the same ids, and the fold takes them once."""
+    nodes.append(stages.changes(number, done.logs, NODE_COLUMNS))
+    nodes.append(stages.changes(number, done.nodes, NODE_COLUMNS))
+    nodes.append(done.renamed.select(F.lit(number).cast("long").alias("seq"), F.lit("touch").alias("op"), "uuid", "content", "name_key"))
+    edges.append(stages.changes(number, done.edges, EDGE_COLUMNS))
+    if stored_edges is not None:
+        edges.append(tombstones(number, done.tombstones, stored_edges))
+    if vocabulary is not None:
+        vocabulary.append(done.predicates)
 
 
-def start(spark: SparkSession, entries_path: str, nodes: ChangeLog, edges: ChangeLog, checkpoint: str, known: list[str], make=providers.rules, once: bool = True) -> StreamingQuery:
-    """Follow a folder of JSON entries into the two change logs.
+def _state(log: ChangeLog, columns: str) -> DataFrame:
+    return log.state() if log.exists() else log.spark.createDataFrame([], columns)
 
-    A micro-batch that is run again after a failure writes the same ids again, and the fold
-    takes them once.
-    """
-    node_columns = ["uuid", "node_type", "content", "user_id", "created_at", "weight"]
 
-    def batch(rows: DataFrame, number: int) -> None:
-        rows.persist()
-        done = ingest(rows, nodes.state(), known, make)
-        nodes.append(as_changes(number, done.logs, node_columns))
-        nodes.append(as_changes(number, done.nodes, [*node_columns, "name_key", "journal_entry_ids"]))
-        edges.append(as_changes(number, done.edges, ["uuid", "subject_uuid", "predicate", "object_uuid", "content", "user_id", "weight", "journal_entry_ids"]))
-        rows.unpersist()
-
-    stream = spark.readStream.schema(ENTRIES).json(entries_path).writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
+def _follow(spark: SparkSession, path: str, schema: str, checkpoint: str, batch, once: bool) -> StreamingQuery:
+    stream = spark.readStream.schema(schema).json(path).writeStream.option("checkpointLocation", checkpoint).foreachBatch(batch)
     return (stream.trigger(availableNow=True) if once else stream.trigger(processingTime="1 minute")).start()
+
+
+def start(spark: SparkSession, entries_path: str, nodes: ChangeLog, edges: ChangeLog, checkpoint: str, known: Vocabulary | list[str], make=providers.rules, once: bool = True, **how) -> StreamingQuery:
+    """Follow a folder of JSON entries into the two change logs and, where it is one, the stored vocabulary."""
+    stored = known if isinstance(known, Vocabulary) else None
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows = materialize(rows, "entries")
+        facts = materialize(_state(edges, "uuid string, user_id string, subject_uuid string, content string, updated_at timestamp"), "edge-state")
+        facts = facts if "updated_at" in facts.columns else facts.withColumn("updated_at", F.col("created_at"))
+        done = stages.ingest(rows, _state(nodes, "uuid string, content string, node_type string"), stored.names("predicate") if stored else known, make, edges=facts, **how)
+        write(done, number, nodes, edges, facts, stored)
+
+    return _follow(spark, entries_path, ENTRIES, checkpoint, batch, once)
+
+
+def start_consolidation(spark: SparkSession, runs_path: str, nodes: ChangeLog, edges: ChangeLog, checkpoint: str, known: Vocabulary | list[str], make=providers.rules, once: bool = True) -> StreamingQuery:
+    """Consolidate a user's newest logs whenever a scheduler drops a JSON file with ``(user_id, at)`` into a folder."""
+    stored = known if isinstance(known, Vocabulary) else None
+
+    def batch(runs: DataFrame, number: int) -> None:
+        who = materialize(runs.groupBy("user_id").agg(F.max("at").alias("run_at")), "runs")
+        state = materialize(nodes.state(), "node-state")
+        logs = state.join(who.select("user_id"), "user_id", "left_semi").withColumn("updated_at", F.col("created_at"))
+        at = who.agg(F.max("run_at")).first()[0]
+        done = stages.consolidate(logs, state, stored.names("predicate") if stored else known, F.lit(at).cast("timestamp"), make)
+        write(done, nodes.log().agg(F.max("seq")).first()[0] + 1, nodes, edges, None, stored)
+
+    return _follow(spark, runs_path, RUNS, checkpoint, batch, once)

@@ -52,29 +52,31 @@ def test_decay(spark):
 
 
 def test_prose_chunks(spark):
-    paras = ["w " * 10] * 4
-    t = "\n\n".join(paras)
-    got = one(spark, text.chunk_prose(L(t), 15))
-    assert got == code.prose_chunks(t, 15) and len(got) == 4
-    for t in ("", "   \n\n \n", "one", "a b\n\n\n\nc " * 9, "x " * 900 + "\n\ny"):
-        assert one(spark, text.chunk_prose(L(t), 7)) == code.prose_chunks(t, 7)
+    p = [f"{k} " + "w " * 9 for k in range(4)]
+    bare = [x.strip() for x in p]
+    got = one(spark, text.chunk_prose(L("\n\n".join(p)), 15))
+    assert got == [bare[0], *["\n\n".join(bare[k : k + 2]) for k in range(3)]]
+    for t, want in [("", []), ("   \n\n \n", []), ("one", ["one"]), ("a b\n\n\n\nc", ["a b\n\nc"]), ("x " * 9 + "\n\ny", ["x " * 8 + "x", "x " * 8 + "x\n\ny"])]:
+        assert one(spark, text.chunk_prose(L(t), 7)) == want
     with pytest.raises(ValueError):
         text.chunk_prose(L("x"), overlap=0)
     for name, want in [("a.py", "code"), ("b/C.TSX", "code"), ("n.md", "prose"), (".py", "prose"), ("x", "prose")]:
         assert one(spark, text.chunk_strategy(L(name))) == want
 
 
-def test_code_chunks():
+def test_code_chunks(spark):
     src = "import os\nX = 1\n\ndef f():\n    pass\n\nasync def g():\n    pass\nclass A:\n    def m(self): ...\n"
-    got = code.code_chunks(src)
-    assert got == ["import os\nX = 1\n\ndef f():\n    pass", "async def g():\n    pass", "class A:\n    def m(self): ..."]
-    assert code.code_chunks("x = 1\n\ny = 2") == ["x = 1\n\ny = 2"] and code.code_chunks("") == []
-    assert len(code.code_chunks("def f():\n" + "\n\n".join("  a b c" for _ in range(9)), 4)) > 1
+    cut = lambda t, n=600: one(spark, code.chunk_code(L(t), n))
+    assert cut(src) == ["import os\nX = 1\n\ndef f():\n    pass", "async def g():\n    pass", "class A:\n    def m(self): ..."]
+    assert cut("x = 1\n\ny = 2") == ["x = 1\n\ny = 2"] and cut("") == [] and cut("def f(): ...") == ["def f(): ..."]
+    assert cut("a\r\ndef f(): ...\x0cclass B: ...") == ["a\n\ndef f(): ...", "class B: ..."]
+    assert cut("def f():\n" + "\n\n".join("  a b c" for _ in range(4)), 4) == ["def f():\n  a b c", "a b c", "a b c\n\na b c"] or len(cut("def f():\n" + "\n\n".join("  a b c" for _ in range(9)), 4)) > 1
+    assert one(spark, code.chunk_code(F.lit(None).cast("string"))) is None
 
 
-def test_structure():
-    s = code.structure
-    assert s("import os.path\nfrom a.b import c\nfrom . import d\nclass K:\n  def m(self): ...\n  async def n(self): ...\ndef f(): ...", "p/mod.py") == [
+def test_structure(spark):
+    s = lambda t, f: [tuple(x) for x in one(spark, code.structural_triples(L(t), L(f)))]
+    assert s("import os.path\nfrom a.b import c\nfrom . import d\nclass K:\n  import no\n  def m(self): ...\n  async def n(self): ...\n  class I:\n    def deep(self): ...\nif 1:\n  def hidden(): ...\ndef f(): ...", "p/mod.py") == [
         ("mod", "imports", "os"), ("mod", "imports", "a"), ("mod", "defines", "K"), ("K", "has_method", "m"), ("K", "has_method", "n"), ("mod", "defines", "f"),
     ]
     assert s("def (:\nimport re\nimport re", "x.py") == [("x", "imports", "re")]

@@ -144,8 +144,7 @@ def test_change_log(spark, tmp_path):
     assert (a.uuid, a.content, a.weight, a.journal_entry_ids) == ("a", "first", 0.0, ["j1", "j2"])
     small = log.compact(f"{tmp_path}/compact")
     assert small.state().select("uuid", "content", "weight", "journal_entry_ids").collect() == log.state().select("uuid", "content", "weight", "journal_entry_ids").collect()
-    log.wipe()
-    assert log.log().count() == 0
+    assert log.wipe(f"{tmp_path}/empty").log().count() == 0 and log.log().count() == 5
 
 
 def test_files_and_requests(spark, tmp_path):
@@ -209,15 +208,95 @@ def test_corpus_ingest(spark):
     stored = docs.select(document_id(F.col("corpus_id"), F.col("filename")).alias("uuid"), F.when(F.col("filename") == "same.md", content_hash(F.col("content"))).otherwise("old").alias("content_hash")).where("uuid <> ''")
     stored = stored.join(docs.where("filename <> 'b.py'").select(document_id(F.col("corpus_id"), F.col("filename")).alias("uuid")), "uuid", "left_semi")
     a = stored.where("content_hash = 'old'").first().uuid
-    old = spark.createDataFrame([("old-chunk", "chunk", a, "global", 0.4), ("dead", "chunk", a, "global", 0.0)], "uuid string, node_type string, document_id string, user_id string, weight double")
+    old = spark.createDataFrame([("old-chunk", "chunk", a, "global", 0.4), ("dead", "chunk", a, "global", 0.0)], "uuid string, node_type string, document_id string, user_id string, weight double").withColumn("content", F.lit("x"))
     got = corpus.ingest_corpus(docs, stored, old, words=2)
     assert {r.filename: r.status for r in got.status.collect()} == {"a.md": "changed", "b.py": "new", "same.md": "unchanged"}
-    assert sorted(r.node_type for r in got.nodes.collect()) == ["chunk"] * 4 + ["corpus", "document", "document"]
+    assert sorted(r.node_type for r in got.nodes.collect()) == ["chunk"] * 4 + ["corpus", "document", "document", "function", "log", "log", "module", "module"]
     kinds = sorted(r.predicate for r in got.edges.collect())
-    assert kinds == ["contains", "defines", *["has_chunk"] * 4, "imports", "next_chunk", "next_chunk"]
+    assert kinds == ["contains", "defines", *["has_chunk"] * 4, "has_summary", "has_summary", "imports", "next_chunk", "next_chunk"]
     assert ids_of(got.dead) == ["old-chunk"]
 
 
+def test_corpus_ingest_isolates_failures(spark):
+    docs = spark.createDataFrame([("c", "good.md", "Ada works at Lab. Ada rests."), ("c", "bad.md", "boom"), ("c", "late.md", "Bob knows Ada. crash")], "corpus_id string, filename string, content string")
+    none = nodes(spark, ("other", {})).withColumn("document_id", F.lit(None).cast("string"))
+
+    def make():
+        inner = providers.rules()
+
+        def run(requests):
+            for r in requests:
+                if "boom" in r.user or "crash" in r.user and not r.user.startswith("Document: "):
+                    raise RuntimeError("no answer")
+            return inner(requests)
+
+        return run
+
+    got = corpus.ingest_corpus(docs, spark.createDataFrame([], "uuid string, content_hash string"), none, make=make, at="2024-01-01T00:00:00+00:00")
+    name = {r.uuid: r.filename for r in got.status.collect()}
+    assert {name[r.uuid] for r in got.failed.collect()} == {"bad.md", "late.md"}
+    assert {name[r.uuid]: r.pipeline_error for r in got.marks.collect()} == {"good.md": None, "bad.md": "RuntimeError: no answer", "late.md": "RuntimeError: no answer"}
+    found = sorted((r.predicate, name.get(r.subject_uuid) or name.get(r.object_uuid) or "") for r in got.edges.collect())
+    assert found == [("contains", "bad.md"), ("contains", "good.md"), ("contains", "late.md"), ("has_chunk", "good.md"), ("has_summary", "good.md"), ("mentioned_in", ""), ("mentioned_in", ""), ("works_at", "")]
+    assert sorted(r.content for r in got.nodes.where("node_type = 'generic'").collect()) == ["Ada", "Lab"]
+
+
+def test_ingest_matches_earlier_new_names(spark):
+    """Two new names that are near are one node; a stored one is found by vector, a generated id is taken as it is."""
+    entries = spark.createDataFrame([("1", "t", "u", None, None, "Ada Byron"), ("2", "t", "u", None, None, "Ada B"), ("3", "t", "u", None, None, "Old")], "entry_id string, text string, user_id string, domain string, source string, name string")
+    entries = entries.withColumn("at", F.lit("2024-01-01").cast("timestamp")).withColumn("answer", F.concat(F.lit("status: ok\ntriples:\n"), F.col("name"), F.lit(" | knows | SELF")))
+    stored = spark.createDataFrame([("old", "generic", "Old Man", "old man", [0.0, 1.0])], "uuid string, node_type string, content string, name_key string, embedding array<double>")
+    vector = lambda c: F.when(c.startswith("Ada"), F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0)))
+    done = ingest.ingest(entries, stored, schema.PREDICATES, answers={"extract": "answer", "collide": F.lit("UPDATE")}, embed=vector, collisions=True)
+    got = {r.entry_id: (r.uuid, r.content) for r in done.named.where("content <> 'Me'").collect()}
+    assert got["1"][0] == got["2"][0] != "old" and got["3"] == ("old", "Old Man")
+    assert [(r.uuid, r.content) for r in done.renamed.collect()] == [("old", "Old")]
+    rows = {r.uuid: (r.op, r.content) for r in ingest.changes(1, done.nodes, ["uuid", "content", "weight"]).collect()}
+    assert rows["old"] == ("touch", None) and rows[got["1"][0]][0] == "create"
+
+
+def test_nearest_by_cells_equals_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(resolve, "BLOCK", 20)
+    v = rng.normal(size=(300, 3))
+    v[7] = 0
+    n = spark.createDataFrame([(f"n{k:03}", "ab"[k % 2], [float(x) for x in v[k]]) for k in range(200)], "uuid string, node_type string, embedding array<double>")
+    m = spark.createDataFrame([(k, "ab"[k % 2], [float(x) for x in v[k]]) for k in [7, *range(190, 300)]], "mention_id long, node_type string, embedding array<double>")
+    unit = v / np.where(np.linalg.norm(v, axis=1, keepdims=True) == 0, 1, np.linalg.norm(v, axis=1, keepdims=True))
+    for threshold in (0.0, 0.02, 0.3, 1.2):
+        want = {}
+        for k in [7, *range(190, 300)]:
+            d, u = min((round(1 - float(unit[k] @ unit[j]), 6) + 0.0, f"n{j:03}") for j in range(200) if j % 2 == k % 2)
+            if d <= threshold:
+                want[k] = (u, d)
+        assert {r.mention_id: (r.near_uuid, r.distance) for r in resolve.nearest(m, n, threshold).collect()} == want
+
+
+def test_vocabulary(spark, tmp_path):
+    from memweave.sources.vocabulary import Vocabulary
+
+    v = Vocabulary(spark, f"{tmp_path}/v")
+    assert {r.name for r in v.names("predicate").collect()} == set(schema.PREDICATES)
+    v.append(spark.createDataFrame([("met",), ("met",), ("knows",)], "name string"))
+    v.append(spark.createDataFrame([("met",)], "name string"))
+    assert sorted(r.name for r in v.names("predicate").collect()) == sorted([*schema.PREDICATES, "met"]) and v.names("node_type").count() == len(schema.NODE_TYPES)
+
+
+def test_scheduled_consolidation(spark, tmp_path):
+    (tmp_path / "runs").mkdir()
+    nodes_, edges_ = ChangeLog(spark, f"{tmp_path}/nodes"), ChangeLog(spark, f"{tmp_path}/edges")
+    nodes_.append(spark.createDataFrame([(1, "log_1", "create", "tea again", "log", "u", "general"), (1, "log_2", "create", "no", "log", "w", "general")], "seq long, uuid string, op string, content string, node_type string, user_id string, domain string").withColumn("created_at", F.lit("2024-01-01").cast("timestamp")))
+    (tmp_path / "runs/1.json").write_text(json.dumps({"user_id": "u", "at": "2024-02-01T00:00:00Z"}))
+
+    def make():
+        return lambda requests: ["Ann drinks Tea" if r.user.startswith("Notes") else "status: ok\ntriples:\nAnn | owns | Tea" for r in requests]
+
+    ingest_stream.start_consolidation(spark, f"{tmp_path}/runs", nodes_, edges_, f"{tmp_path}/cp", schema.PREDICATES, make).awaitTermination(120)
+    state = nodes_.state()
+    assert [(r.content, r.domain, r.user_id) for r in state.where("node_type = 'log' AND uuid NOT IN ('log_1', 'log_2')").collect()] == [("Ann drinks Tea", "core_memory", "u")]
+    assert sorted(r.content for r in state.where("node_type = 'generic'").collect()) == ["Ann", "Tea"] and edges_.state().count() == 1
+
+
 def test_summary(spark):
     from memweave.operators import summarize
 
@@ -227,12 +306,12 @@ def test_summary(spark):
     e = edges(spark, ("ada", "lab", 0.8))
     calls = []
 
-    def ask(prompts):
-        calls.append(prompts[0])
-        return ["- rare tea"] if len(calls) == 1 else ["short"] if len(calls) == 2 else ["A long answer. " * 10]
+    def ask(requests):
+        calls.append(requests[0])
+        return [["a draft"], ["- rare tea"], ["short"], ["A long answer. " * 10]][len(calls) - 1]
 
     got = summarize.summarize(n, e, seeds(spark, "ada"), "who builds engines here", "2024-01-01", ask, embed)
-    assert got.queries == ["rare tea"] and len(calls) == 3 and got.answer.startswith("A long answer")
+    assert got.queries == ["rare tea"] and len(calls) == 4 and "a draft" in calls[2].user and got.debug["pass2"]["performed"] and got.answer.startswith("A long answer")
     assert "Bob likes rare tea" in got.markdown and "[SEED]: Ada builds engines" in got.markdown
 
 
