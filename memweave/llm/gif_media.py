@@ -5,8 +5,9 @@ GIF89a stream. ``media_features`` makes the digest columns of a text column,
 ``frame_table`` the timed frames with colour histograms.
 
 Defined results: a null text or payload is empty and is stored as 64 zero samples;
-equal payloads give equal files; a file that is no GIF raises ``ValueError`` in
-``decode_gif`` and gives no rows, but an ``error`` row, in ``frame_table``.
+equal payloads give equal files; a file that is no GIF, is cut off, has no frame or declares
+a canvas or frame of more than ``MOST_PIXELS`` pixels raises ``ValueError`` in ``decode_gif``
+(but for the lack of frames) and gives an ``error`` row in ``frame_table``.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ WIDTH = 64
 #: Rows of one frame at most: a frame and its canvas stay below 1 MB.
 FRAME_ROWS = 1024
 DELAY_CS = 10
-#: Literal codes between two clear codes: the table then never outgrows 9-bit codes.
-RUN = 254
 HIST_BITS = 2
+#: More than there are codes between two clear codes of the encoder.
+MOST_CODES = 4096
+#: Pixels of a canvas, and of a frame, at most; a file that declares more is an error.
+MOST_PIXELS = 1 << 24
 
 
 def palette_332() -> np.ndarray:
@@ -37,28 +40,54 @@ def palette_332() -> np.ndarray:
     return np.stack([(i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 255 // 3], 1).astype(np.uint8)
 
 
-def lzw_literals(pixels: np.ndarray) -> bytes:
-    """8-bit samples as a valid LZW stream of 9-bit literals with regular clear codes."""
-    n = len(pixels)
-    runs = -(-n // RUN)
-    codes = np.full((runs, RUN + 1), 257, np.uint64)
-    codes[:, 0] = 256
-    body = np.full(runs * RUN, 257, np.uint64)
-    body[:n] = pixels
-    codes[:, 1:] = body.reshape(runs, RUN)
-    flat = codes.ravel()[: n + runs]
-    total = -(-(len(flat) + 1) // 8) * 8
-    padded = np.zeros(total, np.uint64)
-    padded[: len(flat)] = flat
-    padded[len(flat)] = 257
-    c = padded.reshape(-1, 8)
-    low = c[:, 0].copy()
-    for k in range(1, 8):  # 8 codes of 9 bits are 9 bytes; the last code's low bit tops the 64
-        low |= c[:, k] << np.uint64(9 * k)
-    out = np.empty((len(c), 9), np.uint8)
-    out[:, :8] = low.view(np.uint8).reshape(-1, 8)
-    out[:, 8] = (c[:, 7] >> np.uint64(1)).astype(np.uint8)
-    return out.tobytes()[: -(-(len(flat) + 1) * 9 // 8)]
+def lzw_codes(pixels: bytes, min_size: int = 8) -> list[list[int]]:
+    """The codes of each run between two clear codes; a run ends where the table is full."""
+    if not pixels:
+        return []
+    clear = 1 << min_size
+    runs, codes, table, free = [], [], {}, clear + 2
+    get = table.get
+    before = pixels[0]
+    for sample in pixels[1:]:
+        pair = before << 8 | sample
+        known = get(pair)
+        if known is not None:
+            before = known
+            continue
+        codes.append(before)
+        before = sample
+        if free < 4096:
+            table[pair] = free
+            free += 1
+        else:
+            runs.append(codes)
+            codes, free = [], clear + 2
+            table.clear()
+    codes.append(before)
+    return [*runs, codes]
+
+
+def lzw_encode(pixels: bytes, min_size: int = 8) -> bytes:
+    """Samples as an LZW stream with growing codes: clear code, run, clear code, run, ..., end code."""
+    clear = 1 << min_size
+    runs = lzw_codes(pixels, min_size)
+    codes = [np.array([clear])]
+    widths = [np.array([min_size + 1])]
+    for k, run in enumerate(runs or [[]]):
+        codes.append(np.array([*run, clear if k + 1 < len(runs) else clear + 1]))
+        widths.append(_offsets(min_size, MOST_CODES)[1][: len(run) + 1])
+    return packed(np.concatenate(codes), np.concatenate(widths))
+
+
+def packed(codes: np.ndarray, widths: np.ndarray) -> bytes:
+    """Codes of up to 12 bits one behind the other, lowest bits first."""
+    ends = np.cumsum(widths)
+    starts = ends - widths
+    shifted = codes.astype(np.int64) << (starts & 7)
+    size = -(-int(ends[-1]) // 8)
+    # the bits of neighbours never meet, so sums are unions
+    parts = [np.bincount((starts >> 3) + k, shifted >> 8 * k & 255, size + 3) for k in range(3)]
+    return sum(parts).astype(np.uint8).tobytes()[:size]
 
 
 def sub_blocks(data: bytes) -> bytes:
@@ -71,16 +100,22 @@ def sub_blocks(data: bytes) -> bytes:
 
 
 def encode_gif(payload: bytes, width: int = WIDTH, frame_rows: int = FRAME_ROWS, delay_cs: int = DELAY_CS) -> bytes:
-    """A payload of a positive multiple of ``width`` bytes as timed frames of palette indices."""
+    """A payload of a positive multiple of ``width`` bytes as timed frames of palette indices.
+
+    Every second frame has a palette of its own, disposals take turns, and a sample that the
+    payload lacks is the transparent one.
+    """
     if not payload or len(payload) % width:
         raise ValueError(f"payload of {len(payload)} bytes is no positive multiple of {width}")
-    pixels = np.frombuffer(payload, np.uint8)
-    rows = len(pixels) // width
-    out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, frame_rows), 0xF7, 0, 0), palette_332().tobytes()]
-    for top in range(0, rows, frame_rows):
-        part = pixels[top * width : (top + frame_rows) * width]
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, delay_cs, 0, 0))
-        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, len(part) // width, 0) + b"\x08" + sub_blocks(lzw_literals(part)))
+    rows = len(payload) // width
+    unused = sorted(set(range(256)).difference(payload))[:1]  # a sample that may stand for nothing
+    colours = palette_332()
+    out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, frame_rows), 0xF7, 0, 0), colours.tobytes()]
+    for k, top in enumerate(range(0, rows, frame_rows)):
+        part = payload[top * width : (top + frame_rows) * width]
+        own = colours[::-1].tobytes() if k % 2 else b""
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", (1 + k % 3) << 2 | len(unused), delay_cs, *(unused or [0]), 0))
+        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, width, len(part) // width, 0x87 if own else 0) + own + b"\x08" + sub_blocks(lzw_encode(part)))
     return b"".join(out) + b"\x3b"
 
 
@@ -109,6 +144,8 @@ def lzw_decode(data: bytes, min_size: int, limit: int) -> np.ndarray:
     their own output, other runs copy from what they have put out.
     """
     clear, end = 1 << min_size, (1 << min_size) + 1
+    if not 2 <= min_size <= 8:
+        raise ValueError(f"LZW code size {min_size}")
     bits = len(data) * 8
     raw = np.frombuffer(data + b"\0\0\0", np.uint8)
     out: list[np.ndarray] = []
@@ -153,28 +190,26 @@ def lzw_decode(data: bytes, min_size: int, limit: int) -> np.ndarray:
 def _expand(codes: np.ndarray, clear: int, limit: int) -> np.ndarray:
     if (codes < clear).all():
         return codes.astype(np.uint8)
-    buf = bytearray()
-    starts: list[int] = []  # where the output of each code starts; entry e is that of code e and one sample more
-    sizes: list[int] = []
-    first = clear + 2
+    table = [bytes([k]) for k in range(clear)] + [b"", b""]
+    free = len(table)
+    out: list[bytes] = []
+    have, before = 0, b""
     for c in codes.tolist():
-        starts.append(len(buf))
-        if c < clear:
-            buf.append(c)
-            sizes.append(1)
+        if c < free:
+            entry = table[c]
+        elif c == free and before:  # the entry that this very code completes
+            entry = before + before[:1]
         else:
-            e = c - first
-            if e >= len(starts) - 1 or e < 0:
-                raise ValueError("LZW code beyond the table")
-            a, n = starts[e], sizes[e] + 1
-            if a + n <= len(buf):
-                buf += buf[a : a + n]
-            else:  # the entry that this very code completes
-                buf += buf[a : a + n - 1] + buf[a : a + 1]
-            sizes.append(n)
-        if len(buf) >= limit:
+            raise ValueError("LZW code beyond the table")
+        if before and free < 4096:
+            table.append(before + entry[:1])
+            free += 1
+        out.append(entry)
+        before = entry
+        have += len(entry)
+        if have >= limit:
             break
-    return np.frombuffer(bytes(buf), np.uint8)
+    return np.frombuffer(b"".join(out), np.uint8)
 
 
 @dataclass
@@ -189,16 +224,29 @@ class Frame:
     canvas: np.ndarray | None = None  # rows x columns x RGBA, as shown
 
 
-def decode_gif(data: bytes, compose: bool = True) -> tuple[int, int, list[Frame]]:
-    """Width, height and frames. ``compose`` draws each frame on the canvas by its
-    transparency and the disposal of the frame before."""
+def decode_gif(data: bytes) -> tuple[int, int, list[Frame]]:
+    """Width, height and frames, each as drawn on the canvas."""
+    frames = list(iter_frames(data))
+    width, height = struct.unpack("<HH", data[6:10])
+    return width, height, frames
+
+
+def iter_frames(data: bytes) -> Iterator[Frame]:
+    """Frames one by one, each drawn on the canvas by its transparency and the disposal of the one before.
+
+    One canvas is held at a time, two where a frame is to be taken back.
+    """
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
-    width, height, packed, _, _ = struct.unpack("<HHBBB", data[6:13])
+    width, height, packed_, _, _ = struct.unpack("<HHBBB", data[6:13])
+    if width * height > MOST_PIXELS:
+        raise ValueError(f"a canvas of {width} x {height}")
     at, common = 13, np.zeros((0, 3), np.uint8)
 
     def colours(flags: int, at: int) -> tuple[np.ndarray, int]:
         n = 2 << (flags & 7)
+        if at + 3 * n > len(data):
+            raise IndexError
         return np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3), at + 3 * n
 
     def blocks(at: int) -> tuple[bytes, int]:
@@ -208,11 +256,11 @@ def decode_gif(data: bytes, compose: bool = True) -> tuple[int, int, list[Frame]
             at += 1 + n
         return b"".join(parts), at + 1
 
-    frames: list[Frame] = []
+    canvas = np.zeros((height, width, 4), np.uint8)
     delay, disposal, transparent = 0, 0, None
     try:
-        if packed & 0x80:
-            common, at = colours(packed, at)
+        if packed_ & 0x80:
+            common, at = colours(packed_, at)
         while data[at] != 0x3B:
             if data[at] == 0x21:
                 label = data[at + 1]
@@ -222,6 +270,8 @@ def decode_gif(data: bytes, compose: bool = True) -> tuple[int, int, list[Frame]
                     disposal, transparent = flags >> 2 & 7, index if flags & 1 else None
             elif data[at] == 0x2C:
                 left, top, w, h, flags = struct.unpack("<HHHHB", data[at + 1 : at + 10])
+                if w * h > MOST_PIXELS:
+                    raise ValueError(f"a frame of {w} x {h}")
                 at += 10
                 own, at = colours(flags, at) if flags & 0x80 else (common, at)
                 min_size = data[at]
@@ -234,39 +284,36 @@ def decode_gif(data: bytes, compose: bool = True) -> tuple[int, int, list[Frame]
                     order = np.concatenate([np.arange(s, h, d) for s, d in ((0, 8), (4, 8), (2, 4), (1, 2))])
                     pixels, stored = np.empty_like(pixels), pixels
                     pixels[order] = stored
-                frames.append(Frame(pixels, delay, disposal, transparent, left, top, own))
+                frame = Frame(pixels, delay, disposal, transparent, left, top, own)
+                canvas = _draw(frame, canvas)
+                yield frame
                 delay, disposal, transparent = 0, 0, None
             else:
                 raise ValueError(f"unknown block {data[at]:#x}")
     except (IndexError, struct.error) as e:
         raise ValueError("truncated GIF") from e
-    if compose:
-        _compose(width, height, frames)
-    return width, height, frames
 
 
-def _compose(width: int, height: int, frames: list[Frame]) -> None:
-    canvas = np.zeros((height, width, 4), np.uint8)
-    for f in frames:
-        before = canvas.copy() if f.disposal == 3 else None
-        h, w = min(f.indices.shape[0], height - f.top), min(f.indices.shape[1], width - f.left)
-        if h > 0 and w > 0:
-            part = f.indices[:h, :w]
-            table = np.zeros((256, 4), np.uint8)
-            table[: len(f.palette), :3] = f.palette
-            table[:, 3] = 255
-            drawn = table[part]
-            spot = canvas[f.top : f.top + h, f.left : f.left + w]
-            if f.transparent is None:
-                spot[:] = drawn
-            else:
-                solid = part != f.transparent
-                spot[solid] = drawn[solid]
-        f.canvas = canvas.copy()
-        if f.disposal == 2 and h > 0 and w > 0:
-            canvas[f.top : f.top + h, f.left : f.left + w] = 0
-        elif before is not None:
-            canvas = before
+def _draw(f: Frame, canvas: np.ndarray) -> np.ndarray:
+    """Set what the frame shows, and return the canvas that it leaves."""
+    before = canvas.copy() if f.disposal == 3 else None
+    h, w = min(f.indices.shape[0], canvas.shape[0] - f.top), min(f.indices.shape[1], canvas.shape[1] - f.left)
+    if h > 0 and w > 0:
+        part = f.indices[:h, :w]
+        table = np.zeros((256, 4), np.uint8)
+        table[: len(f.palette), :3] = f.palette
+        table[:, 3] = 255
+        drawn = table[part]
+        spot = canvas[f.top : f.top + h, f.left : f.left + w]
+        if f.transparent is None:
+            spot[:] = drawn
+        else:
+            solid = part != f.transparent
+            spot[solid] = drawn[solid]
+    f.canvas = canvas.copy()
+    if f.disposal == 2 and h > 0 and w > 0:
+        canvas[f.top : f.top + h, f.left : f.left + w] = 0
+    return canvas if before is None else before
 
 
 def colour_histogram(canvas: np.ndarray, bits: int = HIST_BITS) -> np.ndarray:
@@ -280,30 +327,43 @@ def pad(raw: bytes, unit: int = WIDTH) -> bytes:
     return raw + b"\0" * (-len(raw) % unit or (0 if raw else unit))
 
 
+def timed_frames(media: bytes) -> Iterator[tuple[int, int, Frame, np.ndarray]]:
+    """Start and duration in milliseconds, frame and colour histogram of each frame."""
+    start = 0
+    for f in iter_frames(media):
+        yield start, f.delay_cs * 10, f, colour_histogram(f.canvas)
+        start += f.delay_cs * 10
+
+
 def media_row(text: str | None) -> tuple:
     raw = (text or "").encode()
     media = encode_gif(pad(raw))
-    _, _, frames = decode_gif(media)
-    back = b"".join(f.indices.tobytes() for f in frames)
-    hist = sum((colour_histogram(f.canvas) for f in frames), np.zeros(1 << 3 * HIST_BITS, np.int64))
-    duration = sum(f.delay_cs for f in frames) * 10
-    feature = f"frames={len(frames)};ms={duration};hist={','.join(map(str, hist.tolist()))}"
-    return (
-        len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(frames), duration,
-    )
+    digest, tail, size, duration = hashlib.sha256(), b"", 0, 0
+    frames, total = [], np.zeros(1 << 3 * HIST_BITS, np.int64)
+    for start, lasts, f, histogram in timed_frames(media):
+        back = f.indices.tobytes()
+        digest.update(back)
+        tail, size, duration = back[-64:], size + len(back), start + lasts
+        total += histogram
+        frames.append({"start_ms": start, "duration_ms": lasts, "histogram": histogram})
+    feature = f"frames={len(frames)};ms={duration};hist={','.join(map(str, total.tolist()))}"
+    return len(raw), size, digest.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, frames
 
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_ms long"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int64()), ("duration_ms", pa.int64())])
+FRAME = pa.struct([("start_ms", pa.int64()), ("duration_ms", pa.int64()), ("histogram", pa.list_(pa.int64()))])
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<struct<start_ms:long,duration_ms:long,histogram:array<long>>>"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("frames", pa.list_(FRAME))])
 
 
 def media_features(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store each text as a GIF, read it back, and return digests and features. No shuffle."""
+    """Store each text as a GIF, read it back, and return digests, features and the timed frames' histograms. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = list(zip(*map(media_row, b.column(1).to_pylist()), strict=True)) or [()] * 9
-            yield pa.record_batch([b.column(0), *(pa.array(c, t.type) for c, t in zip(rows, list(_ARROW)[1:], strict=True))], schema=_ARROW)
+            for k in range(0, len(b), 500):
+                part = b.slice(k, 500)
+                rows = zip(*(media_row(t.as_py()) for t in part.column(1)), strict=True)
+                yield pa.record_batch([part.column(0), *(pa.array(c, t.type) for c, t in zip(rows, list(_ARROW)[1:], strict=True))], schema=_ARROW)
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, FEATURES)
 
@@ -324,25 +384,29 @@ FRAMES = "doc_id long, frame int, start_ms long, duration_ms long, width int, he
 
 
 def frame_table(df: DataFrame, doc_id: str = "doc_id", media: str = "media") -> DataFrame:
-    """Timed frames as shown, with colour histograms; one ``error`` row for media that can't be read."""
+    """Timed frames as shown, with colour histograms; an ``error`` row for what can't be read, after the frames before it."""
     names = [x.split()[0] for x in FRAMES.split(", ")]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.string()]
 
-    def frames(key, data) -> Iterator[tuple]:
+    def error(key, said: str) -> tuple:
+        return key, *[None] * 8, said
+
+    def frames(key, data: bytes) -> Iterator[tuple]:
+        n = 0
         try:
-            width, height, found = decode_gif(data or b"")
+            for start, lasts, f, histogram in timed_frames(data):
+                yield key, n, start, lasts, f.canvas.shape[1], f.canvas.shape[0], f.disposal, f.canvas.tobytes(), histogram.tolist(), None
+                n += 1
         except ValueError as e:
-            yield key, None, None, None, None, None, None, None, None, str(e)
+            yield error(key, str(e))
             return
-        start = 0
-        for k, f in enumerate(found):
-            yield key, k, start, f.delay_cs * 10, width, height, f.disposal, f.canvas.tobytes(), colour_histogram(f.canvas).tolist(), None
-            start += f.delay_cs * 10
+        if not n:
+            yield error(key, "no frame")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for key, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if rows := list(frames(key, data.as_py())):
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                for row in frames(key, data.as_py() or b""):
+                    yield pa.record_batch([pa.array([c], t) for c, t in zip(row, types, strict=True)], names=names)
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(media).cast("binary").alias("media")).mapInArrow(run, FRAMES)

@@ -110,6 +110,50 @@ def test_what_is_no_gif():
 TEXTS = [(1, "abc", "q"), (2, None, "q"), (3, "", "q"), (4, "é" * 40_000, "q"), (5, "abc", None), (None, "x" * 64, "q")]
 
 
+def brute_histograms(payload, rows=1024, width=64):
+    """Pixel by pixel: frames fill the canvas from its top; what stays is by turns kept, cleared or taken back."""
+    colours = [(i // 32 * 255 // 7, i // 4 % 8 * 255 // 7, i % 4 * 255 // 3) for i in range(256)]
+    height = min(len(payload) // width, rows)
+    canvas, out = [None] * (height * width), []
+    for k in range(0, -(-len(payload) // width // rows)):
+        part = payload[k * rows * width : (k + 1) * rows * width]
+        before = list(canvas)
+        for p, x in enumerate(part):
+            canvas[p] = colours[255 - x] if k % 2 else colours[x]
+        counts = [0] * 64
+        for c in canvas:
+            if c is not None:
+                counts[c[0] // 64 * 16 + c[1] // 64 * 4 + c[2] // 64] += 1
+        out.append(counts)
+        if k % 3 == 1:
+            canvas[: len(part)] = [None] * len(part)
+        elif k % 3 == 2:
+            canvas = before
+    return out
+
+
+def test_histograms_of_many_frames():
+    payload = g.pad(np.random.default_rng(2).integers(0, 250, 64 * 31).astype(np.uint8).tobytes())
+    got = [h.tolist() for _, _, _, h in g.timed_frames(g.encode_gif(payload, frame_rows=4))]
+    assert got == brute_histograms(payload, 4) and len(got) == 8
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(2, 8), st.data())
+def test_encoder_equals_a_plain_one(bits, data):
+    n = data.draw(st.integers(0, 9000))
+    some = data.draw(st.integers(1, 1 << bits))
+    pixels = np.random.default_rng(data.draw(st.integers(0, 99))).integers(0, some, n).astype(np.uint8)
+    stream = g.lzw_encode(pixels.tobytes(), bits)
+    assert g.lzw_decode(stream, bits, n).tolist() == pixels.tolist()
+    assert len(stream) <= len(compress(pixels, bits)) + 2
+
+
+def test_text_is_compressed():
+    payload = g.pad(b"the same words again and again " * 3000)
+    assert len(g.encode_gif(payload)) < len(payload) // 4
+
+
 def test_features(spark):
     df = spark.createDataFrame(TEXTS, "doc_id long, text string, feature string")
     got = {r.doc_id: r for r in g.media_features(df).collect()}
@@ -118,9 +162,11 @@ def test_features(spark):
         payload = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert r.feature.startswith(f"frames={r.n_frames};") and sum(map(int, r.feature.split("hist=")[1].split(","))) >= len(payload)
+        want = brute_histograms(payload)
+        assert [f.histogram for f in r.frames] == want and [(f.start_ms, f.duration_ms) for f in r.frames] == [(100 * k, 100) for k in range(len(want))]
+        assert r.feature == f"frames={len(want)};ms={100 * len(want)};hist=" + ",".join(str(sum(x)) for x in zip(*want))
     assert got[1].media_sha256 == got[5].media_sha256 and got[2].media_sha256 == got[3].media_sha256
-    assert got[4].n_frames == 2
+    assert len(got[4].frames) == 2
     assert g.media_features(df.limit(0)).count() == 0
 
 
@@ -131,3 +177,10 @@ def test_frame_table(spark):
     assert sorted((r.frame, r.start_ms) for r in frames if r.doc_id == 4) == [(0, 0), (1, 100)]
     bad = g.frame_table(spark.createDataFrame([(1, b"no"), (2, None)], "doc_id long, media binary")).collect()
     assert [(r.doc_id, r.frame) for r in bad] == [(1, None), (2, None)] and all(r.error for r in bad)
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + b"\x2c" + struct.pack("<HHHHB", 0, 0, 65535, 65535, 0) + b"\x02\x01\x04\0\x3b"
+    part = b"GIF89a" + struct.pack("<HHBBB", 2, 2, 0, 0, 0) + huge[13:]
+    empty = b"GIF89a" + struct.pack("<HHBBB", 2, 2, 0, 0, 0) + b"\x3b"
+    cut = g.encode_gif(b"x" * 64 * 3, frame_rows=1)[:-10]
+    odd = g.frame_table(spark.createDataFrame([(1, huge), (2, part), (3, empty), (4, cut)], "doc_id long, media binary")).collect()
+    assert [r.error for r in odd if r.doc_id < 4] == ["a canvas of 65535 x 65535", "a frame of 65535 x 65535", "no frame"]
+    assert [(r.frame, r.error) for r in odd if r.doc_id == 4] == [(0, None), (1, None), (None, "truncated GIF")]
