@@ -9,8 +9,9 @@ rest is appended.
 Defined results: a null text is the empty text; equal texts are equal byte for
 byte. Within a batch the row with the largest doc_id stays; rows that repeat both
 doc_id and text are one document, so they share one verdict. A null doc_id loses
-to any other. A text that the index held before the batch loses to the index. An
-empty batch gives an empty result. Columns other than the two named pass by.
+to any other. A text that the index held before the batch loses to the index, with the
+``keep_id`` and ``group_size`` of the batch that brought it. An empty batch gives an empty
+result. Columns other than the two named pass by.
 """
 
 from __future__ import annotations
@@ -22,7 +23,13 @@ from pyspark.sql import functions as F
 
 from memweave.runtime import new_path
 
-BUCKETS = 16
+#: Digests of a bucket, about: 0.2 GB. The number of buckets follows the index, as a power of two.
+BUCKET_ROWS = 4_000_000
+LEAST_BUCKETS = 16
+
+
+def buckets_for(rows: int) -> int:
+    return max(LEAST_BUCKETS, 1 << max(0, -(-rows // BUCKET_ROWS) - 1).bit_length())
 
 
 def digest(text: str):
@@ -30,33 +37,63 @@ def digest(text: str):
 
 
 class DigestIndex:
-    """A persistent table ``(digest, keep_id, group_size)``, bucketed and sorted by digest."""
+    """A persistent table ``(digest, keep_id, group_size)``, bucketed and sorted by digest.
 
-    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int = BUCKETS):
+    Under its ``name`` the table stands in the session's catalog, and later batches meet it
+    again. An index without a name serves one call; ``forget`` takes it out of the catalog.
+    """
+
+    def __init__(self, spark: SparkSession, name: str | None = None, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.path = path or new_path(spark, "digest-index")
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
-            f"OPTIONS (path '{self.path}') CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS"
+        if spark.catalog.tableExists(self.name):
+            told = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE FORMATTED {self.name}").collect()}
+            self.path, self.buckets = told["Location"], int(told["Num Buckets"])
+        else:
+            self.path, self.buckets = path or new_path(spark, "digest-index"), buckets or LEAST_BUCKETS
+            self._create(self.name, self.path, self.buckets)
+
+    def _create(self, name: str, path: str, buckets: int) -> None:
+        self.spark.sql(
+            f"CREATE TABLE {name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet OPTIONS (path '{path}') CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS"
         )
-        self.buckets = buckets
+
+    def _write(self, rows: DataFrame, name: str, path: str, buckets: int) -> None:
+        # one writing task for each bucket: one file a bucket and batch
+        ready = rows.repartition(buckets, "digest").select("digest", "keep_id", "group_size")
+        ready.write.format("parquet").mode("append").bucketBy(buckets, "digest").sortBy("digest").option("path", path).saveAsTable(name)
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def grow(self, more: int) -> None:
+        """Rewrite with more buckets where the index and ``more`` rows want twice as many."""
+        held = self.rows().count()  # from the files' footers
+        wanted = buckets_for(held + more)
+        if wanted < 2 * self.buckets:
+            return
+        path, name = new_path(self.spark, "digest-index"), f"{self.name}_grown"
+        self._create(name, path, wanted)
+        if held:
+            self._write(self.rows(), name, path, wanted)
+        self.spark.sql(f"DROP TABLE {self.name}")
+        self.spark.sql(f"ALTER TABLE {name} RENAME TO {self.name}")
+        self.path, self.buckets = path, wanted
+
+    def forget(self) -> None:
+        """Out of the catalog; the files stay for results that read them."""
+        self.spark.sql(f"DROP TABLE {self.name}")
+
     def add(self, batch: DataFrame, doc_id: str = "doc_id", text: str = "text") -> None:
         """Append the batch's digests that the index lacks."""
+        self.grow(batch.count())
         groups = (
             batch.select(digest(text).alias("digest"), F.col(doc_id).cast("long").alias("doc_id"))
             .groupBy("digest")
             .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         )
         fresh = groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-        # one writing task for each bucket: one file a bucket and batch
-        fresh.repartition(self.buckets, "digest").select("digest", "keep_id", "group_size").write.format("parquet").mode("append").bucketBy(
-            self.buckets, "digest"
-        ).sortBy("digest").option("path", self.path).saveAsTable(self.name)
+        self._write(fresh, self.name, self.path, self.buckets)
 
     def verdicts(self, batch: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """One row for each row of the batch, which ``add`` must have seen.
@@ -76,10 +113,13 @@ class DigestIndex:
 
 
 def exact_dedup(batch: DataFrame, index: DigestIndex | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Add a batch to an index (a new one by default) and return the verdict on every row."""
-    index = index or DigestIndex(batch.sparkSession)
-    index.add(batch, doc_id, text)
-    return index.verdicts(batch, doc_id, text)
+    """Add a batch to an index and return the verdict on every row. Without an index, one is made for this call."""
+    own = index or DigestIndex(batch.sparkSession)
+    own.add(batch, doc_id, text)
+    out = own.verdicts(batch, doc_id, text)
+    if index is None:
+        own.forget()
+    return out
 
 
 ORACLE = """

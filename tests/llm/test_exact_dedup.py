@@ -41,3 +41,21 @@ def test_anti_join_reads_the_buckets_of_the_index(spark):
     index = DigestIndex(spark, buckets=4)
     plan = index.rows().groupBy("digest").count()._jdf.queryExecution().toString()
     assert "Bucketed: true" in plan and "Exchange" not in plan
+
+
+def test_an_index_has_a_name_and_grows(spark, monkeypatch):
+    from memweave.llm import exact_dedup as e
+
+    monkeypatch.setattr(e, "BUCKET_ROWS", 10)
+    assert [e.buckets_for(n) for n in (0, 160, 161, 1000)] == [16, 16, 32, 128]
+    first = [(k, f"t{k}", "") for k in range(300)]
+    exact_dedup(spark.createDataFrame(first, SCHEMA), DigestIndex(spark, "told_before"))
+    again = DigestIndex(spark, "told_before")
+    assert again.buckets == 32 and again.rows().count() == 300
+    got = exact_dedup(spark.createDataFrame([(900 + k, f"t{k}", "") for k in range(200, 800)], SCHEMA), again).collect()
+    assert again.buckets == 128 and again.rows().count() == 800
+    assert sorted(r.doc_id for r in got if r.kept) == list(range(1200, 1700)) and {r.keep_id for r in got if not r.kept} == set(range(200, 300))
+    again.forget()
+    before = len(spark.catalog.listTables())
+    exact_dedup(spark.createDataFrame(first, SCHEMA)).count()
+    assert len(spark.catalog.listTables()) == before
