@@ -1,7 +1,8 @@
 """Packing into length buckets that are optimal for the corpus, and token-budget batches.
 
-1. Texts are counted in tokens (runs without white space, unless a length column is
-   named) and cut into sequences of at most ``MAX_LEN`` tokens.
+1. Texts are counted in tokens and cut into sequences of at most ``MAX_LEN`` tokens, each
+   with its place in the text. Tokens are runs without white space, the ids of a named
+   column, or what a named length column counts.
 2. The global histogram of sequence lengths, of at most ``MAX_LEN`` cells, goes to the
    driver, and dynamic programming chooses the ``BUCKETS`` upper bounds with the least
    padding.
@@ -11,11 +12,14 @@
 
 Defined results: a null text or one without tokens makes one row of length 0 without
 bucket and batch. All other tokens are in exactly one sequence. Sequences are numbered
-by shard, doc_id, piece and length; repeated rows are sequences of their own.
+by shard, doc_id, piece and length; repeated rows are sequences of their own. ``start`` and
+``end`` are the places of a sequence's first character and of the one after its last (of
+ids, where ids or lengths are named), so that ``text[start:end]`` is what is trained on.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +31,7 @@ from memweave.runtime import materialize
 
 MAX_LEN, BUCKETS, BUDGET = 2048, 16, 65_536
 SHARD = 50_000
+TOKEN = re.compile(r"\S+")
 
 
 def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -62,20 +67,47 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
 
 
 def sequences(docs: DataFrame, max_len: int = MAX_LEN, doc_id: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
-    """``(doc_id, piece, n_tokens)``."""
+    """``(doc_id, piece, n_tokens, start, end)``."""
+    names = ["doc_id", "piece", "n_tokens", "start", "end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([b.column(0), pa.array([len((t.as_py() or "").split()) for t in b.column(1)], pa.int64())], names=["doc_id", "n"])
+            keys, rows = [], []
+            for k, t in enumerate(b.column(1)):
+                cut = cuts(t.as_py() or "", max_len)
+                keys += [k] * len(cut)
+                rows += cut
+            yield pa.record_batch([b.column(0).take(pa.array(keys, pa.int64())), *(pa.array([r[c] for r in rows], pa.int64()) for c in range(4))], names=names)
 
     key = F.col(doc_id).cast("long").alias("doc_id")
-    if length:
-        counted = docs.select(key, F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("n"))
-    else:
-        counted = docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n long")
+    if not length:
+        return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    counted = docs.select(key, F.coalesce(F.col(length).cast("long"), F.lit(0)).alias("n"))
     last = F.greatest(F.ceil(F.col("n") / max_len), F.lit(1)) - 1
     pieces = counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), last.cast("long"))).alias("piece"))
-    return pieces.select("doc_id", "piece", F.least(F.col("n") - F.col("piece") * max_len, F.lit(max_len).cast("long")).alias("n_tokens"))
+    start, end = F.col("piece") * max_len, F.least(F.col("n"), (F.col("piece") + 1) * max_len)
+    return pieces.select("doc_id", "piece", (end - start).alias("n_tokens"), start.alias("start"), end.alias("end"))
+
+
+def cuts(text: str, max_len: int) -> list[tuple[int, int, int, int]]:
+    """``(piece, n_tokens, start, end)`` of a text's sequences."""
+    n = len(text.split())
+    if n <= max_len:
+        return [(0, n, 0, len(text))]
+    at = [m.span() for m in TOKEN.finditer(text)]
+    return [(k // max_len, min(max_len, n - k), at[k][0], at[min(k + max_len, n) - 1][1]) for k in range(0, n, max_len)]
+
+
+def padded_ids(packed: DataFrame, tokens: DataFrame, pad_id: int = 0, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """``packed`` (by the length of ``ids``) with ``input_ids``: each sequence's ids, filled up to its bucket's length.
+
+    ``tokens (doc_id, ids)`` has one row for each doc_id.
+    """
+    own = tokens.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).cast("array<int>").alias("__ids"))
+    joined = packed.join(own, packed["doc_id"].eqNullSafe(own["doc_id"])).drop(own["doc_id"])
+    part = F.slice("__ids", F.col("start").cast("int") + 1, F.col("n_tokens").cast("int"))
+    filled = F.concat(part, F.array_repeat(F.lit(pad_id), F.coalesce("padding", F.lit(0)).cast("int")))
+    return joined.withColumn("input_ids", filled).drop("__ids")
 
 
 def pack(
@@ -86,8 +118,14 @@ def pack(
     doc_id: str = "doc_id",
     text: str = "text",
     length: str | None = None,
+    ids: str | None = None,
 ) -> DataFrame:
-    """``(doc_id, piece, n_tokens, bucket_len, batch, row, padding)``, one row for each sequence."""
+    """``(doc_id, piece, n_tokens, start, end, bucket_len, batch, row, padding)``, one row for each sequence.
+
+    ``length`` names a column with counts, ``ids`` one with lists of token ids.
+    """
+    if ids:
+        docs, length = docs.select(F.col(doc_id), F.coalesce(F.size(ids), F.lit(0)).alias("__n")), "__n"
     cut = materialize(sequences(docs, max_len, doc_id, text, length), "sequences")
     histogram = cut.where("n_tokens > 0").groupBy("n_tokens").agg(F.count(F.lit(1)).alias("c")).orderBy("n_tokens").collect()  # at most max_len rows
     bounds = optimal_bounds(np.array([r["n_tokens"] for r in histogram]), np.array([r["c"] for r in histogram]), buckets)
@@ -105,6 +143,6 @@ def pack(
     at = F.row_number().over(Window.partitionBy("bucket_len", "shard").orderBy("doc_id", "piece", "n_tokens")) - 1
     numbered = some.withColumn("at", at).join(before, ["bucket_len", "shard"]).withColumn("at", F.col("at") + F.coalesce("before", F.lit(0)))
     per = F.greatest(F.floor(F.lit(budget) / F.col("bucket_len")), F.lit(1))
-    full = numbered.select("doc_id", "piece", "n_tokens", "bucket_len", F.floor(F.col("at") / per).cast("long").alias("batch"), (F.col("at") % per).cast("long").alias("row"))
-    empty = placed.where("bucket_len IS NULL").select("doc_id", "piece", "n_tokens", "bucket_len", F.lit(None).cast("long").alias("batch"), F.lit(None).cast("long").alias("row"))
+    full = numbered.select("doc_id", "piece", "n_tokens", "start", "end", "bucket_len", F.floor(F.col("at") / per).cast("long").alias("batch"), (F.col("at") % per).cast("long").alias("row"))
+    empty = placed.where("bucket_len IS NULL").select("doc_id", "piece", "n_tokens", "start", "end", "bucket_len", F.lit(None).cast("long").alias("batch"), F.lit(None).cast("long").alias("row"))
     return full.unionByName(empty).withColumn("padding", F.col("bucket_len") - F.col("n_tokens"))

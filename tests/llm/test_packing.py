@@ -34,6 +34,11 @@ def test_batches(spark, monkeypatch):
         n = len((t or "").split())
         want.update((i, k, min(100, n - 100 * k)) for k in range(max(1, -(-n // 100))))
     assert Counter((r.doc_id, r.piece, r.n_tokens) for r in got) == want
+    texts = {}
+    for i, t, _ in rows:
+        texts.setdefault(i, []).append((t or "").split())
+    for r in got:
+        assert any(t[100 * r.piece : 100 * r.piece + 100] == next(x for j, x, _ in rows if j == r.doc_id and len((x or "").split()) == len(t))[r.start : r.end].split() for t in texts[r.doc_id] if r.n_tokens) or not r.n_tokens
     lengths = Counter(r.n_tokens for r in got if r.n_tokens)
     values = sorted(lengths)
     bounds = packing.optimal_bounds(np.array(values), np.array([lengths[v] for v in values]), 5)
@@ -54,3 +59,21 @@ def test_length_column_and_empty(spark):
     got = {r.doc_id: (r.n_tokens, r.bucket_len, r.batch) for r in packing.pack(df, length="n").collect()}
     assert got == {1: (7, 7, 0), 2: (0, None, None)}
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_padded_ids_are_the_encoders(spark):
+    import public_tokenizers
+
+    from memweave.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [(k, " ".join(f"word{j} of text {k}." for j in range(k * 3))) for k in range(12)] + [(50, None), (51, "x " * 400)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    tokens = bpe.encode(df, path)
+    got = packing.padded_ids(packing.pack(tokens, max_len=64, buckets=4, budget=512, ids="ids"), tokens, pad_id=-1).collect()
+    want = {r.doc_id: list(r.ids) for r in tokens.collect()}
+    parts = {}
+    for r in got:
+        assert len(r.input_ids) == (r.bucket_len or 0) and r.input_ids[r.n_tokens :] == [-1] * (r.padding or 0)
+        parts.setdefault(r.doc_id, {})[r.piece] = r.input_ids[: r.n_tokens]
+    assert {k: sum((p[j] for j in sorted(p)), []) for k, p in parts.items()} == want
