@@ -10,14 +10,9 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import xxhash
 
-_RNG = np.random.default_rng(20260101)
-_BYTE = _RNG.integers(0, 1 << 64, 256, dtype=np.uint64)
-_PLACE = _RNG.integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(9, 14)]] = True
-_POWERS = np.multiply.accumulate(np.full(4096, _BASE, np.uint64))
+_PLACE = np.random.default_rng(20260101).integers(0, 1 << 64, 64, dtype=np.uint64) | np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,19 +21,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def words(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()  # of bytes: A-Z, and the six white-space bytes
+
+
 def word_hashes(text: str | None) -> np.ndarray:
-    raw = np.frombuffer((text or "").encode().lower(), np.uint8)  # bytes.lower() knows A-Z only
-    inside = ~_SPACE[raw]
-    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-    if not len(edges):
-        return np.zeros(0, np.uint64)
-    sizes = edges[1::2] - edges[::2]
-    offsets = np.cumsum(sizes) - sizes
-    letters = raw[inside]
-    place = np.arange(len(letters)) - np.repeat(offsets, sizes)
-    most = int(sizes.max())
-    powers = _POWERS if most <= len(_POWERS) else np.multiply.accumulate(np.full(most, _BASE, np.uint64))
-    return mix(np.add.reduceat(_BYTE[letters] * powers[place], offsets) + sizes.astype(np.uint64))
+    own = words(text)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
+
+
+def word_shingles(text: str | None, k: int) -> set[tuple[bytes, ...]]:
+    """The distinct shingles themselves."""
+    own = words(text)
+    return set(zip(*(own[j:] for j in range(min(k, len(own))))))
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -76,3 +71,8 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union, in whole numbers."""
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= percent * (len(x) + len(y) - both) and both > 0
+
+
+def similar_words(x: set, y: set, percent: int) -> bool:
+    both = len(x & y)
+    return 100 * both >= percent * (len(x) + len(y) - both) and both > 0

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -97,3 +98,34 @@ def test_components(spark):
         want = {x: find(x) for a, b in links if None not in (a, b) and a != b for x in (a, b)}
         got = connected_components(spark.createDataFrame(links, "u long, v long")).collect()
         assert len(got) == len(want) and {r.node: r.component for r in got} == want
+
+
+def test_long_words_with_equal_polynomials_stay_apart(spark):
+    """Two words of 1,024 letters that any polynomial modulo 2^64 confuses."""
+    one = "".join("ab"[bin(k).count("1") & 1] for k in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, one), (2, other), (3, one)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, k=4).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_one_row_of_each_group_stays(spark):
+    base = " ".join(f"w{k}" for k in range(60))
+    near = base + " more"
+    rows = [(5, base, "a"), (5, base, "a"), (5, near, "b"), (7, near, "c"), (None, base, "d"), (None, "alone here", "e"), (8, None, "f"), (8, None, "f"), (9, " ", "g"), (10, "other words", "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string")
+    got = sorted(((r.doc_id, r.digest) for r in minhash.remove_near_duplicates(df).collect()), key=str)
+    digest = lambda t: hashlib.sha256(t.encode()).digest()
+    first = "a" if digest(base) < digest(near) else "b"
+    assert got == sorted([(5, first), (None, "e"), (8, "f"), (8, "f"), (9, "g"), (10, "h")], key=str)
+    assert minhash.remove_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_groups_that_meet_by_few_pairs(spark):
+    """Many near copies on both sides share frequent shingles; few pairs across are similar."""
+    shared = [f"s{k}" for k in range(100)]
+    left = [shared + [f"l{k}" for k in range(j, j + 24)] for j in range(0, 12, 2)]
+    right = [shared + [f"l{k}" for k in range(10)] + [f"r{k}" for k in range(j, j + 12)] for j in range(6)]
+    rows = [(n, " ".join(w)) for n, w in enumerate(left + right + [x[:70] + ["cut"] + x[70:] for x in left])]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows, 4)
