@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from memweave.llm import bpe, exact_dedup, gif_media, html_text, language_id, line_dedup, minhash, packing, suffix_dedup, toxicity
+from memweave.llm import bpe, exact_dedup, gif_media, html_text, language_id, line_dedup, minhash, packing, pipeline, suffix_dedup, toxicity
 from memweave.runtime import table
 
 
@@ -62,12 +61,12 @@ def queries():
         "op8_bpe": op8_bpe,
         "op9_toxicity": op9_toxicity,
         "op10_gif_media": op10_gif_media,
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     out = {"op1_exact_dedup": exact_dedup.ORACLE, "op3_minhash": minhash.ORACLE}
-    if corpus_pipeline.ORACLE_SQL:
-        out["pipeline"] = corpus_pipeline.ORACLE_SQL
+    if pipeline.ORACLE_SQL:
+        out["pipeline"] = pipeline.ORACLE_SQL
     return out
