@@ -9,6 +9,7 @@ neighbouring windows that chose it; its context is all bytes of those windows.
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 WINDOW, GRAM = 100, 32
 _RNG = np.random.default_rng(20260102)
@@ -52,6 +53,12 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
     return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def named(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit names of the byte strings [start, end) by a hash of all their bytes."""
+    view, name = memoryview(np.ascontiguousarray(raw)), xxhash.xxh3_64_intdigest
+    return np.fromiter((name(view[a:z]) for a, z in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+
+
 def _block(raw: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gram hashes; for each run of windows with one anchor, its first window and the anchor's place."""
     n = len(raw)
@@ -85,7 +92,7 @@ def anchors_of(texts: list[np.ndarray], window: int = WINDOW, gram: int = GRAM,
     out, k = [], 0
     while k < len(texts):
         if len(texts[k]) > BLOCK:
-            out += _long(texts[k], k, window, gram)
+            out += _long(texts[k], k, window, gram, context)
             k += 1
             continue
         end, size = k, 0
@@ -107,20 +114,20 @@ def anchors_of(texts: list[np.ndarray], window: int = WINDOW, gram: int = GRAM,
             keep = good[first]
             first, count, place = first[keep], count[keep], place[keep]
             own = text[first]
-            hashes = span_hashes(prefix_sums(raw, 1), first, first + count + window - 1, 1) if context else np.zeros(len(first), np.uint64)
+            hashes = named(raw, first, first + count + window - 1) if context else np.zeros(len(first), np.uint64)
             out.append((own + k, first - (np.cumsum(sizes) - sizes)[own], count, grams[place], hashes))
         k = end
     return tuple(np.concatenate(x) for x in zip(*(out or [empty]), strict=True))
 
 
-def _long(raw: np.ndarray, number: int, window: int, gram: int) -> list[tuple[np.ndarray, ...]]:
+def _long(raw: np.ndarray, number: int, window: int, gram: int, context: bool) -> list[tuple[np.ndarray, ...]]:
     out = []
     for at in range(0, len(raw) - window + 1, BLOCK):
         part = raw[at : at + BLOCK + window - 1]
         grams, starts, place = _block(part, window, gram)
         count = np.diff(np.append(starts, len(part) - window + 1))
-        context = span_hashes(prefix_sums(part, 1), starts, starts + count + window - 1, 1)
-        out.append((np.full(len(starts), number), starts + at, count, grams[place], context))
+        names = named(part, starts, starts + count + window - 1) if context else np.zeros(len(starts), np.uint64)
+        out.append((np.full(len(starts), number), starts + at, count, grams[place], names))
     return out
 
 

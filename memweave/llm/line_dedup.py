@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memweave.llm.anchors import _powers, span_hashes
-from memweave.llm.suffix_dedup import keyed
+from memweave.llm.suffix_dedup import keyed, with_texts
 from memweave.runtime import materialize, release
 
 RARE = 8
@@ -338,10 +338,7 @@ def remove_lines(docs: DataFrame, rare: int | None = None, min_chars: int = MIN_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cut = [_without(t.as_py(), gone) for t, gone in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(cut, pa.string())], names=["__doc_id", "__hash", "__cut"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(cut, pa.string())], names=["doc_id", "hash", "cut"])
 
-    cut = texts.join(removed_lines(texts, rare, min_chars).hint("merge"), "tid").select("doc_id", F.sha2("text", 256).alias("hash"), "text", "gone").mapInArrow(run, "__doc_id long, __hash string, __cut string")
-    match = F.col(doc_id).cast("long").eqNullSafe(F.col("__doc_id"))
-    if not simple:
-        match &= F.sha2(F.col(text).cast("string"), 256) == F.col("__hash")
-    return docs.join(cut.hint("merge"), match, "left").withColumn(text, F.coalesce("__cut", F.col(text))).drop("__doc_id", "__hash", "__cut")
+    cut = texts.join(removed_lines(texts, rare, min_chars).hint("merge"), "tid").select("doc_id", F.sha2("text", 256).alias("hash"), "text", "gone").mapInArrow(run, "doc_id long, hash string, cut string")
+    return with_texts(docs, cut, doc_id, text, simple)

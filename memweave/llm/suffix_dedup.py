@@ -2,12 +2,14 @@
 
 A byte goes if a ``window``-byte string that covers it also starts earlier: in a text
 with a smaller doc_id, or earlier in the same text. Which windows have an earlier
-equal is found in three steps, each exact:
+equal is found in three steps, each for all windows that the one before left open. Most
+repeats are whole contexts; README has the shares of the steps.
 
 1. Anchors (``anchors.py``) give equal windows equal grams. Windows whose gram occurs
    once have no equal, and never leave their task. Of anchors with equal contexts all
    but the first are repeats as a whole; thousands of copies meet in an aggregation
-   with partial results, not in one group.
+   with partial results, not in one group. Contexts are told apart by 64-bit hashes of all
+   their bytes (XXH3) among those of one gram.
 2. What is left (a gram in differing contexts: the ends of passages and the places of
    edits) is cut into units of ``UNIT`` neighbouring windows, aligned by the anchor.
    Units without an equal core drop out, units with equal contexts are settled.
@@ -22,14 +24,16 @@ sort keeps of each level just the sampled suffixes that those depend on.
 
 Defined results: a null text is empty; texts shorter than ``window`` lose nothing. Rows
 with a null doc_id come after all others. Rows that share a doc_id come in the order of
-their texts; rows that repeat doc_id and text are one document with one result. A text of
-2^28 bytes (256 MiB) or more is refused: the job fails with a ValueError.
+their texts; rows that repeat doc_id and text are one document with one result. Texts of
+any length go: they are read as parts of 2^24 bytes that overlap by a window. Documents and
+parts together may be 2^39; more of them fail with a ValueError before any work is done.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,48 +41,110 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from memweave.llm.anchors import GRAM, WINDOW, anchors_of, places, prefix_sums, span_hashes
+from memweave.llm.anchors import GRAM, WINDOW, anchors_of, named, places, prefix_sums, span_hashes
 from memweave.runtime import materialize, release
 
 UNIT = 4
 CHAR = 16
-#: A position is one number: the document's above, the byte's in so many low bits. So texts
-#: may have 2^28 bytes and documents may be 2^35.
-BYTE_BITS = 28
+#: A position is one number: that of a text's part above, the byte's in so many low bits.
+PART_BITS = 24
+
+
+I64, I32 = pa.int64(), pa.int32()
 
 
 def _raw(t: pa.Scalar) -> np.ndarray:
-    raw = np.frombuffer((t.as_py() or "").encode(), np.uint8)
-    if len(raw) >= 1 << BYTE_BITS:
-        raise ValueError(f"a text of {len(raw)} bytes; positions hold 2^{BYTE_BITS}")
-    return raw
+    return np.frombuffer(t.as_py() or b"", np.uint8)
 
 
 def _rows(names: list[str], types: list[pa.DataType], columns: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-I64, I32 = pa.int64(), pa.int32()
+@dataclass
+class Texts:
+    """Documents with a number each, in their order."""
 
+    rows: DataFrame  # tid, doc_id, copies, text, units
+    simple: bool  # tid is the doc_id itself, and no row repeats another
+    stride: int  # numbers from one document to the next; 0 where each takes as many as its units
 
-def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """``(tid, doc_id, copies, text)`` with tids in the order of documents; whether tid is the doc_id itself."""
-    rows, ids, low, high = docs.agg(F.count(F.lit(1)), F.countDistinct("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
-    if rows == ids and (not rows or 0 <= low <= high < 1 << (63 - BYTE_BITS)):
-        return docs.select(F.col("doc_id").alias("tid"), "doc_id", F.lit(1).alias("copies"), "text"), True
+
+def numbered(docs: DataFrame, unit_bits: int | None = None) -> Texts:
+    """``docs (doc_id, text)`` in order. With ``unit_bits``, a text has a unit for each so many bytes, and a number for each unit."""
+    size = F.octet_length("text") if unit_bits else F.lit(0)
+    rows, ids, low, high, longest = docs.agg(F.count(F.lit(1)), F.countDistinct("doc_id"), F.min("doc_id"), F.max("doc_id"), F.max(size)).first()
+    units = F.greatest(F.ceil(F.coalesce(size, F.lit(0)) / (1 << (unit_bits or 0))), F.lit(1)).cast("long")
+    most = max(1, -(-(longest or 0) >> unit_bits) if unit_bits else 1)
+    room = 1 << (63 - (unit_bits or 0))
+    if rows == ids and (not rows or low >= 0 and (high + 1) * most < room):
+        return Texts(docs.select(F.col("doc_id").alias("tid"), "doc_id", F.lit(1).alias("copies"), "text", units.alias("units")), True, most)
     distinct = docs.groupBy("doc_id", "text").agg(F.count(F.lit(1)).cast("int").alias("copies"))
     order = [F.col("doc_id").isNull(), F.col("doc_id"), F.sha2(F.coalesce("text", F.lit("")), 256), F.col("text").isNull()]
-    placed = distinct.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    placed = materialize(placed.select("at", "doc_id", "copies", "text"), "keyed")
-    # partition number and place to one number without gaps; a row for each partition on the driver
-    part = F.shiftright("at", 33)
-    sizes = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, entries = 0, []
+    placed = distinct.withColumn("units", units).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    columns = "at long, part int, units long, doc_id long, copies int, text string"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for b in batches:
+            n = b.column(1).to_numpy()
+            ends = at + np.cumsum(n)
+            yield pa.record_batch([pa.array(ends - n, I64), *b.columns], names=[c.split()[0] for c in columns.split(", ")])
+            at = int(ends[-1]) if len(ends) else at
+
+    placed = materialize(placed.select("part", "units", "doc_id", "copies", "text").mapInArrow(count, columns), "numbered")
+    # place in its partition to one number without gaps; a row for each partition on the driver
+    sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.sum("units").alias("n")).collect()}
+    before, starts = 0, []
     for p in sorted(sizes):
-        entries += [F.lit(p).cast("long"), F.lit(before).cast("long")]
+        starts.append((p, before))
         before += sizes[p]
-    start = F.create_map(*entries)[part] if entries else F.lit(0).cast("long")
-    return placed.select((start + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("tid"), "doc_id", "copies", "text"), False
+    if before >= room:
+        raise ValueError(f"{before} documents and parts; positions hold {room}")
+    begin = docs.sparkSession.createDataFrame(starts, "part int, begin long")
+    return Texts(placed.join(begin, "part").select((F.col("begin") + F.col("at")).alias("tid"), "doc_id", "copies", "text", "units"), False, 0)
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``(tid, doc_id, copies, text)`` with tids in the order of documents; whether tid is the doc_id itself."""
+    texts = numbered(docs)
+    return texts.rows.drop("units"), texts.simple
+
+
+def _parts(texts: Texts, window: int) -> DataFrame:
+    """``(tid, text)``: the units of the texts by their own numbers, as bytes, each with the windows that start in it."""
+    raw = F.col("text").cast("binary")
+    if texts.stride == 1:
+        return texts.rows.select("tid", raw.alias("text"))
+    k = F.col("k")
+    cut = F.substring(raw, (k * (1 << PART_BITS) + 1).cast("int"), F.lit((1 << PART_BITS) + window - 1))
+    first = F.col("tid") * texts.stride if texts.stride else F.col("tid")
+    rows = texts.rows.select("tid", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("units") - 1)).alias("k"))
+    return rows.select((first + k).alias("tid"), F.when(F.col("text").isNotNull(), cut).alias("text"))
+
+
+def _whole(texts: Texts, runs: DataFrame) -> DataFrame:
+    """``(tid, lo, n)`` by document of runs ``(pos, n)`` by part."""
+    part, byte = F.shiftright("pos", PART_BITS), F.col("pos").bitwiseAND(F.lit((1 << PART_BITS) - 1))
+    if texts.stride == 1:
+        return runs.select(part.alias("tid"), byte.alias("lo"), "n")
+    if texts.stride:
+        owner = F.expr(f"shiftright(pos, {PART_BITS}) div {texts.stride}")
+        return runs.select(owner.alias("tid"), (byte + (part - owner * texts.stride) * (1 << PART_BITS)).alias("lo"), "n")
+    long = texts.rows.where("units > 1").select("tid", F.explode(F.sequence(F.col("tid"), F.col("tid") + F.col("units") - 1)).alias("part"))
+    at = runs.select(part.alias("part"), byte.alias("byte"), "n").join(long, "part", "left").withColumn("tid", F.coalesce("tid", "part"))
+    return at.select("tid", (F.col("byte") + (F.col("part") - F.col("tid")) * (1 << PART_BITS)).alias("lo"), "n")
+
+
+def with_texts(docs: DataFrame, new: DataFrame, doc_id: str, text: str, simple: bool) -> DataFrame:
+    """``docs`` with the texts of ``new (doc_id, hash, cut)``; all rows and columns stay, whatever their names."""
+    sha = F.lit(None).cast("string") if simple else F.sha2(F.col(text).cast("string"), 256)
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("id"), sha.alias("sha"))
+    match = F.col("id").eqNullSafe(F.col("doc_id"))
+    if not simple:
+        match &= F.col("sha") == F.col("hash")
+    joined = rows.join(new.hint("merge"), match, "left")
+    return joined.select(*[F.coalesce("cut", f"row.`{c}`").alias(c) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def _anchor_rows(docs: DataFrame, window: int, gram: int, full: bool) -> DataFrame:
@@ -91,7 +157,7 @@ def _anchor_rows(docs: DataFrame, window: int, gram: int, full: bool) -> DataFra
             for k in range(0, len(b), 1000):
                 raw = [_raw(t) for t in b.column(1).slice(k, 1000)]
                 own, lo, n, g, c = anchors_of(raw, window, gram, full)
-                yield _rows(names, types, [(tids[k + own] << BYTE_BITS) + lo, n.astype(np.int32), g.view(np.int64), c.view(np.int64)] if full else [g.view(np.int64)])
+                yield _rows(names, types, [(tids[k + own] << PART_BITS) + lo, n.astype(np.int32), g.view(np.int64), c.view(np.int64)] if full else [g.view(np.int64)])
 
     return docs.select("tid", "text").mapInArrow(run, ", ".join(f"{n} {'int' if t == I32 else 'long'}" for n, t in zip(names, types, strict=True)))
 
@@ -116,7 +182,7 @@ def _split_classes(rows: DataFrame, core: str, label: str) -> tuple[DataFrame, D
 
 
 def _text_and_byte() -> list:
-    return [F.shiftright("pos", BYTE_BITS).alias("tid"), F.col("pos").bitwiseAND(F.lit((1 << BYTE_BITS) - 1)).alias("lo")]
+    return [F.shiftright("pos", PART_BITS).alias("tid"), F.col("pos").bitwiseAND(F.lit((1 << PART_BITS) - 1)).alias("lo")]
 
 
 def _segments(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
@@ -127,7 +193,7 @@ def _segments(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for tid, text, lo, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), strict=True):
-                raw = text.as_py().encode()
+                raw = text.as_py()
                 lo, n = np.array(lo.as_py()), np.array(n.as_py())
                 order = np.argsort(lo)
                 lo, n = lo[order], n[order]
@@ -167,8 +233,8 @@ def _units(segments: DataFrame, window: int, gram: int) -> DataFrame:
         size = np.diff(np.append(first, len(w)))
         u, left, own = w[first], place[first] - slot[first] * UNIT, own[first]
         core = span_hashes(prefix_sums(raw, 0), left, left - (UNIT - 1) + window, 0)
-        context = span_hashes(prefix_sums(raw, 1), u, u + size - 1 + window, 1)
-        return [(tids[own] << BYTE_BITS) + u - shift[own] + ats[own], size.astype(np.int32), core.view(np.int64), context.view(np.int64), ats[own]]
+        context = named(raw, u, u + size - 1 + window)
+        return [(tids[own] << PART_BITS) + u - shift[own] + ats[own], size.astype(np.int32), core.view(np.int64), context.view(np.int64), ats[own]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,7 +258,7 @@ def _windows(segments: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 data = data.as_py()
                 for a, m in zip(lo, n, strict=True):
                     for p in range(a, a + m):
-                        spots.append((tid << BYTE_BITS) + p)
+                        spots.append((tid << PART_BITS) + p)
                         strings.append(data[p - at : p - at + window].ljust(chars * CHAR, b"\0"))
             cells = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CHAR), len(strings) * chars, [None, pa.py_buffer(b"".join(strings))]).cast(pa.binary())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(strings) * chars + 1, chars), pa.int32()), cells)
@@ -253,7 +319,7 @@ def _open_repeats(segments: DataFrame, wanted: DataFrame, window: int) -> DataFr
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``(pos, n)``: runs of ``n`` windows from ``pos`` on that all have an earlier equal."""
+    """``(pos, n)``: runs of ``n`` windows from ``pos`` on that all have an earlier equal, in ``docs (tid, text)`` with bytes."""
     common = materialize(_anchor_rows(docs, window, gram, False).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "common-grams")
     found = materialize(_anchor_rows(docs, window, gram, True).join(common, "gram", "left_semi").select("pos", "n", "gram", "context"), "anchors")
     release(common)
@@ -283,16 +349,17 @@ def _kept(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b"".join(raw[a:z] for a, z in zip([0, *ends.tolist()], [*starts.tolist(), len(raw)]))
 
 
-def _with_runs(docs: DataFrame, window: int) -> DataFrame:
-    """``docs`` with the lists ``lo`` and ``n`` of each text's repeated windows, null without any."""
-    runs = repeated_windows(docs, window).select(*_text_and_byte(), "n").groupBy("tid").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))
-    return docs.join(runs.hint("merge"), "tid", "left")
+def _with_runs(texts: Texts, window: int) -> DataFrame:
+    """The texts with the lists ``lo`` and ``n`` of their repeated windows, null without any."""
+    runs = _whole(texts, repeated_windows(_parts(texts, window), window))
+    runs = runs.groupBy("tid").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))
+    return texts.rows.join(runs.hint("merge"), "tid", "left")
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``, one row for each row of ``docs``."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    texts, simple = keyed(narrow)
+    texts = numbered(narrow, PART_BITS)
     names = ["doc_id", "copies", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     types = [I64, I32, I64, I64, I64, pa.string()]
 
@@ -311,7 +378,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
             yield _rows(names, types, [b.column(0), b.column(1), *out])
 
     done = _with_runs(texts, window).select("doc_id", "copies", "text", "lo", "n").mapInArrow(run, "doc_id long, copies int, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    if not simple:
+    if not texts.simple:
         done = done.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
     return done.drop("copies")
 
@@ -322,7 +389,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     A character is cut if any of its bytes is, so that what is left is text.
     """
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    texts, simple = keyed(narrow)
+    texts = numbered(narrow, PART_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -333,8 +400,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
             yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.string())], names=["doc_id", "hash", "cut"])
 
     cut = _with_runs(texts, window).where("lo IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("hash"), "text", "lo", "n").mapInArrow(run, "doc_id long, hash string, cut string")
-    cut = cut.withColumnsRenamed({"doc_id": "__doc_id", "hash": "__hash", "cut": "__cut"})
-    match = F.col(doc_id).cast("long").eqNullSafe(F.col("__doc_id"))
-    if not simple:
-        match &= F.sha2(F.col(text).cast("string"), 256) == F.col("__hash")
-    return docs.join(cut.hint("merge"), match, "left").withColumn(text, F.coalesce("__cut", F.col(text))).drop("__doc_id", "__hash", "__cut")
+    return with_texts(docs, cut, doc_id, text, texts.simple)

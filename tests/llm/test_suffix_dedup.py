@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from memweave.llm import line_dedup
 from memweave.llm import suffix_dedup as sd
 
 
@@ -99,3 +100,23 @@ def test_remove_repeats_keeps_rows_and_columns(spark):
     assert len(lengths) == len({r[0] for r in rows})
     first = {r.doc_id: r.text for r in got.collect()}
     assert first[0] == texts[0] or len(first[0]) < len(texts[0])
+
+
+def test_texts_in_parts(spark, monkeypatch):
+    """Any length goes: texts of several parts, with their ids as numbers and without."""
+    monkeypatch.setattr(sd, "PART_BITS", 8)
+    texts = corpus(7)
+    for ids in (range(len(texts)), [-1, None, *range(7, 7 * len(texts), 7)]):
+        rows = list(zip(ids, texts))
+        assert run(spark, rows) == brute(rows, 100)
+    big = [(1 << 50, texts[0] + texts[1]), (3, texts[1] * 2), (3, texts[1] * 2)]
+    assert run(spark, big) == brute(big, 100)
+
+
+def test_columns_of_any_name(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcdef ") for _ in range(300))
+    df = spark.createDataFrame([(1, text, "a", "b", 1), (2, text + "x", "c", "d", 2)], "doc_id long, text string, __cut string, cut string, `id` long")
+    for f in (sd.remove_repeats, line_dedup.remove_lines):
+        got = {r.doc_id: tuple(r) for r in f(df).collect()}
+        assert f(df).columns == df.columns and got[1] == (1, text, "a", "b", 1) and got[2][2:] == ("c", "d", 2)
