@@ -40,31 +40,32 @@ def palette_332() -> np.ndarray:
     return np.stack([(i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 255 // 3], 1).astype(np.uint8)
 
 
-def lzw_codes(pixels: bytes, min_size: int = 8) -> list[list[int]]:
+def lzw_codes(pixels: bytes, min_size: int = 8) -> list[np.ndarray]:
     """The codes of each run between two clear codes; a run ends where the table is full."""
     if not pixels:
         return []
-    clear = 1 << min_size
-    runs, codes, table, free = [], [], {}, clear + 2
-    get = table.get
-    before = pixels[0]
-    for sample in pixels[1:]:
-        pair = before << 8 | sample
-        known = get(pair)
+    # codes are held with a free byte below, where the next sample goes
+    least, most = (1 << min_size) + 2 << 8, 4096 << 8
+    runs, codes, table, free = [], [], {}, least
+    get, put = table.get, codes.append
+    before = pixels[0] << 8
+    for sample in memoryview(pixels)[1:]:
+        known = get(before | sample)
         if known is not None:
             before = known
             continue
-        codes.append(before)
-        before = sample
-        if free < 4096:
-            table[pair] = free
-            free += 1
+        put(before)
+        if free < most:
+            table[before | sample] = free
+            free += 256
         else:
             runs.append(codes)
-            codes, free = [], clear + 2
+            codes, free = [], least
+            put = codes.append
             table.clear()
-    codes.append(before)
-    return [*runs, codes]
+        before = sample << 8
+    put(before)
+    return [np.array(x) >> 8 for x in [*runs, codes]]
 
 
 def lzw_encode(pixels: bytes, min_size: int = 8) -> bytes:
@@ -73,8 +74,8 @@ def lzw_encode(pixels: bytes, min_size: int = 8) -> bytes:
     runs = lzw_codes(pixels, min_size)
     codes = [np.array([clear])]
     widths = [np.array([min_size + 1])]
-    for k, run in enumerate(runs or [[]]):
-        codes.append(np.array([*run, clear if k + 1 < len(runs) else clear + 1]))
+    for k, run in enumerate(runs or [np.zeros(0, np.int64)]):
+        codes += [run, np.array([clear if k + 1 < len(runs) else clear + 1])]
         widths.append(_offsets(min_size, MOST_CODES)[1][: len(run) + 1])
     return packed(np.concatenate(codes), np.concatenate(widths))
 
@@ -108,7 +109,8 @@ def encode_gif(payload: bytes, width: int = WIDTH, frame_rows: int = FRAME_ROWS,
     if not payload or len(payload) % width:
         raise ValueError(f"payload of {len(payload)} bytes is no positive multiple of {width}")
     rows = len(payload) // width
-    unused = sorted(set(range(256)).difference(payload))[:1]  # a sample that may stand for nothing
+    counts = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
+    unused = np.flatnonzero(counts == 0)[:1].tolist()  # a sample that may stand for nothing
     colours = palette_332()
     out = [b"GIF89a", struct.pack("<HHBBB", width, min(rows, frame_rows), 0xF7, 0, 0), colours.tobytes()]
     for k, top in enumerate(range(0, rows, frame_rows)):
@@ -188,28 +190,37 @@ def lzw_decode(data: bytes, min_size: int, limit: int) -> np.ndarray:
 
 
 def _expand(codes: np.ndarray, clear: int, limit: int) -> np.ndarray:
+    """What the codes of one run stand for.
+
+    Entry e is what the e-th code puts out and the first sample of the next one. So a code's
+    samples are found from the last to the first, for all codes at once.
+    """
     if (codes < clear).all():
         return codes.astype(np.uint8)
-    table = [bytes([k]) for k in range(clear)] + [b"", b""]
-    free = len(table)
-    out: list[bytes] = []
-    have, before = 0, b""
-    for c in codes.tolist():
-        if c < free:
-            entry = table[c]
-        elif c == free and before:  # the entry that this very code completes
-            entry = before + before[:1]
-        else:
-            raise ValueError("LZW code beyond the table")
-        if before and free < 4096:
-            table.append(before + entry[:1])
-            free += 1
-        out.append(entry)
-        before = entry
-        have += len(entry)
-        if have >= limit:
-            break
-    return np.frombuffer(b"".join(out), np.uint8)
+    first = clear + 2
+    if ((codes >= first) & (codes - first >= np.arange(len(codes)))).any():
+        raise ValueError("LZW code beyond the table")
+    # lengths and first samples
+    root, size = codes.copy(), np.ones(len(codes), np.int64)
+    left = np.flatnonzero(root >= first)
+    while len(left):
+        size[left] += 1
+        root[left] = codes[root[left] - first]
+        left = left[root[left] >= first]
+    ends = np.cumsum(size)
+    n = int(np.searchsorted(ends, limit)) + 1  # later codes are not wanted
+    codes, at = codes[:n].copy(), ends[:n] - 1
+    out = np.empty(int(at[-1]) + 1, np.uint8)
+    whole = codes.copy()
+    left = np.flatnonzero(codes >= first)
+    while len(left):
+        entry = codes[left] - first
+        out[at[left]] = root[entry + 1]
+        at[left] -= 1
+        codes[left] = whole[entry]
+        left = left[codes[left] >= first]
+    out[at] = codes
+    return out
 
 
 @dataclass
@@ -256,7 +267,7 @@ def iter_frames(data: bytes) -> Iterator[Frame]:
             at += 1 + n
         return b"".join(parts), at + 1
 
-    canvas = np.zeros((height, width, 4), np.uint8)
+    canvas = np.zeros((height, width), np.uint32)  # four bytes of colour a pixel
     delay, disposal, transparent = 0, 0, None
     try:
         if packed_ & 0x80:
@@ -303,14 +314,13 @@ def _draw(f: Frame, canvas: np.ndarray) -> np.ndarray:
         table = np.zeros((256, 4), np.uint8)
         table[: len(f.palette), :3] = f.palette
         table[:, 3] = 255
-        drawn = table[part]
+        drawn = table.view(np.uint32)[:, 0][part]
         spot = canvas[f.top : f.top + h, f.left : f.left + w]
         if f.transparent is None:
             spot[:] = drawn
         else:
-            solid = part != f.transparent
-            spot[solid] = drawn[solid]
-    f.canvas = canvas.copy()
+            np.copyto(spot, drawn, where=part != f.transparent)
+    f.canvas = canvas.copy().view(np.uint8).reshape(*canvas.shape, 4)
     if f.disposal == 2 and h > 0 and w > 0:
         canvas[f.top : f.top + h, f.left : f.left + w] = 0
     return canvas if before is None else before
@@ -319,8 +329,11 @@ def _draw(f: Frame, canvas: np.ndarray) -> np.ndarray:
 def colour_histogram(canvas: np.ndarray, bits: int = HIST_BITS) -> np.ndarray:
     """Opaque pixels by the ``bits`` high bits of red, green and blue."""
     c = canvas.reshape(-1, 4)
-    c = c[c[:, 3] > 0].astype(np.int64) >> (8 - bits)
-    return np.bincount((c[:, 0] << 2 * bits) | (c[:, 1] << bits) | c[:, 2], minlength=1 << 3 * bits)
+    cell = np.zeros(len(c), np.int64)
+    for k in range(3):
+        cell = cell << bits | c[:, k] >> (8 - bits)
+    solid = c[:, 3] > 0
+    return np.bincount(cell if solid.all() else cell[solid], minlength=1 << 3 * bits)
 
 
 def pad(raw: bytes, unit: int = WIDTH) -> bytes:
