@@ -257,9 +257,11 @@ def _open_runs(table: DataFrame, holders: DataFrame, pairs: DataFrame, gone: Dat
 def _all_removed(table: DataFrame, min_chars: int) -> DataFrame:
     """``(tid, gone)`` of all pairs."""
     held = materialize(_runs_of(table, min_chars), "runs")
-    shared = held.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("seen")).where("n > 1").select("run", "seen")
+    # written before it is joined: both sides are then plain scans, and no hot run is pinned to one task
+    shared = materialize(held.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("seen")).where("n > 1").select("run", "seen"), "first-holders")
     holders = materialize(held.join(shared, "run").select("tid", "run", "seen"), "shared-runs")
     release(held)
+    release(shared)
     pairs = materialize(holders.where("tid <> seen").select(F.col("seen").alias("earlier"), F.col("tid").alias("later")).distinct(), "pairs")
     gone = _gathered(_aligned(pairs, table, min_chars))
     todo = _open_runs(table, holders, pairs, gone, min_chars)
