@@ -273,7 +273,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, doc_id: str, text: str, band
     links = confirm(likely(first).drop("same"))
     labels = materialize(connected_components(links), "labels")
     placed = members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
+    mixed = materialize(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket"), "mixed-buckets")
     open_ = materialize(placed.join(mixed, "bucket").select("key", "component").distinct(), "open-classes")
     sets = materialize(open_.join(texts, "key"), "open-sets")
     prefixes = materialize(_prefixes(sets, k, percent), "prefixes")
