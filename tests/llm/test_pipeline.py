@@ -1,7 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from memweave.llm import language_id, line_dedup, packing
+from memweave.llm import language_id, line_dedup, packing, pipeline
 from tests.llm.test_minhash import brute as near_brute
 
 WORDS = {"en": "the house is very old and the dog sleeps there all day long".split(), "de": "das Haus ist sehr alt und der Hund schläft dort den ganzen Tag".split()}
@@ -80,7 +80,7 @@ def test_stages_keep_the_columns(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs.write.parquet(f"{tmp_path}/{name}")
         docs = stage(spark, spark.read.parquet(f"{tmp_path}/{name}"), str(tmp_path))
-        assert docs.columns == corpus_pipeline.COLUMNS
+        assert docs.columns == pipeline.COLUMNS
     assert all(r.n_chars == len(r.text) for r in docs.collect())
 
 
