@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memweave.functions import scoring
@@ -23,20 +23,47 @@ class Subgraph:
     edges: DataFrame
 
 
-def incident_edges(edges: DataFrame, frontier: DataFrame, user_id: str, cap: int = NEIGHBOR_EDGES) -> DataFrame:
+#: Up to so many keys go into a scan as values, which prunes the buckets it reads; more are joined.
+MOST_KEYS = 10_000
+
+
+class GraphStore:
+    """Nodes bucketed by id, and edges twice, bucketed by either end: a hop reads the buckets of its frontier alone."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.nodes, self.edges_out, self.edges_in = (spark.table(f"{name}_{x}") for x in ("nodes", "out", "in"))
+
+    @classmethod
+    def write(cls, name: str, path: str, nodes: DataFrame, edges: DataFrame, buckets: int = 32) -> GraphStore:
+        spark = nodes.sparkSession
+        for part, df, key in (("nodes", nodes, "uuid"), ("out", edges, "subject_uuid"), ("in", edges, "object_uuid")):
+            spark.sql(f"DROP TABLE IF EXISTS {name}_{part}")
+            df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", f"{path}/{part}").saveAsTable(f"{name}_{part}")
+        return cls(spark, name)
+
+
+def picked(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows whose ``column`` is among ``keys (uuid)``: by values in the scan, or by a semi join where there are many."""
+    some = [r["uuid"] for r in keys.limit(MOST_KEYS + 1).collect()]
+    if len(some) <= MOST_KEYS:
+        return df.where(F.col(column).isin(some))
+    return df.join(keys.select(F.col("uuid").alias("__key")), F.col(column) == F.col("__key"), "left_semi")
+
+
+def incident_edges(edges: DataFrame | GraphStore, frontier: DataFrame, user_id: str, cap: int = NEIGHBOR_EDGES) -> DataFrame:
     """Edges of a user that touch ``frontier (uuid)``, with the touched end ``at`` and the ``other``.
 
-    The two directions are two equi-joins, each capped per node; a condition with OR would
+    The two directions are two scans by keys, each capped per node; a condition with OR would
     be a nested loop.
     """
-    own = edges.where(F.col("user_id") == user_id)
 
-    def one_way(near: str, far: str) -> DataFrame:
-        met = own.join(frontier.select(F.col("uuid").alias("at")), F.col(near) == F.col("at"))
+    def one_way(table: DataFrame, near: str, far: str) -> DataFrame:
+        met = picked(table.where(F.col("user_id") == user_id), near, frontier.select("uuid").distinct()).withColumn("at", F.col(near))
         rank = F.row_number().over(Window.partitionBy("at").orderBy("uuid"))
         return met.withColumn("rank", rank).where(F.col("rank") <= cap).drop("rank").withColumn("other", F.col(far))
 
-    return one_way("subject_uuid", "object_uuid").unionByName(one_way("object_uuid", "subject_uuid"))
+    out, into = (edges.edges_out, edges.edges_in) if isinstance(edges, GraphStore) else (edges, edges)
+    return one_way(out, "subject_uuid", "object_uuid").unionByName(one_way(into, "object_uuid", "subject_uuid"))
 
 
 def passes_source(source: str | None) -> Column:
@@ -55,7 +82,7 @@ def prune(nodes: DataFrame, query: Column | None, k: int) -> DataFrame:
 
 def expand(
     nodes: DataFrame,
-    edges: DataFrame,
+    edges: DataFrame | GraphStore,
     seeds: DataFrame,
     query: Column | None = None,
     hops: int = 2,
@@ -74,13 +101,15 @@ def expand(
     """
     alive = nodes.where("weight > 0")
     found = materialize(seeds.select("uuid").distinct(), "discovered")
-    start = materialize(alive.join(found, "uuid", "left_semi").where(F.col("node_type") != LOG), "seeds")
+    start = materialize(picked(alive, "uuid", found).where(F.col("node_type") != LOG), "seeds")
     out_nodes, out_edges = start, None
+    stored = edges.edges_out if isinstance(edges, GraphStore) else edges
+    columns = stored.columns
     frontier = start.where(passes_source(source)).select("uuid")
     me = self_id(F.lit(user_id))
     for hop in range(hops):
         met = materialize(incident_edges(edges, frontier, user_id), "incident")
-        live = met.where("weight > 0").select(*edges.columns)
+        live = met.where("weight > 0").select(*columns)
         out_edges = live if out_edges is None else out_edges.unionByName(live)
         reached = met.select("at", "other").join(found.withColumnRenamed("uuid", "other"), "other", "left_anti")
         reached = materialize(reached, "reached")
@@ -88,7 +117,7 @@ def expand(
         if reached.isEmpty():
             break
         found = found.unionByName(new)
-        rows = materialize(alive.join(new, "uuid", "left_semi"), "rows")
+        rows = materialize(picked(alive, "uuid", new), "rows")
         others = rows.where((F.col("node_type") != LOG) & passes_source(source if source else None))
         kept = prune(others, query, limit_per_hop)
         if hop == 0 and self_floor > 0:
@@ -97,7 +126,7 @@ def expand(
         kept = materialize(kept, "kept")
         out_nodes = out_nodes.unionByName(rows.where(F.col("node_type") == LOG)).unionByName(kept)
         frontier = kept.select("uuid")
-    return Subgraph(out_nodes, (out_edges if out_edges is not None else edges.limit(0)).dropDuplicates(["uuid"]))
+    return Subgraph(out_nodes, (out_edges if out_edges is not None else stored.limit(0)).dropDuplicates(["uuid"]))
 
 
 def merge(base: Subgraph, extra: Subgraph) -> Subgraph:
@@ -118,10 +147,10 @@ def labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
-def search_then_expand(nodes: DataFrame, edges: DataFrame, query: Column, now: str, limit: int = 10, hops: int = 2, limit_per_hop: int = 20, user_id: str = "global") -> Subgraph:
+def search_then_expand(nodes: DataFrame, edges: DataFrame | GraphStore, query: Column, now: str, limit: int = 10, hops: int = 2, limit_per_hop: int = 20, user_id: str = "global") -> Subgraph:
     """All hits of a search, nodes and edges alike, as seeds."""
     from memweave.operators.search import search
 
-    found, facts = search(nodes, edges, query, now, limit=limit, user_id=user_id)
+    found, facts = search(nodes, edges.edges_out if isinstance(edges, GraphStore) else edges, query, now, limit=limit, user_id=user_id)
     seeds = found.select("uuid").unionByName(facts.select("uuid"))
     return expand(nodes, edges, seeds, query, hops, limit_per_hop, user_id)

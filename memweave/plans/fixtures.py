@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass
 from functools import cached_property
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memweave.runtime import table
+from memweave.operators.traverse import GraphStore
+from memweave.runtime import materialize, new_path, table
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings"]
 #: In this order; each may read those before it.
@@ -164,5 +168,21 @@ class Graph:
         size = self.vectors.agg(F.count(F.lit(1)).alias("__size"))
         return df.crossJoin(size).withColumn("__at", F.col(key) % F.col("__size")).join(v, F.col("__at") == F.col("__vec")).drop("__vec", "__at", "__size")
 
+    @cached_property
+    def store(self) -> GraphStore:
+        """The graph with all vectors as stored tables, written once for each session and folder."""
+        key = f"graph_{hashlib.sha1(f'{self.spark.sparkContext.applicationId}:{self.sf_dir}'.encode()).hexdigest()}"
+        try:
+            if self.spark.catalog.tableExists(f"{key}_in"):
+                held = GraphStore(self.spark, key)
+                for df in (held.nodes, held.edges_out, held.edges_in):
+                    df.isEmpty()  # the files may be gone
+                return held
+        except (PySparkException, Py4JJavaError):
+            pass
+        nodes = self.with_vectors(self.nodes, "vec_id")
+        edges = materialize(self.with_vectors(self.edges, "first_j"), "graph-edges")
+        return GraphStore.write(key, new_path(self.spark, "graph"), nodes, edges)
+
     def query_vector(self, vec_id: int = 0) -> list[float]:
         return self.vectors.where(F.col("vec_id") == vec_id).first()["embedding"]

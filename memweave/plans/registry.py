@@ -337,10 +337,7 @@ def _expanded(graph: traverse.Subgraph) -> DataFrame:
 
 
 def _expand(g, seeds, with_query=False, **how):
-    nodes = _vector_nodes(g) if with_query else g.nodes.withColumn("embedding", F.lit(None).cast("array<float>"))
-    # the loop reads the graph several times: as stored tables, not as the views over the star schema
-    nodes, edges = materialize(nodes, "graph-nodes"), materialize(g.edges, "graph-edges")
-    return traverse.expand(nodes, edges, seeds, _q(g) if with_query else None, **how)
+    return traverse.expand(g.store.nodes, g.store, seeds, _q(g) if with_query else None, **how)
 
 
 @register(expand_sql([NATION_0], hops=1, k=20), "nodes", "edges")
@@ -853,16 +850,14 @@ def _hits(limit):
 
 @register(expand_sql(_hits(5), hops=1, k=20, query=V0, selects=True), "nodes", "edges")
 def search_then_expand(g):
-    nodes, edges = materialize(_vector_nodes(g), "graph-nodes"), materialize(_vector_edges(g), "graph-edges")
-    return _expanded(traverse.search_then_expand(nodes, edges, _q(g), NODES_NOW, limit=5, hops=1))
+    return _expanded(traverse.search_then_expand(g.store.nodes, g.store, _q(g), NODES_NOW, limit=5, hops=1))
 
 
 @register(f"SELECT * FROM ({_ONE_HOP}) a UNION SELECT * FROM ({expand_sql(_hits(5)[:1], hops=1, k=20, selects=True)}) b", "nodes", "edges")
 def two_pass_retrieval(g):
     """A subgraph with what the hits of a gap query add."""
-    nodes, edges = materialize(_vector_nodes(g), "graph-nodes"), materialize(g.edges, "graph-edges")
-    base = traverse.expand(nodes, edges, seed(g, "nation_0"), hops=1)
-    return _expanded(summarize.fill_gaps(base, nodes, edges, [_q(g)], NODES_NOW))
+    base = traverse.expand(g.store.nodes, g.store, seed(g, "nation_0"), hops=1)
+    return _expanded(summarize.fill_gaps(base, g.store.nodes, g.store, [_q(g)], NODES_NOW))
 
 
 # Code
