@@ -28,6 +28,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,8 @@ STEM = range(3, 9)
 VOTERS, ENTRIES = 160, 640
 #: An entry stands in so many toxic texts, and in this share of them, at least.
 LEAST_ROWS, LEAST_SHARE, LEAST_RATIO = 4, 0.015, 12.0
+#: Texts that share so much of their words are near copies when words are mined.
+COPY_SHARE = 0.8
 #: How often an annotator's label is taken to be right.
 TRUST = 0.95
 CACHE = 400_000
@@ -116,15 +119,34 @@ def _stem_counts(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "stem string, toxic long, other long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
+def _words(text: str) -> set[str]:
+    return set(text.lower().split())
+
+
 def _unlike(sample: DataFrame) -> DataFrame:
-    """One row of those that share the label and the two smallest word hashes: copies would make words of chance entries."""
+    """The sample without near copies, which would make words of chance entries.
+
+    Rows of one label that share their two smallest word hashes are compared: in the order
+    of their digests, a text goes if it shares ``COPY_SHARE`` of its words with one that
+    stays. The sample's bound is the bound of a group.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = ["".join(sorted(hashlib.blake2b(w.encode(), digest_size=8).hexdigest() for w in set(t.as_py().lower().split()))[:2]) for t in b.column(1)]
+            keys = ["".join(sorted(hashlib.blake2b(w.encode(), digest_size=8).hexdigest() for w in _words(t.as_py()))[:2]) for t in b.column(1)]
             yield pa.record_batch([*b.columns, pa.array(keys, pa.string())], names=["toxic", "text", "key"])
 
-    return sample.mapInArrow(run, "toxic int, text string, key string").dropDuplicates(["toxic", "key"]).select("toxic", "text")
+    def thin(rows: pd.DataFrame) -> pd.DataFrame:
+        kept: list[set[str]] = []
+        stay = []
+        for at in sorted(range(len(rows)), key=lambda k: hashlib.sha256(rows["text"].iloc[k].encode()).digest()):
+            own = _words(rows["text"].iloc[at])
+            if not any(len(own & x) >= COPY_SHARE * len(own | x) for x in kept):
+                kept.append(own)
+                stay.append(at)
+        return rows.iloc[stay][["toxic", "text"]]
+
+    return sample.mapInArrow(run, "toxic int, text string, key string").groupBy("toxic", "key").applyInPandas(thin, "toxic int, text string")
 
 
 def _best_stems(found: list[tuple[str, int, int]]) -> list[str]:
