@@ -43,6 +43,8 @@ UNKNOWN = 1e-7
 #: Words in training are cut to runs of so many characters; words to score are not.
 RUN = 32
 CACHE = 300_000
+#: Characters that are taken apart into words at once.
+AT_ONCE = 1 << 20
 #: Cut off around words, so that a word is scored once for all its surroundings.
 PUNCTUATION = ".,;:!?|()[]\"'«»¿¡#$&%*-"
 LETTER = regex.compile(r"\p{L}")
@@ -281,7 +283,7 @@ class Scorer:
         if len(self.row) > CACHE:
             self.row, self.log = {}, self.log[:0]
         split = [t.split() if self.model.languages and LETTER.search(t) else [] for t in texts]
-        if new := list(set().union(*split).difference(self.row)):
+        if split and (new := list(set().union(*split).difference(self.row))):
             self.learn(new)
         out = []
         get = self.row.__getitem__
@@ -325,7 +327,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(token, shared.value)
-        for keys, texts in groups(batches):
+        for keys, texts in groups(batches, AT_ONCE):
             got = scorer.score(texts)
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
         _rest()
@@ -344,10 +346,15 @@ def annotate(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(token, shared.value)
         for b in batches:
-            texts = b.column(at)
             got: list[tuple[str, float]] = []
-            for k in range(0, len(b), 500):
-                got += scorer.score([t.as_py() or "" for t in texts.slice(k, 500)])
+            part, size = [], 0
+            for t in b.column(at):
+                part.append(t.as_py() or "")
+                size += len(part[-1])
+                if size >= AT_ONCE:
+                    got += scorer.score(part)
+                    part, size = [], 0
+            got += scorer.score(part)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*b.schema.names, "lang_pred", "lang_score"])
         _rest()
 
