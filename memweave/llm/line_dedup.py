@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memweave.llm.anchors import _powers, span_hashes
+from memweave.llm.batches import slices
 from memweave.llm.suffix_dedup import keyed, with_texts
 from memweave.runtime import materialize, release
 
@@ -120,7 +121,7 @@ def _line_table(texts: DataFrame) -> DataFrame:
     """``(tid, keys, sizes)``: each text's line hashes, in one string, and lengths without outer white space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             keys, sizes = [], []
             for t in b.column(1):
                 lines = t.as_py().split("\n")
@@ -139,7 +140,7 @@ def _spread(table: DataFrame) -> DataFrame:
     """``(tid, line)``: each text's distinct lines that are not blank."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             tids, lines = [], []
             for tid, keys, sizes in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 own = {x for x, n in zip(_cut(keys), sizes, strict=True) if n}
@@ -188,7 +189,7 @@ def _runs_of(table: DataFrame, min_chars: int) -> DataFrame:
     """``(tid, run)`` of ``table (tid, keys, sizes)``; with a fourth column ``gone``, of the runs that have a line left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint64)[::2]
             sizes = b.column(2).flatten().to_numpy()
             counts = b.column(2).value_lengths().to_numpy().astype(np.int64)
@@ -221,7 +222,7 @@ def _aligned(pairs: DataFrame, table: DataFrame, min_chars: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = None
-        for b in batches:
+        for b in slices(batches):
             tids, gone = [], []
             for i, (tid, one) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 if tid != at:
@@ -315,7 +316,7 @@ def line_dedup(docs: DataFrame, rare: int | None = None, min_chars: int = MIN_CH
     texts, simple = keyed(narrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             lines, removed, sha = [], [], []
             for t, gone in zip(b.column(2), b.column(3).to_pylist(), strict=True):
                 t = t.as_py()
@@ -338,7 +339,7 @@ def remove_lines(docs: DataFrame, rare: int | None = None, min_chars: int = MIN_
     texts, simple = keyed(narrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             cut = [_without(t.as_py(), gone) for t, gone in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(cut, pa.string())], names=["doc_id", "hash", "cut"])
 

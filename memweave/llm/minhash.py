@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memweave.llm.batches import slices
 from memweave.llm.components import connected_components
 from memweave.llm.shingles import minima, permutations, set_key, shingle_set, similar, similar_words, word_shingles
 from memweave.runtime import materialize, release
@@ -52,7 +53,7 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = np.random.default_rng(11).integers(0, 1 << 64, (bands, rows), dtype=np.uint64) | np.uint64(1)
-        for batch in batches:
+        for batch in slices(batches):
             keys, sizes, digests, signs, buckets = [], [], [], [], []
             for t in batch.column(1):
                 t = t.as_py()
@@ -79,7 +80,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, bands: int, rows: int) -> Data
     least = LEAST_ESTIMATE * bands * rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             if len(b):
                 x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint32).reshape(len(b), -1) for c in (2, 3))
                 same = (x == y).sum(1)
@@ -94,7 +95,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, two, its_hashes, its_words = None, "", np.zeros(0, np.uint64), set()  # a pivot's set serves many rows
-        for b in batches:
+        for b in slices(batches):
             good = []
             for y, one, other in zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 if at != y:
@@ -116,7 +117,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """``(key, packed)``: one compressed text for each wanted ``(key, doc_id)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             keys, packed = [], []
             for t in b.column(0):
                 t = t.as_py() or ""
@@ -138,7 +139,7 @@ def _sketch(sets: DataFrame, k: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
-        for b in batches:
+        for b in slices(batches):
             for t in b.column(0):
                 np.add.at(counts, _slots(shingle_set(zlib.decompress(t.as_py()).decode(), k)), 1)
         at = np.flatnonzero(counts)
@@ -157,7 +158,7 @@ def _prefixes(sets: DataFrame, k: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
-        for b in batches:
+        for b in slices(batches):
             found, sizes, places = [np.zeros(0, np.uint64)], [], [np.zeros(0, np.int64)]
             for t in b.column(2):
                 s = shingle_set(zlib.decompress(t.as_py()).decode(), k)

@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memweave.llm.anchors import GRAM, WINDOW, anchors_of, named, places, prefix_sums, span_hashes
+from memweave.llm.batches import slices
 from memweave.runtime import materialize, release
 
 UNIT = 4
@@ -152,7 +153,7 @@ def _anchor_rows(docs: DataFrame, window: int, gram: int, full: bool) -> DataFra
     names, types = (["pos", "n", "gram", "context"], [I64, I32, I64, I64]) if full else (["gram"], [I64])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             tids = b.column(0).to_numpy()
             for k in range(0, len(b), 1000):
                 raw = [_raw(t) for t in b.column(1).slice(k, 1000)]
@@ -190,7 +191,7 @@ def _segments(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     names, types = ["tid", "at", "bytes", "lo", "n"], [I64, I64, pa.binary(), pa.list_(I64), pa.list_(I32)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for tid, text, lo, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), strict=True):
                 raw = text.as_py()
@@ -237,7 +238,7 @@ def _units(segments: DataFrame, window: int, gram: int) -> DataFrame:
         return [(tids[own] << PART_BITS) + u - shift[own] + ats[own], size.astype(np.int32), core.view(np.int64), context.view(np.int64), ats[own]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             tids, ats = b.column(0).to_numpy(), b.column(1).to_numpy()
             for k in range(0, len(b), 1000):
                 c = [b.column(i).slice(k, 1000) for i in (2, 3, 4)]
@@ -252,7 +253,7 @@ def _windows(segments: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     chars = -(-window // CHAR)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             spots, strings = [], []
             for tid, at, data, lo, n in zip(*(b.column(c).to_pylist() for c in (0, 1)), b.column(2), *(b.column(c).to_pylist() for c in (3, 4)), strict=True):
                 data = data.as_py()
@@ -364,7 +365,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id",
     types = [I64, I32, I64, I64, I64, pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[], [], [], []]
             for t, lo, n in zip(b.column(2), b.column(3), b.column(4), strict=True):
                 raw = (t.as_py() or "").encode()
@@ -392,7 +393,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
     texts = numbered(narrow, PART_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t, lo, n in zip(b.column(2), b.column(3), b.column(4), strict=True):
                 raw = (t.as_py() or "").encode()
