@@ -23,12 +23,15 @@ def _sum(c: Column) -> Column:
     return F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
 
 
+def _norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine over the common length; 0 where either norm is 0; null for a null vector."""
-    n = F.least(F.size(a), F.size(b))
-    x, y = (F.transform(F.slice(v, F.lit(1), n), lambda e: e.cast("double")) for v in (a, b))
-    dot = _sum(F.zip_with(x, y, lambda p, q: p * q))
-    norm = F.sqrt(_sum(F.transform(a, lambda e: e.cast("double") * e.cast("double")))) * F.sqrt(_sum(F.transform(b, lambda e: e.cast("double") * e.cast("double"))))
+    # zip_with fills the shorter one with nulls, which add nothing
+    dot = _sum(F.zip_with(a, b, lambda p, q: F.coalesce(p.cast("double") * q.cast("double"), F.lit(0.0))))
+    norm = _norm(a) * _norm(b)
     return F.when(norm == 0, F.lit(0.0)).otherwise(dot / norm)
 
 

@@ -87,6 +87,8 @@ def nearest(mentions: DataFrame, nodes: DataFrame, threshold: float = NEAR) -> D
     vector = F.col("embedding").cast("array<double>").alias("v")
     n = nodes.where("embedding IS NOT NULL").select(F.col("uuid").alias("near_uuid"), "node_type", vector)
     m = mentions.where("embedding IS NOT NULL").select("mention_id", "node_type", vector)
+    # a few passes follow
+    n, m = materialize(n, "node-vectors"), materialize(m, "mention-vectors")
     kinds = [f.dataType.simpleString() for f in m.select("mention_id").schema]
     n, m = _cells(n, m, threshold)
     key = ["node_type", "cell"]

@@ -147,10 +147,12 @@ def labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
-def search_then_expand(nodes: DataFrame, edges: DataFrame | GraphStore, query: Column, now: str, limit: int = 10, hops: int = 2, limit_per_hop: int = 20, user_id: str = "global") -> Subgraph:
-    """All hits of a search, nodes and edges alike, as seeds."""
+def search_then_expand(nodes: DataFrame, edges: DataFrame | GraphStore, query: Column, now: str, limit: int = 10, hops: int = 2, limit_per_hop: int = 20, user_id: str = "global", facts: DataFrame | None = None) -> Subgraph:
+    """All hits of a search, nodes and edges alike, as seeds. ``facts`` are the edges with vectors, where ``edges`` has none."""
     from memweave.operators.search import search
 
-    found, facts = search(nodes, edges.edges_out if isinstance(edges, GraphStore) else edges, query, now, limit=limit, user_id=user_id)
-    seeds = found.select("uuid").unionByName(facts.select("uuid"))
+    if facts is None:
+        facts = edges.edges_out if isinstance(edges, GraphStore) else edges
+    hits = search(nodes, facts, query, now, limit=limit, user_id=user_id)
+    seeds = hits[0].select("uuid").unionByName(hits[1].select("uuid"))
     return expand(nodes, edges, seeds, query, hops, limit_per_hop, user_id)

@@ -170,7 +170,7 @@ class Graph:
 
     @cached_property
     def store(self) -> GraphStore:
-        """The graph with all vectors as stored tables, written once for each session and folder."""
+        """The graph, its nodes with vectors, as stored tables that are written once for each session and folder."""
         key = f"graph_{hashlib.sha1(f'{self.spark.sparkContext.applicationId}:{self.sf_dir}'.encode()).hexdigest()}"
         try:
             if self.spark.catalog.tableExists(f"{key}_in"):
@@ -181,7 +181,7 @@ class Graph:
         except (PySparkException, Py4JJavaError):
             pass
         nodes = self.with_vectors(self.nodes, "vec_id")
-        edges = materialize(self.with_vectors(self.edges, "first_j"), "graph-edges")
+        edges = materialize(self.edges, "graph-edges")
         return GraphStore.write(key, new_path(self.spark, "graph"), nodes, edges)
 
     def query_vector(self, vec_id: int = 0) -> list[float]:

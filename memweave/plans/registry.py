@@ -850,7 +850,7 @@ def _hits(limit):
 
 @register(expand_sql(_hits(5), hops=1, k=20, query=V0, selects=True), "nodes", "edges")
 def search_then_expand(g):
-    return _expanded(traverse.search_then_expand(g.store.nodes, g.store, _q(g), NODES_NOW, limit=5, hops=1))
+    return _expanded(traverse.search_then_expand(g.store.nodes, g.store, _q(g), NODES_NOW, limit=5, hops=1, facts=_vector_edges(g)))
 
 
 @register(f"SELECT * FROM ({_ONE_HOP}) a UNION SELECT * FROM ({expand_sql(_hits(5)[:1], hops=1, k=20, selects=True)}) b", "nodes", "edges")
