@@ -161,6 +161,16 @@ def test_files_and_requests(spark, tmp_path):
             files.Request(**bad)
 
 
+def test_bulk_requests(spark, tmp_path):
+    lines = [{"seed_ids": ["a"]}, {"query": "x"}, {"seed_ids": [], "query": "q" * 501, "hops": 1}]
+    (tmp_path / "r.json").write_text("\n".join(map(json.dumps, lines)) + "\n{broken")
+    got = [(r.hops, r.user_id, list(r.errors)) for r in files.requests(spark, f"{tmp_path}/r.json", "expand").collect()]
+    assert got == [(2, "global", []), (2, "global", ["seed_ids is missing"]), (1, "global", ["query has over 500 characters"]), (2, "global", ["no JSON of this kind", "seed_ids is missing"])]
+    docs = [{"documents": []}, {"documents": [{"text": "", "filename": "a"}]}, {"documents": [{"text": "t", "filename": "a"}], "chunk_size": 5}]
+    (tmp_path / "c.json").write_text("\n".join(map(json.dumps, docs)))
+    assert [(r.chunk_size, list(r.errors)) for r in files.requests(spark, f"{tmp_path}/c.json", "corpus").collect()] == [(600, ["no documents"]), (600, ["a document lacks its text or filename"]), (5, [])]
+
+
 def test_status_keeps_failures(spark):
     n = spark.createDataFrame([("a", "2024-02-01", None), ("b", "2024-02-01", "err"), ("c", None, None)], "uuid string, pipeline_done_at string, pipeline_error string")
     r = corpus.status(seeds(spark, "a", "b", "b", "c", "zz"), n).first()
