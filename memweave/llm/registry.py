@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from memweave.llm import bpe, exact_dedup, gif_media, html_text, language_id, line_dedup, minhash, packing, pipeline, suffix_dedup, toxicity
+from memweave.llm import bpe, exact_dedup, gif_media, hard_negatives, html_text, language_id, line_dedup, minhash, packing, pipeline, prefix_trie, suffix_dedup, toxicity, warc
 from memweave.runtime import table
 
 
@@ -49,6 +49,18 @@ def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif_media.media_features(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc(table(spark, sf_dir, "pages"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -61,12 +73,15 @@ def queries():
         "op8_bpe": op8_bpe,
         "op9_toxicity": op9_toxicity,
         "op10_gif_media": op10_gif_media,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_warc": op12_warc,
+        "op13_prefix_trie": op13_prefix_trie,
         "pipeline": pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"op1_exact_dedup": exact_dedup.ORACLE, "op3_minhash": minhash.ORACLE}
+    out = {"op1_exact_dedup": exact_dedup.ORACLE, "op3_minhash": minhash.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_warc": warc.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
     if pipeline.ORACLE_SQL:
         out["pipeline"] = pipeline.ORACLE_SQL
     return out
