@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memweave.runtime import new_path
+from memweave.runtime import materialize, new_path
 
 LEAST = 1000
 SHARDS = 16
@@ -61,9 +61,9 @@ def write(pages: DataFrame, path: str, record: str = "page_id", target: str = "u
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.col(record).alias("record"), F.col(target).alias("target"), body.alias("body"))
     rows = rows.select("record", "target", F.unhex(F.sha2("body", 256)).alias("digest"), F.sha1("body").alias("sha1"), F.octet_length("body").cast("long").alias("length"))
-    wrong = F.raise_error(F.concat(F.lit("two payloads of one digest: "), F.hex("digest")))
+    wrong = F.raise_error(F.concat(F.lit("two payloads of one digest: "), F.hex("digest"))).cast("binary")
     groups = rows.groupBy("digest").agg(F.max("record").alias("response"), F.min("sha1").alias("one"), F.max("sha1").alias("two"), F.min("length").alias("short"), F.max("length").alias("long"))
-    groups = groups.where(F.when((F.col("one") == F.col("two")) & (F.col("short") == F.col("long")), True).otherwise(wrong.cast("boolean"))).select("digest", "response")
+    groups = groups.select(F.when((F.col("one") == F.col("two")) & (F.col("short") == F.col("long")), F.col("digest")).otherwise(wrong).alias("digest"), "response")
     told = rows.join(groups.hint("merge"), "digest").withColumn("revisit", (F.col("length") >= least) & ~F.col("record").eqNullSafe(F.col("response")))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: {kind}{END}Content-Length: "), F.col("length").cast("string"), F.lit(END * 2))
     follows = F.octet_length("http") + F.when(F.col("revisit"), 0).otherwise(F.col("length"))
@@ -105,9 +105,11 @@ def read(records: DataFrame) -> DataFrame:
         F.regexp_extract("head", r"\r\nWARC-Payload-Digest: sha1:([0-9a-f]*)", 1).alias("digest"), field("Content-Length").cast("long").alias("said"), "block", F.substring_index(F.col("block").cast("string"), blank, 1).alias("http"),
     )
     told = told.withColumn("payload", F.expr("substring(block, octet_length(http) + 5)"))
-    wrong = F.raise_error(F.concat(F.lit("a record is not what its header says: "), F.col("record_id"))).cast("boolean")
+    wrong = F.raise_error(F.concat(F.lit("a record is not what its header says: "), F.col("record_id")))
     sound = (F.col("said") == F.octet_length("block")) & ((F.col("type") == "revisit") | (F.sha1("payload") == F.col("digest")))
-    return told.where(F.when(sound, True).otherwise(wrong)).select("type", "record_id", "refers_to_id", "target", "source", "digest", "http", "payload")
+    # in the columns, not as a filter: a filter is rewritten with others on the same columns
+    digest, payload = (F.when(sound, F.col(c)).otherwise(wrong.cast(kind)).alias(c) for c, kind in (("digest", "string"), ("payload", "binary")))
+    return told.select("type", "record_id", "refers_to_id", "target", "source", digest, "http", payload)
 
 
 def warc(pages: DataFrame, path: str | None = None) -> DataFrame:
@@ -116,6 +118,7 @@ def warc(pages: DataFrame, path: str | None = None) -> DataFrame:
     path = path or new_path(spark, "warc")
     write(pages, path)
     records = read(restore(spark, path)).select("type", "record_id", "refers_to_id", "source", "digest", F.octet_length("payload").cast("long").alias("length"))
+    records = materialize(records, "warc-records")  # a few passes follow
     own = F.col("source").cast("long").alias("page_id")
     responses = records.where("type = 'response'").select(own, F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     # a revisit's payload is its response's; rows that repeat a response are one here
