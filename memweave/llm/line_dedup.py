@@ -1,6 +1,6 @@
 """Line dedup by pairwise alignment.
 
-1. Lines are named by 128-bit hashes. A block that two documents share holds runs: the
+1. Lines are named by 128 bits of BLAKE2b. A block that two documents share holds runs: the
    shortest neighbouring lines with ``MIN_CHARS`` characters that start, or end, at one of
    its lines, which together cover it. Each document is paired with the first one that has
    a run, so a run in a third of all documents costs one pair a document.
@@ -14,9 +14,6 @@
    so the result is that of all pairs. Only these last pairs can grow with the square of a
    run's open documents.
 
-Callers that name ``rare`` get fewer pairs instead, and so may lose blocks: all pairs of a
-line's documents up to that number, and with the line's first document beyond.
-
 Defined results: documents come in the order of doc_id, nulls last; rows that share a
 doc_id in the order of their texts; rows that repeat both are one document with one
 result. Blank lines make no candidates, but go with a block they stand in. A null text
@@ -32,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +37,6 @@ from memweave.llm.batches import slices
 from memweave.llm.suffix_dedup import keyed, with_texts
 from memweave.runtime import materialize, release
 
-RARE = 8
 MIN_CHARS = 50
 KEY = 16
 
@@ -125,7 +120,7 @@ def _line_table(texts: DataFrame) -> DataFrame:
             keys, sizes = [], []
             for t in b.column(1):
                 lines = t.as_py().split("\n")
-                keys.append(b"".join(xxhash.xxh3_128_digest(x) for x in lines))
+                keys.append(b"".join(hashlib.blake2b(x.encode(), digest_size=KEY).digest() for x in lines))
                 sizes.append([len(x.strip()) for x in lines])
             yield pa.record_batch([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.list_(pa.int32()))], names=["tid", "keys", "sizes"])
 
@@ -136,21 +131,6 @@ def _cut(keys: bytes) -> list[bytes]:
     return [keys[k : k + KEY] for k in range(0, len(keys), KEY)]
 
 
-def _spread(table: DataFrame) -> DataFrame:
-    """``(tid, line)``: each text's distinct lines that are not blank."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            tids, lines = [], []
-            for tid, keys, sizes in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own = {x for x, n in zip(_cut(keys), sizes, strict=True) if n}
-                tids += [tid] * len(own)
-                lines += own
-            yield pa.record_batch([pa.array(tids, pa.int64()), pa.array(lines, pa.binary())], names=["tid", "line"])
-
-    return table.mapInArrow(run, "tid long, line binary")
-
-
 def runs(ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray, min_chars: int, gone: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Document number and hash of each run, and of each whole document, that has a line not gone.
 
@@ -204,19 +184,6 @@ def _runs_of(table: DataFrame, min_chars: int) -> DataFrame:
     return table.mapInArrow(run, "tid long, run long")
 
 
-def candidate_pairs(table: DataFrame, rare: int = RARE) -> DataFrame:
-    """``(earlier, later)`` of all documents to align."""
-    lines = _spread(table)
-    shared = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("tid").alias("first")).where("n > 1")
-    held = materialize(lines.join(shared, "line"), "shared-lines")
-    frequent = held.where(f"n > {rare} AND tid <> first").select(F.col("first").alias("earlier"), F.col("tid").alias("later"))
-    few = held.where(f"n <= {rare}").select("line", "tid")
-    both = few.alias("a").join(few.alias("b"), "line").where("a.tid < b.tid").select(F.col("a.tid").alias("earlier"), F.col("b.tid").alias("later"))
-    out = materialize(frequent.unionByName(both).distinct(), "pairs")
-    release(held)
-    return out
-
-
 def _aligned(pairs: DataFrame, table: DataFrame, min_chars: int) -> DataFrame:
     """``(tid, k)``: the lines that go from the later document of a pair, distinct."""
 
@@ -292,15 +259,10 @@ def _all_removed(table: DataFrame, min_chars: int) -> DataFrame:
     return gone
 
 
-def removed_lines(texts: DataFrame, rare: int | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_lines(texts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``(tid, gone)``: places of the lines that go from each later document."""
     table = materialize(_line_table(texts), "lines")
-    if rare is None:
-        out = _all_removed(table, min_chars)
-    else:
-        pairs = candidate_pairs(table, rare)
-        out = _gathered(_aligned(pairs, table, min_chars))
-        release(pairs)
+    out = _all_removed(table, min_chars)
     release(table)
     return out
 
@@ -310,7 +272,7 @@ def _without(text: str, gone: list[int]) -> str:
     return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in drop)
 
 
-def line_dedup(docs: DataFrame, rare: int | None = None, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, n_lines, n_removed, kept_sha256)``, one row for each row of ``docs``."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     texts, simple = keyed(narrow)
@@ -326,14 +288,14 @@ def line_dedup(docs: DataFrame, rare: int | None = None, min_chars: int = MIN_CH
             yield pa.record_batch([b.column(0), b.column(1), pa.array(lines, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], names=["doc_id", "copies", "n_lines", "n_removed", "kept_sha256"])
 
     # by sort-merge at any size: the texts move once, and the plan does not turn with the data
-    joined = texts.join(removed_lines(texts, rare, min_chars).hint("merge"), "tid", "left").select("doc_id", "copies", "text", "gone")
+    joined = texts.join(removed_lines(texts, min_chars).hint("merge"), "tid", "left").select("doc_id", "copies", "text", "gone")
     out = joined.mapInArrow(run, "doc_id long, copies int, n_lines long, n_removed long, kept_sha256 string")
     if not simple:
         out = out.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
     return out.drop("copies")
 
 
-def remove_lines(docs: DataFrame, rare: int | None = None, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_lines(docs: DataFrame, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the shared blocks cut out of ``text``; all columns and rows stay."""
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     texts, simple = keyed(narrow)
@@ -343,5 +305,5 @@ def remove_lines(docs: DataFrame, rare: int | None = None, min_chars: int = MIN_
             cut = [_without(t.as_py(), gone) for t, gone in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(cut, pa.string())], names=["doc_id", "hash", "cut"])
 
-    cut = texts.join(removed_lines(texts, rare, min_chars).hint("merge"), "tid").select("doc_id", F.sha2("text", 256).alias("hash"), "text", "gone").mapInArrow(run, "doc_id long, hash string, cut string")
+    cut = texts.join(removed_lines(texts, min_chars).hint("merge"), "tid").select("doc_id", F.sha2("text", 256).alias("hash"), "text", "gone").mapInArrow(run, "doc_id long, hash string, cut string")
     return with_texts(docs, cut, doc_id, text, simple)

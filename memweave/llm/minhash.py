@@ -1,8 +1,8 @@
 """Near duplicates: MinHash signatures, banding, verification, connected components.
 
-1. Every text gives its shingle set's name (128 bits), its size and ``BANDS * ROWS``
-   universal hash minima. Equal sets are one class from here on, so thousands of
-   copies cost one signature.
+1. Every text gives the name of its word sequence (128 bits of BLAKE2b), its set's size
+   and ``BANDS * ROWS`` universal hash minima. Equal sequences are one class from here on,
+   so thousands of copies cost one signature.
 2. Classes meet in the buckets of their bands. Rather than all pairs of a bucket, each
    class is paired with the bucket's pivot, the one that meets the most others; a pair that the signatures leave possible is
    confirmed on the full sets, and the confirmed links are closed by large-star and
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from memweave.llm.batches import slices
 from memweave.llm.components import connected_components
-from memweave.llm.shingles import minima, permutations, set_key, shingle_set, similar, similar_words, word_shingles
+from memweave.llm.shingles import minima, permutations, shingle_set, similar, similar_words, text_key, word_shingles, words
 from memweave.runtime import materialize, release
 
 BANDS, ROWS = 40, 5
@@ -57,9 +57,10 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) ->
             keys, sizes, digests, signs, buckets = [], [], [], [], []
             for t in batch.column(1):
                 t = t.as_py()
-                s = shingle_set(t, k)
+                own = words(t)
+                s = shingle_set(own, k)
                 digests.append(hashlib.sha256((t or "").encode()).digest())
-                keys.append(set_key(s))
+                keys.append(text_key(own))
                 sizes.append(len(s))
                 if not len(s):
                     signs.append(None)
@@ -113,7 +114,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "u binary, v binary")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(key, packed)``: one compressed text for each wanted ``(key, doc_id)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +122,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             keys, packed = [], []
             for t in b.column(0):
                 t = t.as_py() or ""
-                keys.append(set_key(shingle_set(t, k)))
+                keys.append(text_key(words(t)))
                 packed.append(zlib.compress(t.encode(), 1))
             yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(packed, pa.binary())], names=["key", "packed"])
 
@@ -258,7 +259,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, doc_id: str, text: str, band
     members = materialize(spread.join(shared, "bucket"), "members")
     wanted = materialize(classes.select("key", "doc_id", "signature").join(members.select("key").distinct(), "key"), "wanted")
     release(classes)
-    texts = materialize(_texts(docs, wanted.select("key", "doc_id"), k), "texts")
+    texts = materialize(_texts(docs, wanted.select("key", "doc_id")), "texts")
 
     def likely(pairs: DataFrame) -> DataFrame:
         return _likely(pairs, wanted, bands, rows)

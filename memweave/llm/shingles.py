@@ -25,8 +25,7 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()  # of bytes: A-Z, and the six white-space bytes
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    own = words(text)
+def word_hashes(own: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
 
 
@@ -36,9 +35,9 @@ def word_shingles(text: str | None, k: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(own[j:] for j in range(min(k, len(own))))))
 
 
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct hashes of the ``k``-word shingles."""
-    w = word_hashes(text)
+def shingle_set(text: str | list[bytes] | None, k: int) -> np.ndarray:
+    """Sorted distinct hashes of the ``k``-word shingles of a text, or of its words."""
+    w = word_hashes(text if isinstance(text, list) else words(text))
     if not len(w):
         return w
     n = min(k, len(w))
@@ -49,9 +48,13 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return out[np.diff(out, prepend=out[0] + np.uint64(1)) != 0]
 
 
-def set_key(s: np.ndarray) -> bytes | None:
-    """128 bits that name a set; None for the empty set, which equals nothing."""
-    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+def text_key(own: list[bytes]) -> bytes | None:
+    """128 bits of BLAKE2b that name a sequence of words; None without words.
+
+    Texts of one key have one set. Hashes of words only propose: sets that are equal by
+    them, under different keys, are linked once their words have been compared.
+    """
+    return hashlib.blake2b(b" ".join(own), digest_size=16).digest() if own else None
 
 
 def permutations(n: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:

@@ -129,3 +129,21 @@ def test_groups_that_meet_by_few_pairs(spark):
     rows = [(n, " ".join(w)) for n, w in enumerate(left + right + [x[:70] + ["cut"] + x[70:] for x in left])]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows, 4)
+
+
+def confused():
+    """Two words of 700 printable bytes with one unkeyed XXH3, of 64 and of 128 bits."""
+    import xxhash
+
+    a = bytearray(b"a" * 700)
+    a[196:200], a[324:328] = b"_!a_", b"$mta"
+    b = bytearray(a)
+    a[192], a[320], b[192], b[320] = *b"bc", *b"cb"
+    assert xxhash.xxh3_128_digest(bytes(a)) == xxhash.xxh3_128_digest(bytes(b)) and a != b
+    return a.decode(), b.decode()
+
+
+def test_words_that_a_fast_hash_confuses(spark):
+    rows = [(k, x) for k, x in enumerate(confused())]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(0, 0, True), (1, 1, True)]

@@ -39,7 +39,7 @@ def without_lines(rows):
     for h in holders.values():
         for a in h:
             for b in h:
-                if ORDER(a) < ORDER(b) and (len(h) <= line_dedup.RARE or a == h[0]):
+                if ORDER(a) < ORDER(b):
                     gone[b] |= set(line_dedup.common_blocks(lines[a], lines[b], [len(x.strip()) for x in lines[b]], line_dedup.MIN_CHARS))
     return [(i, "\n".join(x for k, x in enumerate(lines[i]) if k not in gone[i])) for i in sorted(lines, key=ORDER)]
 
