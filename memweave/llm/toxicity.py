@@ -3,10 +3,13 @@
 1. Lexicon: word beginnings that stand far more often in toxic than in other labelled
    texts. Each entry is a voter that says "toxic" or abstains; so are a few patterns.
 2. Label model: the voters' rates under a hidden label, by expectation maximisation over
-   the votes alone, started from the labelled rates. An abstention says nothing by
-   itself; that all voters abstain is a vote of its own. Voters that agree beyond what the
-   label explains are correlated; a voter counts by one over the sum of its
-   correlations, so nested word beginnings do not count twice.
+   the votes. Labels choose the voters and give their rates a start and a prior of
+   ``PRIOR`` times the sample's weight (without it the model drifts to another split of the
+   rows); what is labelled is no vote on its row, so a posterior rests on the row's votes
+   alone. An abstention says nothing by itself; that all voters abstain is a vote for
+   "not toxic". Voters that agree beyond what the label explains are correlated; a voter
+   counts by one over the sum of its correlations, so nested word beginnings do not count
+   twice.
 3. A logistic regression on the voters and further entries is trained on the posterior
    labels, and scores whole texts.
 
@@ -44,8 +47,7 @@ VOTERS, ENTRIES = 160, 640
 LEAST_ROWS, LEAST_SHARE, LEAST_RATIO = 4, 0.015, 12.0
 #: Texts that share so much of their words are near copies when words are mined.
 COPY_SHARE = 0.8
-#: How often an annotator's label is taken to be right.
-TRUST = 0.95
+PRIOR, LEAST_CORRELATION = 0.3, 0.3
 CACHE = 400_000
 EDGE = re.compile(r"^\W+|\W+$")
 PATTERNS = ("shouting", "marks", "masked", "ratio")
@@ -73,8 +75,8 @@ class Model:
     entries: dict[str, int]  # lexicon entry to feature number
     weights: np.ndarray  # one a feature: entries, then patterns
     bias: float
-    accuracies: np.ndarray | None = None  # P(vote | label) as [voter, label]
-    correlations: np.ndarray | None = None
+    voters: np.ndarray | None = None  # features that vote
+    label_model: LabelModel | None = None
 
 
 class Finder:
@@ -178,32 +180,48 @@ def _votes(sample: DataFrame, entries: dict[str, int]) -> tuple[np.ndarray, np.n
     return got.column("toxic").to_numpy().astype(np.float64), x
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior label of each row, P(vote | label) of each voter, and correlations given the label.
+@dataclass
+class LabelModel:
+    """``rates`` has P(vote | label) of each voter, the last of them "all abstain"."""
+
+    prior: float
+    rates: np.ndarray
+    correlations: np.ndarray
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """P(toxic) of each row of 0/1 ``votes``."""
+        logit = np.log(self.prior / (1 - self.prior)) + _with_silence(votes) @ (np.log(self.rates[:, 1] / self.rates[:, 0]) / self.correlations.sum(1))
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+def _with_silence(votes: np.ndarray) -> np.ndarray:
+    return np.concatenate([votes, votes.sum(1, keepdims=True) == 0], 1).astype(np.float64)
+
+
+def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 40, share: float = PRIOR) -> LabelModel:
+    """Rates and correlations by expectation maximisation over 0/1 ``votes`` for abstain/toxic.
 
-    ``votes`` is 0/1 for abstain/toxic; ``start`` the annotators' word, P(toxic) as far as
-    they are trusted, which stays one more vote in every round.
+    ``labels`` are met only as sums: their mean is the class balance, and the rates that each
+    voter has on the rows labelled so are its start and prior.
     """
-    post = start.astype(np.float64)
-    said = np.log(start / (1 - start))
-    votes = np.concatenate([votes, votes.sum(1, keepdims=True) == 0], 1).astype(np.float64)
-    n, voters = votes.shape
-    rates = np.zeros((voters, 2))
-    corr = np.eye(voters)
+    seen = _with_silence(votes)
+    n, voters = seen.shape
+    given = np.stack([((labels == y) @ seen + 0.5) / ((labels == y).sum() + 1) for y in (0, 1)], 1)
+    model = LabelModel(float(np.clip(labels.mean(), 0.005, 0.5)), np.clip(given, 1e-4, 1 - 1e-4), np.eye(voters))
+    weight = share * n
     for turn in range(rounds):
-        for label, w in ((0, 1 - post), (1, post)):
-            rates[:, label] = (w @ votes + 0.01) / (w.sum() + 0.02)
-        rates = np.clip(rates, 1e-4, 1 - 1e-4)
+        post = model.posterior(votes)
+        for y, w in ((0, 1 - post), (1, post)):
+            model.rates[:, y] = (w @ seen + weight * given[:, y] + 0.01) / (w.sum() + weight + 0.02)
+        model.rates = np.clip(model.rates, 1e-4, 1 - 1e-4)
         if turn % 5 == 0:
-            rest = votes - (1 - post)[:, None] * rates[:, 0] - post[:, None] * rates[:, 1]
+            rest = seen - (1 - post)[:, None] * model.rates[:, 0] - post[:, None] * model.rates[:, 1]
             spread = np.sqrt((rest**2).mean(0)) + 1e-6
             corr = np.clip((rest.T @ rest / n) / np.outer(spread, spread), 0, 1)
-            corr[corr < 0.2] = 0
+            corr[corr < LEAST_CORRELATION] = 0
             np.fill_diagonal(corr, 1)
-        prior = np.clip(post.mean(), 0.005, 0.5)
-        logit = said + np.log(prior / (1 - prior)) / 2 + votes @ (np.log(rates[:, 1] / rates[:, 0]) / corr.sum(1))
-        post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return post, rates, corr
+            model.correlations = corr
+    return model
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 25) -> tuple[np.ndarray, float]:
@@ -253,10 +271,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model |
     release(sample)
     voters = np.r_[0 : min(VOTERS, len(entries)), len(entries) : x.shape[1]]
     votes = x[:, voters].astype(np.float64)
-    start = np.where(y > 0, TRUST, 1 - TRUST)
-    post, rates, corr = fit_label_model(votes, start)
-    weights, bias = fit_linear(x, post)
-    return Model(entries, weights, bias, rates, corr)
+    labels_of = fit_label_model(votes, y)
+    weights, bias = fit_linear(x, labels_of.posterior(votes))
+    return Model(entries, weights, bias, voters, labels_of)
 
 
 def score(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
