@@ -61,6 +61,11 @@ def pool_size(limit: int) -> int:
     return min(max(POOL_FACTOR * limit, 1), POOL_MOST)
 
 
+def pool_of(limit: Column) -> Column:
+    """``pool_size`` of each row's limit."""
+    return F.least(F.greatest(POOL_FACTOR * limit, F.lit(1)), F.lit(POOL_MOST)).cast("int")
+
+
 def frontier_score(similarity: Column, observed: Column, most_observed: Column) -> Column:
     share = F.when(most_observed > 0, observed / most_observed).otherwise(F.lit(0.0))
     return F.round(COSINE_SHARE * F.coalesce(similarity, F.lit(0.0)) + OBSERVED_SHARE * share, DIGITS)

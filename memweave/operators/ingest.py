@@ -1,8 +1,13 @@
 """Text ingest as staged tables: log, extraction, predicate gate, resolution, collisions, facts, supersession.
 
-A batch of texts goes through all stages at once, in the order of time and id where order
-decides. What a stage reads of the store is the state before the batch; stable ids make
-repeated names one node and repeated facts one edge.
+A batch of texts goes through all stages at once, with the results of one-entry batches in
+the order of time, entry and place where order decides: a name approved by one entry is
+known to the next, a fact may replace an earlier one of the batch, and each touch moves
+``updated_at``. Entities are resolved against the state before the batch and the batch's
+own new ones. Stable ids make repeated names one node and repeated facts one edge.
+
+A store that hands out rows by key (``sources.keyed``) in place of a table is asked for the
+rows that the batch names, and no others.
 """
 
 from __future__ import annotations
@@ -15,8 +20,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memweave.functions import ids, text
-from memweave.operators import enrich, prompts, providers, resolve
+from memweave.operators import enrich, prompts, providers, recent, resolve
 from memweave.runtime import materialize
+from memweave.sources import changelog
 from memweave.schema import CORE_DOMAIN, DEFAULT_DOMAIN, DEFAULT_USER, NODE_TYPES, WEIGHTS
 
 UNRESOLVED = "unresolved id or placeholder"
@@ -30,10 +36,11 @@ class Ingested:
     rejected: DataFrame  # triples that were not taken, and why
     predicates: DataFrame  # (name): new ones
     renamed: DataFrame  # (uuid, content, name_key): nodes that a colliding name updates
-    tombstones: DataFrame  # (uuid): facts that a new one replaces
+    tombstones: DataFrame  # (uuid): facts, stored or of the batch, that a later one replaces
     acks: DataFrame  # (entry_id, id, kind): nodes created and updated, facts named, by entry
     named: DataFrame  # (entry_id, uuid, content): the entities of each entry
     failed: DataFrame  # (entry_id, error): entries whose extraction failed
+    stored_edges: DataFrame | None = None  # the stored facts that were looked at
 
 
 class Asker:
@@ -73,15 +80,36 @@ def extracted(entries: DataFrame, known: DataFrame, ask: Asker) -> tuple[DataFra
     return told.withColumn("triple_id", F.concat_ws(":", "user_id", "entry_id", "pos")), asked.where("said_error IS NOT NULL").select("entry_id", F.col("said_error").alias("error"))
 
 
+def _order() -> Column:
+    """The place of a triple among all, as a string that sorts."""
+    return F.concat_ws("\x1f", F.lpad((F.coalesce(F.unix_micros(F.col("at").cast("timestamp")), F.lit(0)) + (1 << 62)).cast("string"), 20, "0"), "entry_id", F.lpad(F.col("pos").cast("string"), 10, "0"), "user_id")
+
+
 def gated(told: DataFrame, known: DataFrame, ask: Asker) -> DataFrame:
-    """Proposed predicates become the known ones that an answer names; without such an answer they stay (``appended``)."""
-    names = known.agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("known_names"))
-    new = told.where("is_new").crossJoin(names)
-    asked = ask(new, "gate", prompts.gate(F.col("predicate"), F.col("subject"), F.col("object"), F.col("known_names")))
-    found = asked.withColumn("named", text.gate_name(F.col("said"))).join(known.select(F.col("name").alias("redirect")), F.col("named") == F.col("redirect"), "left")
-    final = F.coalesce("redirect", "predicate")
-    gate = found.select(*[c for c in told.columns if c != "predicate"], final.alias("predicate"), (final == F.col("predicate")).alias("appended"))
-    return told.where("NOT is_new").withColumn("appended", F.lit(False)).unionByName(gate)
+    """Proposed predicates become the known ones that an answer names; without such an answer they stay (``appended``).
+
+    A name that stays is known to all triples after it. Answers depend on what is known, so
+    a round asks all open proposals with the names so far; the first of them that adds a
+    name settles those before it, and the others are asked again: a round for each new name.
+    """
+    open_, parts, names = told.where("is_new").withColumn("order", _order()), [], {r["name"] for r in known.collect()}  # a vocabulary
+    columns = [c for c in told.columns if c != "predicate"]
+    while True:
+        said = ask(open_.withColumn("known_names", F.lit(", ".join(sorted(names)))), "gate", prompts.gate(F.col("predicate"), F.col("subject"), F.col("object"), F.col("known_names")))
+        named = text.gate_name(F.col("said"))
+        final = F.when(named.isin(*names), named).otherwise(F.col("predicate")) if names else F.col("predicate")
+        said = materialize(said.select(*columns, "order", F.col("predicate").alias("proposed"), final.alias("predicate")), "gate")
+        new = said.where((F.col("predicate") == F.col("proposed")) & ~F.col("predicate").isin(*names)) if names else said
+        first = new.agg(F.min(F.struct("order", "predicate")).alias("f")).first()["f"]
+        settled = said if first is None else said.where(F.col("order") <= first["order"])
+        parts.append(settled.select(*columns, "predicate", (F.col("predicate") == F.col("proposed")).alias("appended")))
+        if first is None:
+            break
+        names.add(first["predicate"])
+        open_ = said.where(F.col("order") > first["order"]).withColumn("predicate", F.col("proposed")).drop("proposed")
+        if open_.isEmpty():
+            break
+    return union([told.where("NOT is_new").withColumn("appended", F.lit(False)), *parts])
 
 
 def _resolved(told: DataFrame, nodes: DataFrame, ask: Asker, embed: Callable[[Column], Column] | None, threshold: float, collisions: bool) -> tuple[DataFrame, DataFrame]:
@@ -108,7 +136,7 @@ def _resolved(told: DataFrame, nodes: DataFrame, ask: Asker, embed: Callable[[Co
         got = materialize(resolve.resolve(m, store, threshold), "resolved")
         if embed is not None:
             # a new mention may be the match of a later one
-            rank = F.concat_ws("\x1f", F.lpad((F.coalesce(F.unix_micros("first.at"), F.lit(0)) + (1 << 62)).cast("string"), 20, "0"), "first.entry_id", F.lpad(F.col("first.pos").cast("string"), 10, "0"), "first.side", "mention_id")
+            rank = F.concat_ws("\x1f", F.lpad((F.coalesce(F.unix_micros(F.col("first.at").cast("timestamp")), F.lit(0)) + (1 << 62)).cast("string"), 20, "0"), "first.entry_id", F.lpad(F.col("first.pos").cast("string"), 10, "0"), "first.side", "mention_id")
             new = m.join(got.where("how = 'new'").select("mention_id"), "mention_id", "left_semi").withColumn("pos", rank)
             new = resolve.greedy_resolution(new, threshold).select("mention_id", F.col("uuid").alias("led"))
             got = got.join(new, "mention_id", "left").select("mention_id", F.coalesce("led", "uuid").alias("uuid"), "how")
@@ -130,18 +158,42 @@ def _resolved(told: DataFrame, nodes: DataFrame, ask: Asker, embed: Callable[[Co
     return materialize(out, "placed-terms"), renamed
 
 
+def _keys(told: DataFrame) -> DataFrame:
+    """``(key)``: ids and name keys of nodes that the terms of triples may mean."""
+    one = lambda s: told.select(F.col(s).alias("term"), F.col(f"{s}_type").alias("kind"), "user_id")
+    terms = one("subject").unionByName(one("object")).distinct().withColumn("bare", ids.strip(F.coalesce("term", F.lit(""))))
+    keys = F.array(F.col("bare"), ids.entity_id(F.col("kind"), F.col("bare")), ids.self_id(F.col("user_id")), ids.name_key(F.col("bare")))
+    return terms.select(F.explode(keys).alias("key")).distinct()
+
+
 def _term(side: str) -> Column:
     return F.sha1(F.concat_ws("\x1f", F.coalesce(f"{side}_type", F.lit("")), F.col(side), F.col("user_id")))
 
 
 def replaced(facts: DataFrame, edges: DataFrame, ask: Asker) -> DataFrame:
-    """``(uuid)`` of stored facts that the model says one of ``facts (uuid, user_id, subject_uuid, content)`` replaces.
+    """``(uuid)`` of facts, stored or of this batch, that the model says a later one of ``facts`` replaces.
 
-    An answer counts only if it is the id of one of the subject's newest facts.
+    ``facts (order, uuid, user_id, subject_uuid, content, at)`` has a row each time that a fact is
+    told. It is shown the ten newest facts of its user and subject as they stand at that
+    moment, dead ones among them; its own takes up a place before it is left out. An
+    answer counts only if it is the id of one of these. A fact belongs to the user who told
+    it first.
     """
-    met = resolve.supersede_candidates(facts, edges).join(edges.select(F.col("uuid").alias("candidate_uuid"), F.col("content").alias("stored")), "candidate_uuid")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("candidate_uuid").alias("uuid"), F.trim("stored").alias("content")))), lambda x: F.struct(x["uuid"].alias("uuid"), x["content"].alias("content")))
-    by = met.groupBy("fact_uuid").agg(listed.alias("facts")).join(facts.select(F.col("uuid").alias("fact_uuid"), "content"), "fact_uuid")
+    subjects = facts.select("subject_uuid").distinct()
+    stored = edges.join(subjects, "subject_uuid", "left_semi").select("uuid", "user_id", "subject_uuid", F.coalesce("content", F.lit("")).alias("content"), F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(-(1 << 62))).alias("stamp"))
+    stored = materialize(stored, "subject-facts")
+    first = facts.groupBy("uuid").agg(F.min_by(F.struct("user_id", "content"), "order").alias("f"))
+    had = stored.groupBy("uuid").agg(F.first("user_id").alias("had_user"), F.first("content").alias("had_content"))
+    owner = first.join(had, "uuid", "left").select("uuid", F.coalesce("had_user", "f.user_id").alias("owner"), F.coalesce("had_content", "f.content").alias("owned"))
+    of = lambda user: F.concat_ws("\x1f", user, "subject_uuid").alias("key")
+    told = facts.join(owner, "uuid")
+    touches = stored.select(of("user_id"), F.lit("").alias("order"), "uuid", "content", "stamp").unionByName(
+        told.select(of("owner"), "order", "uuid", F.col("owned").alias("content"), F.coalesce(F.unix_micros(F.col("at").cast("timestamp")), F.lit(-(1 << 62))).alias("stamp"))
+    )
+    asked = facts.select(F.col("order").alias("id"), of("user_id"), "order")
+    shown = recent.newest(asked, touches, resolve.FACTS).withColumnRenamed("id", "order").join(facts.select("order", F.col("uuid").alias("fact_uuid"), "content"), "order")
+    others = F.transform(F.filter("items", lambda x: (x["uuid"] != F.col("fact_uuid")) & (F.trim(x["content"]) != "")), lambda x: F.struct(x["uuid"].alias("uuid"), F.trim(x["content"]).alias("content")))
+    by = shown.select("fact_uuid", "content", others.alias("facts")).where(F.size("facts") > 0)
     said = ask(by, "supersede", prompts.supersede(F.col("content"), F.col("facts")))
     hit = text.superseded(F.col("said"), F.transform("facts", lambda x: x["uuid"]))
     return said.select(hit.alias("uuid")).where("uuid IS NOT NULL").distinct()
@@ -149,12 +201,12 @@ def replaced(facts: DataFrame, edges: DataFrame, ask: Asker) -> DataFrame:
 
 def ingest(
     entries: DataFrame,
-    nodes: DataFrame,
+    nodes,
     known_predicates: DataFrame | list[str],
     make: Callable = providers.rules,
     answer: str | None = None,
     answers: Mapping[str, Column | str] | None = None,
-    edges: DataFrame | None = None,
+    edges=None,
     embed: Callable[[Column], Column] | None = None,
     threshold: float = resolve.NEAR,
     collisions: bool = False,
@@ -163,7 +215,7 @@ def ingest(
 
     Answers come from the model that ``make`` makes, or from columns: ``answers`` by task,
     ``answer`` for the extraction alone. Names match stored nodes by vector with ``embed``, by name where ``nodes``
-    has ``name_key``, and by stable id. ``edges`` lets new facts replace stored ones;
+    has ``name_key``, and by stable id. ``edges`` lets new facts replace earlier ones;
     ``collisions`` lets a name that matched by vector update its node.
     """
     spark = entries.sparkSession
@@ -173,7 +225,9 @@ def ingest(
     entries = entries.withColumn("user_id", F.coalesce("user_id", F.lit(DEFAULT_USER)))
     logs = log_nodes(entries)
     told, failed = extracted(entries, known, ask)
-    told = materialize(gated(told, known, ask), "triples")
+    told = materialize(gated(materialize(told, "told"), known, ask), "triples")
+    if not isinstance(nodes, DataFrame):
+        nodes = materialize(nodes.pick(_keys(told), whole=embed is not None), "picked-nodes")
     new_predicates = told.where("appended").select(F.col("predicate").alias("name")).distinct().join(known, "name", "left_anti")
     terms, renamed = _resolved(told, nodes, ask, embed, threshold, collisions)
     full = told
@@ -191,14 +245,14 @@ def ingest(
     named = good.select("user_id", "at", "entry_id", "pos", log_uuid, F.inline(F.array(*ends)))
     journal = F.array_distinct(F.transform(F.array_sort(F.collect_set(F.struct("at", "entry_id", "log_uuid"))), lambda x: x["log_uuid"]))
     head = F.min(F.struct("at", "entry_id", "pos", "side", "node_type", "content", "user_id", "existed", "known_by_id")).alias("f")
-    ents = named.groupBy("uuid").agg(head, journal.alias("journal_entry_ids"))
-    ents = materialize(ents.select("uuid", "f.node_type", "f.content", "f.user_id", F.col("f.at").alias("created_at"), "journal_entry_ids", "f.existed", "f.known_by_id", F.col("f.entry_id").alias("first_entry")), "entities")
+    ents = named.groupBy("uuid").agg(head, journal.alias("journal_entry_ids"), F.max("at").alias("updated_at"))
+    ents = materialize(ents.select("uuid", "f.node_type", "f.content", "f.user_id", F.col("f.at").alias("created_at"), "updated_at", "journal_entry_ids", "f.existed", "f.known_by_id", F.col("f.entry_id").alias("first_entry")), "entities")
     by_entry = named.select("entry_id", "uuid", "content").distinct()
     facts = good.select(
         ids.edge_id(F.col("subject_uuid"), F.col("predicate"), F.col("object_uuid")).alias("uuid"), "subject_uuid", "predicate", "object_uuid",
-        ids.edge_text(F.col("subject_text"), F.col("predicate"), F.col("object_text")).alias("content"), "user_id", "at", "entry_id", log_uuid,
+        ids.edge_text(F.col("subject_text"), F.col("predicate"), F.col("object_text")).alias("content"), "user_id", "at", "entry_id", _order().alias("order"), log_uuid,
     )
-    made = facts.groupBy("uuid").agg(*[F.min_by(c, F.struct("at", "entry_id")).alias(c) for c in ("subject_uuid", "predicate", "object_uuid", "content", "user_id")], F.min("at").alias("created_at"), journal.alias("journal_entry_ids")).withColumn("weight", F.lit(WEIGHTS["edge"]))
+    made = facts.groupBy("uuid").agg(*[F.min_by(c, "order").alias(c) for c in ("subject_uuid", "predicate", "object_uuid", "content", "user_id")], F.min("at").alias("created_at"), F.max("at").alias("updated_at"), journal.alias("journal_entry_ids")).withColumn("weight", F.lit(WEIGHTS["edge"]))
     made = materialize(made, "facts")
     acks = by_entry.join(ents.select("uuid", "known_by_id", "first_entry"), "uuid").select("entry_id", F.col("uuid").alias("id"), F.when(~F.col("known_by_id") & (F.col("entry_id") == F.col("first_entry")), "created").otherwise("updated").alias("kind")).distinct()
     acks = acks.unionByName(facts.select("entry_id", F.col("uuid").alias("id"), F.lit("fact").alias("kind")).distinct())
@@ -206,24 +260,27 @@ def ingest(
         made = made.withColumn("existed", F.lit(False))
         dead = made.limit(0).select("uuid")
     else:
+        if not isinstance(edges, DataFrame):
+            edges = materialize(edges.pick(made.select(F.col("subject_uuid").alias("key"))), "picked-edges")
         stored = edges.select("uuid").distinct().withColumn("existed", F.lit(True))
         made = made.join(stored, "uuid", "left").withColumn("existed", F.coalesce("existed", F.lit(False)))
-        dead = replaced(made, edges, ask)
+        dead = materialize(replaced(facts.dropDuplicates(["order"]), edges, ask), "replaced")
     ents = ents.drop("known_by_id", "first_entry").withColumn("name_key", ids.name_key(F.col("content"))).withColumn("weight", F.lit(WEIGHTS["entity"]))
     if embed is not None:
         logs, ents, made = (df.withColumn("embedding", embed(F.col("content"))) for df in (logs, ents, made))
-    return Ingested(logs, ents, made, rejected, new_predicates, renamed, dead, acks, by_entry, failed)
+    return Ingested(logs, ents, made, rejected, new_predicates, renamed, dead, acks, by_entry, failed, edges)
 
 
 #: What a row that was there before does not change.
 KEPT = ["content", "weight", "name_key", "embedding", "node_type", "created_at"]
 
 
-def changes(seq: int, rows: DataFrame, columns: list[str]) -> DataFrame:
+def changes(number: int, rows: DataFrame, columns: list[str]) -> DataFrame:
     """Rows of ``Ingested.nodes`` or ``.edges`` for a change log: new ones are created, others only touched."""
     old = F.col("existed") if "existed" in rows.columns else F.lit(False)
     own = [F.when(~old, F.col(c)).alias(c) if c in KEPT else F.col(c) for c in columns if c in rows.columns]
-    return rows.select(F.lit(seq).cast("long").alias("seq"), F.when(old, "touch").otherwise("create").alias("op"), *own)
+    place = F.when(old, F.lit(changelog.seq(number, changelog.TOUCHED))).otherwise(F.lit(changelog.seq(number, changelog.CREATED)))
+    return rows.select(place.cast("long").alias("seq"), F.when(old, "touch").otherwise("create").alias("op"), *own)
 
 
 def consolidation_entries(logs: DataFrame, at: Column, make: Callable = providers.rules, answer: Column | None = None) -> DataFrame:

@@ -17,8 +17,10 @@ NEAR = 0.15
 FACTS = 10
 #: Vectors of a block, of which each two meet in a task.
 BLOCK = 1000
-#: Cells that nodes are dealt to, at most.
-PIVOTS = 256
+#: Cells that nodes are dealt to, at most; the share of them that mentions may meet, by so many of them.
+PIVOTS, MOST_MET, SAMPLE = 256, 0.5, 1000
+#: Planes of the approximate index: a match at 0.15 is found with 0.989, two random vectors meet with 0.011.
+BANDS, BITS = 46, 12
 
 
 def exact_matches(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -50,7 +52,9 @@ def _cells(n: DataFrame, m: DataFrame, threshold: float) -> tuple[DataFrame, Dat
 
     Angles obey the triangle inequality: a node within the threshold of a mention differs
     from it by no more than the threshold's angle in the distance to any pivot. Pivots and
-    the span of each cell are what the driver sees, ``PIVOTS`` rows at most.
+    the span of each cell are what the driver sees, ``PIVOTS`` rows at most. Vectors without
+    clusters are near no pivot: where a sample of the mentions meets more than ``MOST_MET`` of the
+    cells, there are no cells, and blocks alone meet.
     """
     count = n.count()
     pivots = [r["v"] for r in n.orderBy(F.xxhash64("near_uuid"), "near_uuid").limit(min(PIVOTS, -(-count // BLOCK))).select("v").collect()]
@@ -75,14 +79,35 @@ def _cells(n: DataFrame, m: DataFrame, threshold: float) -> tuple[DataFrame, Dat
         near = (a - reach <= high) & (a + reach >= low)
         return pd.Series([cells[x].tolist() for x in near])
 
+    some = m.orderBy(F.xxhash64("mention_id")).limit(SAMPLE).select(F.size(met("v")).alias("met"))
+    share = (some.agg(F.avg("met")).first()[0] or 0) / len(cells)
+    if share > MOST_MET:
+        return n.drop("angle").withColumn("cell", F.lit(0)), m.withColumn("cell", F.lit(0))
     return n.drop("angle"), m.withColumn("cell", F.explode(met("v")))
 
 
-def nearest(mentions: DataFrame, nodes: DataFrame, threshold: float = NEAR) -> DataFrame:
+def _banded(df: DataFrame, bands: int, bits: int) -> DataFrame:
+    """Each row with a ``cell`` for each band: the sides of random planes that its vector is on."""
+    weights = np.int64(1) << np.arange(bits, dtype=np.int64)
+
+    @F.pandas_udf("array<long>")
+    def codes(vectors: pd.Series) -> pd.Series:
+        v = _matrix(vectors.tolist())
+        # a plane's first components are the same for any length of vectors
+        planes = np.stack([np.random.default_rng([17, k]).normal(size=v.shape[1]) for k in range(bands * bits)], 1)
+        sides = ((v @ planes) > 0).reshape(len(v), bands, bits) @ weights
+        return pd.Series((sides + (np.arange(bands, dtype=np.int64) << bits)).tolist())
+
+    return df.withColumn("cell", F.explode(codes("v")))
+
+
+def nearest(mentions: DataFrame, nodes: DataFrame, threshold: float = NEAR, exact: bool = True) -> DataFrame:
     """``(mention_id, near_uuid, distance)``: the nearest node of a mention's type within the threshold.
 
-    Exact. Mentions meet the nodes of their type in blocks, as matrix products, and only in
-    the cells where a match can be; each block names the best of each mention.
+    Mentions meet the nodes of their type in blocks, as matrix products, and only in
+    the cells where a match can be; each block names the best of each mention. Not
+    ``exact``, they meet where they are on the same side of all planes of a band: a match is found
+    with 1 - (1 - (1 - angle / 180) ** ``BITS``) ** ``BANDS``, and what is found is measured exactly.
     """
     vector = F.col("embedding").cast("array<double>").alias("v")
     n = nodes.where("embedding IS NOT NULL").select(F.col("uuid").alias("near_uuid"), "node_type", vector)
@@ -90,7 +115,12 @@ def nearest(mentions: DataFrame, nodes: DataFrame, threshold: float = NEAR) -> D
     # a few passes follow
     n, m = materialize(n, "node-vectors"), materialize(m, "mention-vectors")
     kinds = [f.dataType.simpleString() for f in m.select("mention_id").schema]
-    n, m = _cells(n, m, threshold)
+    if exact:
+        n, m = _cells(n, m, threshold)
+    else:
+        # one node for each vector: copies would share all their cells
+        n = n.groupBy("node_type", "v").agg(F.min("near_uuid").alias("near_uuid"))
+        n, m = (materialize(_banded(df, BANDS, BITS), "bands") for df in (n, m))
     key = ["node_type", "cell"]
     size = lambda df, name: df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias(name))
     sizes = materialize(size(n, "n_blocks").join(size(m, "m_blocks"), key), "block-counts")
@@ -150,9 +180,7 @@ def _links(items: DataFrame, threshold: float) -> DataFrame:
     dealt = held.select("node_type", "at", "embedding", "block", other).select("node_type", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "at.pos", "at.stable", "embedding")
 
     def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.array(pdf["embedding"].tolist(), float)
-        norm = np.linalg.norm(v, axis=1, keepdims=True)
-        v /= np.where(norm == 0, 1, norm)
+        v = _matrix(pdf["embedding"].tolist())
         one, two = (np.flatnonzero(pdf["block"] == pdf[k].iloc[0]) for k in ("one", "two"))
         d = np.round(1 - v[one] @ v[two].T, scoring.DIGITS)
         i, k = np.nonzero(d <= threshold)
@@ -239,6 +267,7 @@ def supersede_candidates(facts: DataFrame, edges: DataFrame, newest: int = FACTS
     ``facts (uuid, user_id, subject_uuid)``. The fact takes up a place before it is left out.
     """
     rank = F.row_number().over(Window.partitionBy("user_id", "subject_uuid").orderBy(F.desc("updated_at"), "uuid"))
-    top = edges.withColumn("rank", rank).where(F.col("rank") <= newest).where(F.length(F.trim("content")) > 0)
+    mine = edges.join(facts.select("user_id", "subject_uuid").distinct(), ["user_id", "subject_uuid"], "left_semi")
+    top = mine.withColumn("rank", rank).where(F.col("rank") <= newest).where(F.length(F.trim("content")) > 0)
     f = facts.select(F.col("uuid").alias("fact_uuid"), "user_id", "subject_uuid")
     return f.join(top.select("user_id", "subject_uuid", F.col("uuid").alias("candidate_uuid"), "rank"), ["user_id", "subject_uuid"]).where("fact_uuid <> candidate_uuid").select("fact_uuid", "candidate_uuid", "rank")

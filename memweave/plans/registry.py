@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memweave.functions import ids, scoring, text
-from memweave.operators import corpus, enrich, ingest, listing, render, resolve, search, summarize, traverse
-from memweave.plans.expand_sql import expand_sql
+from memweave.operators import bulk, corpus, enrich, ingest, listing, render, resolve, search, summarize, traverse
+from memweave.plans.expand_sql import expand_requests_sql, expand_sql
 from memweave.plans.fixtures import LOGS_NOW, NODES_NOW, Graph, with_views
 from memweave.runtime import materialize, new_path
 from memweave.schema import NODE_TYPES, PREDICATES
 from memweave.sources import changelog
+from memweave.sources.keyed import KeyedLog
 from memweave.sources.vocabulary import Vocabulary
+from memweave.streaming import ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -316,6 +318,44 @@ def search_counted(g):
     return search.counted(*search.search(_vector_nodes(g), _vector_edges(g), _q(g), NODES_NOW, limit=15))
 
 
+_ASKED = f"""asked AS (SELECT s_suppkey AS request_id, CASE s_suppkey % 4 WHEN 0 THEN 'other' ELSE 'global' END AS user_id, CAST(v.embedding AS DOUBLE[]) AS q, 1 + s_suppkey % 23 AS lim,
+CASE s_suppkey % 3 WHEN 1 THEN ['person', 'asset'] WHEN 2 THEN ['log'] END AS types, CASE s_suppkey % 2 WHEN 0 THEN 0.0 ELSE 0.5 END AS least
+FROM supplier JOIN embeddings v ON v.vec_id = s_suppkey % {SIZE})"""
+
+
+def _asked(g):
+    """A search for each supplier: two tenants, several limits, types and least weights."""
+    s = g.with_vectors(g.base("supplier").select("s_suppkey"), "s_suppkey")
+    k = F.col("s_suppkey")
+    types = F.when(k % 3 == 1, F.array(F.lit("person"), F.lit("asset"))).when(k % 3 == 2, F.array(F.lit("log")))
+    return s.select(
+        k.alias("request_id"), F.when(k % 4 == 0, "other").otherwise("global").alias("user_id"), "embedding", F.lit(None).cast("string").alias("domain"), types.alias("node_types"),
+        (1 + k % 23).cast("int").alias("limit"), F.when(k % 2 == 0, 0.0).otherwise(0.5).alias("min_significance"),
+    )
+
+
+def _asked_sql(table: str, at: str, where: str, life: str, updated: str) -> str:
+    age = f"greatest(coalesce(date_diff('microsecond', {updated}, TIMESTAMP '{NODES_NOW}') / 86400000000.0, 0.0), 0.0)"
+    return f"""WITH {_ASKED}, d AS (SELECT r.request_id, r.lim, r.least, t.*, round(1 - list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), r.q), 6) AS distance
+FROM asked r JOIN {table} t ON t.user_id = r.user_id AND {where} JOIN embeddings v ON v.vec_id = {at}),
+p AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY distance, uuid) <= least(greatest(5 * lim, 1), 200)),
+e AS (SELECT request_id, lim, uuid, round(CASE WHEN f > 0 THEN distance / f ELSE distance END, 6) AS effective
+      FROM (SELECT *, pow(0.5, {age} / {life}) * (1 + 0.05 * least(n_obs, 50)) AS f FROM p WHERE weight > 0 AND (least <= 0 OR weight >= least)) x)
+SELECT request_id, uuid, effective, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY effective, uuid) AS place FROM e) y WHERE place <= lim"""
+
+
+@register(
+    _asked_sql("nodes", "t.vec_id", "CASE WHEN r.types IS NULL THEN t.node_type <> 'log' ELSE list_contains(r.types, t.node_type) END", "CASE node_type WHEN 'log' THEN 30.0 ELSE 365.0 END", "updated_at"), "nodes"
+)
+def search_requests(g):
+    return bulk.search_requests(_asked(g), _vector_nodes(g), NODES_NOW)
+
+
+@register(_asked_sql("edges", f"t.first_j % {SIZE}", "true", "90.0", "CAST(NULL AS TIMESTAMP)"), "edges")
+def search_edge_requests(g):
+    return bulk.search_edge_requests(_asked(g), _vector_edges(g), NODES_NOW)
+
+
 # Traversal
 
 
@@ -370,6 +410,26 @@ def expand_tombstones(g):
     return _expanded(_expand(g, seed(g, "nation_5", "nation_6"), hops=2))
 
 
+_GRAPH_ASKED = f"""asked AS (SELECT s_suppkey AS rid, CASE s_suppkey % 4 WHEN 0 THEN 'other' ELSE 'global' END AS usr, CASE s_suppkey % 3 WHEN 0 THEN 'BUILDING' END AS src,
+CASE WHEN s_suppkey % 2 = 0 THEN CAST(v.embedding AS DOUBLE[]) END AS q FROM supplier JOIN embeddings v ON v.vec_id = s_suppkey % {SIZE}),
+start AS (SELECT s_suppkey AS rid, 'entity_' || sha1('organization:' || lower(trim(s_name))) AS uuid FROM supplier
+UNION SELECT s_suppkey, 'entity_' || sha1('place:' || lower(trim(n_name))) FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION SELECT s_suppkey, {ME} FROM supplier WHERE s_suppkey % 5 = 0)"""
+
+
+@register(expand_requests_sql(_GRAPH_ASKED, hops=2, k=4, floor=6, me=ME), "nodes", "edges")
+def expand_requests(g):
+    """An expansion for each supplier, from itself, its nation and sometimes SELF, with two tenants, sources and queries."""
+    k = F.col("s_suppkey")
+    s = g.base("supplier").join(g.base("nation").select("n_nationkey", "n_name"), F.col("s_nationkey") == F.col("n_nationkey"))
+    asked = g.with_vectors(s, "s_suppkey").select(
+        k.alias("request_id"), F.when(k % 4 == 0, "other").otherwise("global").alias("user_id"), F.when(k % 2 == 0, F.col("embedding")).alias("embedding"), F.when(k % 3 == 0, "BUILDING").alias("source")
+    )
+    start = F.array(ids.entity_id(F.lit("organization"), F.col("s_name")), ids.entity_id(F.lit("place"), F.col("n_name")), F.when(k % 5 == 0, ids.self_id(F.lit("global"))))
+    seeds = s.select(k.alias("request_id"), F.explode(F.array_compact(start)).alias("uuid"))
+    done = bulk.expand_requests(asked, seeds, g.store.nodes, g.store, hops=2, limit_per_hop=4, self_floor=6)
+    return done.nodes.select(F.lit("node").alias("kind"), "request_id", "uuid").unionByName(done.edges.select(F.lit("edge").alias("kind"), "request_id", "uuid"))
+
+
 @register(
     """WITH b AS (SELECT * FROM edges WHERE predicate IN ('lives_in', 'is_part_of')), x AS (SELECT * FROM edges WHERE predicate IN ('is_part_of', 'located_at'))
 SELECT 'edge' AS kind, uuid FROM b UNION ALL
@@ -790,6 +850,69 @@ def ingest_superseded(g):
     return done.tombstones
 
 
+_STATED = "'status: ok' || chr(10) || 'triples:' || chr(10) || 'SELF | has_status | state ' || CAST(o_orderkey % 13 AS STRING)"
+
+
+@register(
+    """WITH occ AS (SELECT CAST(o_orderkey AS VARCHAR) AS e, o_custkey AS c, o_orderdate AS told,
+  'rel_' || sha1('entity_' || sha1('self:user_' || CAST(o_custkey AS VARCHAR)) || ':has_status:entity_' || sha1('generic:state ' || CAST(o_orderkey % 13 AS VARCHAR))) AS uuid FROM orders),
+seen AS (SELECT i.c, i.e, i.uuid AS own, j.uuid, max(j.told) AS told FROM occ i JOIN occ j ON i.c = j.c AND (j.told, j.e) < (i.told, i.e) GROUP BY ALL),
+ten AS (SELECT *, row_number() OVER (PARTITION BY c, e ORDER BY told DESC, uuid) AS r FROM seen QUALIFY r <= 10),
+others AS (SELECT c, e, list(uuid ORDER BY r) AS u FROM ten WHERE uuid <> own GROUP BY ALL)
+SELECT DISTINCT CASE len(u) % 3 WHEN 1 THEN u[1] WHEN 2 THEN u[-1] END AS uuid FROM others WHERE len(u) % 3 > 0"""
+)
+def ingest_superseded_in_order(g):
+    """Orders as statements of one batch: a later one replaces the newest or the tenth newest of its customer's, as they stand then."""
+    entries = _entries(g.base("orders"), F.col("o_orderkey"), F.concat(F.lit("user_"), F.col("o_custkey").cast("string")), F.col("o_orderdate").cast("timestamp"), _STATED)
+    said = F.expr("CASE size(facts) % 3 WHEN 1 THEN facts[0].uuid WHEN 2 THEN facts[size(facts) - 1].uuid ELSE 'none' END")
+    none = g.spark.createDataFrame([], "uuid string, user_id string, subject_uuid string, content string, updated_at timestamp")
+    done = ingest.ingest(entries, g.node_keys.select("uuid", "content", "node_type"), PREDICATES, answers={"extract": "answer", "supersede": said}, edges=none)
+    return done.tombstones
+
+
+@register(
+    """WITH occ AS (SELECT o_orderkey % 2 AS batch, o_orderkey AS k, o_custkey AS c, o_orderdate AS told,
+  'rel_' || sha1('entity_' || sha1('self:user_' || CAST(o_custkey AS VARCHAR)) || ':has_status:entity_' || sha1('generic:state ' || CAST(o_orderkey % 13 AS VARCHAR))) AS uuid FROM orders),
+e AS (SELECT c, uuid, count(*) AS n_obs, max(told) AS updated, coalesce(min(told) FILTER (batch = 0), min(told)) AS created FROM occ GROUP BY 1, 2)
+SELECT c AS customer, uuid, n_obs, strftime(created, '%Y-%m-%d') AS created, strftime(updated, '%Y-%m-%d') AS updated, row_number() OVER (PARTITION BY c ORDER BY updated DESC, uuid) AS rank FROM e QUALIFY rank <= 3"""
+)
+def state_after_touch(g):
+    """Two batches into keyed logs, compacted between them: times of creation and last touch, and the newest facts by them."""
+    nodes, edges = KeyedLog(g.spark, new_path(g.spark, "node-log"), buckets=16, names=True), KeyedLog(g.spark, new_path(g.spark, "edge-log"), key="subject_uuid", buckets=16)
+    for batch in (0, 1):
+        orders = g.base("orders").where(F.col("o_orderkey") % 2 == batch)
+        entries = _entries(orders, F.col("o_orderkey"), F.concat(F.lit("user_"), F.col("o_custkey").cast("string")), F.col("o_orderdate").cast("timestamp"), _STATED)
+        done = ingest.ingest(entries, nodes, PREDICATES, answers={"extract": "answer"}, edges=edges)
+        ingest_stream.write(done, batch, nodes, edges, done.stored_edges, None)
+        if not batch:
+            nodes.compact()
+            edges.compact()
+    customer = F.col("user_id").substr(6, 20).cast("long")
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("updated_at"), "uuid"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    told = edges.state().select(customer.alias("customer"), "uuid", F.size("journal_entry_ids").cast("long").alias("n_obs"), day("created_at").alias("created"), day("updated_at").alias("updated"), rank.cast("long").alias("rank"))
+    return told.where("rank <= 3")
+
+
+_COINED = "'status: ok' || chr(10) || 'triples:' || chr(10) || event_type || ' | NEW: ' || CASE event_id % 4 WHEN 0 THEN 'enjoys' WHEN 1 THEN 'likes' WHEN 2 THEN 'adores' ELSE 'owns' END || ' | thing'"
+
+
+@register(
+    """WITH o AS (SELECT event_id, event_type, row_number() OVER (ORDER BY ts, CAST(event_id AS VARCHAR)) AS n, CASE event_id % 4 WHEN 0 THEN 'enjoys' WHEN 1 THEN 'likes' WHEN 2 THEN 'adores' ELSE 'owns' END AS p FROM events),
+f AS (SELECT (SELECT p FROM o WHERE p IN ('enjoys', 'likes', 'adores') ORDER BY n LIMIT 1) AS fond),
+t AS (SELECT event_type, CASE WHEN p = 'owns' THEN 'owns' ELSE fond END AS p FROM o, f)
+SELECT DISTINCT 'edge' AS kind, 'rel_' || sha1('entity_' || sha1('generic:' || event_type) || ':' || p || ':entity_' || sha1('generic:thing')) AS name FROM t
+UNION ALL SELECT 'predicate', fond FROM f"""
+)
+def ingest_gated_in_order(g):
+    """Three words for one thing: the first is approved, and later ones are led to it."""
+    entries = _entries(g.base("events"), F.col("event_id"), F.lit("global"), F.col("ts"), _COINED)
+    led = " ".join(f"WHEN array_contains(split(known_names, ', '), '{p}') THEN 'EXISTING: {p}'" for p in ("enjoys", "likes", "adores"))
+    gate = F.expr(f"CASE WHEN predicate = 'owns' THEN 'EXISTING: owns' {led} ELSE 'NEW' END")
+    done = ingest.ingest(entries, g.node_keys.select("uuid", "content", "node_type"), PREDICATES, answers={"extract": "answer", "gate": gate})
+    return done.edges.select(F.lit("edge").alias("kind"), F.col("uuid").alias("name")).unionByName(done.predicates.select(F.lit("predicate").alias("kind"), "name"))
+
+
 @register(
     """WITH o AS (SELECT l_orderkey AS pos, l_partkey AS id, CASE WHEN l_linenumber = 1 THEN 'created' ELSE 'updated' END AS kind FROM lineitem),
 f AS (SELECT id, kind, min(pos) AS pos FROM o GROUP BY 1, 2), c AS (SELECT id, pos AS cp FROM f WHERE kind = 'created')

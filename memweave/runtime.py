@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,6 +62,17 @@ def clear(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end what is written by ``materialize`` meanwhile; results must stand elsewhere by then."""
+    before = set(_written(spark))
+    try:
+        yield
+    finally:
+        for path in sorted(_written(spark) - before):
+            _delete(spark, path)
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a table that ``materialize`` returned and nothing reads any more."""
     _delete(df.sparkSession, df.written_at)

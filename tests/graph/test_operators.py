@@ -348,3 +348,60 @@ def test_greedy_resolution_by_blocks_equals_one_pass(spark, monkeypatch):
                 by_name[kind, name] = known[near[1]][1]
             want[m] = by_name[kind, name]
         assert got == want and 4 < len(set(want.values())) < len(rows) - 20
+
+
+def test_vectors_without_clusters_meet_in_blocks_and_planes_find_nearly_all(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(resolve, "BLOCK", 100)
+    v = rng.normal(size=(1500, 24))
+    near = v[:300] + 0.22 * rng.normal(size=(300, 24))
+    n = spark.createDataFrame([(f"n{k:04}", "a", [float(x) for x in v[k]]) for k in range(1500)], "uuid string, node_type string, embedding array<double>")
+    m = spark.createDataFrame([(k, "a", [float(x) for x in near[k]]) for k in range(300)], "mention_id long, node_type string, embedding array<double>")
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.round(1 - unit(near) @ unit(v).T, 6)
+    want = {k: (f"n{d[k].argmin():04}", d[k].min()) for k in range(300) if d[k].min() <= 0.15}
+    exact = {r.mention_id: (r.near_uuid, r.distance) for r in resolve.nearest(m, n).collect()}
+    assert exact == want and len(want) > 200
+    some = {r.mention_id: (r.near_uuid, r.distance) for r in resolve.nearest(m, n, exact=False).collect()}
+    assert all(want[k] == x for k, x in some.items()) and len(some) >= 0.9 * len(want)
+
+
+def test_greedy_resolution_of_vectors_of_two_lengths(spark):
+    rows = [(k, k, f"name {k}", "a", v) for k, v in enumerate([[1.0, 0.0], [1.0], [0.0, 1.0, 0.0], [0.0, 1.0]])]
+    got = resolve.greedy_resolution(spark.createDataFrame(rows, "mention_id long, pos long, name string, node_type string, embedding array<double>"))
+    to = {r.mention_id: r.uuid for r in got.collect()}
+    assert to[0] == to[1] != to[2] == to[3]
+
+
+def test_bulk_requests_equal_single_ones(spark):
+    """Requests with tenants, types, limits and sources give what each gives alone; a request without a vector finds nothing."""
+    from memweave.operators import bulk, search, traverse
+
+    rng = np.random.default_rng(8)
+    vec = lambda: [float(x) for x in rng.normal(size=4)]
+    kinds = ["person", "log", "asset", None]
+    n = spark.createDataFrame(
+        [(f"n{k:03}", kinds[k % 4], "ab"[k % 2], "x" if k % 3 else None, 0.0 if k % 11 == 0 else 0.5, vec() if k % 7 else None, k % 5, "d" if k % 2 else "e") for k in range(200)],
+        "uuid string, node_type string, user_id string, source string, weight double, embedding array<double>, n_obs int, domain string",
+    )
+    e = spark.createDataFrame([(f"e{k:04}", f"n{rng.integers(200):03}", f"n{rng.integers(200):03}", "ab"[k % 2], 0.0 if k % 9 == 0 else 0.8) for k in range(900)], "uuid string, subject_uuid string, object_uuid string, user_id string, weight double")
+    asked = [(k, "ab"[k % 2], vec() if k != 3 else None, None if k % 3 else "d", [None, ["person"], ["log", "asset"]][k % 3], 1 + k, 0.0, "x" if k % 2 else None) for k in range(5)]
+    q = spark.createDataFrame(asked, "request_id long, user_id string, embedding array<double>, domain string, node_types array<string>, limit int, min_significance double, source string")
+    got = bulk.search_requests(q, n, "2024-01-01").collect()
+    seeds = [(k, f"n{5 * k + j:03}") for k in range(5) for j in range(3)]
+    walk = bulk.expand_requests(q, spark.createDataFrame(seeds, "request_id long, uuid string"), n, e, limit_per_hop=4, self_floor=2, cap=3)
+    walked = {kind: [tuple(r) for r in getattr(walk, kind).collect()] for kind in ("nodes", "edges")}
+    for k, user, v, domain, types, limit, least, source in asked[2:]:
+        query = None if v is None else F.array(*map(F.lit, v))
+        if v is not None:
+            alone = search.search_nodes(n, query, "2024-01-01", user, domain, types, limit, least).collect()
+            assert [(r.uuid, r.effective) for r in sorted((r for r in got if r.request_id == k), key=lambda r: r.place)] == [(r.uuid, r.effective) for r in alone]
+        else:
+            assert not [r for r in got if r.request_id == k]
+        monkey = traverse.NEIGHBOR_EDGES
+        assert monkey == 50
+        one = traverse.expand(n, e, spark.createDataFrame([(u,) for i, u in seeds if i == k], "uuid string"), query, 2, 4, user, 2, source)
+        full = bulk.expand_requests(q.where(F.col("request_id") == k), spark.createDataFrame(seeds, "request_id long, uuid string"), n, e, limit_per_hop=4, self_floor=2)
+        for kind in ("nodes", "edges"):
+            assert sorted(r.uuid for r in getattr(full, kind).collect()) == sorted(r.uuid for r in getattr(one, kind).collect())
+    assert {r[0] for r in walked["nodes"]} == set(range(5)) and len(walked["edges"]) == len(set(walked["edges"]))
