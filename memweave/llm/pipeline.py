@@ -51,9 +51,9 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences, with their places in the texts, in optimal length buckets and token-budget batches."""
+    """The encoder's ids as padded sequences, in optimal length buckets and token-budget batches."""
     ship(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, vocabulary=public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [

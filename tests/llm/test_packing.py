@@ -77,3 +77,22 @@ def test_padded_ids_are_the_encoders(spark):
         assert len(r.input_ids) == (r.bucket_len or 0) and r.input_ids[r.n_tokens :] == [-1] * (r.padding or 0)
         parts.setdefault(r.doc_id, {})[r.piece] = r.input_ids[: r.n_tokens]
     assert {k: sum((p[j] for j in sorted(p)), []) for k, p in parts.items()} == want
+
+
+def test_encoded_sequences_are_the_encoders_and_runs_agree(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(k % 9, " ".join(f"word{j} of text {k}." for j in range(k * 3))) for k in range(30)] + [(50, None), (50, "x " * 400), (None, "same"), (None, "also")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = [[tuple(r) for r in packing.pack(df.repartition(n), max_len=64, buckets=4, budget=512, vocabulary=path, pad_id=-1).collect()] for n in (1, 5)]
+    assert sorted(map(str, runs[0])) == sorted(map(str, runs[1]))
+    encoder = Tokenizer.from_file(path)
+    want = Counter()
+    for i, t in rows:
+        ids = encoder.encode(t or "", add_special_tokens=False).ids
+        want.update((i, k // 64, tuple(ids[k : k + 64])) for k in range(0, max(1, len(ids)), 64))
+    at = packing.pack(df, vocabulary=path).columns.index
+    assert Counter((r[at("doc_id")], r[at("piece")], tuple(r[at("input_ids")][: r[at("n_tokens")]])) for r in runs[0]) == want
+    assert all(len(r[at("input_ids")]) == (r[at("bucket_len")] or 0) for r in runs[0])

@@ -1,5 +1,8 @@
 from collections import Counter
 
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from memweave.llm import language_id, line_dedup, packing, pipeline
 from tests.llm.test_minhash import brute as near_brute
@@ -61,7 +64,7 @@ def without_repeats(rows, window=100):
 def test_against_brute_force(spark, tmp_path):
     rows = documents()
     spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = Counter((r.doc_id, r.piece, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    got = Counter((r.doc_id, r.piece, tuple(r.input_ids[: r.n_tokens])) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     kept = [(i, t) for i, t, _ in rows if t and language_id.LETTER.search(t)]
     assert {i for i, _, _ in rows} - {i for i, _ in kept} == {200, 201, 202}
     kept = without_lines(kept)
@@ -69,9 +72,10 @@ def test_against_brute_force(spark, tmp_path):
     assert len(stay) < len(kept)
     kept = without_repeats([r for r in kept if r[0] in stay])
     want = Counter()
+    encoder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for i, t in kept:
-        n = len(t.split())
-        want.update((i, k, min(packing.MAX_LEN, n - k * packing.MAX_LEN)) for k in range(max(1, -(-n // packing.MAX_LEN))))
+        ids = encoder.encode(t, add_special_tokens=False).ids
+        want.update((i, k, tuple(ids[k * packing.MAX_LEN : (k + 1) * packing.MAX_LEN])) for k in range(max(1, -(-len(ids) // packing.MAX_LEN))))
     assert got == want
 
 
