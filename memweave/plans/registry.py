@@ -687,7 +687,7 @@ def state_fold(g):
 
 def _journaled(g):
     """Mentions as changes of a keyed log, compacted after the first twenty of each entity; other entities come later."""
-    log = KeyedLog(g.spark, new_path(g.spark, "journal-log"), buckets=16)
+    log = KeyedLog(g.spark, new_path(g.spark, "journal-log"), buckets=8)
     kind = F.when(F.col("entity_uuid") < "entity_8", "person").otherwise("event")
     rows = g.mentions.select(F.col("pos").cast("long").alias("seq"), F.col("entity_uuid").alias("uuid"), F.lit("create").alias("op"), kind.alias("node_type"), F.array("log_uuid").alias("journal_entry_ids"))
     early = (F.col("seq") <= 20) & (F.col("uuid") < "entity_c")
@@ -905,7 +905,7 @@ SELECT c AS customer, uuid, n_obs, strftime(created, '%Y-%m-%d') AS created, str
 )
 def state_after_touch(g):
     """Two batches into keyed logs, compacted between them: times of creation and last touch, and the newest facts by them."""
-    nodes, edges = KeyedLog(g.spark, new_path(g.spark, "node-log"), buckets=16, names=True), KeyedLog(g.spark, new_path(g.spark, "edge-log"), key="subject_uuid", buckets=16)
+    nodes, edges = KeyedLog(g.spark, new_path(g.spark, "node-log"), buckets=8, names=True), KeyedLog(g.spark, new_path(g.spark, "edge-log"), key="subject_uuid", buckets=8)
     for batch in (0, 1):
         orders = g.base("orders").where(F.col("o_orderkey") % 2 == batch)
         entries = _entries(orders, F.col("o_orderkey"), F.concat(F.lit("user_"), F.col("o_custkey").cast("string")), F.col("o_orderdate").cast("timestamp"), _STATED)

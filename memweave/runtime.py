@@ -50,6 +50,11 @@ def _written(spark: SparkSession) -> set[str]:
     return context._memweave_written
 
 
+def track(spark: SparkSession, path: str) -> None:
+    """``clear`` deletes this folder too."""
+    _written(spark).add(path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

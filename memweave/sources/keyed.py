@@ -34,8 +34,6 @@ JOURNAL = "key string, uuid string, seq long, pos int, log_id string"
 #: What rows are counted by.
 COUNTED = ("node_type", "predicate")
 RATIO, LEAST_TAIL = 0.5, 10_000
-#: Writing tasks of a bucket.
-SPREAD = 4
 #: Buckets that a scan is told by value; a batch that names more reads all and joins.
 MOST_BUCKETS = 1024
 
@@ -63,7 +61,8 @@ class KeyedLog:
 
     def _write(self, df: DataFrame, path: str, key: str) -> None:
         placed = df.withColumn("bucket", self._bucket(F.col(key)))
-        placed.repartition("bucket", F.pmod(F.xxhash64("uuid"), F.lit(SPREAD))).write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(path)
+        # small buckets share a writing task, large ones are split
+        placed.hint("rebalance", F.col("bucket")).write.mode("append").option("compression", "zstd").partitionBy("bucket").parquet(path)
 
     def append(self, changes: DataFrame) -> None:
         """Add changes; a column that they lack is not changed by them. Edges name their subject in every change."""
