@@ -49,7 +49,9 @@ def test_an_index_has_a_name_and_grows(spark, monkeypatch):
     monkeypatch.setattr(e, "BUCKET_ROWS", 10)
     assert [e.buckets_for(n) for n in (0, 160, 161, 1000)] == [16, 16, 32, 128]
     first = [(k, f"t{k}", "") for k in range(300)]
-    exact_dedup(spark.createDataFrame(first, SCHEMA), DigestIndex(spark, "told_before"))
+    one = DigestIndex(spark, "told_before")
+    exact_dedup(spark.createDataFrame(first, SCHEMA), one)
+    one.forget()  # as a session's end does
     again = DigestIndex(spark, "told_before")
     assert again.buckets == 32 and again.rows().count() == 300
     got = exact_dedup(spark.createDataFrame([(900 + k, f"t{k}", "") for k in range(200, 800)], SCHEMA), again).collect()
@@ -59,3 +61,26 @@ def test_an_index_has_a_name_and_grows(spark, monkeypatch):
     before = len(spark.catalog.listTables())
     exact_dedup(spark.createDataFrame(first, SCHEMA)).count()
     assert len(spark.catalog.listTables()) == before
+
+
+def test_an_index_stands_in_its_folder(spark, tmp_path, monkeypatch):
+    """What a session's catalog knows does not matter; a layout without its manifest row is not there; the nameless leave nothing."""
+    from memweave import runtime
+    from memweave.llm import exact_dedup as e
+
+    path = f"{tmp_path}/index"
+    one = DigestIndex(spark, path=path)
+    exact_dedup(spark.createDataFrame([(k, f"t{k}", "") for k in range(100)], SCHEMA), one)
+    one.forget()
+    (tmp_path / "index/files-of-a-dead-writer").mkdir()
+    monkeypatch.setattr(e, "BUCKET_ROWS", 10)
+    other = DigestIndex(spark, path=path)
+    got = exact_dedup(spark.createDataFrame([(500 + k, f"t{k}", "") for k in range(50, 400)], SCHEMA), other).collect()
+    assert sum(not r.kept for r in got) == 50 and other.buckets > 16
+    other.forget()
+    assert DigestIndex(spark, path=path).rows().count() == 400 and DigestIndex(spark, path=path).buckets == other.buckets
+    before = set(runtime._written(spark))
+    exact_dedup(spark.createDataFrame([(1, "a", "")], SCHEMA)).collect()
+    (left,) = set(runtime._written(spark)) - before
+    runtime._delete(spark, left)
+    assert not __import__("os").path.exists(left.removeprefix("file:")) and left not in runtime._written(spark)
