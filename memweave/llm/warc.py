@@ -17,8 +17,8 @@ response and the others are revisits (WARC 1.1, identical-payload-digest) that r
 and have no payload; records of smaller payloads are all responses, with one stored payload.
 
 Only digests are grouped (partial counts) and payload bytes move twice: to find one row of
-each name, and to meet their headers. Both joins are plain shuffles, which Spark can split at
-a payload that many records share.
+each name, deflated, and to meet their headers. Both joins are plain shuffles, which Spark can
+split at a payload that many records share.
 
 Defined results: a null payload is empty; a null id loses to any other, and records without
 one are told apart by payload only. Rows that repeat an id and a payload are records of their
@@ -29,9 +29,14 @@ table is an empty archive. Columns other than the three named pass by.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memweave.llm.batches import slices
 from memweave.runtime import materialize, new_path
 
 LEAST = 1000
@@ -56,6 +61,21 @@ def _lines(*fields: tuple[str, Column]) -> Column:
     return F.concat(*(F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit(END)), F.lit("")) for name, value in fields))
 
 
+def _recoded(bodies: DataFrame, code: Callable[[bytes], bytes]) -> DataFrame:
+    """``bodies (digest, body)`` with each body as ``code`` makes it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 100):
+            yield pa.record_batch([b.column(0), pa.array([code(x.as_py()) for x in b.column(1)], pa.binary())], names=["digest", "body"])
+
+    return bodies.mapInArrow(run, "digest binary, body binary")
+
+
+def distinct_payloads(bodies: DataFrame) -> DataFrame:
+    """One row of ``bodies (digest, body)`` for each digest; what is shuffled is deflated."""
+    return _recoded(_recoded(bodies, lambda x: zlib.compress(x, 1)).dropDuplicates(["digest"]), zlib.decompress)
+
+
 def write(pages: DataFrame, path: str, record: str = "page_id", target: str = "url", payload: str = "html", date: str = "1970-01-01T00:00:00Z", kind: str = "text/html; charset=utf-8", least: int = LEAST) -> None:
     """Write an archive of ``pages`` to ``path``, which must not exist."""
     body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
@@ -78,7 +98,7 @@ def write(pages: DataFrame, path: str, record: str = "page_id", target: str = "u
     )
     headers = told.withColumn("http", http).select(header.cast("binary").alias("header"), F.col("http").cast("binary").alias("http"), F.when(~F.col("revisit"), F.col("digest")).alias("digest"))
     headers.write.option("compression", "zstd").parquet(f"{path}/headers")
-    bodies = pages.select(body.alias("body")).select(F.unhex(F.sha2("body", 256)).alias("digest"), "body").dropDuplicates(["digest"])
+    bodies = distinct_payloads(pages.select(body.alias("body")).select(F.unhex(F.sha2("body", 256)).alias("digest"), "body"))
     bodies.withColumn("shard", F.conv(F.substring(F.hex("digest"), 1, 1), 16, 10).cast("int")).write.option("compression", "zstd").partitionBy("shard").parquet(f"{path}/payloads")
 
 

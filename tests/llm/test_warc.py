@@ -68,3 +68,10 @@ def test_a_damaged_payload_is_found(spark, tmp_path):
     spark.read.parquet(f"{path}/headers").write.parquet(f"{tmp_path}/b/headers")
     with pytest.raises(Exception, match="not what its digest says"):
         warc.restore(spark, f"{tmp_path}/b").collect()
+
+
+def test_payloads_are_deflated_where_they_are_shuffled(spark):
+    bodies = [b"", b"\x00\xff" * 9, *(b"<td>%d</td>" % k * 3000 for k in range(300))]
+    df = spark.createDataFrame([(hashlib.sha256(b).digest(), b) for b in bodies * 2], "digest binary, body binary").repartition(4)
+    once = warc.distinct_payloads(df)
+    assert sorted((bytes(r.digest), bytes(r.body)) for r in once.collect()) == sorted((hashlib.sha256(b).digest(), b) for b in bodies)
