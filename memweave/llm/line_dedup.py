@@ -10,9 +10,10 @@
 3. Runs of aligned lines that hold at least ``MIN_CHARS`` characters go from the later
    document. All alignments are made on the input.
 4. A run with a line that stayed is open: the first document has it in another order or
-   gap. Open runs are paired with their next holder, and then with all others but copies,
-   so the result is that of all pairs. Only these last pairs can grow with the square of a
-   run's open documents.
+   gap. An alignment depends only on the lines that both documents have, so its document is
+   paired with all that share one of its rare lines, and of the other holders with the first
+   ones of each sequence of its frequent lines. If all of these share rare lines too, it is
+   paired with that sequence's other holders. The result is that of all pairs.
 
 Defined results: documents come in the order of doc_id, nulls last; rows that share a
 doc_id in the order of their texts; rows that repeat both are one document with one
@@ -23,14 +24,18 @@ has no lines, an empty one a single blank line.
 from __future__ import annotations
 
 import hashlib
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from memweave.llm.anchors import _powers, span_hashes
 from memweave.llm.batches import slices
@@ -39,6 +44,8 @@ from memweave.runtime import materialize, release
 
 MIN_CHARS = 50
 KEY = 16
+#: A line that more documents with open runs hold is frequent; so many documents stand for a sequence of frequent lines.
+RARE, FIRST = 20, 3
 
 
 def patience(a: list, b: list) -> list[tuple[int, int]]:
@@ -222,7 +229,58 @@ def _open_runs(table: DataFrame, holders: DataFrame, pairs: DataFrame, gone: Dat
     return materialize(left.join(holders, ["tid", "run"]).where("tid > seen").select("tid", "run", "seen"), "open-runs")
 
 
-def _all_removed(table: DataFrame, min_chars: int) -> DataFrame:
+def restricted(shape: str, own: str) -> str:
+    """A sequence of lines in hex, ``-`` for each stretch of others, with the lines that are not in ``own`` among the others."""
+    have = {own[k : k + 2 * KEY] for k in range(0, len(own), 2 * KEY)}
+    return re.sub("-+", "-", "".join(x if x in have else "-" for x in re.findall(f"-|[0-9A-F]{{{2 * KEY}}}", shape)))
+
+
+@F.pandas_udf(StringType())
+def _restricted(shapes: pd.Series, own: pd.Series) -> pd.Series:
+    return pd.Series([restricted(s, o) for s, o in zip(shapes, own, strict=True)])
+
+
+def _shapes(lines: DataFrame, some: DataFrame) -> DataFrame:
+    """``(tid, shape)`` of ``lines (tid, n, at, line)``: the sequence of the lines that are in ``some (line)``, as ``restricted`` has it."""
+    spots = lines.join(some, "line").groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("spots"), F.first("n").alias("n"))
+    start = F.struct(F.lit(0).alias("next"), F.lit("").alias("s"))
+    gap = lambda far: F.when(far, "-").otherwise("")
+    put = lambda a, x: F.struct((x["at"] + 1).alias("next"), F.concat(a["s"], gap(x["at"] > a["next"]), F.hex(x["line"])).alias("s"))
+    return spots.select("tid", F.aggregate("spots", start, put, lambda a: F.concat(a["s"], gap(a["next"] < F.col("n")))).alias("shape"))
+
+
+def _other_pairs(table: DataFrame, holders: DataFrame, todo: DataFrame, rare: int, first: int) -> DataFrame:
+    """``(earlier, later)``: pairs of the open runs ``todo (tid, run, seen)`` whose alignments are those of all pairs."""
+    held = materialize(holders.join(todo.select("run").distinct(), "run").select("tid", "run"), "open-holders")
+    cut = F.expr(f"transform(sequence(0, length(keys) div {KEY} - 1), i -> substring(keys, i * {KEY} + 1, {KEY}))")
+    lines = table.join(held.select("tid").distinct(), "tid", "left_semi").select("tid", F.expr(f"length(keys) div {KEY}").cast("int").alias("n"), F.posexplode(cut).alias("at", "line"))
+    lines = materialize(lines, "open-lines")
+    once = lines.select("tid", "line").distinct()
+    counts = once.groupBy("line").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1").select("line", (F.col("holders") > rare).alias("often"))
+    asked = materialize(once.join(todo.select("tid").distinct(), "tid", "left_semi").join(counts, "line"), "asked-lines")
+    few = asked.where("NOT often").select(F.col("tid").alias("later"), "line").join(once.select(F.col("tid").alias("earlier"), "line"), "line")
+    few = materialize(few.where("earlier < later").select("earlier", "later").distinct(), "rare-pairs")
+    own = asked.where("often").groupBy("tid").agg(F.array_join(F.transform(F.array_sort(F.collect_list("line")), F.hex), "").alias("own"))
+    shapes = materialize(held.join(_shapes(lines, asked.where("often").select("line").distinct()), "tid"), "line-shapes")
+    open_ = materialize(todo.select(F.col("tid").alias("later"), "run").join(own.withColumnRenamed("tid", "later"), "later"), "open-shapes")
+
+    def firsts(df: DataFrame, *key: str) -> DataFrame:
+        return df.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("tid"))).where(F.col("place") <= first).drop("place")
+
+    seen = open_.select("run", "own").distinct().join(firsts(shapes, "run", "shape"), "run")
+    seen = materialize(seen.select("run", "own", "shape", "tid", _restricted("shape", "own").alias("part")), "seen-shapes")
+    some = open_.join(firsts(seen, "run", "own", "part").drop("shape").withColumnRenamed("tid", "earlier"), ["run", "own"]).where("earlier < later")
+    some = materialize(some.join(few.withColumn("shares", F.lit(1)), ["earlier", "later"], "left"), "shape-pairs")
+    # none of a sequence's first holders has the frequent lines alone in common with the document
+    left = some.groupBy("later", "run", "own", "part").agg(F.count(F.lit(1)).alias("n"), F.count("shares").alias("shares")).where((F.col("n") == first) & (F.col("shares") == first))
+    rest = left.join(seen.select("run", "own", "part", "shape").distinct(), ["run", "own", "part"]).join(shapes.withColumnRenamed("tid", "earlier"), ["run", "shape"]).where("earlier < later")
+    pairs = materialize(reduce(DataFrame.unionByName, (df.select("earlier", "later") for df in (few, some, rest))).distinct(), "more-pairs")
+    for df in (held, lines, asked, few, shapes, open_, seen, some):
+        release(df)
+    return pairs
+
+
+def _all_removed(table: DataFrame, min_chars: int, rare: int, first: int) -> DataFrame:
     """``(tid, gone)`` of all pairs."""
     held = materialize(_runs_of(table, min_chars), "runs")
     # written before it is joined: both sides are then plain scans, and no hot run is pinned to one task
@@ -234,35 +292,21 @@ def _all_removed(table: DataFrame, min_chars: int) -> DataFrame:
     gone = _gathered(_aligned(pairs, table, min_chars))
     todo = _open_runs(table, holders, pairs, gone, min_chars)
     release(pairs)
-    # a copy aligns as its first text does
-    alike = table.groupBy(F.xxhash64("keys").alias("h"), F.md5("keys").alias("m")).agg(F.min("tid").alias("tid")).select("tid")
-    for last in (False, True):
-        if todo.isEmpty():
-            break
-        names = todo.select("run", "seen").distinct()
-        others = holders.select(F.col("tid").alias("earlier"), "run").join(names, "run").where("earlier > seen")
-        if last:
-            pairs = others.join(alike.withColumnRenamed("tid", "earlier"), "earlier", "left_semi").select("earlier", "run")
-            pairs = materialize(pairs, "other-holders").join(todo, "run")
-        else:
-            following = materialize(others.groupBy("run").agg(F.min("earlier").alias("earlier")), "next-holders")
-            pairs = todo.join(following, "run")
-        pairs = materialize(pairs.where("earlier < tid").select("earlier", F.col("tid").alias("later")).distinct(), "more-pairs")
+    if not todo.isEmpty():
+        pairs = _other_pairs(table, holders, todo, rare, first)
         more = _gathered(_aligned(pairs, table, min_chars).unionByName(gone.select("tid", F.explode("gone").alias("k"))).distinct())
         release(gone)
-        release(todo)
-        gone = more
-        if not last:
-            todo = _open_runs(table, holders.drop("seen").join(following.withColumnRenamed("earlier", "seen"), "run"), pairs, gone, min_chars)
         release(pairs)
+        gone = more
+    release(todo)
     release(holders)
     return gone
 
 
-def removed_lines(texts: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def removed_lines(texts: DataFrame, min_chars: int = MIN_CHARS, rare: int = RARE, first: int = FIRST) -> DataFrame:
     """``(tid, gone)``: places of the lines that go from each later document."""
     table = materialize(_line_table(texts), "lines")
-    out = _all_removed(table, min_chars)
+    out = _all_removed(table, min_chars, rare, first)
     release(table)
     return out
 

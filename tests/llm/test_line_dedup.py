@@ -102,3 +102,24 @@ def test_lines_that_a_fast_hash_confuses(spark):
     rows = [(k, f"own line {k}\n{x}") for k, x in enumerate(confused())]
     got = ld.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [r.n_removed for r in got] == [0, 0]
+
+
+def test_open_runs_meet_one_of_each_sequence(spark):
+    """Small values of what is rare and of what stands for a sequence: the rest of the pairs is exact, and far from all pairs."""
+    one, two = "a line of more than fifty characters, at the start and at the end", "another line of more than fifty characters, here and there in texts"
+    texts = [f"{one}\nx {k}" for k in range(40)] + [f"y {k}\n{one}" for k in range(40)] + [f"{one}\nz {k}\n{one}" for k in range(40)]
+    texts += [f"{two}\n{one}\nkin {k % 4}\n{one}\n{two}" for k in range(30)] + [f"u {k}\n{two}\nv {k}\n{one}\n{two}" for k in range(30)]
+    random.Random(4).shuffle(texts)
+    for many, rare, first in ((texts, 1, 1), (texts, ld.RARE, ld.FIRST), (corpus(5, 120), 1, 2)):
+        df = spark.createDataFrame([*enumerate(many)], "tid long, text string")
+        lines = [t.split("\n") for t in many]
+        want = {}
+        for b, own in enumerate(lines):
+            gone = {k for a in lines[:b] for k in ld.common_blocks(a, own, [len(x.strip()) for x in own], ld.MIN_CHARS)}
+            if gone:
+                want[b] = gone
+        assert {r.tid: set(r.gone) for r in ld.removed_lines(df, rare=rare, first=first).collect()} == want
+    table = ld.materialize(ld._line_table(spark.createDataFrame([(k, f"{one}\nz {k}\n{one}") for k in range(400)], "tid long, text string")), "lines")
+    run = ld._runs_of(table, ld.MIN_CHARS)
+    shared = run.join(run.groupBy("run").count().where("count > 1").select("run"), "run").selectExpr("tid", "run", "0L AS seen")
+    assert ld._other_pairs(table, shared, shared.where("tid > 0"), 20, 3).count() < 2000
