@@ -405,3 +405,35 @@ def test_bulk_requests_equal_single_ones(spark):
         for kind in ("nodes", "edges"):
             assert sorted(r.uuid for r in getattr(full, kind).collect()) == sorted(r.uuid for r in getattr(one, kind).collect())
     assert {r[0] for r in walked["nodes"]} == set(range(5)) and len(walked["edges"]) == len(set(walked["edges"]))
+
+
+def test_equal_vectors_are_met_once(spark, monkeypatch):
+    """Searches and matches over 900 rows of three vectors: what meets is one row for each vector and scope."""
+    from memweave.operators import bulk, resolve, search
+
+    vectors = [[1.0, 0.0], [0.8, 0.6], [0.0, 1.0]]
+    nodes = [(f"u{k:04d}", "t", "general", "log" if k % 5 == 0 else "asset", 0.5, k % 4, vectors[k % 3]) for k in range(900)]
+    n = spark.createDataFrame(nodes, "uuid string, user_id string, domain string, node_type string, weight double, n_obs long, embedding array<float>")
+    asked = [(k, "t", [1.0, 0.1 * k], None, ["log"] if k % 2 else None, 1 + 12 * k, 0.0) for k in range(5)]
+    q = spark.createDataFrame(asked, "request_id long, user_id string, embedding array<float>, domain string, node_types array<string>, `limit` int, min_significance double")
+    sizes = {}
+    for module in (bulk, resolve):
+        real = module.materialize
+
+        def spy(df, label, real=real):
+            out = real(df, label)
+            sizes[label] = out.count()
+            return out
+
+        monkeypatch.setattr(module, "materialize", spy)
+    got = {}
+    for r in bulk.search_requests(q, n, "2024-01-01").collect():
+        got.setdefault(r.request_id, {})[r.place] = (r.uuid, r.effective)
+    for k, user, v, _, types, limit, _ in asked:
+        want = search.search_nodes(n, bulk.scoring.vector(v), "2024-01-01", user, node_types=types, limit=limit).orderBy("effective", "uuid").collect()
+        assert [got[k][p + 1] for p in range(len(want))] == [(r.uuid, r.effective) for r in want] and len(want) == len(got[k])
+    assert sizes["bulk-classes"] == 6
+    m = spark.createDataFrame([(k, "asset", vectors[k % 2]) for k in range(300)], "mention_id long, node_type string, embedding array<float>")
+    near = {r.mention_id: (r.near_uuid, r.distance) for r in resolve.nearest(m, n).collect()}
+    assert near == {k: (min(u for u, _, _, t, _, _, v in nodes if t == "asset" and v == vectors[k % 2]), 0.0) for k in range(300)}
+    assert sizes["node-vectors"] == 6 and sizes["mention-vectors"] == 2
