@@ -32,9 +32,9 @@ def gap_seeds(nodes: DataFrame, vectors: list[Column], now: str, user_id: str =
     return None if hits is None else materialize(hits.distinct(), "gap-seeds")
 
 
-def fill_gaps(base: traverse.Subgraph, nodes: DataFrame, edges: DataFrame, vectors: list[Column], now: str, user_id: str = "global", query: Column | None = None) -> traverse.Subgraph:
+def fill_gaps(base: traverse.Subgraph, nodes: DataFrame | traverse.ByKey, edges: DataFrame | traverse.GraphStore | traverse.GraphView, vectors: list[Column], now: str, user_id: str = "global", query: Column | None = None) -> traverse.Subgraph:
     """The subgraph, with what a one-hop expansion around the hits of a few more queries adds."""
-    seeds = gap_seeds(nodes, vectors, now, user_id)
+    seeds = gap_seeds(nodes.table if isinstance(nodes, traverse.ByKey) else nodes, vectors, now, user_id)
     return base if seeds is None else traverse.merge(base, traverse.expand(nodes, edges, seeds, query, hops=1, user_id=user_id))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,6 +28,30 @@ class Subgraph:
 MOST_KEYS = 10_000
 
 
+@dataclass
+class ByKey:
+    """A table that is not stored: ``pick(column, keys)`` computes the rows of a few keys alone, ``table`` is all of it."""
+
+    table: DataFrame
+    pick: Callable[[str, list[str]], DataFrame]
+
+
+@dataclass
+class GraphView:
+    """A graph whose tables are computed. One request asks for the rows of each hop's keys, where a store would write all of them first."""
+
+    nodes: ByKey
+    edges: ByKey
+
+    @property
+    def edges_out(self) -> ByKey:
+        return self.edges
+
+    @property
+    def edges_in(self) -> ByKey:
+        return self.edges
+
+
 class GraphStore:
     """Nodes bucketed by id, and edges twice, bucketed by either end: a hop reads the buckets of its frontier alone."""
 
@@ -42,27 +67,28 @@ class GraphStore:
         return cls(spark, name)
 
 
-def picked(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+def picked(df: DataFrame | ByKey, column: str, keys: DataFrame) -> DataFrame:
     """Rows whose ``column`` is among ``keys (uuid)``: by values in the scan, or by a semi join where there are many."""
     some = [r["uuid"] for r in keys.limit(MOST_KEYS + 1).collect()]
     if len(some) <= MOST_KEYS:
-        return df.where(F.col(column).isin(some))
+        return df.pick(column, some) if isinstance(df, ByKey) else df.where(F.col(column).isin(some))
+    df = df.table if isinstance(df, ByKey) else df
     return df.join(keys.select(F.col("uuid").alias("__key")), F.col(column) == F.col("__key"), "left_semi")
 
 
-def incident_edges(edges: DataFrame | GraphStore, frontier: DataFrame, user_id: str, cap: int = NEIGHBOR_EDGES) -> DataFrame:
+def incident_edges(edges: DataFrame | GraphStore | GraphView, frontier: DataFrame, user_id: str, cap: int = NEIGHBOR_EDGES) -> DataFrame:
     """Edges of a user that touch ``frontier (uuid)``, with the touched end ``at`` and the ``other``.
 
     The two directions are two scans by keys, each capped per node; a condition with OR would
     be a nested loop.
     """
 
-    def one_way(table: DataFrame, near: str, far: str) -> DataFrame:
-        met = picked(table.where(F.col("user_id") == user_id), near, frontier.select("uuid").distinct()).withColumn("at", F.col(near))
+    def one_way(table: DataFrame | ByKey, near: str, far: str) -> DataFrame:
+        met = picked(table, near, frontier.select("uuid").distinct()).where(F.col("user_id") == user_id).withColumn("at", F.col(near))
         rank = F.row_number().over(Window.partitionBy("at").orderBy("uuid"))
         return met.withColumn("rank", rank).where(F.col("rank") <= cap).drop("rank").withColumn("other", F.col(far))
 
-    out, into = (edges.edges_out, edges.edges_in) if isinstance(edges, GraphStore) else (edges, edges)
+    out, into = (edges.edges_out, edges.edges_in) if isinstance(edges, GraphStore | GraphView) else (edges, edges)
     return one_way(out, "subject_uuid", "object_uuid").unionByName(one_way(into, "object_uuid", "subject_uuid"))
 
 
@@ -81,8 +107,8 @@ def prune(nodes: DataFrame, query: Column | None, k: int) -> DataFrame:
 
 
 def expand(
-    nodes: DataFrame,
-    edges: DataFrame | GraphStore,
+    nodes: DataFrame | ByKey,
+    edges: DataFrame | GraphStore | GraphView,
     seeds: DataFrame,
     query: Column | None = None,
     hops: int = 2,
@@ -99,11 +125,12 @@ def expand(
     ``limit_per_hop + self_floor`` frontier nodes and their capped edges a hop, each written
     to the shared folder so that plans stay short.
     """
-    alive = nodes.where("weight > 0")
+    alive = lambda keys: picked(nodes, "uuid", keys).where("weight > 0")
     found = materialize(seeds.select("uuid").distinct(), "discovered")
-    start = materialize(picked(alive, "uuid", found).where(F.col("node_type") != LOG), "seeds")
+    start = materialize(alive(found).where(F.col("node_type") != LOG), "seeds")
     out_nodes, out_edges = start, None
-    stored = edges.edges_out if isinstance(edges, GraphStore) else edges
+    stored = edges.edges_out if isinstance(edges, GraphStore | GraphView) else edges
+    stored = stored.table if isinstance(stored, ByKey) else stored
     columns = stored.columns
     frontier = start.where(passes_source(source)).select("uuid")
     me = self_id(F.lit(user_id))
@@ -117,7 +144,7 @@ def expand(
         if reached.isEmpty():
             break
         found = found.unionByName(new)
-        rows = materialize(picked(alive, "uuid", new), "rows")
+        rows = materialize(alive(new), "rows")
         others = rows.where((F.col("node_type") != LOG) & passes_source(source if source else None))
         kept = prune(others, query, limit_per_hop)
         if hop == 0 and self_floor > 0:
@@ -147,12 +174,13 @@ def labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
-def search_then_expand(nodes: DataFrame, edges: DataFrame | GraphStore, query: Column, now: str, limit: int = 10, hops: int = 2, limit_per_hop: int = 20, user_id: str = "global", facts: DataFrame | None = None) -> Subgraph:
+def search_then_expand(nodes: DataFrame | ByKey, edges: DataFrame | GraphStore | GraphView, query: Column, now: str, limit: int = 10, hops: int = 2, limit_per_hop: int = 20, user_id: str = "global", facts: DataFrame | None = None) -> Subgraph:
     """All hits of a search, nodes and edges alike, as seeds. ``facts`` are the edges with vectors, where ``edges`` has none."""
     from memweave.operators.search import search
 
     if facts is None:
-        facts = edges.edges_out if isinstance(edges, GraphStore) else edges
-    hits = search(nodes, facts, query, now, limit=limit, user_id=user_id)
+        facts = edges.edges_out if isinstance(edges, GraphStore | GraphView) else edges
+        facts = facts.table if isinstance(facts, ByKey) else facts
+    hits = search(nodes.table if isinstance(nodes, ByKey) else nodes, facts, query, now, limit=limit, user_id=user_id)
     seeds = hits[0].select("uuid").unionByName(hits[1].select("uuid"))
     return expand(nodes, edges, seeds, query, hops, limit_per_hop, user_id)

@@ -377,7 +377,7 @@ def _expanded(graph: traverse.Subgraph) -> DataFrame:
 
 
 def _expand(g, seeds, with_query=False, **how):
-    return traverse.expand(g.store.nodes, g.store, seeds, _q(g) if with_query else None, **how)
+    return traverse.expand(g.by_key.nodes, g.by_key, seeds, _q(g) if with_query else None, **how)
 
 
 @register(expand_sql([NATION_0], hops=1, k=20), "nodes", "edges")
@@ -1001,14 +1001,14 @@ def _hits(limit):
 
 @register(expand_sql(_hits(5), hops=1, k=20, query=V0, selects=True), "nodes", "edges")
 def search_then_expand(g):
-    return _expanded(traverse.search_then_expand(g.store.nodes, g.store, _q(g), NODES_NOW, limit=5, hops=1, facts=_vector_edges(g)))
+    return _expanded(traverse.search_then_expand(g.by_key.nodes, g.by_key, _q(g), NODES_NOW, limit=5, hops=1, facts=_vector_edges(g)))
 
 
 @register(f"SELECT * FROM ({_ONE_HOP}) a UNION SELECT * FROM ({expand_sql(_hits(5)[:1], hops=1, k=20, selects=True)}) b", "nodes", "edges")
 def two_pass_retrieval(g):
     """A subgraph with what the hits of a gap query add."""
-    base = traverse.expand(g.store.nodes, g.store, seed(g, "nation_0"), hops=1)
-    return _expanded(summarize.fill_gaps(base, g.store.nodes, g.store, [_q(g)], NODES_NOW))
+    base = traverse.expand(g.by_key.nodes, g.by_key, seed(g, "nation_0"), hops=1)
+    return _expanded(summarize.fill_gaps(base, g.by_key.nodes, g.by_key, [_q(g)], NODES_NOW))
 
 
 # Code
