@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,17 +99,24 @@ def superseded(answer: Column, candidates: Column) -> Column:
     return F.get(F.filter(candidates, lambda c: F.lower(c) == F.lower(strip(answer))), F.lit(0))
 
 
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _lines(c: Column) -> Column:
+    one = F.replace(F.replace(c, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return F.transform(F.split(one, "\n"), strip)  # split by one plain character takes no regular expression
+
+
 def refinery_status(c: Column) -> Column:
-    lines = F.transform(F.split(c, r"\r\n|[\n\r]"), strip)
-    found = F.filter(lines, lambda x: F.lower(x).startswith("status:"))
-    return F.when(F.size(found) > 0, F.lower(strip(F.regexp_replace(F.element_at(found, -1), r"^[^:]*:", "")))).otherwise(F.lit("none"))
+    found = F.filter(_lines(c), lambda x: F.lower(x).startswith("status:"))
+    return _let(found, lambda x: F.when(F.size(x) > 0, F.lower(strip(F.regexp_replace(F.element_at(x, -1), r"^[^:]*:", "")))).otherwise(F.lit("none")))
 
 
 def refinery_triples(c: Column) -> Column:
     """``array<struct<subject, predicate, object, subject_type, object_type>>`` of an extraction answer."""
-    lines = F.transform(F.split(c, r"\r\n|[\n\r]"), strip)
-    start = F.array_position(F.transform(lines, lambda x: F.lower(x)), "triples:").cast("int")
-    body = F.when(start > 0, F.slice(lines, start + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
+    body = _let(_lines(c), lambda lines: _let(F.array_position(F.transform(lines, lambda x: F.lower(x)), "triples:").cast("int"), lambda start: F.when(start > 0, F.slice(lines, start + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))))
     body = F.filter(body, lambda x: (x != "") & ~F.lower(x).startswith("status:"))
     parts = F.transform(body, lambda x: F.transform(F.split(x, r"\|"), strip))
     good = F.filter(parts, lambda p: F.size(p).isin(3, 5) & (p[0] != "") & (p[1] != "") & (p[2] != ""))

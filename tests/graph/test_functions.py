@@ -108,3 +108,18 @@ def test_query_modes(spark):
 def test_mentions(spark):
     for t, name, want in [("I use C++ daily", "C++", False), ("met ADA here", "Ada", True), ("adamant", "Ada", False), ("a.b x", "a.b", True), ("axb", "a.b", False), ("Zoë!", "zoë", True)]:
         assert one(spark, text.mentions(L(t), L(name))) is want
+
+
+def test_strip_is_what_the_regular_expression_took(spark):
+    odd = [chr(c) for c in [*range(0x0, 0x500), *range(0x1680, 0x1700), *range(0x1800, 0x1810), *range(0x2000, 0x2100), 0x3000, 0xFEFF, 0x1F600]]
+    rows = [(f"{c}a{c}b{c}",) for c in odd] + [(f"{c}{c}",) for c in odd] + [("",), (" \t　\n",), ("a \r\n ",), (None,)]
+    told = spark.createDataFrame(rows, "s string").select("s", ids.strip(F.col("s")).alias("got"), F.regexp_replace("s", r"(?U)^\s+|\s+$", "").alias("want"))
+    assert told.where("NOT (got <=> want)").count() == 0
+
+
+def test_an_answer_is_split_once(spark):
+    said = spark.createDataFrame([("status: ok\r\ntriples:\r a | b | c \nstatus: None ",), (None,), ("x",)], "said string")
+    told = said.select(text.refinery_triples(F.col("said")).alias("t"), text.refinery_status(F.col("said")).alias("s"))
+    plan = told._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 3 and "(?U)^" not in plan
+    assert [(r["t"] and [tuple(t)[:3] for t in r["t"]], r["s"]) for r in told.collect()] == [([("a", "b", "c")], "none"), ([], "none"), ([], "none")]
