@@ -9,7 +9,7 @@ from memweave.plans.fixtures import Graph
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["expand_source_filter"])
+@pytest.mark.parametrize("name", ["expand_source_filter", "expand_self_floor", "dot_export"])
 def test_no_graph_is_written(spark, monkeypatch, name):
     def refuse(*args, **kwargs):
         raise AssertionError("the whole graph is written")
