@@ -28,3 +28,21 @@ def test_rows_by_key_are_those_of_the_table(spark):
     some = g.by_key.nodes.table.where(g.by_key.nodes.table["uuid"].isin(keys)).drop("embedding")
     key = lambda r: (r["uuid"], str(r))
     assert sorted(g.by_key.nodes.pick("uuid", keys).drop("embedding").collect(), key=key) == sorted(some.collect(), key=key)
+
+
+def test_facts_are_grouped_by_names_and_pairs_carry_no_vectors(spark):
+    """Rows by names are the view's; a request's pairs with nodes name their vectors and find what they find with them."""
+    from memweave.operators import bulk
+
+    g = Graph(spark, SF)
+    view = g.view("edges")
+    assert sorted(g.edges.collect()) == sorted(view.select(g.edges.columns).collect())
+    assert g.edges._jdf.queryExecution().optimizedPlan().toString().count("sha1") < view._jdf.queryExecution().optimizedPlan().toString().count("sha1")
+    assert "vec_id" in g.store.nodes.columns and "embedding" not in g.store.nodes.columns
+    asked = g.vector_named(g.base("supplier"), "s_suppkey").selectExpr("s_suppkey AS request_id", "'global' AS user_id", "CAST(NULL AS STRING) AS source", "vec_id")
+    seeds = g.base("supplier").selectExpr("s_suppkey AS request_id", "'entity_' || sha1('organization:' || lower(trim(s_name))) AS uuid")
+    named = bulk.expand_requests(asked, seeds, g.store.nodes, g.store, limit_per_hop=3, vectors=g.vectors)
+    held = bulk.expand_requests(asked.join(g.vectors, "vec_id"), seeds, g.store.nodes.join(g.vectors, "vec_id"), g.store, limit_per_hop=3)
+    for kind in ("nodes", "edges"):
+        rows = sorted(getattr(named, kind).collect())
+        assert rows and rows == sorted(getattr(held, kind).collect())
