@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,18 +30,35 @@ UNRESOLVED = "unresolved id or placeholder"
 
 @dataclass
 class Ingested:
+    """Nodes, edges and acknowledgements are computed when they are first read."""
+
     logs: DataFrame
-    nodes: DataFrame  # one row for each entity named, with whether it was there before (then only its journal grows)
-    edges: DataFrame  # one row for each fact, likewise
+    make_nodes: Callable[[], DataFrame]
+    make_edges: Callable[[], DataFrame]
     rejected: DataFrame  # triples that were not taken, and why
     predicates: DataFrame  # (name): new ones
     renamed: DataFrame  # (uuid, content, name_key): nodes that a colliding name updates
     tombstones: DataFrame  # (uuid): facts, stored or of the batch, that a later one replaces
-    acks: DataFrame  # (entry_id, id, kind): nodes created and updated, facts named, by entry
+    make_acks: Callable[[], DataFrame]
     named: DataFrame  # (entry_id, uuid, content): the entities of each entry
     failed: DataFrame  # (entry_id, error): entries whose extraction failed
     stored_edges: DataFrame | None = None  # the stored facts that were looked at
 
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """One row for each entity named, with whether it was there before (then only its journal grows)."""
+        return self.make_nodes()
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """One row for each fact, likewise."""
+        return self.make_edges()
+
+    @cached_property
+    def acks(self) -> DataFrame:
+        """``(entry_id, id, kind)``: nodes created and updated, facts named, by entry."""
+        return self.make_acks()
+
 
 class Asker:
     """Answers from a model, or from columns by task. A task without a column then has no answer."""
@@ -116,16 +133,19 @@ def _resolved(told: DataFrame, nodes: DataFrame, ask: Asker, embed: Callable[[Co
     """``(term_id, text, type, uuid, existed, known_by_id, rejected)`` of every distinct term, and renamed nodes."""
     side = lambda s: told.select(_term(s).alias("term_id"), F.col(s).alias("term"), F.col(f"{s}_type").alias("node_type"), "user_id", "at", "entry_id", "pos", F.lit(s).alias("side"))
     first = F.min(F.struct("at", "entry_id", "pos", F.when(F.col("side") == "subject", 0).otherwise(1).alias("side"))).alias("first")
-    terms = materialize(side("subject").unionByName(side("object")).groupBy("term_id", "term", "node_type", "user_id").agg(first), "terms")
-    found = resolve.resolve_terms(terms, nodes).join(terms.select("term_id", F.col("node_type").alias("told_type"), "first"), "term_id")
-    found = materialize(found.withColumn("type", F.coalesce("resolved_type", "told_type")).drop("resolved_type"), "found-terms")
-    open_ = found.where("uuid IS NULL AND NOT rejected")
-    stable = ids.entity_id(F.col("type"), F.col("text"))
     have = nodes.columns
-    if embed is None and "name_key" not in have:
-        placed = open_.select("term_id", stable.alias("uuid"))
-        renamed = None
+    plain = embed is None and "name_key" not in have  # by stable id alone
+    both, term = side("subject").unionByName(side("object")), ["term_id", "term", "node_type", "user_id"]
+    terms = (both.select(*term).distinct() if plain else both.groupBy(*term).agg(first)).withColumn("told_type", F.col("node_type"))
+    found = resolve.resolve_terms(terms, nodes)
+    found = found.withColumn("type", F.coalesce("resolved_type", "told_type")).drop("resolved_type", "told_type")
+    stable = ids.entity_id(F.col("type"), F.col("text"))
+    renamed = None
+    if plain:
+        out = found.withColumn("uuid", F.coalesce("uuid", F.when(~F.col("rejected"), stable))).withColumn("stable", F.col("uuid"))
     else:
+        found = materialize(found, "found-terms")
+        open_ = found.where("uuid IS NULL AND NOT rejected")
         # one mention for each wording and type, whoever uses it
         mention = F.sha1(F.concat_ws("\x1f", "type", "text"))
         m = open_.groupBy("type", "text").agg(F.min("first").alias("first")).select(mention.alias("mention_id"), F.col("text").alias("name"), F.col("type").alias("node_type"), "first")
@@ -141,15 +161,14 @@ def _resolved(told: DataFrame, nodes: DataFrame, ask: Asker, embed: Callable[[Co
             new = resolve.greedy_resolution(new, threshold).select("mention_id", F.col("uuid").alias("led"))
             got = got.join(new, "mention_id", "left").select("mention_id", F.coalesce("led", "uuid").alias("uuid"), "how")
         placed = open_.select("term_id", mention.alias("mention_id")).join(got, "mention_id").select("term_id", "uuid")
-        renamed = None
         if collisions:
             met = got.where("how = 'vector'").join(m, "mention_id").join(nodes.select("uuid", F.col("content").alias("stored")), "uuid")
             said = ask(met, "collide", prompts.collision(F.col("name"), F.col("stored"))).where(F.lower("said").contains("update"))
             renamed = said.groupBy("uuid").agg(F.max_by("name", F.struct("first", "name")).alias("content")).withColumn("name_key", ids.name_key(F.col("content")))
-    out = found.join(placed.withColumnRenamed("uuid", "placed"), "term_id", "left").withColumn("uuid", F.coalesce("uuid", "placed")).withColumn("stable", F.when(F.col("placed").isNotNull(), stable).otherwise(F.col("uuid")))
+        out = found.join(placed.withColumnRenamed("uuid", "placed"), "term_id", "left").withColumn("uuid", F.coalesce("uuid", "placed")).withColumn("stable", F.when(F.col("placed").isNotNull(), stable).otherwise(F.col("uuid")))
     stored = nodes.select(F.col("uuid").alias("stored_id"), F.col("content").alias("stored"), F.col("node_type").alias("stored_type"))
-    by_id = nodes.select(F.col("uuid").alias("by_id"))
-    out = out.join(stored, F.col("uuid") == F.col("stored_id"), "left").join(by_id, F.col("stable") == F.col("by_id"), "left")
+    out = out.join(stored, F.col("uuid") == F.col("stored_id"), "left")
+    out = out.withColumn("by_id", F.col("stored_id")) if plain else out.join(nodes.select(F.col("uuid").alias("by_id")), F.col("stable") == F.col("by_id"), "left")
     out = out.select(
         "term_id", F.coalesce(F.when(F.col("stored") != "", F.col("stored")), "text").alias("text"), F.coalesce("stored_type", "type").alias("type"), "uuid", F.col("stored_id").isNotNull().alias("existed"), F.col("by_id").isNotNull().alias("known_by_id"), "rejected"
     )
@@ -167,7 +186,7 @@ def _keys(told: DataFrame) -> DataFrame:
 
 
 def _term(side: str) -> Column:
-    return F.sha1(F.concat_ws("\x1f", F.coalesce(f"{side}_type", F.lit("")), F.col(side), F.col("user_id")))
+    return F.unhex(F.sha1(F.concat_ws("\x1f", F.coalesce(f"{side}_type", F.lit("")), F.col(side), F.col("user_id"))))
 
 
 def replaced(facts: DataFrame, edges: DataFrame, ask: Asker) -> DataFrame:
@@ -190,8 +209,8 @@ def replaced(facts: DataFrame, edges: DataFrame, ask: Asker) -> DataFrame:
     touches = stored.select(of("user_id"), F.lit("").alias("order"), "uuid", "content", "stamp").unionByName(
         told.select(of("owner"), "order", "uuid", F.col("owned").alias("content"), F.coalesce(F.unix_micros(F.col("at").cast("timestamp")), F.lit(-(1 << 62))).alias("stamp"))
     )
-    asked = facts.select(F.col("order").alias("id"), of("user_id"), "order")
-    shown = recent.newest(asked, touches, resolve.FACTS).withColumnRenamed("id", "order").join(facts.select("order", F.col("uuid").alias("fact_uuid"), "content"), "order")
+    asked = facts.select(F.col("order").alias("id"), of("user_id"), "order", "uuid", "content")
+    shown = recent.newest(asked, touches, resolve.FACTS).withColumnRenamed("uuid", "fact_uuid")
     others = F.transform(F.filter("items", lambda x: (x["uuid"] != F.col("fact_uuid")) & (F.trim(x["content"]) != "")), lambda x: F.struct(x["uuid"].alias("uuid"), F.trim(x["content"]).alias("content")))
     by = shown.select("fact_uuid", "content", others.alias("facts")).where(F.size("facts") > 0)
     said = ask(by, "supersede", prompts.supersede(F.col("content"), F.col("facts")))
@@ -233,7 +252,8 @@ def ingest(
     full = told
     for s in ("subject", "object"):
         of = terms.select(F.col("term_id").alias(f"{s}_key"), F.col("text").alias(f"{s}_text"), F.col("uuid").alias(f"{s}_uuid"), F.col("type").alias(f"{s}_kind"), F.col("existed").alias(f"{s}_existed"), F.col("known_by_id").alias(f"{s}_known"), F.col("rejected").alias(f"{s}_bad"))
-        full = full.withColumn(f"{s}_key", _term(s)).join(of, f"{s}_key")
+        full = full.withColumn(f"{s}_key", _term(s)).join(of, f"{s}_key").drop(f"{s}_key")
+    full = materialize(full, "resolved-triples")  # what follows reads them several times
     bad = F.col("subject_bad") | F.col("object_bad")
     rejected = full.where(bad).select("triple_id", "subject", "predicate", "object", F.lit(UNRESOLVED).alias("reason"))
     log_uuid = log_id(F.col("user_id"), F.col("entry_id")).alias("log_uuid")
@@ -245,30 +265,43 @@ def ingest(
     named = good.select("user_id", "at", "entry_id", "pos", log_uuid, F.inline(F.array(*ends)))
     journal = F.array_distinct(F.transform(F.array_sort(F.collect_set(F.struct("at", "entry_id", "log_uuid"))), lambda x: x["log_uuid"]))
     head = F.min(F.struct("at", "entry_id", "pos", "side", "node_type", "content", "user_id", "existed", "known_by_id")).alias("f")
-    ents = named.groupBy("uuid").agg(head, journal.alias("journal_entry_ids"), F.max("at").alias("updated_at"))
-    ents = materialize(ents.select("uuid", "f.node_type", "f.content", "f.user_id", F.col("f.at").alias("created_at"), "updated_at", "journal_entry_ids", "f.existed", "f.known_by_id", F.col("f.entry_id").alias("first_entry")), "entities")
+    ents = lambda: materialize(named.groupBy("uuid").agg(head, journal.alias("journal_entry_ids"), F.max("at").alias("updated_at")).select(
+        "uuid", "f.node_type", "f.content", "f.user_id", F.col("f.at").alias("created_at"), "updated_at", "journal_entry_ids", "f.existed", "f.known_by_id", F.col("f.entry_id").alias("first_entry")), "entities")
     by_entry = named.select("entry_id", "uuid", "content").distinct()
     facts = good.select(
         ids.edge_id(F.col("subject_uuid"), F.col("predicate"), F.col("object_uuid")).alias("uuid"), "subject_uuid", "predicate", "object_uuid",
         ids.edge_text(F.col("subject_text"), F.col("predicate"), F.col("object_text")).alias("content"), "user_id", "at", "entry_id", _order().alias("order"), log_uuid,
     )
-    made = facts.groupBy("uuid").agg(*[F.min_by(c, "order").alias(c) for c in ("subject_uuid", "predicate", "object_uuid", "content", "user_id")], F.min("at").alias("created_at"), F.max("at").alias("updated_at"), journal.alias("journal_entry_ids")).withColumn("weight", F.lit(WEIGHTS["edge"]))
-    made = materialize(made, "facts")
-    acks = by_entry.join(ents.select("uuid", "known_by_id", "first_entry"), "uuid").select("entry_id", F.col("uuid").alias("id"), F.when(~F.col("known_by_id") & (F.col("entry_id") == F.col("first_entry")), "created").otherwise("updated").alias("kind")).distinct()
-    acks = acks.unionByName(facts.select("entry_id", F.col("uuid").alias("id"), F.lit("fact").alias("kind")).distinct())
-    if edges is None:
-        made = made.withColumn("existed", F.lit(False))
-        dead = made.limit(0).select("uuid")
-    else:
+    dead = full.limit(0).select(F.col("subject_uuid").alias("uuid"))
+    if edges is not None:
         if not isinstance(edges, DataFrame):
-            edges = materialize(edges.pick(made.select(F.col("subject_uuid").alias("key"))), "picked-edges")
+            edges = materialize(edges.pick(good.select(F.col("subject_uuid").alias("key"))), "picked-edges")
+        dead = materialize(replaced(materialize(facts.dropDuplicates(["order"]), "facts-told"), edges, ask), "replaced")
+    embedded = lambda df: df if embed is None else df.withColumn("embedding", embed(F.col("content")))
+    held = {}
+
+    def entities() -> DataFrame:
+        if not held:
+            held["entities"] = ents()
+        return held["entities"]
+
+    def made_nodes() -> DataFrame:
+        return embedded(entities().drop("known_by_id", "first_entry").withColumn("name_key", ids.name_key(F.col("content"))).withColumn("weight", F.lit(WEIGHTS["entity"])))
+
+    def made_edges() -> DataFrame:
+        made = facts.groupBy("uuid").agg(*[F.min_by(c, "order").alias(c) for c in ("subject_uuid", "predicate", "object_uuid", "content", "user_id")], F.min("at").alias("created_at"), F.max("at").alias("updated_at"), journal.alias("journal_entry_ids"))
+        made = materialize(made.withColumn("weight", F.lit(WEIGHTS["edge"])), "facts")
+        if edges is None:
+            return embedded(made.withColumn("existed", F.lit(False)))
         stored = edges.select("uuid").distinct().withColumn("existed", F.lit(True))
-        made = made.join(stored, "uuid", "left").withColumn("existed", F.coalesce("existed", F.lit(False)))
-        dead = materialize(replaced(facts.dropDuplicates(["order"]), edges, ask), "replaced")
-    ents = ents.drop("known_by_id", "first_entry").withColumn("name_key", ids.name_key(F.col("content"))).withColumn("weight", F.lit(WEIGHTS["entity"]))
-    if embed is not None:
-        logs, ents, made = (df.withColumn("embedding", embed(F.col("content"))) for df in (logs, ents, made))
-    return Ingested(logs, ents, made, rejected, new_predicates, renamed, dead, acks, by_entry, failed, edges)
+        return embedded(made.join(stored, "uuid", "left").withColumn("existed", F.coalesce("existed", F.lit(False))))
+
+    def acks() -> DataFrame:
+        kind = F.when(~F.col("known_by_id") & (F.col("entry_id") == F.col("first_entry")), "created").otherwise("updated").alias("kind")
+        of_nodes = by_entry.join(entities().select("uuid", "known_by_id", "first_entry"), "uuid").select("entry_id", F.col("uuid").alias("id"), kind).distinct()
+        return of_nodes.unionByName(facts.select("entry_id", F.col("uuid").alias("id"), F.lit("fact").alias("kind")).distinct())
+
+    return Ingested(embedded(logs), made_nodes, made_edges, rejected, new_predicates, renamed, dead, acks, by_entry, failed, edges)
 
 
 #: What a row that was there before does not change.

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from memweave.runtime import materialize, release
 
-_ITEMS = pa.schema([("id", pa.string()), ("items", pa.list_(pa.struct([("uuid", pa.string()), ("content", pa.string())])))])
+_ITEMS = pa.schema([("id", pa.string()), ("uuid", pa.string()), ("content", pa.string()), ("items", pa.list_(pa.struct([("uuid", pa.string()), ("content", pa.string())])))])
 _CARRIED = pa.schema([("key", pa.string()), ("part", pa.int32()), ("uuid", pa.string()), ("content", pa.string()), ("stamp", pa.int64())])
 
 
@@ -78,21 +78,22 @@ def _answered(n: int):
                 if row["id"] is None:
                     now.touch(row)
                 else:
-                    out.append({"id": row["id"], "items": [{"uuid": u, "content": now.held[u][1]} for u in now.ranked()]})
+                    out.append({"id": row["id"], "uuid": row["uuid"], "content": row["content"], "items": [{"uuid": u, "content": now.held[u][1]} for u in now.ranked()]})
             yield pa.RecordBatch.from_pylist(out, schema=_ITEMS)
 
     return run
 
 
 def newest(questions: DataFrame, touches: DataFrame, n: int) -> DataFrame:
-    """``(id, items)``: for ``questions (key, order, id)`` the newest ``n`` of ``touches (key, order, uuid, content, stamp)``.
+    """``(id, uuid, content, items)``: for ``questions (key, order, id, uuid, content)`` the newest ``n`` of ``touches (key, order, uuid, content, stamp)``.
 
-    Orders are strings; a touch counts for questions of a larger order. An item has one
+    A question's ``uuid`` and ``content``, where it has them, come back with its answer. Orders are strings; a touch counts for questions of a larger order. An item has one
     content. Items are newest first by ``stamp``, a whole number, then by uuid. Written.
     """
     none = lambda kind: F.lit(None).cast(kind)
     # of one order, questions come first; an order that begins another stands before it
-    asked = questions.select("key", F.concat("order", F.lit("\x010")).alias("place"), "id", none("string").alias("uuid"), none("string").alias("content"), none("long").alias("stamp"))
+    own = [F.col(c) if c in questions.columns else none("string").alias(c) for c in ("uuid", "content")]
+    asked = questions.select("key", F.concat("order", F.lit("\x010")).alias("place"), "id", *own, none("long").alias("stamp"))
     told = touches.select("key", F.concat("order", F.lit("\x011")).alias("place"), none("string").alias("id"), "uuid", "content", F.col("stamp").cast("long").alias("stamp"))
     rows = asked.unionByName(told).repartitionByRange("key", "place", F.coalesce("id", "uuid"))
     rows = materialize(rows.withColumn("part", F.spark_partition_id()), "recent-rows")
@@ -105,6 +106,6 @@ def newest(questions: DataFrame, touches: DataFrame, n: int) -> DataFrame:
     carried = stream.mapInArrow(_carried(n), "key string, part int, uuid string, content string, stamp long")
     whole = rows.unionByName(carried.select("key", F.lit("").alias("place"), none("string").alias("id"), "uuid", "content", "stamp", "part"))
     ordered = whole.repartition("part", "key").sortWithinPartitions("part", "key", "place").select("part", "key", "id", "uuid", "content", "stamp")
-    out = materialize(ordered.mapInArrow(_answered(n), "id string, items array<struct<uuid: string, content: string>>"), "recent-items")
+    out = materialize(ordered.mapInArrow(_answered(n), "id string, uuid string, content string, items array<struct<uuid: string, content: string>>"), "recent-items")
     release(rows)
     return out

@@ -243,14 +243,17 @@ def resolve_terms(terms: DataFrame, nodes: DataFrame) -> DataFrame:
     """``terms (term_id, term, node_type, user_id)`` with ``text``, ``uuid``, ``resolved_type``, ``rejected``.
 
     SELF is the user's own node; placeholders are rejected; a generated id becomes its
-    node's content, or is rejected where that is missing, blank or an id itself.
+    node's content, or is rejected where that is missing, blank or an id itself. Other columns
+    of ``terms`` stay. Only ids meet the nodes: all else, SELF of every user too, is no key of a join.
     """
     t = terms.withColumn("bare", ids.strip(F.coalesce("term", F.lit(""))))
     n = nodes.select(F.col("uuid").alias("ref"), ids.strip(F.coalesce("content", F.lit(""))).alias("body"), F.col("node_type").alias("ref_type"))
-    j = t.join(n, F.col("bare") == F.col("ref"), "left")
+    own = [c for c in terms.columns if c not in ("term_id", "term", "node_type", "user_id")]
     me = F.upper("bare") == "SELF"
     nothing = (F.col("bare") == "") | ids.is_placeholder(F.col("bare"), F.col("node_type"))
     is_id = ids.is_generated_id(F.col("bare"))
+    none = [F.lit(None).cast("string").alias(c) for c in ("ref", "body", "ref_type")]
+    j = t.where(is_id).join(n, F.col("bare") == F.col("ref"), "left").unionByName(t.where(~is_id).select("*", *none))
     lost = is_id & (F.col("body").isNull() | (F.col("body") == "") | ids.is_generated_id(F.col("body")))
     bad = ~me & (nothing | lost)
     return j.select(
@@ -259,6 +262,7 @@ def resolve_terms(terms: DataFrame, nodes: DataFrame) -> DataFrame:
         F.when(bad, None).when(me, ids.self_id(F.col("user_id"))).when(is_id, F.col("ref")).alias("uuid"),
         F.when(bad, None).when(me, F.lit("person")).when(is_id, F.col("ref_type")).alias("resolved_type"),
         bad.alias("rejected"),
+        *own,
     )
 
 
