@@ -204,12 +204,12 @@ def replaced(facts: DataFrame, edges: DataFrame, ask: Asker) -> DataFrame:
     first = facts.groupBy("uuid").agg(F.min_by(F.struct("user_id", "content"), "order").alias("f"))
     had = stored.groupBy("uuid").agg(F.first("user_id").alias("had_user"), F.first("content").alias("had_content"))
     owner = first.join(had, "uuid", "left").select("uuid", F.coalesce("had_user", "f.user_id").alias("owner"), F.coalesce("had_content", "f.content").alias("owned"))
-    of = lambda user: F.concat_ws("\x1f", user, "subject_uuid").alias("key")
+    of = lambda user: F.base64(F.unhex(F.sha1(F.concat_ws("\x1f", user, "subject_uuid")))).alias("key")
     told = facts.join(owner, "uuid")
     touches = stored.select(of("user_id"), F.lit("").alias("order"), "uuid", "content", "stamp").unionByName(
         told.select(of("owner"), "order", "uuid", F.col("owned").alias("content"), F.coalesce(F.unix_micros(F.col("at").cast("timestamp")), F.lit(-(1 << 62))).alias("stamp"))
     )
-    asked = facts.select(F.col("order").alias("id"), of("user_id"), "order", "uuid", "content")
+    asked = facts.select(F.lit("").alias("id"), of("user_id"), "order", "uuid", "content")
     shown = recent.newest(asked, touches, resolve.FACTS).withColumnRenamed("uuid", "fact_uuid")
     others = F.transform(F.filter("items", lambda x: (x["uuid"] != F.col("fact_uuid")) & (F.trim(x["content"]) != "")), lambda x: F.struct(x["uuid"].alias("uuid"), F.trim(x["content"]).alias("content")))
     by = shown.select("fact_uuid", "content", others.alias("facts")).where(F.size("facts") > 0)
@@ -276,7 +276,7 @@ def ingest(
     if edges is not None:
         if not isinstance(edges, DataFrame):
             edges = materialize(edges.pick(good.select(F.col("subject_uuid").alias("key"))), "picked-edges")
-        dead = materialize(replaced(materialize(facts.dropDuplicates(["order"]), "facts-told"), edges, ask), "replaced")
+        dead = materialize(replaced(materialize(facts.select("order", "uuid", "user_id", "subject_uuid", "content", "at").dropDuplicates(["order"]), "facts-told"), edges, ask), "replaced")
     embedded = lambda df: df if embed is None else df.withColumn("embedding", embed(F.col("content")))
     held = {}
 

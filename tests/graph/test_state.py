@@ -230,3 +230,20 @@ def test_failures_are_told_and_asked_again(spark, tmp_path):
     assert first == {"a": ("said a", None), "b": (None, "RuntimeError: no"), None: ("said ", None)}
     second = {r.p: r.said for r in table.ask(df, F.col("p"), "said", counting(f"{tmp_path}/calls")).collect()}
     assert second == {"a": "said a", "b": "said b", None: "said "}
+
+
+def test_ingest_computes_what_is_read(spark, monkeypatch):
+    """Tombstones alone: no journals of nodes and facts are grouped, and triples are resolved once."""
+    from memweave.operators import ingest
+
+    labels, real = [], ingest.materialize
+    monkeypatch.setattr(ingest, "materialize", lambda df, label: (labels.append(label), real(df, label))[1])
+    rows = [(f"e{k}", "text", "u", "general", None, f"2024-01-0{k + 1}", f"status: ok\ntriples:\nSELF | has_status | state {k}") for k in range(3)]
+    entries = spark.createDataFrame(rows, "entry_id string, text string, user_id string, domain string, source string, at string, answer string").withColumn("at", F.col("at").cast("timestamp"))
+    nodes = spark.createDataFrame([], "uuid string, content string, node_type string")
+    none = spark.createDataFrame([], "uuid string, user_id string, subject_uuid string, content string, updated_at timestamp")
+    done = ingest.ingest(entries, nodes, ["has_status"], answers={"extract": "answer", "supersede": F.expr("facts[0].uuid")}, edges=none)
+    assert done.tombstones.count() == 2
+    assert "entities" not in labels and "facts" not in labels and labels.count("resolved-triples") == 1
+    assert done.edges.count() == 3 and done.nodes.count() == 4 and done.acks.count() == 9
+    assert labels.count("entities") == 1 and labels.count("facts") == 1
