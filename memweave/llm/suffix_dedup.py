@@ -163,6 +163,11 @@ def _anchor_rows(docs: DataFrame, window: int, gram: int, full: bool) -> DataFra
     return docs.select("tid", "text").mapInArrow(run, ", ".join(f"{n} {'int' if t == I32 else 'long'}" for n, t in zip(names, types, strict=True)))
 
 
+def _hashed(keys: DataFrame) -> DataFrame:
+    """``keys``, distinct in what they are joined by, as the side that is hashed: the other side, which is many times larger, is not sorted."""
+    return keys.hint("shuffle_hash")
+
+
 def _split_classes(rows: DataFrame, core: str, label: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows ``(pos, n, core, context, ...)`` to: repeats of an equal context; first rows of
     contexts whose core has several contexts; the table of contexts to release.
@@ -173,10 +178,10 @@ def _split_classes(rows: DataFrame, core: str, label: str) -> tuple[DataFrame, D
     classes = rows.groupBy(core, "context").agg(F.min("pos").alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("size"), *[F.min_by(c, "pos").alias(c) for c in more])
     classes = materialize(classes, f"{label}-classes")
     several = classes.where("size > 1").select(core, "context", "first")
-    repeats = rows.join(several, [core, "context"]).where("pos <> first").select("pos", "n")
+    repeats = rows.join(_hashed(several), [core, "context"]).where("pos <> first").select("pos", "n")
     # written before they are joined: both sides are then plain shuffles, and Spark can split a hot one
     many = materialize(classes.groupBy(core).agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1").select(core), f"{label}-cores")
-    open_ = classes.join(many, core).select(F.col("first").alias("pos"), "n", *more)
+    open_ = classes.join(_hashed(many), core).select(F.col("first").alias("pos"), "n", *more)
     out = materialize(repeats, f"{label}-repeats"), materialize(open_, f"{label}-open"), classes
     release(many)
     return out
@@ -209,7 +214,7 @@ def _segments(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             yield _rows(names, types, out)
 
     by = wanted.select(*_text_and_byte(), "n").groupBy("tid").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))
-    return docs.select("tid", "text").join(by, "tid").select("tid", "text", "lo", "n").mapInArrow(run, "tid long, at long, bytes binary, lo array<long>, n array<int>")
+    return docs.select("tid", "text").join(_hashed(by), "tid").select("tid", "text", "lo", "n").mapInArrow(run, "tid long, at long, bytes binary, lo array<long>, n array<int>")
 
 
 def _units(segments: DataFrame, window: int, gram: int) -> DataFrame:
@@ -266,7 +271,7 @@ def _windows(segments: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
             yield pa.record_batch([pa.array(spots, I64), lists], names=["id", "chars"])
 
     by = wanted.select(*_text_and_byte(), "n", "at").groupBy("tid", "at").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))
-    return segments.select("tid", "at", "bytes").join(by, ["tid", "at"]).select("tid", "at", "bytes", "lo", "n").mapInArrow(run, "id long, chars array<binary>")
+    return segments.select("tid", "at", "bytes").join(_hashed(by), ["tid", "at"]).select("tid", "at", "bytes", "lo", "n").mapInArrow(run, "id long, chars array<binary>")
 
 
 def _named(rows: DataFrame, key: list[str], name: str) -> DataFrame:
@@ -277,7 +282,7 @@ def _named(rows: DataFrame, key: list[str], name: str) -> DataFrame:
     distinct = rows.select(*key).distinct()
     ranked = distinct.repartitionByRange(*key).sortWithinPartitions(*key).select(*key, F.monotonically_increasing_id().alias(name))
     ranked = materialize(ranked, "names")  # before use: range bounds are sampled anew in each run
-    return rows.join(ranked, key).drop(*key)
+    return rows.join(_hashed(ranked), key).drop(*key)
 
 
 def suffix_ranks(strings: DataFrame, length: int) -> DataFrame:
@@ -313,7 +318,7 @@ def _open_repeats(segments: DataFrame, wanted: DataFrame, window: int) -> DataFr
     strings = materialize(_windows(segments, wanted, window), "strings")
     ranks = suffix_ranks(strings, -(-window // CHAR))
     first = ranks.groupBy("rank").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    repeats = ranks.join(first, "rank").where("id <> first").select(F.col("id").alias("pos"), F.lit(1).alias("n"))
+    repeats = ranks.join(_hashed(first), "rank").where("id <> first").select(F.col("id").alias("pos"), F.lit(1).alias("n"))
     out = materialize(repeats, "open-repeats")
     release(strings)
     return out
@@ -322,7 +327,7 @@ def _open_repeats(segments: DataFrame, wanted: DataFrame, window: int) -> DataFr
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``(pos, n)``: runs of ``n`` windows from ``pos`` on that all have an earlier equal, in ``docs (tid, text)`` with bytes."""
     common = materialize(_anchor_rows(docs, window, gram, False).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "common-grams")
-    found = materialize(_anchor_rows(docs, window, gram, True).join(common, "gram", "left_semi").select("pos", "n", "gram", "context"), "anchors")
+    found = materialize(_anchor_rows(docs, window, gram, True).join(_hashed(common), "gram", "left_semi").select("pos", "n", "gram", "context"), "anchors")
     release(common)
     repeats, open_, classes = _split_classes(found, "gram", "anchor")
     release(classes)
@@ -354,7 +359,7 @@ def _with_runs(texts: Texts, window: int) -> DataFrame:
     """The texts with the lists ``lo`` and ``n`` of their repeated windows, null without any."""
     runs = _whole(texts, repeated_windows(_parts(texts, window), window))
     runs = runs.groupBy("tid").agg(F.collect_list("lo").alias("lo"), F.collect_list("n").alias("n"))
-    return texts.rows.join(runs.hint("merge"), "tid", "left")
+    return texts.rows.join(_hashed(runs), "tid", "left")
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -120,3 +120,19 @@ def test_columns_of_any_name(spark):
     for f in (sd.remove_repeats, line_dedup.remove_lines):
         got = {r.doc_id: tuple(r) for r in f(df).collect()}
         assert f(df).columns == df.columns and got[1] == (1, text, "a", "b", 1) and got[2][2:] == ("c", "d", 2)
+
+
+def test_large_sides_are_not_sorted(spark, monkeypatch):
+    """Anchors and texts meet distinct keys by hash; only the keys are held."""
+    plans = {}
+
+    def keep(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, label)
+
+    real = sd.materialize
+    monkeypatch.setattr(sd, "materialize", keep)
+    texts = corpus(5)
+    assert run(spark, list(enumerate(texts))) == brute(list(enumerate(texts)), 100)
+    joined = ["anchors", "anchor-repeats", "anchor-open", "segments", "unit-repeats", "unit-open", "strings", "open-repeats"]
+    assert all("ShuffledHashJoin" in plans[k] and "SortMergeJoin" not in plans[k] for k in joined)
