@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memweave.llm.remembered import remembered, rest
+
 CACHE = 300_000
 #: Unicode white space, as the pattern's \s means it.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -198,14 +200,9 @@ class ByteBPE:
             raise ValueError(f"unknown id {e}") from e
 
 
-_LOADED: dict[str, ByteBPE] = {}
-
-
 def load(path: str) -> ByteBPE:
-    """One encoder for each worker process and vocabulary file."""
-    if path not in _LOADED:
-        _LOADED[path] = ByteBPE(path)
-    return _LOADED[path]
+    """One encoder for each worker process and vocabulary file, while its tasks come."""
+    return remembered(("bpe", path), lambda: ByteBPE(path))
 
 
 def groups(batches: Iterator[pa.RecordBatch], most: int = 8 << 20) -> Iterator[tuple[list, list[str]]]:
@@ -232,6 +229,7 @@ def encode(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
         for keys, texts in groups(batches):
             ids = [np.frombuffer(x, "<u4").astype(np.int32) for x in bpe.encode_batch(texts)]
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+        rest()
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -244,6 +242,7 @@ def decode(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", ids: str = "i
         for b in batches:
             texts = [bpe.decode(np.array(x or [], "<u4").tobytes()) for x in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+        rest()
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
 
@@ -260,5 +259,6 @@ def round_trip(df: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str
                 [pa.array(keys, pa.int64()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(bpe.decode(x).encode()) for x in ids], pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        rest()
 
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -18,7 +18,6 @@ lang is null teach nothing, and a null doc_id is not held out.
 
 from __future__ import annotations
 
-import threading
 import uuid
 from collections import defaultdict
 from collections.abc import Iterator
@@ -33,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memweave.llm.bpe import groups
+from memweave.llm.remembered import remembered, rest
 from memweave.runtime import materialize, release
 
 TRAIN_ROWS = 2000
@@ -297,28 +297,9 @@ class Scorer:
         return out
 
 
-_SCORERS: dict[str, Scorer] = {}
-_IDLE: list[threading.Timer] = []
-#: Seconds after which a worker process without such tasks forgets the words.
-IDLE = 5.0
-
-
 def _scorer(token: str, model: Model) -> Scorer:
     """One scorer for each worker process and job, so that its tasks share the remembered words."""
-    while _IDLE:
-        _IDLE.pop().cancel()
-    if token not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[token] = Scorer(model)
-    return _SCORERS[token]
-
-
-def _rest() -> None:
-    """A task ends. Workers go on to other stages, which need the memory."""
-    timer = threading.Timer(IDLE, _SCORERS.clear)
-    timer.daemon = True
-    timer.start()
-    _IDLE.append(timer)
+    return remembered(("language_id", token), lambda: Scorer(model))
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -330,7 +311,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
         for keys, texts in groups(batches, AT_ONCE):
             got = scorer.score(texts)
             yield pa.record_batch([pa.array(keys, pa.int64()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
-        _rest()
+        rest()
 
     scored = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
@@ -356,7 +337,7 @@ def annotate(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     part, size = [], 0
             got += scorer.score(part)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*b.schema.names, "lang_pred", "lang_score"])
-        _rest()
+        rest()
 
     return docs.mapInArrow(run, schema)
 

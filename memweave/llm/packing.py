@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memweave.llm import bpe
+from memweave.llm.remembered import rest
 from memweave.runtime import materialize
 
 MAX_LEN, BUCKETS, BUDGET = 2048, 16, 65_536
@@ -106,7 +107,7 @@ def encoded(docs: DataFrame, vocabulary: str, max_len: int = MAX_LEN, doc_id: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.load(vocabulary)
-        for keys, texts in bpe.groups(batches, 2 << 20):
+        for keys, texts in bpe.groups(batches, 1 << 20):
             rows = []
             for k, raw in zip(keys, encoder.encode_batch(texts), strict=True):
                 ids = np.frombuffer(raw, "<u4").astype(np.int32)
@@ -115,6 +116,7 @@ def encoded(docs: DataFrame, vocabulary: str, max_len: int = MAX_LEN, doc_id: st
                     rows.append((k, piece, len(part), start, start + len(part), _digest(part.tobytes()), part))
             columns = zip(*rows, strict=True)
             yield pa.record_batch([*(pa.array(next(columns), pa.int64()) for _ in NAMES), pa.array(next(columns), pa.list_(pa.int32()))], names=[*NAMES, "input_ids"])
+        rest()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in NAMES) + ", input_ids array<int>")
 
