@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from memweave.functions import code, ids, text
 from memweave.operators import ingest, prompts, providers
-from memweave.runtime import materialize
+from memweave.runtime import materialize, spread
 from memweave.schema import DEFAULT_DOMAIN, PREDICATES, WEIGHTS
 from memweave.sources.changelog import marks
 
@@ -168,7 +168,8 @@ def ingest_corpus(
     own node and its place in the corpus.
     """
     found = materialize(classify(incoming, stored), "documents-found")
-    todo = materialize(found.where("status <> 'unchanged'").join(incoming.select("corpus_id", "filename", "content"), ["corpus_id", "filename"]), "documents-to-do")
+    todo = found.where("status <> 'unchanged'").join(incoming.select("corpus_id", "filename", "content"), ["corpus_id", "filename"])
+    todo = materialize(spread(todo, "uuid"), "documents-to-do")
     ask = ingest.Asker(make, answers)
     told = materialize(ask(todo, "summary", prompts.document_summary(F.col("content"), F.col("filename"))).select("uuid", "corpus_id", "filename", ids.strip(F.coalesce("said", F.lit(""))).alias("summary"), "said_error"), "summaries")
     entry = F.concat(F.lit("summary_"), F.col("uuid"))
