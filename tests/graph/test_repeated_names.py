@@ -30,7 +30,7 @@ def repeated(tmp_path_factory):
     return str(folder), duck
 
 
-@pytest.mark.parametrize("name", ["search_requests", "search_edge_requests"])
+@pytest.mark.parametrize("name", ["search_requests", "search_edge_requests", "entity_cascade", "entity_nearest_match"])
 def test_agrees(spark, repeated, name):
     folder, duck = repeated
     df = registry.queries()[name](spark, folder)
@@ -42,9 +42,9 @@ def test_agrees(spark, repeated, name):
     assert got == want and got
 
 
-@pytest.mark.parametrize("name, label", [("search_requests", "bulk-members"), ("search_edge_requests", "bulk-members")])
+@pytest.mark.parametrize("name, label", [("search_requests", "bulk-members"), ("search_edge_requests", "bulk-members"), ("entity_cascade", "node-vectors"), ("entity_nearest_match", "node-vectors")])
 def test_rows_are_taken_without_vectors(spark, monkeypatch, name, label):
-    """What is written for each row names its vector, which is not read for it."""
+    """What is written for each row names its vector, which is not read for it; classes of rows are made before their vectors join."""
     from memweave.operators import bulk, resolve
 
     seen = {}
@@ -58,4 +58,8 @@ def test_rows_are_taken_without_vectors(spark, monkeypatch, name, label):
         monkeypatch.setattr(module, "materialize", spy)
     registry.queries()[name](spark, SF)
     columns, plan = seen[label]
-    assert "vec_id" in columns and not {"v", "embedding"} & set(columns) and "embedding#" not in plan
+    if label == "bulk-members":
+        assert "vec_id" in columns and not {"v", "embedding"} & set(columns) and "embedding#" not in plan
+    else:
+        assert [line for line in plan.split("\n") if "partial_min(uuid" in line] and not [line for line in plan.split("\n") if "Aggregate" in line and "first(" in line]
+        assert "lineitem" not in plan
