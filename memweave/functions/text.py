@@ -110,13 +110,26 @@ def _lines(c: Column) -> Column:
 
 
 def refinery_status(c: Column) -> Column:
-    found = F.filter(_lines(c), lambda x: F.lower(x).startswith("status:"))
+    return _status(_lines(c))
+
+
+def _status(lines: Column) -> Column:
+    found = F.filter(lines, lambda x: F.lower(x).startswith("status:"))
     return _let(found, lambda x: F.when(F.size(x) > 0, F.lower(strip(F.regexp_replace(F.element_at(x, -1), r"^[^:]*:", "")))).otherwise(F.lit("none")))
 
 
 def refinery_triples(c: Column) -> Column:
     """``array<struct<subject, predicate, object, subject_type, object_type>>`` of an extraction answer."""
-    body = _let(_lines(c), lambda lines: _let(F.array_position(F.transform(lines, lambda x: F.lower(x)), "triples:").cast("int"), lambda start: F.when(start > 0, F.slice(lines, start + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))))
+    return _let(_lines(c), _triples)
+
+
+def refinery_facts(c: Column) -> Column:
+    """``refinery_triples`` of an answer whose status is not none, else null; its lines are made once."""
+    return _let(_lines(c), lambda lines: F.when(_status(lines) != "none", _triples(lines)))
+
+
+def _triples(lines: Column) -> Column:
+    body = _let(F.array_position(F.transform(lines, lambda x: F.lower(x)), "triples:").cast("int"), lambda start: F.when(start > 0, F.slice(lines, start + 1, F.size(lines))).otherwise(F.array().cast("array<string>")))
     body = F.filter(body, lambda x: (x != "") & ~F.lower(x).startswith("status:"))
     parts = F.transform(body, lambda x: F.transform(F.split(x, r"\|"), strip))
     good = F.filter(parts, lambda p: F.size(p).isin(3, 5) & (p[0] != "") & (p[1] != "") & (p[2] != ""))

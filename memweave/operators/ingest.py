@@ -90,9 +90,9 @@ def extracted(entries: DataFrame, known: DataFrame, ask: Asker) -> tuple[DataFra
     """``(entry_id, user_id, at, pos, subject, predicate, object, types, is_new, triple_id)``, and the entries that failed."""
     names = known.agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("known_names"))  # one row, a vocabulary
     asked = ask(entries.crossJoin(names), "extract", prompts.extraction(F.col("text"), F.lit(", ".join(NODE_TYPES)), F.col("known_names")))
-    asked = materialize(asked.select("entry_id", "user_id", "at", "said", "said_error"), "extraction")
-    some = asked.where(text.refinery_status(F.col("said")) != "none")
-    told = some.select("entry_id", "user_id", "at", F.posexplode(text.refinery_triples(F.col("said"))).alias("pos", "t")).select("entry_id", "user_id", "at", "pos", "t.*")
+    asked = asked.select("entry_id", "user_id", "at", "said", "said_error")
+    asked = asked if ask.answers is not None else materialize(asked, "extraction")  # a model is asked once
+    told = asked.select("entry_id", "user_id", "at", F.posexplode(text.refinery_facts(F.col("said"))).alias("pos", "t")).select("entry_id", "user_id", "at", "pos", "t.*")
     told = told.withColumn("is_new", ids.is_new_predicate(F.col("predicate"))).withColumn("predicate", ids.normalized_predicate(F.col("predicate")))
     return told.withColumn("triple_id", F.concat_ws(":", "user_id", "entry_id", "pos")), asked.where("said_error IS NOT NULL").select("entry_id", F.col("said_error").alias("error"))
 
@@ -244,7 +244,7 @@ def ingest(
     entries = entries.withColumn("user_id", F.coalesce("user_id", F.lit(DEFAULT_USER)))
     logs = log_nodes(entries)
     told, failed = extracted(entries, known, ask)
-    told = materialize(gated(materialize(told, "told"), known, ask), "triples")
+    told = gated(materialize(told, "told"), known, ask)  # parts of written tables
     if not isinstance(nodes, DataFrame):
         nodes = materialize(nodes.pick(_keys(told), whole=embed is not None), "picked-nodes")
     new_predicates = told.where("appended").select(F.col("predicate").alias("name")).distinct().join(known, "name", "left_anti")
@@ -297,8 +297,11 @@ def ingest(
         return embedded(made.join(stored, "uuid", "left").withColumn("existed", F.coalesce("existed", F.lit(False))))
 
     def acks() -> DataFrame:
-        kind = F.when(~F.col("known_by_id") & (F.col("entry_id") == F.col("first_entry")), "created").otherwise("updated").alias("kind")
-        of_nodes = by_entry.join(entities().select("uuid", "known_by_id", "first_entry"), "uuid").select("entry_id", F.col("uuid").alias("id"), kind).distinct()
+        # no journals: those of hot entities are as long as the batch, and only the first entry counts
+        firsts = named.groupBy("uuid").agg(head).where("NOT f.known_by_id").select(F.col("f.entry_id").alias("entry_id"), "uuid", F.lit(1).alias("new"))
+        # a key of both is no hot one; what is created is among what is named
+        told = named.select("entry_id", "uuid", F.lit(0).alias("new")).unionByName(firsts).groupBy("entry_id", "uuid").agg(F.max("new").alias("new"))
+        of_nodes = told.select("entry_id", F.col("uuid").alias("id"), F.when(F.col("new") == 1, "created").otherwise("updated").alias("kind"))
         return of_nodes.unionByName(facts.select("entry_id", F.col("uuid").alias("id"), F.lit("fact").alias("kind")).distinct())
 
     return Ingested(embedded(logs), made_nodes, made_edges, rejected, new_predicates, renamed, dead, acks, by_entry, failed, edges)

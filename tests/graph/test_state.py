@@ -1,5 +1,6 @@
 """State that lasts over batches: order, times, keyed reads, compaction, streams."""
 
+import hashlib
 import json
 import random
 import re
@@ -247,3 +248,21 @@ def test_ingest_computes_what_is_read(spark, monkeypatch):
     assert "entities" not in labels and "facts" not in labels and labels.count("resolved-triples") == 1
     assert done.edges.count() == 3 and done.nodes.count() == 4 and done.acks.count() == 9
     assert labels.count("entities") == 1 and labels.count("facts") == 1
+
+
+def test_acknowledgements_group_no_journals(spark, monkeypatch):
+    """Acknowledgements alone write no entities."""
+    from memweave.operators import ingest
+
+    labels, real = [], ingest.materialize
+    monkeypatch.setattr(ingest, "materialize", lambda df, label: (labels.append(label), real(df, label))[1])
+    rows = [(f"e{k}", "text", "u", "general", None, f"2024-01-0{3 - k}", "status: ok\ntriples:\nSELF | has_status | state\nSELF | has_status | known") for k in range(3)]
+    entries = spark.createDataFrame(rows, "entry_id string, text string, user_id string, domain string, source string, at string, answer string").withColumn("at", F.col("at").cast("timestamp"))
+    known = "entity_" + hashlib.sha1(b"generic:known").hexdigest()
+    nodes = spark.createDataFrame([(known, "known", "generic")], "uuid string, content string, node_type string")
+    none = spark.createDataFrame([], "uuid string, user_id string, subject_uuid string, content string, updated_at timestamp")
+    done = ingest.ingest(entries, nodes, ["has_status"], answers={"extract": "answer"}, edges=none)
+    acks = sorted((r.entry_id, r.kind, r.id) for r in done.acks.collect())
+    assert "entities" not in labels and done.tombstones.count() == 0
+    assert len(acks) == 15 and [a[0] for a in acks if a[1] == "created"] == ["e2", "e2"]  # the earliest entry
+    assert {a[1] for a in acks if a[2] == known} == {"updated"} and sum(a[1] == "fact" for a in acks) == 6
