@@ -66,6 +66,9 @@ class Asker:
     def __init__(self, make: Callable = providers.rules, answers: Mapping[str, Column | str] | None = None):
         self.make, self.answers = make, answers
 
+    def answers_to(self, task: str) -> bool:
+        return self.answers is None or task in self.answers
+
     def __call__(self, df: DataFrame, task: str, prompt: Column) -> DataFrame:
         if self.answers is None:
             return providers.ask(df, prompt, "said", self.make, prompts.SYSTEM[task], prompts.MAX_TOKENS[task])
@@ -136,7 +139,8 @@ def _resolved(told: DataFrame, nodes: DataFrame, ask: Asker, embed: Callable[[Co
     have = nodes.columns
     plain = embed is None and "name_key" not in have  # by stable id alone
     both, term = side("subject").unionByName(side("object")), ["term_id", "term", "node_type", "user_id"]
-    terms = (both.select(*term).distinct() if plain else both.groupBy(*term).agg(first)).withColumn("told_type", F.col("node_type"))
+    placed = embed is not None or collisions  # what asks for the first place of a term; without it no row is sorted
+    terms = (both.groupBy(*term).agg(first) if placed else both.select(*term).distinct()).withColumn("told_type", F.col("node_type"))
     found = resolve.resolve_terms(terms, nodes)
     found = found.withColumn("type", F.coalesce("resolved_type", "told_type")).drop("resolved_type", "told_type")
     stable = ids.entity_id(F.col("type"), F.col("text"))
@@ -148,9 +152,9 @@ def _resolved(told: DataFrame, nodes: DataFrame, ask: Asker, embed: Callable[[Co
         open_ = found.where("uuid IS NULL AND NOT rejected")
         # one mention for each wording and type, whoever uses it
         mention = F.sha1(F.concat_ws("\x1f", "type", "text"))
-        m = open_.groupBy("type", "text").agg(F.min("first").alias("first")).select(mention.alias("mention_id"), F.col("text").alias("name"), F.col("type").alias("node_type"), "first")
-        vector = embed(F.col("name")) if embed is not None else F.lit(None).cast("array<float>")
-        m = materialize(m.withColumn("embedding", vector), "entity-mentions")
+        m = open_.groupBy("type", "text").agg(F.min("first").alias("first")) if placed else open_.select("type", "text").distinct()
+        m = m.select(mention.alias("mention_id"), F.col("text").alias("name"), F.col("type").alias("node_type"), *["first"] * placed)
+        m = materialize(m if embed is None else m.withColumn("embedding", embed(F.col("name"))), "entity-mentions")
         store = nodes if "embedding" in have else nodes.withColumn("embedding", F.lit(None).cast("array<float>"))
         store = store if "name_key" in have else store.withColumn("name_key", F.lit(None).cast("string"))
         got = materialize(resolve.resolve(m, store, threshold), "resolved")
@@ -160,12 +164,12 @@ def _resolved(told: DataFrame, nodes: DataFrame, ask: Asker, embed: Callable[[Co
             new = m.join(got.where("how = 'new'").select("mention_id"), "mention_id", "left_semi").withColumn("pos", rank)
             new = resolve.greedy_resolution(new, threshold).select("mention_id", F.col("uuid").alias("led"))
             got = got.join(new, "mention_id", "left").select("mention_id", F.coalesce("led", "uuid").alias("uuid"), "how")
-        placed = open_.select("term_id", mention.alias("mention_id")).join(got, "mention_id").select("term_id", "uuid")
+        at = open_.select("term_id", mention.alias("mention_id")).join(got, "mention_id").select("term_id", "uuid")
         if collisions:
             met = got.where("how = 'vector'").join(m, "mention_id").join(nodes.select("uuid", F.col("content").alias("stored")), "uuid")
             said = ask(met, "collide", prompts.collision(F.col("name"), F.col("stored"))).where(F.lower("said").contains("update"))
             renamed = said.groupBy("uuid").agg(F.max_by("name", F.struct("first", "name")).alias("content")).withColumn("name_key", ids.name_key(F.col("content")))
-        out = found.join(placed.withColumnRenamed("uuid", "placed"), "term_id", "left").withColumn("uuid", F.coalesce("uuid", "placed")).withColumn("stable", F.when(F.col("placed").isNotNull(), stable).otherwise(F.col("uuid")))
+        out = found.join(at.withColumnRenamed("uuid", "placed"), "term_id", "left").withColumn("uuid", F.coalesce("uuid", "placed")).withColumn("stable", F.when(F.col("placed").isNotNull(), stable).otherwise(F.col("uuid")))
     stored = nodes.select(F.col("uuid").alias("stored_id"), F.col("content").alias("stored"), F.col("node_type").alias("stored_type"))
     out = out.join(stored, F.col("uuid") == F.col("stored_id"), "left")
     out = out.withColumn("by_id", F.col("stored_id")) if plain else out.join(nodes.select(F.col("uuid").alias("by_id")), F.col("stable") == F.col("by_id"), "left")
@@ -276,6 +280,7 @@ def ingest(
     if edges is not None:
         if not isinstance(edges, DataFrame):
             edges = materialize(edges.pick(good.select(F.col("subject_uuid").alias("key"))), "picked-edges")
+    if edges is not None and ask.answers_to("supersede"):  # without an answer nothing is replaced
         dead = materialize(replaced(materialize(facts.select("order", "uuid", "user_id", "subject_uuid", "content", "at").dropDuplicates(["order"]), "facts-told"), edges, ask), "replaced")
     embedded = lambda df: df if embed is None else df.withColumn("embedding", embed(F.col("content")))
     held = {}

@@ -167,6 +167,7 @@ def resolve(mentions: DataFrame, nodes: DataFrame, threshold: float = NEAR, vect
     generated id must be a node's and is never created (``missing``); an empty name has no
     node (``empty``). All others: by vector, then name, then stable id, else new under that id.
 
+    Mentions without a vector column match by name and id alone.
     A name and type meets the nodes once, however many mention it, and only nodes of the mentions'
     types are looked through for names and vectors. ``vectors`` as in ``nearest``.
     """
@@ -181,7 +182,9 @@ def resolve(mentions: DataFrame, nodes: DataFrame, threshold: float = NEAR, vect
     known = nodes.where(ids.is_generated_id(F.col("uuid"))).select(F.col("uuid").alias("as_id"))
     met = exact_matches(terms, nodes, typed).join(known, F.col("strict") & (F.col("name") == F.col("as_id")), "left")
     met = met.select(F.col("name").alias("of_name"), F.col("node_type").alias("of_type"), "by_name", "by_id", "stable", "as_id")
-    out = m.join(met, (F.col("name") == F.col("of_name")) & F.col("node_type").eqNullSafe(F.col("of_type"))).join(nearest(named, typed, threshold, vectors=vectors), "mention_id", "left")
+    with_vectors = vectors is not None or "embedding" in mentions.columns
+    near = nearest(named, typed, threshold, vectors=vectors) if with_vectors else m.limit(0).select("mention_id", F.col("name").alias("near_uuid"))
+    out = m.join(met, (F.col("name") == F.col("of_name")) & F.col("node_type").eqNullSafe(F.col("of_type"))).join(near, "mention_id", "left")
     how = (
         F.when(F.col("name") == "", "empty").when(F.col("me"), "self").when(F.col("strict"), F.when(F.col("as_id").isNotNull(), "strict").otherwise("missing"))
         .when(F.col("near_uuid").isNotNull(), "vector").when(F.col("by_name").isNotNull(), "name").when(F.col("by_id").isNotNull(), "id").otherwise("new")

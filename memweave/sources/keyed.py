@@ -24,6 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from memweave.runtime import materialize
 from memweave.sources.changelog import fold
 
 FIELDS = (
@@ -85,7 +86,9 @@ class KeyedLog:
         return self._read(schema, f"{self.path}/snapshot-{g}").unionByName(self._read(schema, f"{self.path}/tail-{g}"))
 
     def _picked(self, df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-        wanted = keys.select(F.col("key").alias("__key")).where("__key IS NOT NULL").distinct()
+        if not df.inputFiles():  # nothing is stored yet
+            return df
+        wanted = keys.select(F.col("key").alias("__key")).where("__key IS NOT NULL")
         buckets = [r[0] for r in wanted.select(self._bucket(F.col("__key"))).distinct().limit(MOST_BUCKETS + 1).collect()]
         if len(buckets) <= MOST_BUCKETS:
             df = df.where(F.col("bucket").isin(buckets))
@@ -124,6 +127,9 @@ class KeyedLog:
         """
         if whole:
             return self.state()
+        if not self.log().inputFiles():
+            return fold(self.log().drop("bucket"))
+        keys = materialize(keys.select("key").distinct(), "picked-keys")  # they are looked at several times
         if self.names:
             named = self._picked(self._read("name_key string, uuid string, bucket int", f"{self.path}/names-{self.generation()}"), "name_key", keys)
             keys = keys.select("key").unionByName(named.select(F.col("uuid").alias("key"))).distinct()

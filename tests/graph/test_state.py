@@ -6,6 +6,7 @@ import random
 import re
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from memweave import schema
@@ -250,12 +251,13 @@ def test_ingest_computes_what_is_read(spark, monkeypatch):
     assert labels.count("entities") == 1 and labels.count("facts") == 1
 
 
-def test_acknowledgements_group_no_journals(spark, monkeypatch):
-    """Acknowledgements alone write no entities."""
+def test_acknowledgements_group_no_journals_and_unasked_facts_are_not_ranked(spark, monkeypatch):
+    """Acknowledgements alone write no entities; without answers on supersession nothing is replaced, and no newest facts are looked for."""
     from memweave.operators import ingest
 
     labels, real = [], ingest.materialize
     monkeypatch.setattr(ingest, "materialize", lambda df, label: (labels.append(label), real(df, label))[1])
+    monkeypatch.setattr(ingest.recent, "newest", lambda *args: pytest.fail("newest facts are ranked"))
     rows = [(f"e{k}", "text", "u", "general", None, f"2024-01-0{3 - k}", "status: ok\ntriples:\nSELF | has_status | state\nSELF | has_status | known") for k in range(3)]
     entries = spark.createDataFrame(rows, "entry_id string, text string, user_id string, domain string, source string, at string, answer string").withColumn("at", F.col("at").cast("timestamp"))
     known = "entity_" + hashlib.sha1(b"generic:known").hexdigest()
